@@ -78,6 +78,7 @@ _UNIT_TAIL = re.compile(
     r" ((ai|artificial intelligence|machine intelligence|machine learning|r d|central)( research)? (lab|labs|laboratory|laboratories|group|unit|center|centre|team)|"
     r"research( and development)?( lab| labs| laboratory| laboratories| center| centre| group| institute| division| unit)?|r d)$"
 )
+_UNIT_OF = re.compile(r"^((institute|laboratory|lab|center|centre) for|(dept|department|division|faculty|school|graduate school) of) .+? of (?=\w{3})")
 _UNIT_HEAD = re.compile(r"^(ai|artificial intelligence|machine intelligence) (lab|laboratory|group) (of |at )?")
 _EXTRA_LETTERS = str.maketrans({"ß": "ss", "ø": "o", "ł": "l", "æ": "ae", "œ": "oe", "đ": "d", "ð": "d", "þ": "th", "ı": "i"})
 
@@ -205,7 +206,7 @@ def parse(name: str | None) -> Org:
     # a name given as "Core, University of" is one organisation; further segments with a core of their own are places or parts
     named = " ".join(segments)
     named = _RIGHTS.sub("", _RIGHTS.sub("", f"{named}"))
-    for pattern in (_UNIT_TAIL, _UNIT_HEAD):
+    for pattern in (_UNIT_OF, _UNIT_TAIL, _UNIT_HEAD):
         cut = pattern.sub("", named).strip()
         if cut != named and _has_core(cut):
             named = cut

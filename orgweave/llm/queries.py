@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orgweave.llm import spellings
+from orgweave.llm import linkage, spellings
 from orgweave.shared import read
 
 
@@ -29,8 +29,20 @@ def p2_canonical_names(spark: SparkSession, d: str) -> DataFrame:
     return classes.join(top, ["tab_name", "class_id"]).select("tab_name", "name", F.col("top.name").alias("canonical_name"), "spellings", F.col("n").alias("rows_with_name"), F.round("posterior", 6).alias("posterior"))
 
 
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.link(read(spark, d, "publication_institutions_master"), read(spark, d, "compustat_firms_standardized"), read(spark, d, "publication_firm_matches_stage1"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.best_links(_links(spark, d)).select("institution_id", "gvkey")
+
+
+def p1_match_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.best_links(_links(spark, d)).select("institution_id", "gvkey", F.round("match_confidence", 6).alias("match_confidence"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_canonical_names": p2_canonical_names}
+    return {"p1_found": p1_found, "p1_match_confidence": p1_match_confidence, "p2_found": p2_found, "p2_canonical_names": p2_canonical_names}
 
 
 def oracle_sql() -> dict[str, str]:
