@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orgweave.operators import nested
+from orgweave.operators import drift, nested
 from orgweave.shared import read
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.schema_changes(read(spark, d, "raw_work_files")).select("file_no", "field_name", "change_kind")
+
+
+def p4_unified_table(spark: SparkSession, d: str) -> DataFrame:
+    raw = read(spark, d, "raw_work_files")
+    return drift.unified_table(raw, drift.schema_changes(raw))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     rows = nested.work_children(read(spark, d, "ai_papers"), read(spark, d, "openalex_work_json"))
     return rows.select("tab_name", "record_id", "child_kind", "author_no", "child_no")
@@ -21,7 +30,7 @@ def p5_child_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found, "p5_child_tables": p5_child_tables}
+    return {"p4_found": p4_found, "p4_unified_table": p4_unified_table, "p5_found": p5_found, "p5_child_tables": p5_child_tables}
 
 
 def oracle_sql() -> dict[str, str]:
