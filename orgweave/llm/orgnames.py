@@ -120,17 +120,26 @@ def osa(a: str, b: str, most: int) -> int:
     return last[-1]
 
 
+def _gaps(word: str) -> set[str]:
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
+#: Known long words by themselves and by what is left without one letter: whatever is one edit away shares an entry.
+_NEAR: dict[str, set[str]] = {}
+for _w in _LONG:
+    for _g in _gaps(_w):
+        _NEAR.setdefault(_g, set()).add(_w)
+
+
 @lru_cache(maxsize=200_000)
 def _kind_of(word: str) -> str | None:
-    """The class of a known word, of an abbreviation of one, or of one with a typing error."""
+    """The class of a known word, of an abbreviation of one, or of one with a typing error (long words: two)."""
     if word in _EXACT:
         return _EXACT[word]
     if len(word) >= 4:
-        near = {k for w, k in _LONG.items() if len(w) >= 5 and abs(len(w) - len(word)) <= 1 and osa(word, w, 1) == 1}
-        if len(near) == 1:
-            return near.pop()
-        if len(word) >= 10:
-            near = {k for w, k in _LONG.items() if abs(len(w) - len(word)) <= 2 and osa(word, w, 2) <= 2}
+        close = {w for g in _gaps(word) for w in _NEAR.get(g, ())}
+        for most in (1, 2):
+            near = {_LONG[w] for w in close if osa(word, w, most) <= most} if most == 1 or len(word) >= 10 else set()
             if len(near) == 1:
                 return near.pop()
     if 4 <= len(word) <= 7:  # a clipped word: technol, electron
@@ -140,14 +149,14 @@ def _kind_of(word: str) -> str | None:
     return None
 
 
+_ENDINGS = re.compile("(?<=.{4})(%s)$" % "|".join(sorted(_LONG, key=len, reverse=True)))
+
+
 def _split_glued(word: str) -> list[str]:
     """The word and the known words that were typed onto its end."""
     tail: list[str] = []
-    while _kind_of(word) is None:
-        hit = max((w for w in _LONG if len(word) >= len(w) + 4 and word.endswith(w)), key=len, default=None)
-        if hit is None:
-            break
-        word, tail = word[: -len(hit)], [hit, *tail]
+    while _kind_of(word) is None and (hit := _ENDINGS.search(word)):
+        word, tail = word[: hit.start()], [hit[0], *tail]
     return [word, *tail]
 
 

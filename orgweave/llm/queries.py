@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orgweave.llm import linkage, spellings
+from orgweave.llm import increments, linkage, spellings
 from orgweave.shared import read
 
 
@@ -41,8 +41,12 @@ def p1_match_confidence(spark: SparkSession, d: str) -> DataFrame:
     return linkage.best_links(_links(spark, d)).select("institution_id", "gvkey", F.round("match_confidence", 6).alias("match_confidence"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return increments.repeated_rows(read(spark, d, "ai_papers"), read(spark, d, "arxiv_paper_institutions"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_match_confidence": p1_match_confidence, "p2_found": p2_found, "p2_canonical_names": p2_canonical_names}
+    return {"p1_found": p1_found, "p1_match_confidence": p1_match_confidence, "p2_found": p2_found, "p2_canonical_names": p2_canonical_names, "p3_found": p3_found}
 
 
 def oracle_sql() -> dict[str, str]:
