@@ -60,3 +60,9 @@ def ship(spark: SparkSession) -> None:
     shutil.make_archive(target, "zip", os.path.dirname(root), "orgweave")
     sc.addPyFile(f"{target}.zip")
     sc._orgweave_shipped = True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """For a costly step per row: the rows over all cores. A table of enough parts is left as it lies; only a small one is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
