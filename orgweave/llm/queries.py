@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orgweave.llm import increments, linkage, spellings
+from orgweave.llm import increments, langid, linkage, spellings
 from orgweave.shared import read
 
 
@@ -45,8 +45,21 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return increments.repeated_rows(read(spark, d, "ai_papers"), read(spark, d, "arxiv_paper_institutions"))
 
 
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents")
+    return langid.segments(docs, langid.fit(docs))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return langid.wrong_labels(_segments(spark, d)).select("doc_id", "lang_code")
+
+
+def p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _segments(spark, d).select("doc_id", "segment_no", "lang_code", F.round("confidence", 4).alias("confidence"), "start", "end")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_match_confidence": p1_match_confidence, "p2_found": p2_found, "p2_canonical_names": p2_canonical_names, "p3_found": p3_found}
+    return {"p1_found": p1_found, "p1_match_confidence": p1_match_confidence, "p2_found": p2_found, "p2_canonical_names": p2_canonical_names, "p3_found": p3_found, "p8_found": p8_found, "p8_segments": p8_segments}
 
 
 def oracle_sql() -> dict[str, str]:
