@@ -10,40 +10,45 @@ history are never read again.
 from __future__ import annotations
 
 import math
+import re
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orgweave.llm.components import roots
-from orgweave.llm.orgnames import parse_org
+from orgweave.llm.orgnames import parse
 from orgweave.shared import cut, work_path
 
-#: Least share of its pieces that a near-copy shares with the shorter of the two texts: two typing errors leave a third of six words.
+#: Least share of its pieces that a near-copy shares with the shorter of the two texts: two typing errors leave a third of six pieces.
 COVERAGE = 0.3
-#: Words of a title in one piece.
-PIECE = 2
-_FUNCTION_WORDS = "with using from into onto over under upon than that this these those their via without within between toward towards about through".split()
+#: Shorter words, and these, carry no title: they are what is exchanged, left out or mistyped into each other.
+LONG, _FUNCTION_WORDS = 5, ["using", "about"]
 #: Keys per bucket that one task should hold.
 BUCKET_KEYS = 400_000
 
+#: Columns of a key: source table, record, whether the key alone proves a copy, the hash, and of a part the text that must agree and
+#: the number of its pieces.
 KEY_COLUMNS = ["tab", "id", "whole", "key", "text", "pieces"]
 
 
 class HashStore:
-    """The keys of all accepted records: tab, whole, key, text, pieces, owner (the first record that brought the key or piece)."""
+    """The keys of all accepted records, partitioned by batch and bucketed by key: tab, whole, key, text, pieces, owner (the first record
+    of its batch that brought this key and text), copies (how many did)."""
 
     def __init__(self, spark: SparkSession, expected_keys: int):
         self.spark = spark
         self.name = f"orgweave_keys_{uuid.uuid4().hex[:12]}"
         self.path = work_path(spark, "keys")
         self.buckets = max(spark.sparkContext.defaultParallelism, 2 ** math.ceil(math.log2(max(1, expected_keys / BUCKET_KEYS))))
-        self.empty = True
 
-    def append(self, keys: DataFrame) -> None:
-        rows = keys.repartition(self.buckets, "key")  # each task writes one bucket
-        rows.write.format("parquet").mode("append").bucketBy(self.buckets, "key").option("path", self.path).saveAsTable(self.name)
-        self.empty = False
+    def append(self, keys: DataFrame, batch: int) -> None:
+        """Reduce the keys of a batch to one row per key and text (before they are shuffled) and append them."""
+        rows = keys.groupBy("tab", "whole", "key", "text", "pieces").agg(F.min("id").alias("owner"), F.count("*").alias("copies")).withColumn("batch", F.lit(batch).cast("long"))
+        rows = rows.repartition(self.buckets, "key")  # each task writes one bucket
+        rows.write.format("parquet").mode("append").partitionBy("batch").bucketBy(self.buckets, "key").option("path", self.path).saveAsTable(self.name)
 
     def rows(self) -> DataFrame:
         self.spark.catalog.refreshTable(self.name)
@@ -70,7 +75,7 @@ def _alike_words(a: Column, b: Column) -> Column:
     close = lambda p, q: typo(p, q) | (F.startswith(p, q) | F.startswith(q, p)) & (F.least(F.length(p), F.length(q)) > 1)
     in_order = (n >= 3) & (n >= 0.5 * most) & (F.size(odd) <= F.greatest(F.lit(1), F.ceil(n * 0.35))) & F.forall(odd, lambda w: close(w["p"], w["q"]))
     only_x, only_y = F.array_except(x, y), F.array_except(y, x)
-    covered = lambda p, q: F.forall(p, lambda w: (F.length(w) <= 4) | F.exists(q, lambda v: typo(w, v)))
+    covered = lambda p, q: F.forall(p, lambda w: (F.length(w) <= LONG) | F.exists(q, lambda v: typo(w, v)))
     any_order = (most - n <= 1) & (n >= 3) & (F.greatest(F.size(only_x), F.size(only_y)) <= F.ceil(n * 0.35)) & covered(only_x, only_y) & covered(only_y, only_x)
     return in_order | any_order
 
@@ -84,37 +89,26 @@ def _same_org(a: Column, b: Column) -> Column:
     return (ka == kb) & (short >= 4) & ((F.levenshtein(ca, cb, 2) >= 0) | clipped)
 
 
-def _near(left: DataFrame, right: DataFrame, on_later: bool) -> DataFrame:
-    """Near-copies between part keys of two sides: node, owner."""
-    x = left.select("tab", "key", F.col("text").alias("text_a"), F.col("pieces").alias("n_a"), F.col("owner").alias("a"))
-    y = right.select("key", F.col("text").alias("text_b"), F.col("pieces").alias("n_b"), F.col("owner").alias("b"))
-    met = x.join(y, "key").filter(F.col("text_a") < F.col("text_b") if on_later else F.col("text_a") != F.col("text_b"))
-    enough = met.groupBy("tab", "a", "b", "text_a", "text_b", "n_a", "n_b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= COVERAGE * F.least("n_a", "n_b"))
-    alike = F.when(F.col("tab") == "arxiv_paper_institutions", _same_org(F.col("text_a"), F.col("text_b"))).otherwise(_alike_words(F.col("text_a"), F.col("text_b")))
-    return enough.filter(alike).select("tab", F.greatest("a", "b").alias("node"), F.least("a", "b").alias("owner")).filter("node <> owner")
-
-
-def dedup_step(store: HashStore, keys: DataFrame) -> DataFrame:
-    """Link a batch (KEY_COLUMNS) with itself and the history; append what is new. Returns tab, node, owner."""
-    keys = cut(keys)
-    # the first record of the batch for each key or piece; copies within the batch follow it
-    mine = cut(keys.groupBy("tab", "whole", "key", "text", "pieces").agg(F.min("id").alias("owner")))
-    first = mine.filter("whole").select("key", F.col("owner").alias("first"))
-    edges = keys.filter("whole").join(first, "key").filter("id <> first").select("tab", F.col("id").alias("node"), F.col("first").alias("owner"))
-    parts = mine.filter("not whole")
-    edges = edges.unionByName(_near(parts, parts, True))
-    fresh = mine
-    if not store.empty:
-        old = store.rows()
-        old_whole = old.filter("whole").select("key", F.col("owner").alias("old"))
-        known = mine.filter("whole").join(old_whole, "key")
-        edges = edges.unionByName(known.select("tab", F.greatest("owner", "old").alias("node"), F.least("owner", "old").alias("owner")).filter("node <> owner"))
-        old_parts = old.filter("not whole")
-        edges = edges.unionByName(_near(parts, old_parts, False))
-        fresh = mine.join(old.select("key", "text"), ["key", "text"], "left_anti")
-    edges = cut(edges.distinct())
-    store.append(fresh)
-    return edges
+def dedup_step(store: HashStore, keys: DataFrame, batch: int) -> DataFrame:
+    """Append a batch (KEY_COLUMNS) and link it with itself and the history. Returns tab, node, owner.
+
+    The batch meets the table in one join, bucket by bucket, with its own rows as the hashed side; the history isn't shuffled.
+    """
+    store.append(keys, batch)
+    new = store.rows().filter(F.col("batch") == batch)
+    # copies of one key and text within the batch follow the first of them
+    several = new.filter((F.col("copies") > 1) & (F.col("whole") | (F.col("pieces") == 1))).select("key", "text", F.col("owner").alias("first"))
+    within = keys.filter(F.col("whole") | (F.col("pieces") == 1)).join(several, ["key", "text"]).filter("id <> first").select("tab", F.col("id").alias("node"), F.col("first").alias("owner"))
+    x = new.select("tab", "whole", "key", F.col("text").alias("text_a"), F.col("pieces").alias("n_a"), F.col("owner").alias("a"))
+    y = store.rows().select("key", F.col("text").alias("text_b"), F.col("pieces").alias("n_b"), F.col("owner").alias("b"), (F.col("batch") == batch).alias("mine"))
+    differs = F.col("text_a") != F.col("text_b")
+    told = F.col("whole") | differs | (F.col("n_a") == 1)
+    met = x.hint("shuffle_hash").join(y, "key").filter(F.when(F.col("mine"), ~F.col("whole") & (F.col("text_a") < F.col("text_b"))).otherwise(told))
+    counted = met.groupBy("tab", "whole", "a", "b", "text_a", "text_b", "n_a", "n_b").agg(F.count("*").alias("shared"))
+    alike = F.when(F.col("n_a") == 1, ~differs | _same_org(F.col("text_a"), F.col("text_b"))).otherwise(_alike_words(F.col("text_a"), F.col("text_b")))
+    linked = counted.filter(F.col("whole") | (F.col("shared") >= COVERAGE * F.least("n_a", "n_b")) & alike)
+    across = linked.select("tab", F.greatest("a", "b").alias("node"), F.least("a", "b").alias("owner")).filter("node <> owner")
+    return cut(within.unionByName(across).distinct())
 
 
 def dedup_batches(spark: SparkSession, batches: list, keys_of, expected_keys: int) -> DataFrame:
@@ -125,7 +119,7 @@ def dedup_batches(spark: SparkSession, batches: list, keys_of, expected_keys: in
     store = HashStore(spark, expected_keys)
     edges = None
     for b in batches:
-        step = dedup_step(store, keys_of(b))
+        step = dedup_step(store, keys_of(b), b)
         edges = step if edges is None else edges.unionByName(step)
     if edges is None:
         return spark.createDataFrame([], "tab string, node bigint, root bigint")
@@ -165,17 +159,17 @@ def title_text(title: Column) -> Column:
 
 
 def content_words(text: Column) -> Column:
-    """Words that carry a title: of four letters or more, or with a digit, and no function words."""
-    return F.filter(F.split(text, " "), lambda w: ((F.length(w) >= 4) | w.rlike(r"\d")) & ~w.isin(_FUNCTION_WORDS))
+    """Words that carry a title: of LONG letters or more, or with a digit, and no function words."""
+    return F.filter(F.split(text, " "), lambda w: ((F.length(w) >= LONG) | w.rlike(r"\d")) & ~w.isin(_FUNCTION_WORDS))
 
 
-def paper_keys(papers: DataFrame) -> DataFrame:
-    """Keys of ai_papers. Whole: each identifier, and content words of the title + authors + kind of work. Parts: the content words of the title, two at a time, each
-    pair with its place, the authors and the kind of work, so that a title alone proves nothing. The kind tells corrections, comments and parts apart."""
-    mark = F.array_join(F.transform(F.regexp_extract_all(F.col("title"), F.lit(_MARK), 0), lambda m: F.trim(F.lower(m))), " ")
+def paper_keys(papers: DataFrame, batch: Column) -> DataFrame:
+    """Keys of ai_papers. Whole: each identifier, and content words of the title + authors + kind of work. Parts: each two neighbouring content words of the title,
+    with the authors and the kind of work, so that a title alone proves nothing. The kind tells corrections, comments and parts apart."""
+    mark = F.array_join(F.transform(F.regexp_extract_all(F.col("title"), F.lit(_MARK), 0), lambda m: F.trim(F.regexp_replace(F.lower(m), r"[^a-z0-9 ]", ""))), " ")
     authors = F.array_sort(F.filter(F.coalesce("author_ids", F.array().cast("array<string>")), lambda a: F.coalesce(F.trim(a) != "", F.lit(False))))
     base = papers.filter(F.col("record_id").isNotNull()).select(
-        F.col("record_id").cast("long").alias("id"), F.coalesce(mark, F.lit("")).alias("mark"), F.coalesce(title_text(F.col("title")), F.lit("")).alias("title"),
+        batch.alias("batch"), F.col("record_id").cast("long").alias("id"), F.coalesce(mark, F.lit("")).alias("mark"), F.coalesce(title_text(F.col("title")), F.lit("")).alias("title"),
         F.when(F.size(authors) > 0, F.array_join(authors, " ")).alias("authors"), F.coalesce(work_number(F.col("openalex_id")), work_number(F.col("paper_id"))).alias("work"),
         arxiv_number(F.col("arxiv_id")).alias("arxiv"), doi_name(F.col("doi")).alias("doi"), F.coalesce(F.col("publication_year").cast("string"), F.lit("")).alias("year"),
     )
@@ -186,40 +180,50 @@ def paper_keys(papers: DataFrame) -> DataFrame:
     content = F.when((says != "") & F.col("authors").isNotNull(), F.xxhash64(F.lit("paper"), F.col("mark"), says, F.col("authors"), year))
     whole = F.array(F.xxhash64(F.lit("work"), "work"), F.xxhash64(F.lit("arxiv"), "arxiv"), F.xxhash64(F.lit("doi"), "doi"), content)
     there = F.array(F.col("work").isNotNull(), F.col("arxiv").isNotNull(), F.col("doi").isNotNull(), content.isNotNull())
-    w = base.select("id", F.explode(F.filter(F.arrays_zip(whole.alias("k"), there.alias("t")), lambda z: z["t"])).alias("z")).select(tab.alias("tab"), "id", F.lit(True).alias("whole"), F.col("z.k").alias("key"), F.lit("").alias("text"), F.lit(0).alias("pieces"))
+    w = base.select("batch", "id", F.explode(F.filter(F.arrays_zip(whole.alias("k"), there.alias("t")), lambda z: z["t"])).alias("z")).select("batch", tab.alias("tab"), "id", F.lit(True).alias("whole"), F.col("z.k").alias("key"), F.lit("").alias("text"), F.lit(0).alias("pieces"))
     long = base.filter(F.col("authors").isNotNull() & (F.size(words) > 5)).withColumn("words", content_words(F.col("title"))).filter(F.size("words") >= 3)
-    pieces = F.ceil(F.size("words") / PIECE).cast("int")
-    piece = F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.xxhash64(F.lit("piece"), F.col("mark"), F.col("authors"), i, F.array_join(F.slice(F.col("words"), i * PIECE + 1, PIECE), " ")))
-    p = long.select("id", F.array_join("words", " ").alias("title"), pieces.alias("pieces"), F.explode(piece).alias("key")).select(tab.alias("tab"), "id", F.lit(False).alias("whole"), "key", F.col("title").alias("text"), "pieces")
+    pieces = F.size("words") - 1
+    piece = F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.xxhash64(F.lit("piece"), F.col("mark"), F.col("authors"), F.array_join(F.slice(F.col("words"), i + 1, 2), " ")))
+    p = long.select("batch", "id", F.array_join("words", " ").alias("title"), pieces.alias("pieces"), F.explode(F.array_distinct(piece)).alias("key")).select("batch", tab.alias("tab"), "id", F.lit(False).alias("whole"), "key", F.col("title").alias("text"), "pieces")
     return w.unionByName(p)
 
 
-def affiliation_keys(rows: DataFrame) -> DataFrame:
-    """Keys of arxiv_paper_institutions. Whole: paper, author and organisation as read (or none). Part: paper and author, where the
-    organisations must be one but for their spelling. Rows without paper or author have no keys and repeat nothing."""
+@F.pandas_udf(T.StringType())
+def org_text(names: pd.Series) -> pd.Series:
+    """kind|core of a name; of one without any identifying word its plain words; empty for null or blank."""
+
+    def text(name: str) -> str:
+        org = parse(name)
+        return f"{org.kind}|{org.core}" if org.core else " ".join(re.findall(r"[^\W_]+", name.lower()))
+
+    known = {n: text(n) for n in names.dropna().unique()}
+    return names.map(known).fillna("")
+
+
+def affiliation_keys(rows: DataFrame, batch: Column) -> DataFrame:
+    """Keys of arxiv_paper_institutions. A row with an organisation has one part, its paper and author, and the organisation as read is
+    the text that must agree but for its spelling; a row without any has one whole key. Rows without paper or author have no keys and repeat nothing."""
     paper = F.coalesce(F.concat(F.lit("a"), arxiv_number(F.col("arxiv_id"))), F.concat(F.lit("w"), work_number(F.col("openalex_id"))))
     author = F.coalesce(F.nullif(F.regexp_extract(F.upper(F.col("author_id")), r"A(\d+)", 1), F.lit("")), F.nullif(F.lower(F.trim("author_display_name")), F.lit("")))
-    base = rows.filter(F.col("row_id").isNotNull()).select(F.col("row_id").cast("long").alias("id"), paper.alias("paper"), author.alias("author"), F.col("institution_name").alias("name")).filter("paper is not null and author is not null")
-    read_ = base.withColumn("org", parse_org("name"))
-    bare = F.lower(F.trim(F.regexp_replace("name", r"(?U)[^\p{L}\p{N}]+", " ")))
-    org = F.when(F.col("org.core") != "", F.concat_ws("|", "org.kind", "org.core")).otherwise(F.coalesce(bare, F.lit("")))
-    named = read_.select("id", "paper", "author", org.alias("text"))
-    tab = F.lit("arxiv_paper_institutions").alias("tab")
-    w = named.select(tab, "id", F.lit(True).alias("whole"), F.xxhash64(F.lit("row"), "paper", "author", "text").alias("key"), F.lit("").alias("text"), F.lit(0).alias("pieces"))
-    p = named.filter(F.col("text").contains("|")).select(tab, "id", F.lit(False).alias("whole"), F.xxhash64(F.lit("pair"), "paper", "author").alias("key"), "text", F.lit(1).alias("pieces"))
-    return w.unionByName(p)
+    base = rows.filter(F.col("row_id").isNotNull()).select(batch.alias("batch"), F.col("row_id").cast("long").alias("id"), paper.alias("paper"), author.alias("author"), F.col("institution_name").alias("name")).filter("paper is not null and author is not null")
+    named = base.select("batch", "id", "paper", "author", org_text("name").alias("text"))
+    whole = ~F.col("text").contains("|")  # none, or no more than a few plain words
+    key = F.when(whole, F.xxhash64(F.lit("row"), "paper", "author", "text")).otherwise(F.xxhash64(F.lit("pair"), "paper", "author"))
+    return named.select("batch", F.lit("arxiv_paper_institutions").alias("tab"), "id", whole.alias("whole"), key.alias("key"), F.when(whole, "").otherwise(F.col("text")).alias("text"), F.when(whole, 0).otherwise(1).alias("pieces"))
 
 
 def repeated_rows(papers: DataFrame, rows: DataFrame) -> DataFrame:
     """tab_name, id_a, id_b: each record of a later place that repeats id_a, the first of its group. A null batch counts as history (0)."""
     spark = papers.sparkSession
-    batch = F.coalesce(F.col("batch_no"), F.lit(0))
+    batch = F.coalesce(F.col("batch_no"), F.lit(0)).cast("long")
     found = papers.select(batch.alias("b")).unionByName(rows.select(batch.alias("b"))).groupBy("b").count().collect()  # one row per batch
     batches = sorted(r["b"] for r in found)
     expected = 5 * sum(r["count"] for r in found)
 
-    def keys_of(b: int) -> DataFrame:
-        return paper_keys(papers.filter(batch == b)).unionByName(affiliation_keys(rows.filter(batch == b)))
-
-    pairs = dedup_batches(spark, batches, keys_of, expected)
+    # all batches lie in the same two tables here: they are hashed in one pass, and taken up one by one
+    hashed = work_path(spark, "hashed")
+    keys = paper_keys(papers, batch).unionByName(affiliation_keys(rows, batch))
+    keys.write.partitionBy("batch").parquet(hashed)
+    lying = spark.read.schema("tab string, id bigint, whole boolean, key bigint, text string, pieces int, batch bigint").parquet(hashed)
+    pairs = dedup_batches(spark, batches, lambda b: lying.filter(F.col("batch") == b).select(KEY_COLUMNS), expected)
     return pairs.select(F.col("tab").alias("tab_name"), F.col("root").alias("id_a"), F.col("node").alias("id_b"))
