@@ -134,16 +134,17 @@ def dedup_batches(spark: SparkSession, batches: list, keys_of, expected_keys: in
 
 
 def work_number(c: Column) -> Column:
-    return F.nullif(F.regexp_extract(F.upper(c), r"W(\d+)", 1), F.lit(""))
+    """The digits of a work identifier, empty if there is none. Null and empty are one here: an empty key is no key."""
+    return F.coalesce(F.regexp_extract(c, r"[Ww](\d+)", 1), F.lit(""))
 
 
 def arxiv_number(c: Column) -> Column:
     """The identifier without prefix and version, of either form."""
-    return F.nullif(F.regexp_extract(F.lower(c), r"(\d{4}\.\d{4,5}|[a-z-]+(?:\.[a-z]{2})?/\d{7})", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(c, r"(\d{4}\.\d{4,5}|[a-z][a-z-]+(?:\.[A-Z]{2})?/\d{7})", 1), F.lit(""))
 
 
 def doi_name(c: Column) -> Column:
-    return F.nullif(F.regexp_extract(F.lower(F.trim(c)), r"(10\.\d{3,9}/\S+?)[.,;\s]*$", 1), F.lit(""))
+    return F.coalesce(F.lower(F.regexp_extract(c, r"(10\.\d{3,9}/\S+?)[.,;\s]*$", 1)), F.lit(""))
 
 
 _MARK = r"(?i)^\W*(correction|corrigendum|erratum|errata|addendum|retraction|retracted|comments? on|reply|response|rejoinder|supplement|discussion)\b|\b(part|volume|chapter) ([ivx]+|\d+)\b|\b(supplementary material|a comment|a reply|erratum|corrigendum)\W*$"
@@ -155,37 +156,40 @@ def title_text(title: Column) -> Column:
     t = F.regexp_replace(F.regexp_replace(t, "&amp;|&", " and "), r"<[^>]*>|&[a-z]+;", " ")
     t = F.regexp_replace(t, r"[\[(]\s*(preprint|extended version|extended abstract|accepted manuscript|working paper|draft|v\d+)\s*[\])]", " ")
     t = F.regexp_replace(t, r"\S+(\.\.\.|…)\s*$", " ")
-    return F.trim(F.regexp_replace(t, r"(?U)[^\p{L}\p{N}]+", " "))
-
-
-def content_words(text: Column) -> Column:
-    """Words that carry a title: of LONG letters or more, or with a digit, and no function words."""
-    return F.filter(F.split(text, " "), lambda w: ((F.length(w) >= LONG) | w.rlike(r"\d")) & ~w.isin(_FUNCTION_WORDS))
+    return F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "))
 
 
 def paper_keys(papers: DataFrame, batch: Column) -> DataFrame:
-    """Keys of ai_papers. Whole: each identifier, and content words of the title + authors + kind of work. Parts: each two neighbouring content words of the title,
+    """Keys of ai_papers. Whole: each identifier, and the content words of the title (of LONG letters or more, or with a digit) with the
+    authors and the kind of work. Parts: each two neighbouring content words of the title,
     with the authors and the kind of work, so that a title alone proves nothing. The kind tells corrections, comments and parts apart."""
-    mark = F.array_join(F.transform(F.regexp_extract_all(F.col("title"), F.lit(_MARK), 0), lambda m: F.trim(F.regexp_replace(F.lower(m), r"[^a-z0-9 ]", ""))), " ")
-    authors = F.array_sort(F.filter(F.coalesce("author_ids", F.array().cast("array<string>")), lambda a: F.coalesce(F.trim(a) != "", F.lit(False))))
-    base = papers.filter(F.col("record_id").isNotNull()).select(
-        batch.alias("batch"), F.col("record_id").cast("long").alias("id"), F.coalesce(mark, F.lit("")).alias("mark"), F.coalesce(title_text(F.col("title")), F.lit("")).alias("title"),
-        F.when(F.size(authors) > 0, F.array_join(authors, " ")).alias("authors"), F.coalesce(work_number(F.col("openalex_id")), work_number(F.col("paper_id"))).alias("work"),
-        arxiv_number(F.col("arxiv_id")).alias("arxiv"), doi_name(F.col("doi")).alias("doi"), F.coalesce(F.col("publication_year").cast("string"), F.lit("")).alias("year"),
+    # each step only names what the next ones use more than once: nothing is computed twice
+    raw = papers.filter(F.col("record_id").isNotNull()).select(
+        batch.alias("batch"), F.col("record_id").cast("long").alias("id"), F.regexp_extract_all(F.col("title"), F.lit(_MARK), 0).alias("marks"),
+        F.coalesce(title_text(F.col("title")), F.lit("")).alias("title"), F.coalesce("author_ids", F.array().cast("array<string>")).alias("author_ids"),
+        work_number(F.col("openalex_id")).alias("work_a"), work_number(F.col("paper_id")).alias("work_b"), arxiv_number(F.col("arxiv_id")).alias("arxiv"), doi_name(F.col("doi")).alias("doi"),
+        F.coalesce(F.col("publication_year").cast("string"), F.lit("")).alias("year"),
     )
-    tab, words = F.lit("ai_papers"), F.split("title", " ")
+    kept = F.array_sort(F.filter("author_ids", lambda a: a.isNotNull() & (a != "")))
+    mark = F.coalesce(F.array_join(F.transform("marks", lambda m: F.trim(F.regexp_replace(F.lower(m), r"[^a-z0-9 ]", ""))), " "), F.lit(""))
+    read = raw.select("batch", "id", "title", "arxiv", "doi", "year", F.when(F.col("work_a") != "", F.col("work_a")).otherwise(F.col("work_b")).alias("work"), F.xxhash64(mark, F.array_join(kept, " ")).alias("by"), (F.size(kept) > 0).alias("signed"), F.split("title", " ").alias("all"))
+    read = read.withColumn("words", F.filter("all", lambda w: ((F.length(w) >= LONG) | w.rlike(r"\d")) & ~w.isin(_FUNCTION_WORDS)))
+    read = read.withColumn("text", F.array_join("words", " "))
     # a title of a few words (a preface, front matter) is no content of its own: its year must agree as well
-    year = F.when(F.size(words) <= 5, F.col("year")).otherwise("")
-    says = F.when(F.size(words) <= 5, F.col("title")).otherwise(F.array_join(content_words(F.col("title")), " "))
-    content = F.when((says != "") & F.col("authors").isNotNull(), F.xxhash64(F.lit("paper"), F.col("mark"), says, F.col("authors"), year))
-    whole = F.array(F.xxhash64(F.lit("work"), "work"), F.xxhash64(F.lit("arxiv"), "arxiv"), F.xxhash64(F.lit("doi"), "doi"), content)
-    there = F.array(F.col("work").isNotNull(), F.col("arxiv").isNotNull(), F.col("doi").isNotNull(), content.isNotNull())
-    w = base.select("batch", "id", F.explode(F.filter(F.arrays_zip(whole.alias("k"), there.alias("t")), lambda z: z["t"])).alias("z")).select("batch", tab.alias("tab"), "id", F.lit(True).alias("whole"), F.col("z.k").alias("key"), F.lit("").alias("text"), F.lit(0).alias("pieces"))
-    long = base.filter(F.col("authors").isNotNull() & (F.size(words) > 5)).withColumn("words", content_words(F.col("title"))).filter(F.size("words") >= 3)
-    pieces = F.size("words") - 1
-    piece = F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.xxhash64(F.lit("piece"), F.col("mark"), F.col("authors"), F.array_join(F.slice(F.col("words"), i + 1, 2), " ")))
-    p = long.select("batch", "id", F.array_join("words", " ").alias("title"), pieces.alias("pieces"), F.explode(F.array_distinct(piece)).alias("key")).select("batch", tab.alias("tab"), "id", F.lit(False).alias("whole"), "key", F.col("title").alias("text"), "pieces")
-    return w.unionByName(p)
+    few = F.size("all") <= 5
+    says = F.when(few, F.concat_ws("|", "title", "year")).otherwise(F.col("text"))
+    key = lambda whole, k, text, pieces: F.struct(F.lit(whole).alias("whole"), k.alias("key"), text.alias("text"), pieces.alias("pieces"))
+    alone = lambda test, k: F.when(test, key(True, k, F.lit(""), F.lit(0)))
+    whole = F.filter(F.array(
+        alone(F.col("work") != "", F.xxhash64(F.lit("work"), "work")), alone(F.col("arxiv") != "", F.xxhash64(F.lit("arxiv"), "arxiv")), alone(F.col("doi") != "", F.xxhash64(F.lit("doi"), "doi")),
+        alone(F.col("signed") & (says != ""), F.xxhash64(F.lit("paper"), F.col("by"), says)),
+    ), lambda x: x.isNotNull())
+    n = F.size("words") - 1
+    hashes = F.array_distinct(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.lit("piece"), F.col("by"), F.get("words", i), F.get("words", i + 1))))
+    parts = F.when(F.col("signed") & ~few & (n >= 2), F.transform(hashes, lambda h: key(False, h, F.col("text"), n)))
+    none = F.array().cast("array<struct<whole:boolean,key:bigint,text:string,pieces:int>>")
+    each = read.select("batch", "id", F.explode(F.concat(whole, F.coalesce(parts, none))).alias("k"))
+    return each.select("batch", F.lit("ai_papers").alias("tab"), "id", "k.whole", "k.key", "k.text", "k.pieces")
 
 
 @F.pandas_udf(T.StringType())
@@ -203,9 +207,14 @@ def org_text(names: pd.Series) -> pd.Series:
 def affiliation_keys(rows: DataFrame, batch: Column) -> DataFrame:
     """Keys of arxiv_paper_institutions. A row with an organisation has one part, its paper and author, and the organisation as read is
     the text that must agree but for its spelling; a row without any has one whole key. Rows without paper or author have no keys and repeat nothing."""
-    paper = F.coalesce(F.concat(F.lit("a"), arxiv_number(F.col("arxiv_id"))), F.concat(F.lit("w"), work_number(F.col("openalex_id"))))
-    author = F.coalesce(F.nullif(F.regexp_extract(F.upper(F.col("author_id")), r"A(\d+)", 1), F.lit("")), F.nullif(F.lower(F.trim("author_display_name")), F.lit("")))
-    base = rows.filter(F.col("row_id").isNotNull()).select(batch.alias("batch"), F.col("row_id").cast("long").alias("id"), paper.alias("paper"), author.alias("author"), F.col("institution_name").alias("name")).filter("paper is not null and author is not null")
+    raw = rows.filter(F.col("row_id").isNotNull()).select(
+        batch.alias("batch"), F.col("row_id").cast("long").alias("id"), arxiv_number(F.col("arxiv_id")).alias("arxiv"), work_number(F.col("openalex_id")).alias("work"),
+        F.coalesce(F.regexp_extract("author_id", r"[Aa](\d+)", 1), F.lit("")).alias("author_no"), F.coalesce(F.lower(F.trim("author_display_name")), F.lit("")).alias("author_name"),
+        F.col("institution_name").alias("name"),
+    )
+    paper = F.when(F.col("arxiv") != "", F.concat(F.lit("a"), "arxiv")).when(F.col("work") != "", F.concat(F.lit("w"), "work"))
+    author = F.when(F.col("author_no") != "", F.col("author_no")).when(F.col("author_name") != "", F.col("author_name"))
+    base = raw.select("batch", "id", paper.alias("paper"), author.alias("author"), "name").filter("paper is not null and author is not null")
     named = base.select("batch", "id", "paper", "author", org_text("name").alias("text"))
     whole = ~F.col("text").contains("|")  # none, or no more than a few plain words
     key = F.when(whole, F.xxhash64(F.lit("row"), "paper", "author", "text")).otherwise(F.xxhash64(F.lit("pair"), "paper", "author"))
