@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orgweave.llm import increments, langid, linkage, spellings
+from orgweave.llm import increments, langid, linkage, mixing, packing, spellings
 from orgweave.shared import read
 
 
@@ -45,6 +45,22 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return increments.repeated_rows(read(spark, d, "ai_papers"), read(spark, d, "arxiv_paper_institutions"))
 
 
+def p6_pack_documents(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(read(spark, d, "documents"), read(spark, d, "container_sizes"))
+
+
+def p6_pack_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.report(p6_pack_documents(spark, d), read(spark, d, "container_sizes"))
+
+
+def p7_mix_documents(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(mixing.sized(read(spark, d, "documents")), read(spark, d, "mix_targets"))
+
+
+def p7_mix_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.report(p7_mix_documents(spark, d), read(spark, d, "mix_targets"))
+
+
 def _segments(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents")
     return langid.segments(docs, langid.fit(docs))
@@ -59,7 +75,10 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_match_confidence": p1_match_confidence, "p2_found": p2_found, "p2_canonical_names": p2_canonical_names, "p3_found": p3_found, "p8_found": p8_found, "p8_segments": p8_segments}
+    return {
+        "p1_found": p1_found, "p1_match_confidence": p1_match_confidence, "p2_found": p2_found, "p2_canonical_names": p2_canonical_names, "p3_found": p3_found, "p6_pack_documents": p6_pack_documents, "p6_pack_report": p6_pack_report,
+        "p7_mix_documents": p7_mix_documents, "p7_mix_report": p7_mix_report, "p8_found": p8_found, "p8_segments": p8_segments,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
