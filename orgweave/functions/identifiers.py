@@ -98,4 +98,5 @@ def year_of(date: Column) -> Column:
 
 def any_date(c: Column) -> Column:
     """The first of ISO, RFC 2822 and plain dates that reads; a timestamp, else null."""
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in ("yyyy-MM-dd'T'HH:mm:ss[XXX]", "EEE, d MMM yyyy HH:mm:ss z", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd")])
+    bare = F.regexp_replace(F.regexp_replace(F.trim(c), r"^[A-Za-z]{3},\s*", ""), r"\s*(GMT|UTC|Z)$", "")
+    return F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in ("yyyy-MM-dd'T'HH:mm:ss[XXX]", "d MMM yyyy HH:mm:ss[ Z]", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd")])

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from orgweave.shared import cut
 
 #: Counters of a field's value sketch; the size of a profile is bounded by it.
-BUCKETS = 256
+BUCKETS = 4096
 #: Least evidence (values, name, type; 0 to 1) for a new name to take over an old one.
 ACCEPT = 0.5
 KINDS = ("string", "number", "boolean", "object", "list of lists", "list")
@@ -33,7 +33,7 @@ def value_kind(v: Column) -> Column:
     """string, number, boolean, object, list or list of lists; null for null."""
     t = F.schema_of_variant(v)
     return (
-        F.when(t == "VOID", None).when(t == "STRING", "string").when(t == "BOOLEAN", "boolean").when(t.startswith("OBJECT"), "object")
+        F.when(v.isNull() | (t == "VOID"), None).when(t == "STRING", "string").when(t == "BOOLEAN", "boolean").when(t.startswith("OBJECT"), "object")
         .when(t.startswith("ARRAY<ARRAY"), "list of lists").when(t.startswith("ARRAY"), "list").otherwise("number")
     )
 
@@ -128,7 +128,8 @@ def flood(old: list[dict], new: list[dict], rounds: int = 100) -> dict[tuple[int
 
     Pairs of fields are linked with the pair of their types, of their nesting (scalar, list, object), of each pair of words of their
     names, and with the pair of the two records; every link passes an equal share of its node's score. The start of a pair of fields is
-    its evidence: values 0.6, name 0.4, or, of fields that hold words, values alone 0.8; a little less if the kinds differ.
+    its evidence: values 0.6 and name 0.4, or name alone 0.6, or, of fields that hold words, values alone 0.8; a little less if the
+    kinds differ.
     """
     start: dict[tuple, float] = {("record",): 1.0}
     links: dict[tuple, set] = {}
@@ -145,7 +146,7 @@ def flood(old: list[dict], new: list[dict], rounds: int = 100) -> dict[tuple[int
             if not a["sketch"] or not b["sketch"]:
                 value = name
             worded = not {"number", "boolean"} & {a["kind"], b["kind"]}  # many words in common say more than like numbers do
-            evidence[i, j] = max(0.6 * value + 0.4 * name, 0.8 * value if worded else 0.0) * same
+            evidence[i, j] = max(0.6 * value + 0.4 * name, 0.8 * value if worded else 0.0, 0.6 * name) * same
             p = ("f", i, j)
             start[p] = evidence[i, j]
             tie(p, ("record",))

@@ -12,6 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Names of fields by which a record is told from a wrapper around it: a bound on what the driver sees, far above any record's.
+MOST_FIELDS = 10_000
 #: How often a record may be wrapped: JSON in a JSON string, or an object whose only member holds the record.
 WRAPPINGS = 4
 
@@ -20,26 +22,30 @@ def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
-def unwrapped(json: Column) -> Column:
+def unwrapped(json: Column, members: tuple[str, ...] = ()) -> Column:
     """A JSON text as a variant, however it is wrapped or encoded: byte order marks, JSON strings that hold JSON, objects with one member
-    that holds an object, lists of one record. Null for null and unreadable text."""
+    that holds an object, lists of one record. Null for null and unreadable text. A lone member that is one of ``members``, the known
+    fields of a record, is no wrapper."""
     # a one-element array carries the value through the steps, so that each step is written, and evaluated, once
     held = F.array(F.try_parse_json(F.regexp_replace(json, "^[\ufeff\\s]+", "")))
     for _ in range(WRAPPINGS):
-        held = F.transform(F.transform(held, lambda v: F.struct(v.alias("v"), _kind(v).alias("kind"))), _unwrap_once)
+        held = F.transform(F.transform(held, lambda v: F.struct(v.alias("v"), _kind(v).alias("kind"))), lambda s: _unwrap_once(s, members))
     return F.try_element_at(held, F.lit(1))
 
 
-def _unwrap_once(s: Column) -> Column:
+def _unwrap_once(s: Column, known: tuple[str, ...]) -> Column:
     v, kind = s["v"], s["kind"]
     lone = F.filter(F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), lambda x: x.isNotNull())
     # a lone member is a wrapper only if it holds an object or text that may be one
     inner = F.try_element_at(F.filter(lone, lambda x: _kind(x).startswith("OBJECT") | (_kind(x) == "STRING")), F.lit(1))
-    members = F.size(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")))
+    names = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
+    wrapper = F.size(names) == 1
+    if known:
+        wrapper = wrapper & ~F.try_element_at(names, F.lit(1)).isin(*known)
     return (
         F.when(kind == "STRING", F.try_parse_json(F.try_variant_get(v, "$", "string")))
         .when(kind.startswith("ARRAY"), F.try_variant_get(v, "$[0]", "variant"))
-        .when(kind.startswith("OBJECT") & (members == 1), F.coalesce(inner, v))
+        .when(kind.startswith("OBJECT") & wrapper, F.coalesce(inner, v))
         .otherwise(v)
     )
 
@@ -84,9 +90,11 @@ def _members(kind: str) -> list[tuple[str, str]]:
     return split_type(m[1]) if m else []
 
 
-def child_tables(df: DataFrame, key: str, json: str, depth: int = 8) -> dict[str, DataFrame]:
+def child_tables(df: DataFrame, key: str, json: str, depth: int = 8, lists: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """{path: table} for the record itself (path "") and each list found in it, at any depth.
 
+    Paths in ``lists`` are lists even where no record has more than a lone object there.
+
     A table has ``key``, one ordinal per list level (``no_1``, ``no_2``, ...; from 1, empty places included), every scalar of its object
     as a string column named by its path, and ``item``, the variant. A path that is a list in one record and a lone object in another
     is a list. Levels beyond ``depth`` stay in ``item``.
@@ -101,15 +109,17 @@ def child_tables(df: DataFrame, key: str, json: str, depth: int = 8) -> dict[str
 
     def walk(path: str, level: DataFrame, kind: str, ordinals: list[str], left: int) -> None:
         scalars: dict[str, Column] = {}
-        lists: list[tuple[str, str, str]] = []
+        inner: list[tuple[str, str, str]] = []
 
         def fields(prefix: str, at: str, kind: str) -> None:
             for name, t in _members(kind):
                 label, place = f"{prefix}{name}", at + _path(name)
-                if t.startswith("OBJECT"):
+                if f"{path}.{label}".strip(".") in lists:
+                    inner.append((label, place, t if t.startswith("ARRAY") else "VARIANT"))
+                elif t.startswith("OBJECT"):
                     fields(f"{label}_", place, t)
                 elif t.startswith("ARRAY") or t == "VARIANT":
-                    lists.append((label, place, t))
+                    inner.append((label, place, t))
                 else:
                     scalars[label] = F.try_variant_get("item", place, "string")
 
@@ -119,14 +129,17 @@ def child_tables(df: DataFrame, key: str, json: str, depth: int = 8) -> dict[str
         out[path] = level.select(key, *ordinals, *[c.alias(n) for n, c in named.items()], "item")
         if left == 0:
             return
-        for label, place, t in lists:
+        for label, place, t in inner:
             child = f"{path}.{label}" if path else label
             no = f"no_{len(ordinals) + 1}"
             items = level.select(key, *ordinals, F.posexplode(as_items(F.try_variant_get("item", place, "variant"))).alias("_pos", "item")).select(key, *ordinals, (F.col("_pos") + 1).cast("long").alias(no), "item")
             known = re.match(r"ARRAY<(.*)>$", t, re.S)
             walk(child, items, known[1] if known and "VARIANT" not in t else infer(items), [*ordinals, no], left - 1)
 
-    top = df.select(key, unwrapped(F.col(json)).alias("item")).filter(F.col("item").isNotNull() & _kind(F.col("item")).startswith("OBJECT"))
+    # the fields of a record are those of objects with several members: a handful of names
+    several = df.select(F.json_object_keys(json).alias("n")).filter(F.size("n") > 1).select(F.explode("n").alias("n")).distinct()
+    names = tuple(sorted(r["n"] for r in several.limit(MOST_FIELDS).collect()))
+    top = df.select(key, unwrapped(F.col(json), names).alias("item")).filter(F.col("item").isNotNull() & _kind(F.col("item")).startswith("OBJECT"))
     walk("", top, infer(top), [], depth)
     return out
 
@@ -167,7 +180,7 @@ def work_children(papers: DataFrame, works: DataFrame) -> DataFrame:
     out = rows("ai_papers", "affiliation", affs, F.col("no_1"), F.col("no_2"), F.col("name"), F.col("id")).unionByName(
         rows("ai_papers", "topic", tops, F.lit(0), F.col("no_1"), F.col("name"), F.col("id"))
     )
-    tables = child_tables(works.filter(F.col("record_id").isNotNull()), "record_id", "work_json")
+    tables = child_tables(works.filter(F.col("record_id").isNotNull()), "record_id", "work_json", lists=("authorships", "authorships.institutions", "topics"))
     for path, kind, author, child in (("authorships.institutions", "affiliation", F.col("no_1"), F.col("no_2")), ("topics", "topic", F.lit(0), F.col("no_1"))):
         if path in tables:
             df, item = tables[path], F.col("item")
