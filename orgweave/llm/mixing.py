@@ -61,11 +61,12 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
 
     Documents whose source is null or not named are not used. Each source stays below its budget by less than one document.
     """
-    spark_rows = cut(plan(docs, targets))
-    if spark_rows.count() <= FEW_TARGETS:
-        spark_rows = F.broadcast(spark_rows)
+    docs = docs.select("doc_id", "source", "tokens")
+    plans = cut(plan(docs, targets))
+    if plans.count() <= FEW_TARGETS:
+        plans = F.broadcast(plans)
     placed = prefix_sums(docs.filter(F.col("source").isNotNull()), seed)
-    used = placed.join(spark_rows.select("mix_name", "source", "epochs", "rest"), "source")
+    used = placed.join(plans.select("mix_name", "source", "epochs", "rest"), "source")
     copies = F.col("epochs") + F.when(F.col("upto") <= F.col("rest"), 1).otherwise(0)
     return used.withColumn("copies", copies.cast("long")).filter("copies > 0").select("mix_name", "source", "doc_id", "tokens", "copies")
 

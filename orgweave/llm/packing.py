@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,8 +93,9 @@ def pack_table(items: DataFrame, containers: list[tuple[str, int]]) -> DataFrame
     cut_up = items.select("doc_id", "tokens", each.alias("c")).select("doc_id", "tokens", F.col("c.name").alias("container_name"), F.col("c.capacity").alias("capacity"))
     over = F.col("tokens") > F.col("capacity")
     whole = F.floor(F.col("tokens") / F.col("capacity"))
-    full = cut_up.filter(over).select("container_name", "doc_id", "capacity", F.explode(F.sequence(F.lit(1).cast("long"), whole)).alias("piece_no"))
-    full = full.select("container_name", F.concat_ws("-", F.lit("full"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "piece_no").alias("bin_id"), "doc_id", "piece_no", ((F.col("piece_no") - 1) * F.col("capacity")).alias("token_start"), F.col("capacity").alias("n_tokens"))
+    again = F.row_number().over(Window.partitionBy("container_name", "doc_id").orderBy("tokens"))  # a repeated row is a document of its own
+    full = cut_up.filter(over).withColumn("copy", again).select("container_name", "doc_id", "capacity", "copy", F.explode(F.sequence(F.lit(1).cast("long"), whole)).alias("piece_no"))
+    full = full.select("container_name", F.concat_ws("-", F.lit("full"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "copy", "piece_no").alias("bin_id"), "doc_id", "piece_no", ((F.col("piece_no") - 1) * F.col("capacity")).alias("token_start"), F.col("capacity").alias("n_tokens"))
     rest = cut_up.select(
         "container_name", "capacity", "doc_id", F.when(over, whole + 1).otherwise(1).alias("piece_no"), F.when(over, whole * F.col("capacity")).otherwise(0).alias("token_start"),
         F.when(over, F.col("tokens") % F.col("capacity")).otherwise(F.col("tokens")).alias("n_tokens"), F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(shards)).alias("shard"),
@@ -108,6 +109,7 @@ def pack_table(items: DataFrame, containers: list[tuple[str, int]]) -> DataFrame
             for i in members:
                 no[i] = b
         pdf["bin_id"] = [f"{shard}-{b}" for b in no]
+        pdf["doc_id"] = pdf["doc_id"].astype("Int64")  # may be null
         return pdf[_OUT.names]
 
     return rest.groupBy("container_name", "shard").applyInPandas(run, _OUT).unionByName(full)
