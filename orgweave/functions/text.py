@@ -43,6 +43,7 @@ WIKI_SUFFIXES = (
     " solutions", " services", " international", " associates", " laboratories", " laboratory", " incorporated", " llc",
 )
 FIRM_SUFFIXES = (" inc", " corp", " llc", " ltd", " plc", " gmbh", " ag", " sa", " co.", " corporation", " technologies")
+COMPANY_PREFIXES = ("subsidiary of", "division of", "unit of", "part of", "lab of", "labs of", "laboratory of")
 STOP_WORDS = ("the", "and", "of", "in", "for", "with", "at", "on", "de", "la", "le", "les", "et", "und", "der", "die", "das")
 # --------------------------------------------------------------------------------------------------------------------------------------
 

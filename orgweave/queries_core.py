@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orgweave.functions import classify, identifiers, records, similarity, text
-from orgweave.operators import dedup, linking, metrics, nested, panel, validate
+from orgweave.operators import dedup, linking, linking_more, metrics, nested, panel, validate
+from orgweave.plans import pipelines
 from orgweave.shared import cut, read
 from orgweave.sources import readers
 
@@ -624,6 +625,98 @@ def yearly_coverage(spark, d):
     return a.groupBy(F.year("published").cast("long").alias("year")).agg(F.count("*").alias("rows"), F.countDistinct("arxiv_id").alias("papers"), F.count_if("has_institution").alias("with_institution"), panel.distinct_with_null("institution_id").alias("institutions"))
 
 
+def _institutions_full(spark: SparkSession, d: str) -> DataFrame:
+    i = read(spark, d, "publication_institutions_master")
+    return i.groupBy(F.col("institution_id").alias("entity_id")).agg(
+        F.max("display_name").alias("display_name"), F.max("display_name").alias("name"), F.array_distinct(F.flatten(F.collect_list("name_variants"))).alias("variants"), F.array_distinct(F.flatten(F.collect_list("acronyms"))).alias("acronyms"),
+        F.array_distinct(F.flatten(F.collect_list("parent_institution_ids"))).alias("parents"), F.max("country_code").alias("country"), F.max("geo_city").alias("city"), F.max("geo_region").alias("region"), F.max(identifiers.host(F.col("homepage_domain"))).alias("host"),
+    )
+
+
+def _firms_full(spark: SparkSession, d: str) -> DataFrame:
+    f = read(spark, d, "compustat_firms_standardized")
+    return f.groupBy("gvkey").agg(
+        F.max("conm").alias("conm"), F.max(text.clean_organization_name(F.col("conm"))).alias("conm_clean"), F.max(text.clean_organization_name(F.col("conml"))).alias("conml_clean"), F.max("tic").alias("tic"),
+        F.array_distinct(F.flatten(F.collect_list("name_variants"))).alias("variants"), F.max("fic").alias("fic"), F.max("city").alias("city"), F.max("state").alias("state"), F.max("busdesc").alias("busdesc"), F.max(identifiers.host(F.lower("weburl"))).alias("host"),
+    )
+
+
+@query()
+def publication_links_fuzzy(spark, d):
+    return linking_more.publications_stage2(_institutions_full(spark, d), _firms_full(spark, d))
+
+
+@query()
+def publication_links_enhanced(spark, d):
+    i = _institutions_full(spark, d).withColumn("name", text.clean_organization_name(F.col("display_name")))
+    return linking_more.stage1_enhanced(i, _firms_full(spark, d))
+
+
+@query()
+def smart_url_links(spark, d):
+    i = _institutions_full(spark, d).withColumn("wikipedia_url", F.concat(F.lit("https://en.wikipedia.org/wiki/"), F.replace("display_name", F.lit(" "), F.lit("_"))))
+    return linking_more.smart_urls(i, _firms_full(spark, d))
+
+
+@query()
+def wikipedia_links(spark, d):
+    return linking_more.wikipedia_names(_institutions_full(spark, d).select("entity_id", F.col("display_name").alias("title")), _firms_full(spark, d))
+
+
+@query()
+def filtered_name_links(spark, d):
+    return linking_more.filtered_names(_institutions_full(spark, d), _firms_full(spark, d))
+
+
+@query()
+def wratio_links(spark, d):
+    return linking_more.wratio_stage2(_institutions_full(spark, d), _firms_full(spark, d))
+
+
+@query()
+def legacy_links(spark, d):
+    return linking_more.legacy(_institutions_full(spark, d), _firms_full(spark, d))
+
+
+@query()
+def firm_to_institution_links(spark, d):
+    return linking_more.firm_to_institutions(_firms_full(spark, d), _institutions_full(spark, d))
+
+
+@query()
+def topic_concepts(spark, d):
+    p = read(spark, d, "ai_papers").select(F.explode(F.arrays_zip("topic_ids", "topic_names")).alias("t")).select(F.col("t.topic_ids").alias("id"), F.col("t.topic_names").alias("display_name")).filter("id <> '' and display_name is not null")
+    c = p.groupBy("id").agg(F.min("display_name").alias("display_name")).withColumn("ancestors", F.array().cast("array<string>"))
+    known, terms = spark.createDataFrame([("T90006",)], "id string"), spark.createDataFrame([("dialogue system",), ("speech recognition",)], "term string")
+    return linking_more.select_concepts(c, known, terms)
+
+
+@query()
+def firm_papers(spark, d):
+    return pipelines.firm_papers(read(spark, d, "ai_papers"), "author_affiliations", "record_id")
+
+
+@query()
+def patent_report_growth(spark, d):
+    p = read(spark, d, "patents_panel").select("clean_name", F.col("patent_year").alias("year"), "total_ai_patents", "avg_ai_score", F.col("clean_name").alias("assignee_id")).filter("clean_name is not null")
+    a = p.select(F.col("clean_name").alias("name")).distinct().withColumn("entity_id", F.col("name"))
+    return pipelines.patent_report(p, pipelines.link_patents(a, _firms(spark, d)))["growth"]
+
+
+@query(r"""SELECT CAST(date_part('year', published) AS INT) AS year, institution_type, count(*) AS rows, count(DISTINCT author_id) AS authors FROM arxiv_paper_institutions WHERE has_institution GROUP BY 1, 2""")
+def yearly_types(spark, d):
+    a = read(spark, d, "arxiv_paper_institutions").filter("has_institution")
+    return a.groupBy(F.year("published").alias("year"), "institution_type").agg(F.count("*").alias("rows"), F.countDistinct("author_id").alias("authors"))
+
+
+@query("""WITH c AS (SELECT institution_name AS k, CAST(publication_year AS INT) AS y, count(*) AS n FROM arxiv_paper_institutions WHERE institution_type = 'company' AND institution_name IS NOT NULL GROUP BY 1, 2)
+ SELECT y AS year, CAST(sum(n) AS BIGINT) AS publications, count(DISTINCT k) AS companies FROM c GROUP BY 1""")
+def market_trend(spark, d):
+    a = read(spark, d, "arxiv_paper_institutions").filter("institution_type = 'company' and institution_name is not null")
+    c = a.groupBy(F.col("institution_name").alias("k"), F.col("publication_year").alias("y")).agg(F.count("*").alias("n"))
+    return c.groupBy(F.col("y").alias("year")).agg(F.sum("n").alias("publications"), F.countDistinct("k").alias("companies"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
