@@ -4,7 +4,7 @@
    department, country and holder of rights belong to this deterministic part of the channel.
 2. Spellings with one (kind, core) are a *form*; a form's prior is the share of rows that use it.
 3. Forms of one kind meet over keys: the core with one letter left out (any two cores one edit apart share such a key), and the core
-   with its last letters left out. Only forms used more often are candidates for a rarer one.
+   with its last letters left out. Only forms used at least as often are candidates.
 4. Each form joins the candidate of greatest posterior, prior x likelihood of the typing error or omission, unless it is itself
    likelier; chains are followed to their end.
 
@@ -44,6 +44,7 @@ def _forms(names: DataFrame) -> DataFrame:
 def _keys(forms: DataFrame) -> DataFrame:
     core, at = F.col("core"), F.sequence(F.lit(1), F.length("core"))
     gaps = F.transform(at, lambda i: F.concat(F.substring(core, F.lit(1), i - 1), F.substring(core, i + 1, F.length(core))))
+    gaps = F.concat(gaps, F.transform(gaps, lambda g: F.regexp_replace(g, r"(.)\1+", "$1")))  # letters that a gap brings together read as one
     near = forms.filter((F.col("kind") != "?") & (F.length("core") >= 4)).select("*", F.explode(F.array_distinct(F.concat(F.array(core), gaps))).alias("key"))
     return near
 
@@ -58,13 +59,13 @@ def canonical_forms(names: DataFrame) -> DataFrame:
     """names(tab_name, name, n) -> tab_name, name, n, class_id, posterior: one row per distinct non-blank name of each table.
 
     Null and blank names are left out. Names of one class mean one organisation; class_id is a hash of the canonical form.
-    Ties in frequency go to the greater core in byte order, so the result doesn't depend on the order of rows.
+    Of equally frequent forms that choose each other the greater core in byte order stays, so the result doesn't depend on the order of rows.
     """
     spelled = cut(_forms(names.filter(~blank(F.col("name")))))
     forms = cut(spelled.groupBy("tab_name", "kind", "core").agg(F.sum("n").alias("n")))
     keyed = _keys(forms)
     whole = forms.filter(F.col("kind") != "?").withColumn("key", F.concat(F.lit("^"), F.col("core")))
-    better = F.struct(F.col("m.n"), F.col("m.core")) > F.struct(F.col("s.n"), F.col("s.core"))
+    better = (F.col("m.n") >= F.col("s.n")) & (F.col("m.core") != F.col("s.core"))
     on = [F.col(f"s.{c}") == F.col(f"m.{c}") for c in ("tab_name", "kind", "key")]
     take = [F.col("s.tab_name"), F.col("s.kind"), F.col("s.core").alias("seen"), F.col("s.n").alias("seen_n"), F.col("m.core").alias("meant"), F.col("m.n").alias("meant_n")]
     edits = keyed.alias("s").join(keyed.alias("m"), [*on, better]).select(take)
@@ -80,8 +81,11 @@ def canonical_forms(names: DataFrame) -> DataFrame:
         .filter(F.col("best.score") >= F.col("own"))
         .select("tab_name", "kind", F.col("seen").alias("core"), F.col("best.meant").alias("up"), (F.col("best.score") / (F.col("total") + F.col("own"))).alias("posterior"))
     )
-    links = cut(best)
-    while True:  # each round halves the length of every chain
+    best = cut(best)
+    # of two equally frequent forms that chose each other the greater one stays
+    back = best.select("tab_name", "kind", F.col("core").alias("up"), F.col("up").alias("core"), F.lit(True).alias("mutual"))
+    links = cut(best.join(back, ["tab_name", "kind", "core", "up"], "left").filter("mutual is null or core < up").drop("mutual"))
+    for _ in range(40):  # each round halves the length of every chain
         up = links.select("tab_name", "kind", F.col("core").alias("up"), F.col("up").alias("top"))
         longer_chains = links.join(up, ["tab_name", "kind", "up"], "left")
         nxt = cut(longer_chains.select("tab_name", "kind", "core", F.coalesce("top", "up").alias("up"), "posterior", F.col("top").isNotNull().alias("moved")))
