@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from orgweave.llm.components import roots
 from orgweave.llm.orgnames import parse
-from orgweave.shared import cut, work_path
+from orgweave.shared import cut, remove, work_path
 
 #: Least share of its pieces that a near-copy shares with the shorter of the two texts: two typing errors leave a third of six pieces.
 COVERAGE = 0.3
@@ -56,9 +56,7 @@ class HashStore:
 
     def close(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, self.path)
 
 
 def _alike_words(a: Column, b: Column) -> Column:
@@ -235,4 +233,5 @@ def repeated_rows(papers: DataFrame, rows: DataFrame) -> DataFrame:
     keys.write.partitionBy("batch").parquet(hashed)
     lying = spark.read.schema("tab string, id bigint, whole boolean, key bigint, text string, pieces int, batch bigint").parquet(hashed)
     pairs = dedup_batches(spark, batches, lambda b: lying.filter(F.col("batch") == b).select(KEY_COLUMNS), expected)
+    remove(spark, hashed)  # the links are written by now
     return pairs.select(F.col("tab").alias("tab_name"), F.col("root").alias("id_a"), F.col("node").alias("id_b"))
