@@ -68,10 +68,11 @@ def canonical_forms(names: DataFrame) -> DataFrame:
     better = (F.col("m.n") >= F.col("s.n")) & (F.col("m.core") != F.col("s.core"))
     on = [F.col(f"s.{c}") == F.col(f"m.{c}") for c in ("tab_name", "kind", "key")]
     take = [F.col("s.tab_name"), F.col("s.kind"), F.col("s.core").alias("seen"), F.col("s.n").alias("seen_n"), F.col("m.core").alias("meant"), F.col("m.n").alias("meant_n")]
-    edits = keyed.alias("s").join(keyed.alias("m"), [*on, better]).select(take)
+    # keys are many times their forms, so their sides are never broadcast on an estimate that doesn't know it
+    edits = keyed.hint("merge").alias("s").join(keyed.alias("m"), [*on, better]).select(take)
     stubs = _stubs(forms)
-    clipped = whole.alias("s").join(stubs.alias("m"), [*on, better]).select(take)
-    longer = stubs.alias("s").join(whole.alias("m"), [*on, better]).select(take)
+    clipped = whole.alias("s").join(stubs.hint("merge").alias("m"), [*on, better]).select(take)
+    longer = stubs.hint("merge").alias("s").join(whole.alias("m"), [*on, better]).select(take)
     pairs = edits.unionByName(clipped).unionByName(longer).distinct().withColumn("like", _likelihood("seen", "meant")).filter("like > 0")
     score = F.col("meant_n") * F.col("like")
     best = (
@@ -105,7 +106,7 @@ def variant_pairs(classes: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("size") / PAIR_BLOCK)
     left = sized.select("tab_name", "class_id", F.col("name").alias("name_a"), F.pmod(F.xxhash64("name"), blocks).alias("block"))
     right = sized.select("tab_name", "class_id", F.col("name").alias("name_b"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
-    return left.join(right, ["tab_name", "class_id", "block"]).filter("name_a < name_b").select("tab_name", "name_a", "name_b")
+    return left.hint("merge").join(right, ["tab_name", "class_id", "block"]).filter("name_a < name_b").select("tab_name", "name_a", "name_b")
 
 
 def names_of(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
