@@ -81,7 +81,7 @@ def token_pairs(a: DataFrame, b: DataFrame, least: int = 2) -> DataFrame:
 
     # one side keeps all tokens: a shared one is among the keys of the other whenever enough are shared
     left, right = keys(x), y.select("id", F.explode("tokens").alias("t"))
-    cand = left.alias("l").join(right.alias("r"), "t").select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+    cand = left.hint("merge").alias("l").join(right.alias("r"), "t").select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
     full = cand.join(x.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(y.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
     shared = F.size(F.array_intersect("ta", "tb"))
     return full.select("a", "b", shared.alias("shared"), F.size("ta").alias("size_a")).filter(F.col("shared") >= F.least(F.lit(least), F.col("size_a"))).select("a", "b", "shared")
@@ -106,7 +106,7 @@ def rare_word_pairs(a: DataFrame, b: DataFrame, words: int = 2) -> DataFrame:
         gaps = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, n)))
         return few.select("id", F.explode(F.array_distinct(F.when(n >= 4, F.concat(F.array(t), gaps)).otherwise(F.array(t)))).alias("key"))
 
-    return keys(x).alias("l").join(keys(y).alias("r"), "key").select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+    return keys(x).hint("merge").alias("l").join(keys(y).alias("r"), "key").select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
 
 
 def contained_pairs(entities: DataFrame, firms: DataFrame, least: int = PIECE) -> DataFrame:
@@ -119,7 +119,7 @@ def contained_pairs(entities: DataFrame, firms: DataFrame, least: int = PIECE) -
     at = F.sequence(F.lit(1), F.length("name") - (least - 1))
     pieces = e.select("entity_id", F.col("name").alias("entity"), F.explode(F.array_distinct(F.transform(at, lambda i: F.substring(F.col("name"), i, F.lit(least))))).alias("piece"))
     f = firms.filter(F.length("name") >= least).select("gvkey", F.col("name").alias("firm"), F.left("name", F.lit(least)).alias("piece")).distinct()
-    return pieces.join(f, "piece").filter(F.col("entity").contains(F.col("firm"))).select("entity_id", "gvkey", "entity", "firm").distinct()
+    return pieces.hint("merge").join(f, "piece").filter(F.col("entity").contains(F.col("firm"))).select("entity_id", "gvkey", "entity", "firm").distinct()
 
 
 def word_pairs(entities: DataFrame, firms: DataFrame, least: int = 2) -> DataFrame:
