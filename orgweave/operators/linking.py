@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orgweave.functions import identifiers as ids
 from orgweave.functions import similarity
+from orgweave.functions.nearby import near
 from orgweave.functions.text import clean_organization_name, initials, overlap_ratio
 from orgweave.shared import cut
 
@@ -128,6 +130,36 @@ def word_pairs(entities: DataFrame, firms: DataFrame, least: int = 2) -> DataFra
     return words.join(firms.filter(F.length("tic") >= least).select("gvkey", F.upper(F.trim("tic")).alias("key")).distinct(), "key").select("entity_id", "gvkey").distinct()
 
 
+#: Most texts of either side in one block.
+BLOCK_A, BLOCK_B = 2048, 8192
+
+
+def near_texts(a: DataFrame, b: DataFrame, score: str, least: float, k: int | None = None) -> DataFrame:
+    """J14, J15, J19, without loss: all pairs of texts a of a(text) and b of b(text, first) that score ``least`` or more; with k the k best of each a
+    at least, where equal ones come by ``first`` (b's rows keep their least one).
+
+    Distinct texts are split into blocks by hash, and each block of one side meets each of the other in a task of its own, where bounds rule most
+    pairs out: a limit so low has no key that all its pairs share, so the work grows with the product of the distinct texts."""
+    x = cut(a.select("text").filter("trim(text) <> ''").distinct().withColumn("first", F.lit(None).cast("string")))
+    y = cut(b.filter("trim(text) <> ''").groupBy("text").agg(F.min("first").alias("first")))
+    cores = x.sparkSession.sparkContext.defaultParallelism
+    wide = max(1, -(-y.count() // BLOCK_B))
+    high = max(1, -(-x.count() // BLOCK_A), -(-2 * cores // wide))
+    spot = lambda n: F.pmod(F.xxhash64("text"), F.lit(n))
+    rows = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    left = x.withColumn("side", F.lit(0)).withColumn("block", F.explode(F.transform(rows(wide), lambda j: spot(high) * wide + j)))
+    right = y.withColumn("side", F.lit(1)).withColumn("block", F.explode(F.transform(rows(high), lambda i: i * wide + spot(wide))))
+
+    def meet(block: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(block[c].to_pylist() for c in ("side", "first", "text"))), key=lambda r: (r[0], r[1] or "", r[2]))
+        t, u = ([r[2] for r in rows if r[0] == side] for side in (0, 1))
+        found = near(t, u, score, least, k)
+        return pa.table({"a": pa.array([t[i] for i, _, _ in found], pa.string()), "b": pa.array([u[j] for _, j, _ in found], pa.string()), "score": pa.array([s for _, _, s in found], pa.float64())})
+
+    blocks = left.unionByName(right).repartition(min(high * wide, 32 * cores), "block")
+    return blocks.groupBy("block").applyInArrow(meet, "a string, b string, score double")
+
+
 def scored_pairs(pairs: DataFrame, a: str, b: str, score: str, least: float) -> DataFrame:
     """Similarity of two columns, computed once for each distinct pair of texts; pairs below the limit are left out."""
     texts = pairs.select(a, b).distinct()

@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orgweave.functions import identifiers as ids
-from orgweave.functions import similarity
 from orgweave.functions.classify import ladder
 from orgweave.functions.text import COMPANY_PREFIXES, contains_any, normalize_aggressive, normalize_company_url, normalize_filtered, normalize_wikipedia, tokens
 from orgweave.operators import linking
-from orgweave.operators.linking import MATCH, contained_pairs, equal_keys, first_hit, rare_word_pairs, same_country, scored_pairs, stage2_confidence, token_pairs, top_k, union_matches, valid_overlap, wratio_confidence
+from orgweave.operators.linking import MATCH, contained_pairs, equal_keys, first_hit, near_texts, rare_word_pairs, same_country, scored_pairs, stage2_confidence, token_pairs, top_k, union_matches, valid_overlap, wratio_confidence
 from orgweave.shared import cut
 
 # ---- fixed values --------------------------------------------------------------------------------------------------------------------
@@ -56,11 +55,10 @@ def publications_stage2(institutions: DataFrame, firms: DataFrame) -> DataFrame:
     """institutions(entity_id, display_name, variants, country, city, region, host), firms(gvkey, variants, fic, city, state,
     busdesc, host): the greatest Jaro-Winkler score of any two variants, from .85 on, and enough of the four checks.
 
-    Candidates share a rare word but for one letter; scores are computed once per pair of texts."""
+    All pairs of texts count; each is scored once."""
     iv = institutions.select("entity_id", F.explode("variants").alias("name")).filter("name <> ''").distinct()
     fv = firms.select("gvkey", F.explode("variants").alias("firm")).filter("firm <> ''").distinct()
-    a, b = iv.select(F.col("name").alias("id"), F.split("name", " ").alias("tokens")).distinct(), fv.select(F.col("firm").alias("id"), F.split("firm", " ").alias("tokens")).distinct()
-    texts = cut(rare_word_pairs(a, b).withColumn("score", similarity.column("jaro_winkler")("a", "b")).filter("score >= 0.85"))
+    texts = cut(near_texts(iv.select(F.col("name").alias("text")), fv.select(F.col("firm").alias("text"), F.col("gvkey").alias("first")), "jaro_winkler", 0.85))
     pairs = texts.join(iv.withColumnRenamed("name", "a"), "a").join(fv.withColumnRenamed("firm", "b"), "b").groupBy("entity_id", "gvkey").agg(F.max("score").alias("score"))
     i = institutions.select("entity_id", "display_name", "country", F.col("city").alias("i_city"), "region", F.col("host").alias("i_host"))
     f = firms.select("gvkey", "fic", F.col("city").alias("f_city"), "state", "busdesc", F.col("host").alias("f_host"))

@@ -118,3 +118,20 @@ def test_similarity_against_definitions():
 
     check()
     assert similarity.token_sort_ratio("b a", "a b") == 100 and round(similarity.jaro_winkler("MARTHA", "MARHTA"), 4) == 0.9611
+
+
+def test_near_equals_brute_force():
+    import random
+
+    from orgweave.functions import nearby, similarity
+
+    draw = random.Random(7)
+    word = lambda: "".join(draw.choice("abcdeo") for _ in range(draw.randint(1, 6)))
+    a = sorted({" ".join(word() for _ in range(draw.randint(1, 4))) for _ in range(120)} | {"x  y z", "ab ab corp", "a" * 70 + " inc", "é" * 3 + " soc"})
+    b = sorted({x[: draw.randrange(len(x))] + word() + x[draw.randrange(len(x)) :] for x in a} | {"x y  z", "ab corp corp", "a" * 69 + " inc", "é" * 3 + " sod"})
+    for name, least in (("ratio", 85.0), ("jaro_winkler", 0.85), ("wratio", 85.0), ("wratio", 90.0)):
+        scored = [(i, j, getattr(similarity, name)(x, y)) for i, x in enumerate(a) for j, y in enumerate(b)]
+        want = sorted((r for r in scored if r[2] >= least), key=lambda r: (r[0], -r[2], r[1]))
+        assert sorted(nearby.near(a, b, name, least), key=lambda r: (r[0], -r[2], r[1])) == want and want
+        best = [r for n, r in enumerate(want) if n < 3 or want[n - 3][0] != r[0]]
+        assert nearby.near(a, b, name, least, 3) == best

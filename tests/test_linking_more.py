@@ -18,6 +18,12 @@ def test_stage2_needs_checks(spark):
     assert {(r["entity_id"], r["gvkey"]) for r in more.publications_stage2(i, _firms(spark)).collect()} == {("a", "f1")}
 
 
+def test_stage2_compares_all_pairs(spark):
+    # the common word is the only one shared by the first; glued words share none
+    i = spark.createDataFrame([(str(n), "Acme Rotors Europe", [v], "US", "Paris", None, None) for n, v in enumerate(["ACME ROTORS ZUERICH GMBHCO", "ACMEROTORS", "ACM EROTORS", "BOLTS"])], "entity_id string, display_name string, variants array<string>, country string, city string, region string, host string")
+    assert {r["entity_id"] for r in more.publications_stage2(i, _firms(spark)).collect()} == {"0", "1", "2"}
+
+
 def test_enhanced_and_urls(spark):
     i = spark.createDataFrame([
         ("a", "ACME ROTORS", ["GLX"], "x.acme.com", "https://en.wikipedia.org/wiki/Globex_Foods", []), ("b", None, ["glx"], None, None, ["c"]), ("c", None, [], "acme.com", None, []), ("d", None, None, "lab.acme.com", None, None),
