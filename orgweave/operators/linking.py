@@ -227,19 +227,19 @@ def patent_stage1(assignees: DataFrame, firms: DataFrame) -> DataFrame:
 
 
 def patent_stage2(assignees: DataFrame, firms: DataFrame, k: int = 5) -> DataFrame:
-    """Fuzzy names of assignees and firms unmatched so far: the k assignees of greatest ratio of at least 85 per firm, among those that
-    share a rare word but for one letter; the best of three ratios gives .94 (90 and more) or .90; words of the assignee (four letters or more) in the business description add .05 or .03."""
-    a = assignees.select(F.col("entity_id").alias("id"), "name", F.split("name", " ").alias("tokens"))
-    f = firms.select(F.col("gvkey").alias("id"), F.col("conm_clean").alias("name"), F.split("conm_clean", " ").alias("tokens"))
-    pairs = cut(rare_word_pairs(f, a)).select(F.col("a").alias("gvkey"), F.col("b").alias("entity_id"))
-    named = pairs.join(assignees.select("entity_id", "name"), "entity_id").join(firms.select("gvkey", F.col("conm_clean").alias("firm"), "busdesc"), "gvkey")
-    near = top_k(scored_pairs(named, "name", "firm", "ratio", 85.0).withColumnRenamed("score", "r"), "gvkey", k, F.desc("r"), F.col("name"), F.col("entity_id"))
+    """Fuzzy names of assignees and firms unmatched so far: the k assignees of greatest ratio of at least 85 per firm, of all pairs of names; the
+    best of three ratios gives .94 (90 and more) or .90; words of the assignee (four letters or more) in the business description add .05 or .03."""
+    texts = near_texts(assignees.select(F.col("name").alias("text")), firms.select(F.col("conm_clean").alias("text"), F.col("gvkey").alias("first")), "ratio", 85.0)
+    named = texts.select(F.col("a").alias("name"), F.col("b").alias("firm"), "score").join(assignees.select("entity_id", "name").distinct(), "name").join(firms.select("gvkey", F.col("conm_clean").alias("firm")).distinct(), "firm")
+    once = named.groupBy("gvkey", "entity_id", "name").agg(F.max(F.struct(F.col("score").alias("r"), "firm")).alias("x")).select("gvkey", "entity_id", "name", "x.*")  # a firm may have several rows
+    five = top_k(once, "gvkey", k, F.desc("r"), F.col("name"), F.col("entity_id"))
+    full = five.join(firms.select("gvkey", F.col("conm_clean").alias("firm"), "busdesc").distinct(), ["gvkey", "firm"])
     best = F.greatest("r", similarity.column("partial_ratio")("name", "firm"), similarity.column("token_sort_ratio")("name", "firm"))
     hits = F.size(F.filter(F.split("name", " "), lambda w: (F.length(w) >= 4) & F.upper(F.col("busdesc")).contains(w)))
     boost = F.when(hits >= 2, 0.05).when(hits >= 1, 0.03).otherwise(0.0)
     base = F.when(F.col("best") >= 90, 0.94).otherwise(0.90)
     method = F.when(F.col("best") >= 90, "fuzzy_high").otherwise("fuzzy_medium")
-    return near.withColumn("best", best).select("entity_id", "gvkey", method.alias("match_method"), F.round(F.least(base + F.coalesce(boost, F.lit(0.0)), F.lit(0.99)), 4).alias("match_confidence"))
+    return full.withColumn("best", best).select("entity_id", "gvkey", method.alias("match_method"), F.round(F.least(base + F.coalesce(boost, F.lit(0.0)), F.lit(0.99)), 4).alias("match_confidence"))
 
 
 def manual_matches(entities: DataFrame, firms: DataFrame, mapping: DataFrame, contained: bool = False) -> DataFrame:

@@ -73,6 +73,13 @@ def test_confidences(spark):
     assert one.select(linking.same_country(F.lit("us"), F.lit("USA")), linking.same_country(F.lit(None).cast("string"), F.lit("US"))).first()[:] == (True, False)
 
 
+def test_patent_stage2_compares_all_names(spark):
+    # glued words; and two rows of one firm take one of the k places
+    a = spark.createDataFrame([("p", "GRUFROFUDESYSTEMS PARTNERS"), ("q", "GRUFROFUDE SYSTEMS PARTNER"), ("r", "BOLTS"), ("s", None)], "entity_id string, name string")
+    f = spark.createDataFrame([("g1", "GRUFROFUDE SYSTEMS PTNRS", "x"), ("g1", "GRUFROFUDE SYSTEMS PTNRS", "y"), ("g2", None, None)], "gvkey string, conm_clean string, busdesc string")
+    assert {(r["entity_id"], r["gvkey"], r["match_method"]) for r in linking.patent_stage2(a, f, 2).collect()} == {("p", "g1", "fuzzy_high"), ("q", "g1", "fuzzy_high")}
+
+
 def test_patent_stage1(spark):
     a = spark.createDataFrame([("1", "ACME ROTORS"), ("2", "ACME ROTORS EUROPE"), ("3", "GRW"), ("4", "IBM"), ("5", "ZED XYZ WORKS")], "entity_id string, name string")
     f = spark.createDataFrame([("f1", "ACME ROTORS", None, "AC"), ("f2", "GLOBAL ROTOR WORKS", None, None), ("f3", "INTERNATIONAL BUSINESS MACHINES", None, None), ("f4", "OTHER", None, "XYZ")], "gvkey string, conm_clean string, conml_clean string, tic string")
