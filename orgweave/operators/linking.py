@@ -1,7 +1,7 @@
 """Linking organisations to firms: candidate generation, strategies with their confidences, cascades and filters.
 
-Every strategy is an equi-join: names, tickers, hosts, tokens and substrings become keys first, so no strategy compares all with all. A
-strategy gives rows of MATCH (entity_id, gvkey, match_method, match_confidence); where a name or ticker belongs to several firms all of
+Every strategy but the fuzzy ones is an equi-join: names, tickers, hosts, tokens and substrings become keys first. Fuzzy ones compare all
+distinct texts in blocks (``near_texts``), since no key is shared by all pairs that reach their limits. A strategy gives rows of MATCH (entity_id, gvkey, match_method, match_confidence); where a name or ticker belongs to several firms all of
 them come out, as in the rules these follow.
 """
 
@@ -93,24 +93,6 @@ def token_pairs(a: DataFrame, b: DataFrame, least: int = 2) -> DataFrame:
 PIECE = 8
 
 
-def rare_word_pairs(a: DataFrame, b: DataFrame, words: int = 2) -> DataFrame:
-    """Ids a, b of rows (id, tokens) that share one of their rarest words, but for one letter left out, added or exchanged.
-
-    A word's rarity is its count in both tables. A name's rarest words are the ones that tell it apart; common words build no groups.
-    """
-    x, y = (d.select("id", F.explode(F.array_distinct("tokens")).alias("t")).filter("t <> ''") for d in (a, b))
-    every = x.unionByName(y).groupBy("t").agg(F.count("*").alias("n"))
-
-    def keys(d: DataFrame) -> DataFrame:
-        order = F.row_number().over(Window.partitionBy("id").orderBy("n", "t"))
-        few = d.join(every, "t").withColumn("no", order).filter(F.col("no") <= words)
-        t, n = F.col("t"), F.length("t")
-        gaps = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, n)))
-        return few.select("id", F.explode(F.array_distinct(F.when(n >= 4, F.concat(F.array(t), gaps)).otherwise(F.array(t)))).alias("key"))
-
-    return keys(x).hint("merge").alias("l").join(keys(y).alias("r"), "key").select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-
-
 def contained_pairs(entities: DataFrame, firms: DataFrame, least: int = PIECE) -> DataFrame:
     """J12, without loss: entity(entity_id, name) and firm(gvkey, name) with the firm's name inside the entity's.
 

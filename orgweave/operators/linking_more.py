@@ -9,7 +9,7 @@ from orgweave.functions import identifiers as ids
 from orgweave.functions.classify import ladder
 from orgweave.functions.text import COMPANY_PREFIXES, contains_any, normalize_aggressive, normalize_company_url, normalize_filtered, normalize_wikipedia, tokens
 from orgweave.operators import linking
-from orgweave.operators.linking import MATCH, contained_pairs, equal_keys, first_hit, near_texts, rare_word_pairs, same_country, scored_pairs, stage2_confidence, token_pairs, top_k, union_matches, valid_overlap, wratio_confidence
+from orgweave.operators.linking import MATCH, contained_pairs, equal_keys, first_hit, near_texts, same_country, scored_pairs, stage2_confidence, token_pairs, top_k, union_matches, valid_overlap, wratio_confidence
 from orgweave.shared import cut
 
 # ---- fixed values --------------------------------------------------------------------------------------------------------------------
@@ -134,9 +134,8 @@ def wratio_stage2(affiliations: DataFrame, firms: DataFrame) -> DataFrame:
     """The first valid of the five firms of greatest WRatio of at least 90."""
     a = affiliations.select("entity_id", normalize_aggressive(F.col("name")).alias("a"))
     f = firms.select("gvkey", normalize_aggressive(F.col("conm")).alias("b")).distinct()
-    pairs = rare_word_pairs(a.select(F.col("entity_id").alias("id"), F.split("a", " ").alias("tokens")), f.select(F.col("gvkey").alias("id"), F.split("b", " ").alias("tokens")))
-    named = pairs.select(F.col("a").alias("entity_id"), F.col("b").alias("gvkey")).join(a, "entity_id").join(f, "gvkey")
-    five = top_k(scored_pairs(named, "a", "b", "wratio", 90.0), "entity_id", 5, F.desc("score"), F.col("gvkey"))
+    texts = near_texts(a.select(F.col("a").alias("text")), f.select(F.col("b").alias("text"), F.col("gvkey").alias("first")), "wratio", 90.0, 5)
+    five = top_k(texts.join(a, "a").join(f, "b"), "entity_id", 5, F.desc("score"), F.col("gvkey"))
     valid = top_k(five.filter(valid_overlap(F.col("a"), F.col("b"), F.col("score"))), "entity_id", 1, F.desc("score"), F.col("gvkey"))
     return _tag(valid, "wratio", wratio_confidence(F.col("score")))
 
@@ -165,9 +164,8 @@ def legacy(entities: DataFrame, firms: DataFrame, ticker_confidence: float = 0.9
     exact = equal_keys(e.select("entity_id", F.col("a").alias("key")), f.select("gvkey", F.col("b").alias("key")), "exact", exact_confidence)
     sub = e.select("entity_id", normalize_aggressive(F.col("name"), prefixes=COMPANY_PREFIXES).alias("key"), "a").filter("key <> a")
     subs = equal_keys(sub.select("entity_id", "key"), f.select("gvkey", F.col("b").alias("key")), "subsidiary", 0.80)
-    pairs = rare_word_pairs(e.select(F.col("entity_id").alias("id"), F.split("a", " ").alias("tokens")), f.select(F.col("gvkey").alias("id"), F.split("b", " ").alias("tokens")))
-    named = pairs.select(F.col("a").alias("entity_id"), F.col("b").alias("gvkey")).join(e.select("entity_id", "a"), "entity_id").join(f.select("gvkey", "b"), "gvkey")
-    best = top_k(scored_pairs(named, "a", "b", "wratio", least), "entity_id", 1, F.desc("score"), F.col("gvkey"))
+    texts = near_texts(e.select(F.col("a").alias("text")), f.select(F.col("b").alias("text"), F.col("gvkey").alias("first")), "wratio", least, 1)
+    best = top_k(texts.join(e.select("entity_id", "a"), "a").join(f.select("gvkey", "b"), "b"), "entity_id", 1, F.desc("score"), F.col("gvkey"))
     fuzzy = _tag(best, "fuzzy", F.round(F.least(F.lit(cap), F.lit(slope_from) + (F.col("score") - least) * 0.01), 4))
     inside = _tag(contained_pairs(e.select("entity_id", F.col("a").alias("name")), f.select("gvkey", F.col("b").alias("name")), 5), "contains", 0.65)
     return first_hit(by_tic, exact, subs, fuzzy, inside)

@@ -51,6 +51,15 @@ def test_older_matchers(spark):
     assert {(r["entity_id"], r["gvkey"]) for r in more.filtered_names(e, _firms(spark)).collect()} >= {("2", "f2")}
 
 
+def test_wratio_compares_all_pairs(spark):
+    # in f1 the shared words are the most frequent, in f2 the words are glued
+    f = spark.createDataFrame([("f1", "Nasnifokre Aerospace qq zz", "NSF"), ("f2", "Rashajuru Logistics", "RSH"), ("f3", "Nasnifokre Bolts", "NAB")], "gvkey string, conm string, tic string")
+    e = spark.createDataFrame([("1", "nasnifokre aerospace"), ("2", "rasha juru logistics"), ("3", "aerospace nasnifokre parts makers of the northern coast"), ("4", "cooking")] + [(f"x{n}", f"nasnifokre aerospace {w}") for n, w in enumerate(["uu vv", "ww yy"])], "entity_id string, name string")
+    assert {(r["entity_id"], r["gvkey"]) for r in more.wratio_stage2(e, f).collect()} >= {("1", "f1"), ("2", "f2")}
+    got = {r["entity_id"]: (r["gvkey"], r["match_method"]) for r in more.legacy(e, f).collect()}
+    assert got["1"] == ("f1", "fuzzy") and got["2"] == ("f2", "fuzzy") and got["3"] == ("f1", "fuzzy") and "4" not in got
+
+
 def test_concepts(spark):
     c = spark.createDataFrame([("1", "Known", []), ("2", "Neural network layer", []), ("3", "Neural stem cell", ["2"]), ("4", "Sub topic", ["2"]), ("5", "Reinforcement learnings", []), ("6", "Cooking", None)], "id string, display_name string, ancestors array<string>")
     got = rows(more.select_concepts(c, spark.createDataFrame([("1",)], "id string"), spark.createDataFrame([("reinforcement learning",)], "term string")))
