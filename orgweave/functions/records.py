@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orgweave.operators.nested import as_items, unwrapped
+from orgweave.shared import cut
 
 #: Limits of the flattened form (fixed values): items of a list that get columns of their own, and levels.
 MOST_ITEMS, MOST_LEVELS = 100, 20
@@ -16,7 +17,8 @@ MOST_ITEMS, MOST_LEVELS = 100, 20
 def flatten_paths(df: DataFrame, key: str, json: str, sep: str = "_", levels: int = MOST_LEVELS, most: int = MOST_ITEMS) -> DataFrame:
     """Key, path, value (text), one row per scalar of each record; members of lists of objects are numbered from 0, the first
     ``most`` of them, and the number of the rest comes under path + ``remaining_count``; lists of scalars are joined with "; ".
-    Unreadable records give one row with the path ``flatten_error``. No path is lost, whenever it first occurs.
+    Unreadable records give one row with the path ``flatten_error``. No path is lost, whenever it first occurs: what lies deeper than
+    ``levels`` comes as JSON text under the path of its last level.
     """
     top = df.select(key, unwrapped(F.col(json)).alias("v"), F.col(json).alias("_text"))
     bad = top.filter(F.col("v").isNull()).select(key, F.lit("flatten_error").alias("path"), F.left("_text", F.lit(200)).alias("value"))
@@ -35,11 +37,11 @@ def flatten_paths(df: DataFrame, key: str, json: str, sep: str = "_", levels: in
         items = lists.select(key, "path", F.posexplode(F.slice("items", 1, most)).alias("no", "v")).select(key, F.concat_ws(sep, "path", F.col("no").cast("string")).alias("path"), "v")
         out.append(lists.filter(F.size("items") > most).select(key, F.concat_ws(sep, "path", F.lit("remaining_count")).alias("path"), (F.size("items") - most).cast("string").alias("value")))
         level = objects.unionByName(items)
-        from orgweave.shared import cut
-
         level = cut(level)
         if level.isEmpty():
             break
+    else:
+        out.append(level.filter(F.schema_of_variant("v") != "VOID").select(key, "path", F.to_json("v").alias("value")))
     return reduce(lambda a, b: a.unionByName(b), out)
 
 

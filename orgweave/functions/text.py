@@ -48,6 +48,10 @@ STOP_WORDS = ("the", "and", "of", "in", "for", "with", "at", "on", "de", "la", "
 # --------------------------------------------------------------------------------------------------------------------------------------
 
 
+#: Whatever is no letter, digit or underscore of any script, nor white space.
+NO_WORD = r"[^\p{L}\p{N}_\s]"
+
+
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
@@ -90,7 +94,7 @@ def _long_words(c: Column, drop: tuple[str, ...]) -> Column:
 
 def clean_organization_name(c: Column) -> Column:
     """M1: upper case without legal words, punctuation and doubled spaces; null if nothing is left."""
-    bare = F.regexp_replace(F.regexp_replace(F.upper(c), LEGAL_WORDS, ""), r"[^\w\s]", "")
+    bare = F.regexp_replace(F.regexp_replace(F.upper(c), "(?U)" + LEGAL_WORDS, ""), NO_WORD, "")
     return F.nullif(squeeze(bare), F.lit(""))
 
 
@@ -125,7 +129,7 @@ def normalize_company_url(c: Column) -> Column:
 
 def normalize_wikipedia(c: Column) -> Column:
     """M7: punctuation but & to spaces, suffixes off, the longest first."""
-    s = squeeze(F.regexp_replace(_lower(c), r"[^\w\s&]", " "))
+    s = squeeze(F.regexp_replace(_lower(c), r"[^\p{L}\p{N}_\s&]", " "))
     return strip_suffixes(s, tuple(sorted(WIKI_SUFFIXES, key=len, reverse=True)))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from orgweave.functions import identifiers as ids
 from orgweave.functions import similarity
 from orgweave.functions.nearby import near
-from orgweave.functions.text import clean_organization_name, initials, overlap_ratio
+from orgweave.functions.text import NO_WORD, clean_organization_name, initials, overlap_ratio, squeeze
 from orgweave.shared import cut
 
 MATCH = ["entity_id", "gvkey", "match_method", "match_confidence"]
@@ -44,6 +44,8 @@ COUNTRY_GROUPS = (
     ("USA", "US"), ("UK", "GB", "ENG"), ("CHN", "CN"), ("JPN", "JP"), ("DEU", "DE"), ("FRA", "FR"), ("CAN", "CA"), ("AUS", "AU"), ("IND", "IN"), ("KOR", "KR"), ("NLD", "NL"),
     ("CHE", "CH"), ("SWE", "SE"), ("SGP", "SG"),
 )
+MATCHING_ANYTHING = ("019075", "031807", "038200", "120518", "327115")
+UNSURE_FIRMS, UNSURE_METHODS = ("N/A", "025013"), ("homepage_root_domain",)
 GENERIC_TERMS = (
     "international", "group", "groups", "system", "systems", "technologies", "technology", "innovations", "innovation", "associates", "solutions", "services", "scientific",
     "research", "laboratories", "engineering", "energy", "developments", "consulting", "consultants",
@@ -93,22 +95,33 @@ def token_pairs(a: DataFrame, b: DataFrame, least: int = 2) -> DataFrame:
 PIECE = 8
 
 
+def _pieces(name: Column, n: int) -> Column:
+    """All distinct pieces of n letters of a name of n letters or more."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - (n - 1)), lambda i: F.substring(name, i, F.lit(n))))
+
+
 def contained_pairs(entities: DataFrame, firms: DataFrame, least: int = PIECE) -> DataFrame:
     """J12, without loss: entity(entity_id, name) and firm(gvkey, name) with the firm's name inside the entity's.
 
-    The first ``least`` letters of the firm's name are its key; an entity has a key for each of its places. Names shorter than that are
-    left out, as the rules want; the whole name is compared after the join.
+    An entity has a key for each of its pieces of ``least`` letters; of a firm's name the piece that is rarest among distinct entity names
+    is the key, so a beginning that a third of all names share builds no group. A name with a piece that no entity has is in none of
+    them. Names shorter than that are left out, as the rules want; the whole name is compared after the join. Names meet once, however
+    many entities and firms have them.
     """
-    e = entities.filter(F.length("name") >= least).select("entity_id", "name").distinct()
-    at = F.sequence(F.lit(1), F.length("name") - (least - 1))
-    pieces = e.select("entity_id", F.col("name").alias("entity"), F.explode(F.array_distinct(F.transform(at, lambda i: F.substring(F.col("name"), i, F.lit(least))))).alias("piece"))
-    f = firms.filter(F.length("name") >= least).select("gvkey", F.col("name").alias("firm"), F.left("name", F.lit(least)).alias("piece")).distinct()
-    return pieces.hint("merge").join(f, "piece").filter(F.col("entity").contains(F.col("firm"))).select("entity_id", "gvkey", "entity", "firm").distinct()
+    e = entities.filter(F.length("name") >= least).select("entity_id", F.col("name").alias("entity")).distinct()
+    f = firms.filter(F.length("name") >= least).select("gvkey", F.col("name").alias("firm")).distinct()
+    pieces = e.select("entity").distinct().select("entity", F.explode(_pieces(F.col("entity"), least)).alias("piece"))
+    firm_pieces = f.select("firm").distinct().select("firm", F.explode(_pieces(F.col("firm"), least)).alias("piece"))
+    often = pieces.join(firm_pieces.select("piece").distinct().hint("merge"), "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("n"))
+    rarest = firm_pieces.join(often.hint("merge"), "piece", "left").groupBy("firm").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("key"))
+    keys = rarest.filter("key.n > 0").select("firm", "key.piece")
+    named = pieces.hint("merge").join(keys, "piece").filter(F.col("entity").contains(F.col("firm"))).select("entity", "firm").distinct()
+    return e.join(named, "entity").join(f, "firm").select("entity_id", "gvkey", "entity", "firm").distinct()
 
 
 def word_pairs(entities: DataFrame, firms: DataFrame, least: int = 2) -> DataFrame:
     """Entities whose name has a firm's ticker as a word."""
-    words = entities.select("entity_id", F.explode(F.array_distinct(F.split(F.upper("name"), r"\W+"))).alias("key"))
+    words = entities.select("entity_id", F.explode(F.array_distinct(F.split(F.upper("name"), r"[^\p{L}\p{N}_]+"))).alias("key"))
     return words.join(firms.filter(F.length("tic") >= least).select("gvkey", F.upper(F.trim("tic")).alias("key")).distinct(), "key").select("entity_id", "gvkey").distinct()
 
 
@@ -116,14 +129,17 @@ def word_pairs(entities: DataFrame, firms: DataFrame, least: int = 2) -> DataFra
 BLOCK_A, BLOCK_B = 2048, 8192
 
 
-def near_texts(a: DataFrame, b: DataFrame, score: str, least: float, k: int | None = None) -> DataFrame:
+def near_texts(a: DataFrame, b: DataFrame, score: str, least: float, k: int | None = None, within: str | None = None) -> DataFrame:
     """J14, J15, J19, without loss: all pairs of texts a of a(text) and b of b(text, first) that score ``least`` or more; with k the k best of each a
-    at least, where equal ones come by ``first`` (b's rows keep their least one).
+    at least, where equal ones come by ``first`` (b's rows keep their least one). With ``within``, a column of both sides that comes out
+    too, only texts of one value of it are compared (J16); its null is no value.
 
     Distinct texts are split into blocks by hash, and each block of one side meets each of the other in a task of its own, where bounds rule most
     pairs out: a limit so low has no key that all its pairs share, so the work grows with the product of the distinct texts."""
-    x = cut(a.select("text").filter("trim(text) <> ''").distinct().withColumn("first", F.lit(None).cast("string")))
-    y = cut(b.filter("trim(text) <> ''").groupBy("text").agg(F.min("first").alias("first")))
+    group = [within] if within else []
+    told = reduce(lambda c, g: c & F.col(g).isNotNull(), group, F.trim("text") != "")
+    x = cut(a.filter(told).select("text", *group).distinct().withColumn("first", F.lit(None).cast("string")))
+    y = cut(b.filter(told).groupBy("text", *group).agg(F.min("first").alias("first")))
     cores = x.sparkSession.sparkContext.defaultParallelism
     wide = max(1, -(-y.count() // BLOCK_B))
     high = max(1, -(-x.count() // BLOCK_A), -(-2 * cores // wide))
@@ -136,10 +152,13 @@ def near_texts(a: DataFrame, b: DataFrame, score: str, least: float, k: int | No
         rows = sorted(zip(*(block[c].to_pylist() for c in ("side", "first", "text"))), key=lambda r: (r[0], r[1] or "", r[2]))
         t, u = ([r[2] for r in rows if r[0] == side] for side in (0, 1))
         found = near(t, u, score, least, k)
-        return pa.table({"a": pa.array([t[i] for i, _, _ in found], pa.string()), "b": pa.array([u[j] for _, j, _ in found], pa.string()), "score": pa.array([s for _, _, s in found], pa.float64())})
+        out = {"a": pa.array([t[i] for i, _, _ in found], pa.string()), "b": pa.array([u[j] for _, j, _ in found], pa.string()), "score": pa.array([s for _, _, s in found], pa.float64())}
+        for g in group:
+            out[g] = pa.array([block[g][0].as_py()] * len(found), pa.string())
+        return pa.table(out)
 
-    blocks = left.unionByName(right).repartition(min(high * wide, 32 * cores), "block")
-    return blocks.groupBy("block").applyInArrow(meet, "a string, b string, score double")
+    blocks = left.unionByName(right).repartition(min(high * wide, 32 * cores), *group, "block")
+    return blocks.groupBy(*group, "block").applyInArrow(meet, ", ".join(["a string", "b string", "score double", *[f"{g} string" for g in group]]))
 
 
 def scored_pairs(pairs: DataFrame, a: str, b: str, score: str, least: float) -> DataFrame:
@@ -171,9 +190,8 @@ def first_hit(*strategies: DataFrame, key: str = "entity_id") -> DataFrame:
 
 def keep_best_match(matches: DataFrame) -> DataFrame:
     """Per entity and firm the method of greatest confidence (ties: by name of the method)."""
-    best = F.max(F.struct(F.col("match_confidence").alias("c"), F.lit("").alias("x")))
-    top = matches.groupBy("entity_id", "gvkey").agg(best.alias("b"))
-    return matches.join(top, ["entity_id", "gvkey"]).filter(F.col("match_confidence") == F.col("b.c")).groupBy("entity_id", "gvkey").agg(F.min("match_method").alias("match_method"), F.max("match_confidence").alias("match_confidence")).select(MATCH)
+    best = F.min(F.struct((-F.col("match_confidence")).alias("c"), F.col("match_method").alias("m")))
+    return matches.groupBy("entity_id", "gvkey").agg(best.alias("b")).select("entity_id", "gvkey", F.col("b.m").alias("match_method"), (-F.col("b.c")).alias("match_confidence"))
 
 
 def _abbreviations(df_spark: DataFrame) -> DataFrame:
@@ -224,15 +242,20 @@ def patent_stage2(assignees: DataFrame, firms: DataFrame, k: int = 5) -> DataFra
     return full.withColumn("best", best).select("entity_id", "gvkey", method.alias("match_method"), F.round(F.least(base + F.coalesce(boost, F.lit(0.0)), F.lit(0.99)), 4).alias("match_confidence"))
 
 
-def manual_matches(entities: DataFrame, firms: DataFrame, mapping: DataFrame, contained: bool = False) -> DataFrame:
-    """mapping(rule_no, pattern, tic). Equal names, or names that contain the pattern, where the first rule counts; .99."""
-    rules = mapping.join(firms.select("gvkey", F.upper(F.trim("tic")).alias("tic")), "tic")
+def manual_matches(entities: DataFrame, firms: DataFrame, mapping: DataFrame, contained: bool = False, matched: DataFrame | None = None) -> DataFrame:
+    """mapping(rule_no, pattern, tic). Equal names, or names that contain the pattern, where the first rule counts; .99.
+
+    A ticker stands for one firm, that of the greatest gvkey. Entities of ``matched`` (entity_id) are left out."""
+    owner = firms.select("gvkey", F.upper(F.trim("tic")).alias("tic")).filter("tic is not null").groupBy("tic").agg(F.max("gvkey").alias("gvkey"))
+    rules = mapping.filter("pattern <> ''").join(owner, "tic")
+    if matched is not None:
+        entities = entities.join(matched.select("entity_id").distinct(), "entity_id", "left_anti")
     if not contained:
         pairs = entities.join(rules.withColumnRenamed("pattern", "name"), "name")
     else:
-        width = 4
-        pieces = entities.filter(F.length("name") >= width).select("*", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - (width - 1)), lambda i: F.substring(F.col("name"), i, F.lit(width))))).alias("piece"))
-        long = pieces.join(rules.withColumn("piece", F.left("pattern", F.lit(width))).filter(F.length("pattern") >= width), "piece").filter(F.col("name").contains(F.col("pattern")))
+        width = 4  # shorter patterns are pieces as a whole
+        piece = F.explode(F.array_distinct(F.flatten(F.array(*[F.when(F.length("name") >= n, _pieces(F.col("name"), n)).otherwise(F.array().cast("array<string>")) for n in range(1, width + 1)])))).alias("piece")
+        long = entities.filter(F.length("name") > 0).select("*", piece).join(rules.withColumn("piece", F.left("pattern", F.lit(width))), "piece").filter(F.col("name").contains(F.col("pattern")))
         first = long.groupBy("entity_id").agg(F.min("rule_no").alias("rule_no"))
         pairs = long.join(first, ["entity_id", "rule_no"])
     return pairs.select("entity_id", "gvkey", F.lit("manual").alias("match_method"), F.lit(0.99).alias("match_confidence")).distinct()
@@ -246,7 +269,7 @@ def publications(institutions: DataFrame, firms: DataFrame, least: float = 0.94)
     """
     by_name = firms.select("gvkey", F.col("conm_clean").alias("key")).unionByName(firms.select("gvkey", F.col("conml_clean").alias("key"))).dropna().distinct()
     own = institutions.select("entity_id", F.col("name").alias("key"))
-    alt = institutions.select("entity_id", F.explode("alternatives").alias("alt")).select("entity_id", F.trim(F.regexp_replace(F.regexp_replace(F.upper("alt"), r"[^\w\s]", ""), r"\s+", " ")).alias("key"))
+    alt = institutions.select("entity_id", F.explode("alternatives").alias("alt")).select("entity_id", squeeze(F.regexp_replace(F.upper("alt"), NO_WORD, "")).alias("key"))
     acr = institutions.select("entity_id", "name", "alternatives", F.explode("acronyms").alias("acr")).select("entity_id", "name", "alternatives", F.upper("acr").alias("key"))
     acr = acr.filter((F.length("key") > 2) & ~F.col("key").isin(*BLOCKED_TICKERS))
     tic = acr.join(firms.select("gvkey", "conm_clean", F.upper(F.trim("tic")).alias("key")), "key")
@@ -265,15 +288,33 @@ def publications(institutions: DataFrame, firms: DataFrame, least: float = 0.94)
 
 
 def publications_stage1(institutions: DataFrame, firms: DataFrame) -> DataFrame:
-    """The first of exact conm .98, exact conml .98, alternative name .95, host .96, ticker as a word .96, contained .95."""
+    """institutions(entity_id, name, alternatives, acronyms, host), firms(gvkey, conm_clean, conml_clean, tic, host), names cleaned.
+
+    The first of exact name .98, exact long name .98, the first alternative name that is a firm's .95, host .96, ticker as a word .96, firm
+    contained .95 (five letters or more, not COMPANY), and the abbreviations .95: ticker as the name, the first acronym that is a ticker,
+    the dictionary in both directions, initials.
+    """
     own = institutions.select("entity_id", F.col("name").alias("key"))
-    alt = institutions.select("entity_id", F.explode("alternatives").alias("alt")).select("entity_id", clean_organization_name(F.col("alt")).alias("key"))
-    conm, conml = (firms.select("gvkey", F.col(c).alias("key")).dropna() for c in ("conm_clean", "conml_clean"))
-    host = equal_keys(institutions.select("entity_id", F.col("host").alias("key")).dropna(), firms.select("gvkey", F.col("host").alias("key")).dropna(), "url_domain", 0.96)
+    conm, conml = (firms.select("gvkey", F.col(c).alias("key")).dropna().distinct() for c in ("conm_clean", "conml_clean"))
+    alt = institutions.select("entity_id", F.posexplode("alternatives").alias("no", "alt")).select("entity_id", "no", clean_organization_name(F.col("alt")).alias("key")).filter("key is not null")
+    met = alt.join(conm.withColumn("m", F.lit("alternative_name_conm")).unionByName(conml.withColumn("m", F.lit("alternative_name_conml"))), "key")
+    first = met.groupBy("entity_id").agg(F.min(F.struct("no", "m")).alias("f"))
+    alternative = met.join(first, "entity_id").filter(F.struct("no", "m") == F.col("f")).select("entity_id", "gvkey", F.col("m").alias("match_method"), F.lit(0.95).alias("match_confidence")).distinct()
+    host = equal_keys(institutions.select("entity_id", F.col("host").alias("key")).dropna(), firms.select("gvkey", F.col("host").alias("key")).dropna(), "url_domain_match", 0.96)
     tag = lambda p, m, c: p.select("entity_id", "gvkey", F.lit(m).alias("match_method"), F.lit(c).alias("match_confidence"))
     words = tag(word_pairs(institutions, firms.filter(F.col("tic").isNotNull())), "ticker_in_name", 0.96)
-    inside = tag(contained_pairs(institutions, firms.select("gvkey", F.col("conm_clean").alias("name")), 5), "firm_contained", 0.95)
-    return first_hit(equal_keys(own, conm, "exact_conm", 0.98), equal_keys(own, conml, "exact_conml", 0.98), equal_keys(alt, conm, "alternative_name", 0.95), host, words, inside)
+    inside = tag(contained_pairs(institutions, conm.select("gvkey", F.col("key").alias("name")).filter("key <> 'COMPANY'"), 5).select("entity_id", "gvkey").distinct(), "firm_contained_conm", 0.95)
+    tics = firms.select("gvkey", F.upper(F.trim("tic")).alias("key")).filter("key <> ''").distinct()
+    acronyms = institutions.select("entity_id", F.posexplode("acronyms").alias("place", "a")).select("entity_id", "place", F.upper("a").alias("key"))
+    ab = _abbreviations(firms)
+    by_short = own.join(ab, F.col("key") == F.col("short")).select("entity_id", F.col("long").alias("key"))
+    by_long = own.join(ab, F.col("key") == F.col("long")).select("entity_id", F.col("short").alias("key"))
+    short = conm.select("gvkey", initials(F.col("key")).alias("key")).filter(F.length("key") >= 2)
+    return first_hit(
+        equal_keys(own, conm, "exact_conm", 0.98), equal_keys(own, conml, "exact_conml", 0.98), alternative, host, words, inside, equal_keys(own, tics, "ticker_match", 0.95),
+        first_key(acronyms, tics, "acronym_match", 0.95), equal_keys(by_short, conm, "abbreviation_dict", 0.95), equal_keys(by_long, tics, "abbreviation_dict_reverse", 0.95),
+        equal_keys(own, short, "abbreviation_generated", 0.95),
+    )
 
 
 def same_country(a: Column, b: Column) -> Column:
@@ -306,11 +347,13 @@ def valid_overlap(a: Column, b: Column, score: Column) -> Column:
 
 
 def acronym_matches(institutions: DataFrame, firms: DataFrame, confidence: float = 0.97) -> DataFrame:
-    """The first acronym that is a ticker, or an upper-case variant of at most six letters, of any firm."""
-    variants = F.filter(F.coalesce("name_variants", F.array().cast("array<string>")), lambda v: (F.length(v) <= 6) & (v == F.upper(v)))
-    keys = firms.select("gvkey", F.explode(F.array_union(F.filter(F.array(F.upper(F.trim("tic"))), lambda x: x.isNotNull()), variants)).alias("key")).distinct()
+    """The first acronym that is a ticker, or an upper-case variant of at most six letters, of any firm; the method names which."""
     acr = institutions.select("entity_id", F.posexplode("acronyms").alias("place", "a")).select("entity_id", "place", F.upper(F.trim("a")).alias("key"))
-    return first_key(acr, keys, "acronym_ticker", confidence)
+    tics = firms.select("gvkey", F.upper(F.trim("tic")).alias("key"), F.lit("acronym_to_tic").alias("m")).filter("key is not null")
+    variants = firms.select("gvkey", F.explode("name_variants").alias("key"), F.lit("acronym_to_name_variant").alias("m")).filter((F.length("key") <= 6) & (F.col("key") == F.upper("key")))
+    pairs = acr.join(tics.unionByName(variants).distinct(), "key")
+    first = pairs.groupBy("entity_id").agg(F.min("place").alias("place"))
+    return pairs.join(first, ["entity_id", "place"]).select("entity_id", "gvkey", F.col("m").alias("match_method"), F.lit(confidence).alias("match_confidence")).distinct()
 
 
 def homepage_matches(entities: DataFrame, firms: DataFrame) -> DataFrame:
@@ -319,16 +362,20 @@ def homepage_matches(entities: DataFrame, firms: DataFrame) -> DataFrame:
     root = ids.root_domain(F.col("host"))
     exact = equal_keys(e.select("entity_id", F.col("host").alias("key")), f.select("gvkey", F.col("host").alias("key")), "homepage_exact", 0.98)
     deep = e.withColumn("key", root).filter("key <> host").select("entity_id", "key")
-    return exact.unionByName(equal_keys(deep, f.select("gvkey", root.alias("key")), "homepage_root", 0.97))
+    return exact.unionByName(equal_keys(deep, f.select("gvkey", root.alias("key")), "homepage_root_domain", 0.97))
 
 
 def parent_cascade(institutions: DataFrame, matches: DataFrame, factor: float = 0.98) -> DataFrame:
-    """An unmatched child takes all matches of its first matched parent; confidence x factor, three digits."""
+    """An unmatched child takes all matches of its first matched parent; confidence x factor, three digits; the method is that of
+    the parent, if it is known, after ``parent_cascade_``. Where institutions have a column ``children``, only parents that list some count."""
     children = institutions.join(matches.select("entity_id").distinct(), "entity_id", "left_anti")
+    if "children" in institutions.columns:
+        matches = matches.join(institutions.filter(F.size("children") > 0).select("entity_id").distinct(), "entity_id", "left_semi")
     parents = children.select("entity_id", F.posexplode("parents").alias("place", "parent"))
-    up = parents.join(matches.select(F.col("entity_id").alias("parent"), "gvkey", "match_confidence"), "parent")
+    named = F.concat(F.lit("parent_cascade_"), F.coalesce("match_method", F.lit(""))) if "match_method" in matches.columns else F.lit("parent_cascade")
+    up = parents.join(matches.select(F.col("entity_id").alias("parent"), "gvkey", named.alias("match_method"), "match_confidence"), "parent")
     first = up.groupBy("entity_id").agg(F.min("place").alias("place"))
-    return up.join(first, ["entity_id", "place"]).select("entity_id", "gvkey", F.lit("parent_cascade").alias("match_method"), F.round(F.col("match_confidence") * factor, 3).alias("match_confidence"))
+    return up.join(first, ["entity_id", "place"]).select("entity_id", "gvkey", "match_method", F.round(F.col("match_confidence") * factor, 3).alias("match_confidence")).distinct()
 
 
 def parent_hosts(institutions: DataFrame, firms: DataFrame, confidence: float = 0.95, most: int = 3) -> DataFrame:
@@ -369,14 +416,30 @@ def funnel(df: DataFrame, steps: list[tuple[str, Column]]) -> tuple[DataFrame, D
     return marked.filter("_failed is null").drop("_failed"), counts
 
 
-def aggressive_steps(blocked_firms: tuple[str, ...] = (), blocked_methods: tuple[str, ...] = ("acronym_match", "firm_contained_conm"), least: float = 0.96) -> list[tuple[str, Column]]:
+def aggressive_steps(blocked_firms: tuple[str, ...] = MATCHING_ANYTHING, blocked_methods: tuple[str, ...] = ("acronym_match", "firm_contained_conm"), least: float = 0.96) -> list[tuple[str, Column]]:
     """False-positive steps over gvkey, match_method, institution_name, firm_name, match_confidence."""
     name = F.col("institution_name")
     words = F.split(F.lower(name), r"\s+")
     bare = F.trim(F.regexp_replace(name, r"(?i)\s+(INC|CORP|LLC|LTD|PLC|GMBH|AG)\.?$", ""))
-    meaning = lambda c: F.try_element_at(F.filter(F.split(F.lower(c), r"\W+"), lambda w: (F.length(w) > 2) & ~w.isin(*GENERIC_TERMS)), F.lit(1))
+    meaning = lambda c: F.try_element_at(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: (F.length(w) > 2) & ~w.isin(*GENERIC_TERMS)), F.lit(1))
     return [
         ("blocked firm", ~F.col("gvkey").isin(*blocked_firms) if blocked_firms else F.lit(True)), ("blocked method", ~F.col("match_method").isin(*blocked_methods)),
         ("generic term", ~F.exists(words, lambda w: w.isin(*GENERIC_TERMS))), ("short name", F.length(bare) >= 8), ("low confidence", F.col("match_confidence") >= least),
         ("no word in common", meaning(name) == meaning(F.col("firm_name"))),
     ]
+
+
+def unsure_steps(least: float = 0.95) -> list[tuple[str, Column]]:
+    """The milder filter, over gvkey, match_method, match_confidence and ``rows_left``: how many rows the institution has after the first two
+    steps (``with_rows_left``)."""
+    return [
+        ("blocked firm", ~F.coalesce(F.col("gvkey"), F.lit("N/A")).isin(*UNSURE_FIRMS)), ("blocked method", ~F.coalesce(F.col("match_method"), F.lit("")).isin(*UNSURE_METHODS)),
+        ("several firms", F.col("rows_left") == 1), ("low confidence", F.col("match_confidence") >= least),
+    ]
+
+
+def with_rows_left(matches: DataFrame, key: str, steps: list[tuple[str, Column]]) -> DataFrame:
+    """``rows_left``: rows of the key that pass the given steps."""
+    passes = reduce(lambda a, b: a & b, [F.coalesce(c, F.lit(False)) for _, c in steps])
+    left = matches.filter(passes).groupBy(key).agg(F.count("*").alias("rows_left"))
+    return matches.join(left, key, "left").withColumn("rows_left", F.coalesce("rows_left", F.lit(0)))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, named in spark.checkpoint.dir; only where that is unset (as in tests) a local one."""
+    """The folder that all executors share, named in spark.checkpoint.dir; only where that is unset, and the session runs on one machine
+    (as in tests), a local one. A cluster without the setting is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if named:
@@ -18,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="orgweave-"))
     return sc.getCheckpointDir().rstrip("/")
 

@@ -58,7 +58,8 @@ def resumable(spark: SparkSession, batches: list, path: str, make, column: str =
 
 
 def latex_table(df: DataFrame, caption: str, most: int = 1000) -> str:
-    """K7: a booktabs table of a small result; numbers with thousands separators, two digits for fractions."""
+    """K7: a booktabs table of a small result; numbers with thousands separators, two digits for fractions. A table of more than ``most``
+    rows is no table for print: it is refused, never cut."""
 
     def cell(x) -> str:
         if x is None:
@@ -71,6 +72,9 @@ def latex_table(df: DataFrame, caption: str, most: int = 1000) -> str:
             return f"{x:,.2f}"
         return str(x).replace("\\", r"\textbackslash{}").replace("&", r"\&").replace("%", r"\%").replace("_", r"\_").replace("#", r"\#")
 
-    body = [" & ".join(cell(v) for v in r) + r" \\" for r in df.limit(most).collect()]
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    body = [" & ".join(cell(v) for v in r) + r" \\" for r in rows]
     head = " & ".join(cell(c) for c in df.columns) + r" \\"
     return "\n".join([r"\begin{table}[htbp]", rf"\caption{{{cell(caption)}}}", rf"\begin{{tabular}}{{{'l' * len(df.columns)}}}", r"\toprule", head, r"\midrule", *body, r"\bottomrule", r"\end{tabular}", r"\end{table}"])
