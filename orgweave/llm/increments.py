@@ -142,7 +142,7 @@ class HashStore:
         keys = records.select("tab", "id", "text", F.explode("keys").alias("k")).select("tab", "id", "k.kind", "k.key", "k.pieces", F.when(F.col("k.kind") > WHOLE, F.col("text")).alias("text"))
         keys = keys.withColumn("th", F.when(F.col("kind") > WHOLE, F.xxhash64("text")).otherwise(0)).withColumn("text", F.when(F.col("kind") > PIECE, F.col("text")))
         # one row per key and text, before they are shuffled
-        reduced = keys.groupBy("tab", "kind", "key", "th", "pieces").agg(F.min("text").alias("text"), F.min("id").alias("owner"), F.count("*").alias("copies"))
+        reduced = keys.groupBy("tab", "kind", "key", "th", "text", "pieces").agg(F.min("id").alias("owner"), F.count("*").alias("copies"))
         self._append(self.keys_name, reduced, step, "key")
         self._append(self.texts_name, records.filter(F.exists("keys", lambda k: k["kind"] == PIECE)), step, "id")
         _links(self, keys, step, earlier).write.mode("overwrite").parquet(f"{self.path}/links/{step}")
