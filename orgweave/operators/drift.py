@@ -1,31 +1,36 @@
 """Schemas that drift between files: what changed from file to file, and one consistent table.
 
-Each file's schema is a small graph: the record, its fields, their types, the words of their names and the nesting of their values.
-Where fields go and others come between a file and the one before in its feed, similarity flooding decides which new field takes over
-which old one: pairs of nodes start with the similarity of names, types and values, pass their score on to the pairs that they are
-linked with until nothing moves, and a consistent one-to-one set of correspondences is read off.
+Each file's schema is a graph: its fields, with their names, types and nesting. Where fields go and others come between a file and the one
+before in its feed, each pair of a field that went and one that came is a node of the graph that both schemas make together; it is linked
+with the node of its pair of names (one node for all files and feeds, so that what is plain in one file speaks for the same names in
+another), with that of its pair of types, and with that of its pair of nestings. Similarity flooding starts from the likeness of names
+and values and passes scores on along these links until nothing moves. Fields that stay are the anchors: two names that stand side by side
+in one file are different fields, and each such file counts as a score of 0 for their pair. The flooded score decides which pairs are
+renames, and a consistent one-to-one set is read off.
 
 Rows are reduced to one profile per file and field before anything is compared (partial aggregation, so a file or feed that holds a
-third of all rows is no burden), and each pair of neighbouring files is matched on its own, so a long feed is spread over many tasks.
+third of all rows is no burden); pairs, their likeness and their scores are tables, whatever the width of a file.
 """
 
 from __future__ import annotations
 
-import math
 import re
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orgweave.shared import cut
+from orgweave.shared import cut, spread
 
-#: Counters of a field's value sketch; the size of a profile is bounded by it.
+#: Counters of a field's value sketch; the size of a profile is bounded by it. Values that share one are taken for equal.
 BUCKETS = 4096
-#: Least evidence (values, name, type; 0 to 1) for a new name to take over an old one.
-ACCEPT = 0.5
+#: Least flooded score (0 to 1) for a new name to take over an old one.
+ACCEPT = 0.4
+#: Share of a node's score that comes along its links, and of it the shares of names, types and nesting.
+FLOW, BY_NAMES, BY_TYPES, BY_NESTING = 0.6, 0.9, 0.05, 0.05
+#: The flooding ends when no score moves by more than this; each round shrinks what moves at least by FLOW, so the rounds are bounded.
+TOLERANCE, ROUNDS = 1e-3, 30
 KINDS = ("string", "number", "boolean", "object", "list of lists", "list")
 
 
@@ -62,7 +67,7 @@ def profiles(values: DataFrame) -> DataFrame:
 
 
 def sketches(values: DataFrame) -> DataFrame:
-    """file_no, field, sketch: how often words, and numbers by magnitude, fall into each of BUCKETS counters."""
+    """file_no, field, b, c: how often words, and numbers by magnitude, fall into each of BUCKETS counters."""
     text = F.regexp_replace(F.to_json("value"), r'"(?:[^"\\]|\\.)*"\s*:', " ")  # the values of an object, not its keys
     words = F.regexp_extract_all(text, F.lit(r"(?U)([+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\p{L}\d])|[\p{L}\p{N}]+)"), 1)
     word = values.select("file_no", "field", F.explode(words).alias("w"))
@@ -70,8 +75,7 @@ def sketches(values: DataFrame) -> DataFrame:
     whole = F.when(F.col("w").contains("."), "f").otherwise("i")
     number = F.concat(F.lit("#"), whole, F.when(x == 0, "0").otherwise(F.floor(F.log10(F.abs(x)) * 2).cast("string")))
     token = F.when(x.isNotNull() & ~F.isnan(x), number).otherwise(F.lower("w"))
-    binned = word.select("file_no", "field", F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int").alias("b")).groupBy("file_no", "field", "b").agg(F.count("*").alias("c"))
-    return binned.groupBy("file_no", "field").agg(F.map_from_entries(F.collect_list(F.struct("b", "c"))).alias("sketch"))
+    return word.select("file_no", "field", F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int").alias("b")).groupBy("file_no", "field", "b").agg(F.count("*").alias("c"))
 
 
 def name_words(name: str) -> list[str]:
@@ -114,97 +118,89 @@ def _subsequence(short: str, long: str) -> bool:
     return all(c in rest for c in short)
 
 
-def _cosine(a: dict, b: dict) -> float:
-    dot = sum(math.sqrt(v) * math.sqrt(b.get(k, 0)) for k, v in a.items())
-    return dot / math.sqrt((sum(a.values()) or 1) * (sum(b.values()) or 1))
-
-
-def _scalar(kind: str | None) -> str:
-    return "list" if kind in ("list", "list of lists") else "scalar" if kind in ("string", "number", "boolean") else kind or "null"
-
+@F.pandas_udf(T.DoubleType())
+def _names_alike(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([name_similarity(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
+def evidence(pairs: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """``pairs`` (file_no, old_name, new_name, old_kind, new_kind) with ``start``, 0 to 1: values 0.6 and name 0.4, or name alone 0.6, or, of
+    fields that hold words, values alone 0.8; a little less if the kinds differ. Values count by the cosine of the roots of their counters,
+    and as much as the name where one side has none.
+
+    ``old`` and ``new``: file_no (that of the pair), field, b, c. Counters meet in a join, so no pair carries sketches along."""
+    size = lambda df, n: df.groupBy("file_no", F.col("field").alias(n)).agg(F.sum("c").alias(f"{n}_size"))
+    o = old.select("file_no", "b", F.col("field").alias("old_name"), F.col("c").alias("c1"))
+    n = new.select("file_no", "b", F.col("field").alias("new_name"), F.col("c").alias("c2"))
+    dot = o.hint("merge").join(n, ["file_no", "b"]).groupBy("file_no", "old_name", "new_name").agg(F.sum(F.sqrt(F.col("c1") * F.col("c2"))).alias("dot"))
+    names = spread(cut(pairs.select("old_name", "new_name").distinct())).withColumn("name", _names_alike("old_name", "new_name"))
+    full = pairs.hint("merge").join(names, ["old_name", "new_name"]).join(dot, ["file_no", "old_name", "new_name"], "left").join(size(old, "old_name"), ["file_no", "old_name"], "left").join(size(new, "new_name"), ["file_no", "new_name"], "left")
+    cosine = F.coalesce(F.col("dot"), F.lit(0.0)) / F.sqrt(F.col("old_name_size") * F.col("new_name_size"))
+    value = F.coalesce(cosine, F.col("name"))
+    numeric = lambda k: F.coalesce(F.col(k).isin("number", "boolean"), F.lit(False))
+    by_words = F.when(numeric("old_kind") | numeric("new_kind"), 0.0).otherwise(0.8 * value)  # many words in common say more than like numbers do
+    same = F.when(F.col("old_kind").eqNullSafe(F.col("new_kind")), 1.0).otherwise(0.9)
+    start = F.greatest(0.6 * value + 0.4 * F.col("name"), by_words, 0.6 * F.col("name")) * same
+    return full.select("file_no", "old_name", "new_name", "old_kind", "new_kind", start.alias("start"))
+
+
+def _nesting(kind: Column) -> Column:
+    return F.when(kind.isin("string", "number", "boolean"), "scalar").otherwise(F.coalesce(kind, F.lit("null")))
+
+
+def flood(pairs: DataFrame, schemas: DataFrame) -> DataFrame:
+    """``pairs`` of ``evidence`` with ``score``, the fixed point of the flooding. ``schemas``: file_no, field of all files, for the anchors.
+
+    A pair keeps 1 - FLOW of its start and takes FLOW of the mean of its neighbours: the node of its two names, whose score is the mean over
+    all pairs with these names, in either direction, and over the files in which both names stand, as 0; the nodes of its two types and
+    nestings, whose scores are the means over their pairs. Scores only depend on a pair's start and its nodes, so the rounds run over the
+    distinct combinations of nodes, with the sums of their starts: as many rows as there are schemas' combinations, not files."""
+    a, b = F.least("old_name", "new_name"), F.greatest("old_name", "new_name")
+    nodes = {"types": F.concat_ws(">", F.coalesce("old_kind", F.lit("null")), F.coalesce("new_kind", F.lit("null"))), "nesting": F.concat_ws(">", _nesting(F.col("old_kind")), _nesting(F.col("new_kind")))}
+    p = cut(pairs.withColumns({"a": a, "b": b, **nodes}))
+    both = p.select("a", "b").distinct()
+    beside = both.join(schemas.select("file_no", F.col("field").alias("a")), "a").join(schemas.select("file_no", F.col("field").alias("b")), ["file_no", "b"]).groupBy("a", "b").agg(F.count("*").alias("apart"))
+    combined = p.groupBy("a", "b", "types", "nesting").agg(F.count("*").alias("n"), F.sum("start").alias("sum"))
+    state = cut(combined.join(beside, ["a", "b"], "left").select("a", "b", "types", "nesting", "n", "sum", F.coalesce("apart", F.lit(0)).alias("apart"), F.lit(0.0).alias("flow"), F.lit(True).alias("first")))
+    for _ in range(ROUNDS):
+        # the sum of scores of a combination, with what flowed to each of its pairs in the round before
+        held = state.withColumn("total", F.when(F.col("first"), F.col("sum")).otherwise((1 - FLOW) * F.col("sum") + FLOW * F.col("n") * F.col("flow")))
+        by_name = held.groupBy("a", "b").agg((F.sum("total") / (F.sum("n") + F.max("apart"))).alias("by_name"))
+        by_type = held.groupBy("types").agg((F.sum("total") / F.sum("n")).alias("by_type"))
+        by_nest = held.groupBy("nesting").agg((F.sum("total") / F.sum("n")).alias("by_nest"))
+        flow = BY_NAMES * F.col("by_name") + BY_TYPES * F.col("by_type") + BY_NESTING * F.col("by_nest")
+        nxt = held.join(by_name, ["a", "b"]).join(by_type, "types").join(by_nest, "nesting")
+        nxt = cut(nxt.select("a", "b", "types", "nesting", "n", "sum", "apart", flow.alias("flow"), F.lit(False).alias("first"), F.abs(flow - F.col("flow")).alias("moved")))
+        state = nxt.drop("moved")
+        if nxt.filter(F.col("moved") > TOLERANCE).isEmpty():
+            break
+    flowed = p.join(state.select("a", "b", "types", "nesting", "flow"), ["a", "b", "types", "nesting"])
+    return flowed.select(*pairs.columns, ((1 - FLOW) * F.col("start") + FLOW * F.col("flow")).alias("score"))
 
-def flood(old: list[dict], new: list[dict], rounds: int = 100) -> dict[tuple[int, int], tuple[float, float]]:
-    """{(i, j): (score after flooding, evidence before it)} of old x new fields, each with name, kind and sketch.
 
-    Pairs of fields are linked with the pair of their types, of their nesting (scalar, list, object), of each pair of words of their
-    names, and with the pair of the two records; every link passes an equal share of its node's score. The start of a pair of fields is
-    its evidence: values 0.6 and name 0.4, or name alone 0.6, or, of fields that hold words, values alone 0.8; a little less if the
-    kinds differ.
-    """
-    start: dict[tuple, float] = {("record",): 1.0}
-    links: dict[tuple, set] = {}
-
-    def tie(p: tuple, q: tuple) -> None:
-        links.setdefault(p, set()).add(q)
-        links.setdefault(q, set()).add(p)
-
-    evidence = {}
-    for i, a in enumerate(old):
-        for j, b in enumerate(new):
-            name, value = name_similarity(a["name"], b["name"]), _cosine(a["sketch"] or {}, b["sketch"] or {})
-            same = 1.0 if a["kind"] == b["kind"] else 0.9
-            if not a["sketch"] or not b["sketch"]:
-                value = name
-            worded = not {"number", "boolean"} & {a["kind"], b["kind"]}  # many words in common say more than like numbers do
-            evidence[i, j] = max(0.6 * value + 0.4 * name, 0.8 * value if worded else 0.0, 0.6 * name) * same
-            p = ("f", i, j)
-            start[p] = evidence[i, j]
-            tie(p, ("record",))
-            for q, s in ((("t", a["kind"], b["kind"]), same), (("n", _scalar(a["kind"]), _scalar(b["kind"])), 1.0 if _scalar(a["kind"]) == _scalar(b["kind"]) else 0.5)):
-                start[q] = s
-                tie(p, q)
-            for u in name_words(a["name"]):
-                for v in name_words(b["name"]):
-                    if (s := _word_similarity(u, v)) > 0:
-                        start["w", u, v] = s
-                        tie(p, ("w", u, v))
-    nodes = {p: k for k, p in enumerate(start)}
-    first = np.array(list(start.values()))
-    flow = np.zeros((len(nodes), len(nodes)))
-    for p, to in links.items():
-        for q in to:
-            flow[nodes[q], nodes[p]] = 1 / len(to)
-    score = first.copy()
-    for _ in range(rounds):
-        nxt = first + score + flow @ (first + score)
-        nxt /= nxt.max() or 1.0
-        if np.abs(nxt - score).max() < 1e-6:
-            break
-        score = nxt
-    return {(i, j): (float(score[nodes["f", i, j]]), e) for (i, j), e in evidence.items()}
+_MATCHES = T.ArrayType(T.StructType([T.StructField("old_name", T.StringType()), T.StructField("new_name", T.StringType())]))
 
 
-def correspondences(old: list[dict], new: list[dict]) -> list[tuple[int, int]]:
-    """A consistent choice: pairs by falling evidence x flooded score, each field once, while the evidence suffices."""
-    scored = flood(old, new)
-    order = sorted(scored, key=lambda p: (-scored[p][1] * scored[p][0], old[p[0]]["name"], new[p[1]]["name"]))
+def consistent(pairs: list[tuple[float, str, str]]) -> list[tuple[str, str]]:
+    """A consistent choice of (score, old name, new name): by falling score (ties: by names), each field once."""
     taken_old, taken_new, out = set(), set(), []
-    for i, j in order:
-        if scored[i, j][1] >= ACCEPT and i not in taken_old and j not in taken_new:
-            taken_old.add(i)
-            taken_new.add(j)
-            out.append((i, j))
+    for _, a, b in sorted(pairs, key=lambda p: (-p[0], p[1], p[2])):
+        if a not in taken_old and b not in taken_new:
+            taken_old.add(a)
+            taken_new.add(b)
+            out.append((a, b))
     return out
 
 
-_FIELD = T.StructType([T.StructField("name", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("sketch", T.MapType(T.IntegerType(), T.LongType()))])
-_MATCHES = T.ArrayType(T.StructType([T.StructField("old_name", T.StringType()), T.StructField("new_name", T.StringType())]))
-
-
 @F.pandas_udf(_MATCHES)
-def _match(old: pd.Series, new: pd.Series) -> pd.Series:
-    def fields(x) -> list[dict]:
-        out = []
-        for r in x:
-            r = r if isinstance(r, dict) else r.asDict()
-            out.append({"name": r["name"], "kind": r["kind"], "sketch": dict(r["sketch"]) if r["sketch"] is not None else None})
-        return out
+def _choose(pairs: pd.Series) -> pd.Series:
+    return pd.Series([[{"old_name": a, "new_name": b} for a, b in consistent([(r["score"], r["old_name"], r["new_name"]) for r in rows])] for rows in pairs])
 
-    done = []
-    for a, b in zip(old, new):
-        x, y = fields(a), fields(b)
-        done.append([{"old_name": x[i]["name"], "new_name": y[j]["name"]} for i, j in correspondences(x, y)])
-    return pd.Series(done)
+
+def correspondences(scored: DataFrame) -> DataFrame:
+    """file_no, old_name, new_name: of each file's pairs whose flooded score suffices a consistent choice."""
+    kept = scored.filter(F.col("score") >= ACCEPT).groupBy("file_no").agg(F.collect_list(F.struct("score", "old_name", "new_name")).alias("pairs"))  # the fields of one file
+    return kept.select("file_no", F.explode(_choose("pairs")).alias("m")).select("file_no", "m.old_name", "m.new_name")
 
 
 def schema_changes(raw: DataFrame) -> DataFrame:
@@ -230,19 +226,15 @@ def schema_changes(raw: DataFrame) -> DataFrame:
     both = cut(old.join(new, ["file_no", "field"], "full_outer"))
     gone, come = both.filter("is is null"), both.filter("was is null")
     # only files where something goes and something comes need sketches
-    open_ = gone.select("file_no").distinct().join(come.select("file_no").distinct(), "file_no")
+    pairs = cut(gone.select("file_no", F.col("field").alias("old_name"), "old_kind").join(come.select("file_no", F.col("field").alias("new_name"), "new_kind"), "file_no"))
     before = pair.select("file_no", "before")
-    need_old = gone.join(open_, "file_no", "left_semi").join(before, "file_no").select(F.col("before").alias("src"), "file_no", "field", F.col("old_kind").alias("kind"), F.lit("old").alias("side"))
-    need_new = come.join(open_, "file_no", "left_semi").select(F.col("file_no").alias("src"), "file_no", "field", F.col("new_kind").alias("kind"), F.lit("new").alias("side"))
-    need = cut(need_old.unionByName(need_new))
-    wanted = need.select(F.col("src").alias("file_no"), "field").distinct()
-    sketch = sketches(values.join(wanted, ["file_no", "field"], "left_semi")).withColumnRenamed("file_no", "src")
-    sides = need.join(sketch, ["src", "field"], "left").groupBy("file_no").agg(
-        F.array_sort(F.collect_list(F.when(F.col("side") == "old", F.struct(F.col("field").alias("name"), F.col("kind"), F.map_entries("sketch").alias("sketch"))))).alias("old_e"),
-        F.array_sort(F.collect_list(F.when(F.col("side") == "new", F.struct(F.col("field").alias("name"), F.col("kind"), F.map_entries("sketch").alias("sketch"))))).alias("new_e"),
-    )
-    back = lambda c: F.transform(c, lambda r: F.struct(r["name"].alias("name"), r["kind"].alias("kind"), F.map_from_entries(r["sketch"]).alias("sketch")))
-    matched = cut(sides.select("file_no", F.explode(_match(back(F.col("old_e")), back(F.col("new_e")))).alias("m")).select("file_no", "m.old_name", "m.new_name"))
+    need_old = pairs.select("file_no", F.col("old_name").alias("field")).distinct().join(before, "file_no").select(F.col("before").alias("src"), "file_no", "field")
+    need_new = pairs.select(F.col("file_no").alias("src"), "file_no", F.col("new_name").alias("field")).distinct()
+    wanted = cut(need_old.unionByName(need_new).select(F.col("src").alias("file_no"), "field").distinct())
+    open_files = raw.join(wanted.select("file_no").distinct(), "file_no", "left_semi")  # before any record is read again
+    sketch = cut(sketches(field_values(open_files).join(wanted, ["file_no", "field"], "left_semi"))).withColumnRenamed("file_no", "src")
+    side = lambda need: need.join(sketch, ["src", "field"]).select("file_no", "field", "b", "c")
+    matched = cut(correspondences(flood(evidence(pairs, side(need_old), side(need_new)), prof)))
     renamed = matched.join(gone.select("file_no", F.col("field").alias("old_name"), "old_kind"), ["file_no", "old_name"]).join(come.select("file_no", F.col("field").alias("new_name"), "new_kind"), ["file_no", "new_name"])
     stay = both.filter("was and is").select("file_no", F.col("field").alias("new_name"), F.col("field").alias("old_name"), "old_kind", "new_kind")
     cols = ["file_no", "field_name", "old_name", "change_kind", "old_kind", "new_kind"]
@@ -281,14 +273,57 @@ def consistent_names(raw: DataFrame, changes: DataFrame) -> DataFrame:
     return first.join(links, ["feed", "field"], "left").select("feed", "field", F.coalesce("up", "field").alias("unified"))
 
 
-def unified_table(raw: DataFrame, changes: DataFrame) -> DataFrame:
-    """One consistent long table: feed, file_no, line_no, unified, value_text: every value under the first name of its field, as text.
+def _typed(v: Column) -> dict[str, Column]:
+    """A value as text, number, truth and list; null where it doesn't read as one."""
+    nested = F.schema_of_variant(v).startswith("ARRAY") | F.schema_of_variant(v).startswith("OBJECT")
+    text = F.coalesce(F.when(nested, F.to_json(v)), F.try_variant_get(v, "$", "string"))
+    truth = F.lower(F.trim(text))
+    items = F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v))
+    as_text = F.transform(items, lambda x: F.coalesce(F.when(F.schema_of_variant(x).startswith("ARRAY") | F.schema_of_variant(x).startswith("OBJECT"), F.to_json(x)), F.try_variant_get(x, "$", "string")))
+    return {"text": text, "number": F.when(~nested, F.expr("try_cast(_text as double)")), "truth": F.when(truth.isin("true", "false"), truth == "true"), "list": as_text}
 
-    Lists keep their JSON text; numbers and booleans typed as strings are brought to one writing.
-    """
+
+def unified_values(raw: DataFrame, changes: DataFrame) -> DataFrame:
+    """feed, file_no, line_no, unified, kind, value (variant) of every non-null value, under the first name of its field."""
     names = consistent_names(raw, changes)
     v = raw.select("feed", "file_no", "line_no", F.try_parse_json("record").alias("v")).filter(F.col("v").isNotNull())
     values = v.select("feed", "file_no", "line_no", F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("field", "value"))
-    text = F.coalesce(F.when(F.schema_of_variant("value").startswith("ARRAY") | F.schema_of_variant("value").startswith("OBJECT"), F.to_json("value")), F.try_variant_get("value", "$", "string"))
-    text = F.when(F.lower(text).isin("true", "false"), F.lower(text)).otherwise(text)
-    return values.join(names, ["feed", "field"]).select("feed", "file_no", "line_no", "unified", text.alias("value_text")).filter("value_text is not null")
+    return values.join(names, ["feed", "field"]).select("feed", "file_no", "line_no", "unified", value_kind(F.col("value")).alias("kind"), "value").filter("kind is not null")
+
+
+def agreed_types(values: DataFrame) -> DataFrame:
+    """feed, unified, agreed (number, boolean, list or string), values, casts (values that were of another kind): per field of a feed the
+    narrowest kind that every value reads as, so that no cast fails; a list where any value is one."""
+    t = _typed(F.col("value"))
+    read = values.withColumn("_text", t["text"])
+    n = lambda c: F.count_if(c)
+    per = read.groupBy("feed", "unified").agg(
+        F.count("*").alias("values"), n(t["number"].isNotNull() & (F.col("kind") != "boolean")).alias("as_number"), n(t["truth"].isNotNull()).alias("as_truth"), n(F.col("kind").startswith("list")).alias("lists"),
+        *[n(F.col("kind") == k).alias(f"_{i}") for i, k in enumerate(KINDS)],
+    )
+    agreed = F.when(F.col("lists") > 0, "list").when(F.col("as_number") == F.col("values"), "number").when(F.col("as_truth") == F.col("values"), "boolean").otherwise("string")
+    same = F.when(F.col("agreed") == "list", F.col("lists")).when(F.col("agreed") == "number", F.col("_1")).when(F.col("agreed") == "boolean", F.col("_2")).otherwise(F.col("_0"))
+    return per.withColumn("agreed", agreed).select("feed", "unified", "agreed", "values", (F.col("values") - same).alias("casts"))
+
+
+def unified_table(raw: DataFrame, changes: DataFrame) -> DataFrame:
+    """One consistent table in long form, typed: feed, file_no, line_no, unified, agreed, value_text, value_number, value_boolean, value_list.
+
+    Every non-null value comes under the first name of its field, cast to the kind its field agrees on over all files of the feed
+    (``agreed_types``): the column of that kind holds it, and value_text always its text (JSON for lists and objects). A lone value of a
+    field that agrees on lists is a list of one. ``wide`` puts chosen fields side by side."""
+    values = unified_values(raw, changes)
+    types = agreed_types(values).select("feed", "unified", "agreed")
+    t = _typed(F.col("value"))
+    read = values.withColumn("_text", t["text"]).join(types, ["feed", "unified"])
+    as_ = lambda k, c: F.when(F.col("agreed") == k, c)
+    text = F.when(F.col("agreed") == "boolean", F.lower(F.trim("_text"))).otherwise(F.col("_text"))
+    return read.select("feed", "file_no", "line_no", "unified", "agreed", text.alias("value_text"), as_("number", t["number"]).alias("value_number"), as_("boolean", t["truth"]).alias("value_boolean"), as_("list", t["list"]).alias("value_list"))
+
+
+def wide(table: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """A row per feed, file and line of ``unified_table`` with a column per field of {unified name: text, number, boolean or list}; of values that
+    a line has under two names of one field the least text counts."""
+    of = {"text": "value_text", "number": "value_number", "boolean": "value_boolean", "list": "value_list"}
+    picks = [F.min_by(of[k], F.when(F.col("unified") == f, F.col("value_text"))).alias(f) for f, k in fields.items()]
+    return table.groupBy("feed", "file_no", "line_no").agg(*picks)

@@ -239,12 +239,33 @@ def test_unified_table(spark):
     assert {r[0] for r in u.select("unified").distinct().collect()} == {"venue", "k"} and u.count() == 36
 
 
-def test_flooding_prefers_values_and_names():
-    f = lambda n, k, s: {"name": n, "kind": k, "sketch": s}
-    old = [f("cited_by_count", "number", {1: 5, 2: 5}), f("venue", "string", {10: 4, 11: 4})]
-    new = [f("source", "string", {10: 5, 11: 3}), f("citations", "string", {1: 4, 2: 6}), f("other", "boolean", {99: 9})]
-    assert set(drift.correspondences(old, new)) == {(0, 1), (1, 0)}
-    assert drift.correspondences([], new) == [] and drift.correspondences(old, []) == []
+def _flooded(spark, old, new, beside=()):
+    """old, new: {file: {name: (kind, counters)}}; beside: names that stand side by side in a file."""
+    pairs = [(f, a, b, old[f][a][0], new[f][b][0]) for f in old for a in old[f] for b in new[f]]
+    side = lambda x: spark.createDataFrame([(f, a, b, c) for f in x for a in x[f] for b, c in x[f][a][1].items()], "file_no long, field string, b int, c long")
+    schemas = spark.createDataFrame([(100 + n, x) for n, names in enumerate(beside) for x in names], "file_no long, field string")
+    start = drift.evidence(spark.createDataFrame(pairs, "file_no long, old_name string, new_name string, old_kind string, new_kind string"), side(old), side(new))
+    return drift.flood(start, schemas)
+
+
+def test_flooding_prefers_values_and_names(spark):
+    old = {1: {"cited_by_count": ("number", {1: 5, 2: 5}), "venue": ("string", {10: 4, 11: 4})}}
+    new = {1: {"source": ("string", {10: 5, 11: 3}), "citations": ("string", {1: 4, 2: 6}), "other": ("boolean", {99: 9})}}
+    assert rows(drift.correspondences(_flooded(spark, old, new))) == [(1, "cited_by_count", "citations"), (1, "venue", "source")]
+    assert rows(drift.correspondences(_flooded(spark, old, {1: {}}))) == [] and rows(drift.correspondences(_flooded(spark, {1: {}}, new))) == []
+
+
+def test_flooding_decides(spark, monkeypatch):
+    """In file 3 the values of one field say too little; the same names in files 1 and 2 tell. In file 4 two flags have like values, but their
+    names stand side by side elsewhere. Without the flow both come out wrong."""
+    flag, text = {1: 5, 2: 5}, {10: 4, 11: 4}
+    old = {1: {"open": ("string", text)}, 2: {"open": ("string", text)}, 3: {"open": ("string", {1: 5, 2: 4, 3: 1})}, 4: {"is_open": ("boolean", flag)}}
+    new = {1: {"oa_mark": ("string", text)}, 2: {"oa_mark": ("string", text)}, 3: {"oa_mark": ("string", {1: 3, 8: 3, 9: 4})}, 4: {"is_withdrawn": ("boolean", flag)}}
+    beside = [("is_open", "is_withdrawn")] * 6
+    want = [(1, "open", "oa_mark"), (2, "open", "oa_mark"), (3, "open", "oa_mark")]
+    assert rows(drift.correspondences(_flooded(spark, old, new, beside))) == want
+    monkeypatch.setattr(drift, "FLOW", 0.0)
+    assert rows(drift.correspondences(_flooded(spark, old, new, beside))) == [*want[:2], (4, "is_open", "is_withdrawn")]
 
 
 def test_value_kinds(spark):
