@@ -2,14 +2,18 @@
 
 Institutions and firms are compared on several partial, noisy attributes. Candidate pairs come from several blocking passes; each
 pair is described by a vector of agreement levels; expectation-maximisation over the counts of these vectors estimates how often each
-level occurs among matches (m) and non-matches (u); the posterior of a pair is its confidence. Candidates hold next to no plain
-non-matches, so the probabilities u of name, host, ticker, country and city start from pairs of firms with different gvkeys, which are
-non-matches for certain and are counted by value, never paired; EM keeps these and estimates m and the share of matches.
+level occurs among matches (m) and non-matches (u); the posterior of a pair is its confidence, and it alone decides: a pair is a link if
+it reaches THRESHOLD, and an institution's firm is the one of greatest posterior.
+
+Candidates hold next to no plain non-matches. So the probabilities u come from the counts of the levels over all pairs of an institution and
+a firm, less what EM takes for matches; pairs of firms with different gvkeys, which are non-matches for certain, set the least u of name,
+host, ticker, country and city. All are counted by value, never paired.
 
 Passes: (a) names of one kind whose cores are equal, one or two typing errors apart, or clipped; (b) an equal core, whatever the kind;
-(c) an equal web host; (d) an acronym that is a ticker; (e) the firms of the parent and of the children. In b, c and d a value counts
-as a key only if it belongs to exactly one firm: one that several firms share identifies none of them, and pairs made over it would
-grow as the product of both sides. Nothing is capped: such pairs still come from (a) and (e).
+(c) an equal web host; (d) an acronym that is a ticker; (e) the firms of the parent and of the children. In b, c and d a value that one
+firm has makes pairs by itself. One that several firms share identifies none of them, and its pairs would grow as the product of both
+sides, so there a second attribute must agree too (city, host, or the beginning of the core). A pair that only shares such a value, and
+nothing else, stays far below THRESHOLD; a test scores all pairs of a small table by brute force and finds none that the passes miss.
 
 The table of vectors that the driver sees has at most the product of the numbers of levels (a few thousand rows), however large the
 tables are. Attributes that are null compare as "missing", which is a level of its own.
@@ -17,6 +21,9 @@ tables are. Attributes that are null compare as "missing", which is a level of i
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,20 +35,24 @@ from orgweave.shared import blank, cut, width
 
 #: field -> its levels; level 0 is disagreement (or nothing known), the last the strongest agreement.
 LEVELS = {"name": 5, "host": 3, "country": 3, "city": 3, "acronym": 3, "parent": 3, "child": 2, "earlier": 3, "academic": 2}
+#: What matches look like before any are seen, field by field, and for how many observations that counts: it steadies small tables.
+MATCHES = {
+    "name": (0.15, 0.005, 0.045, 0.05, 0.75), "host": (0.1, 0.4, 0.5), "country": (0.25, 0.05, 0.7), "city": (0.4, 0.2, 0.4), "acronym": (0.3, 0.4, 0.3), "parent": (0.05, 0.6, 0.35),
+    "child": (0.85, 0.15), "earlier": (0.1, 0.5, 0.4), "academic": (0.02, 0.98),
+}
+WEIGHT = 5
 #: Least posterior of a link.
 THRESHOLD = 0.5
-#: Share of relatives (parents, children) of a firm that are not the firm's own.
-STRAY = 0.01
+#: Letters of a core that count as its beginning.
+HEAD = 4
 _FORMER = r"(?:formerly known as|formerly|previously known as|previously named|traded as|once called|known until \d{4} as)\s+([^.();,]+)"
 #: ISO alpha-3 codes and the alpha-2 codes of the same countries (fixed values).
-ALPHA3 = dict(
-    x.split(":")
-    for x in (
-        "USA:US GBR:GB DEU:DE FRA:FR ITA:IT ESP:ES CHN:CN JPN:JP KOR:KR IND:IN CAN:CA BRA:BR NLD:NL CHE:CH ISR:IL PRT:PT SWE:SE AUS:AU AUT:AT BEL:BE DNK:DK "
-        "FIN:FI NOR:NO IRL:IE POL:PL RUS:RU SGP:SG TWN:TW MEX:MX TUR:TR GRC:GR HKG:HK HUN:HU CZE:CZ ZAF:ZA NZL:NZ ARG:AR CHL:CL THA:TH MYS:MY IDN:ID VNM:VN "
-        "UKR:UA LUX:LU BMU:BM CYM:KY ARE:AE SAU:SA EGY:EG PHL:PH COL:CO PER:PE"
-    ).split()
-)
+ALPHA3 = {
+    "USA": "US", "GBR": "GB", "DEU": "DE", "FRA": "FR", "ITA": "IT", "ESP": "ES", "CHN": "CN", "JPN": "JP", "KOR": "KR", "IND": "IN", "CAN": "CA", "BRA": "BR", "NLD": "NL",
+    "CHE": "CH", "ISR": "IL", "PRT": "PT", "SWE": "SE", "AUS": "AU", "AUT": "AT", "BEL": "BE", "DNK": "DK", "FIN": "FI", "NOR": "NO", "IRL": "IE", "POL": "PL", "RUS": "RU",
+    "SGP": "SG", "TWN": "TW", "MEX": "MX", "TUR": "TR", "GRC": "GR", "HKG": "HK", "HUN": "HU", "CZE": "CZ", "ZAF": "ZA", "NZL": "NZ", "ARG": "AR", "CHL": "CL", "THA": "TH",
+    "MYS": "MY", "IDN": "ID", "VNM": "VN", "UKR": "UA", "LUX": "LU", "BMU": "BM", "CYM": "KY", "ARE": "AE", "SAU": "SA", "EGY": "EG", "PHL": "PH", "COL": "CO", "PER": "PE",
+}
 
 
 def web_host(url: Column) -> Column:
@@ -94,11 +105,6 @@ def _near_forms(a: DataFrame, b: DataFrame) -> DataFrame:
     return pairs.withColumn("level", _name_level("core_a", "core_b")).filter("level > 0")
 
 
-def _lone(df: DataFrame, key: str, owner: str) -> DataFrame:
-    """Values of key that belong to exactly one owner."""
-    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(owner).alias(owner), F.max(owner).alias("_other")).filter(F.col(owner) == F.col("_other")).drop("_other")
-
-
 def firms_view(firms: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(one row per gvkey with its attributes as sets, names, hosts)."""
     firms = firms.filter(F.col("gvkey").isNotNull())
@@ -132,25 +138,60 @@ def _agree(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 1).when(F.arrays_overlap(a, b), 2).otherwise(0)
 
 
-def candidate_pairs(inst: DataFrame, firms: DataFrame, earlier: DataFrame | None) -> DataFrame:
-    """institution_id, gvkey and a column per field of LEVELS, one row per candidate pair."""
-    f_one, f_names, f_keys = firms_view(firms)
+class Parts(NamedTuple):
+    """What both sides are read into, once: one row per record, and the forms (kind, core) of their names."""
+
+    firms: DataFrame
+    institutions: DataFrame
+    firm_forms: DataFrame
+    institution_forms: DataFrame
+
+
+def read_parts(inst: DataFrame, firms: DataFrame) -> Parts:
+    f_one, f_names, _ = firms_view(firms)
     i_one, i_names = institutions_view(inst)
-    i_one = cut(i_one)
-    fn, im = cut(_parsed(f_names, "gvkey")), cut(_parsed(i_names, "institution_id"))
+    return Parts(cut(f_one), cut(i_one), cut(_parsed(f_names, "gvkey")), cut(_parsed(i_names, "institution_id")))
+
+
+def _met(i: DataFrame, f: DataFrame, seconds: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """institution_id, gvkey of equal values v of i(institution_id, v) and f(gvkey, v): all of them for a value of one firm; for one that several
+    have those that agree on one of ``seconds`` too, pairs of (institution_id, w) and (gvkey, w)."""
+    owned = f.filter("v is not null").groupBy("v").agg(F.min("gvkey").alias("gvkey"), F.max("gvkey").alias("_other"))
+    lone = owned.filter("gvkey = _other").select("v", "gvkey")
+    out = [i.hint("merge").join(lone, "v").select("institution_id", "gvkey")]
+    shared = f.join(owned.filter("gvkey <> _other").select("v"), "v", "left_semi")
+    for wi, wf in seconds:
+        left, right = i.hint("merge").join(wi, "institution_id"), shared.hint("merge").join(wf, "gvkey")
+        out.append(left.hint("merge").join(right, ["v", "w"]).select("institution_id", "gvkey"))
+    return reduce(lambda x, y: x.unionByName(y), out).distinct()
+
+
+def candidate_pairs(parts: Parts, earlier: DataFrame | None) -> DataFrame:
+    """institution_id, gvkey and a column per field of LEVELS, one row per candidate pair.
+
+    A ticker is made from a firm's name. Where the names of two bodies of unlike kinds share their word, a like acronym follows from it and
+    is no evidence of its own: it counts as missing."""
+    f_one, i_one, fn, im = parts
     level = _near_forms(im, fn)
     by_name = (
         im.withColumnRenamed("core", "core_a").hint("merge").join(level, ["kind", "core_a"]).join(fn.withColumnRenamed("core", "core_b").hint("merge"), ["kind", "core_b"])
         .groupBy("institution_id", "gvkey").agg(F.max("level").alias("name"))
     )
-    by_word = im.hint("merge").join(_lone(fn.select("gvkey", "core").distinct(), "core", "gvkey"), "core").select("institution_id", "gvkey", F.lit(1).alias("name")).distinct()
-    by_host = i_one.select("institution_id", F.explode("i_hosts").alias("host")).hint("merge").join(_lone(f_keys.select("gvkey", "host").distinct(), "host", "gvkey"), "host").select("institution_id", "gvkey", F.lit(0).alias("name"))
-    by_tic = i_one.select("institution_id", F.explode("acronyms").alias("tic")).hint("merge").join(_lone(f_keys.select("gvkey", "tic").distinct(), "tic", "gvkey"), "tic").select("institution_id", "gvkey", F.lit(0).alias("name"))
-    direct = cut(by_name.unionByName(by_word).unionByName(by_host).unionByName(by_tic).groupBy("institution_id", "gvkey").agg(F.max("name").alias("name")))
+    values = lambda df, key, c, n: df.select(key, F.explode(c).alias(n))
+    head = lambda df, key: df.select(key, F.left("core", F.lit(HEAD)).alias("w")).distinct()
+    cities = values(i_one, "institution_id", "i_cities", "w"), values(f_one, "gvkey", "f_cities", "w")
+    hosts = values(i_one, "institution_id", "i_hosts", "w"), values(f_one, "gvkey", "f_hosts", "w")
+    heads = head(im, "institution_id"), head(fn, "gvkey")
+    cores = im.select("institution_id", F.col("core").alias("v")).distinct(), fn.select("gvkey", F.col("core").alias("v")).distinct()
+    by_word = _met(*cores, [cities, hosts]).withColumn("name", F.lit(1))
+    by_host = cut(_met(values(i_one, "institution_id", "i_hosts", "v"), values(f_one, "gvkey", "f_hosts", "v"), [cities, heads]))
+    by_tic = _met(values(i_one, "institution_id", "acronyms", "v"), values(f_one, "gvkey", "tics", "v"), [cities, hosts, heads])
+    unnamed = by_host.unionByName(by_tic).withColumn("name", F.lit(0))
+    direct = cut(by_name.unionByName(by_word).unionByName(unnamed).groupBy("institution_id", "gvkey").agg(F.max("name").alias("name")))
     parents = i_one.select("institution_id", F.explode("parents").alias("parent_id")).filter("parent_id <> institution_id").hint("merge")
     # a relative counts as the firm by its name, or, where it goes by another name, by its host or its children
-    via_child = parents.join(direct.filter("name >= 3").select("institution_id", "gvkey"), "institution_id").select(F.col("parent_id").alias("institution_id"), "gvkey").distinct()
-    known = direct.filter("name >= 2").select("institution_id", "gvkey").unionByName(by_host.select("institution_id", "gvkey")).unionByName(via_child).distinct()
+    via_child = cut(parents.join(direct.filter("name >= 3").select("institution_id", "gvkey"), "institution_id").select(F.col("parent_id").alias("institution_id"), "gvkey").distinct())
+    known = direct.filter("name >= 2").select("institution_id", "gvkey").unionByName(by_host).unionByName(via_child).distinct()
     via_parent = parents.join(known.withColumnRenamed("institution_id", "parent_id"), "parent_id").select("institution_id", "gvkey").distinct()
     pairs = (
         direct.withColumns({"p": F.lit(0), "c": F.lit(0)})
@@ -162,82 +203,141 @@ def candidate_pairs(inst: DataFrame, firms: DataFrame, earlier: DataFrame | None
     if earlier is None:
         pairs = pairs.withColumn("earlier", F.lit(1))
     else:
-        sure = F.when(F.col("match_confidence") > 1, F.col("match_confidence") / 100).otherwise(F.col("match_confidence"))
-        before = earlier.select("institution_id", F.lpad(F.trim("gvkey"), 6, "0").alias("e_gvkey"), sure.alias("sure")).filter("institution_id is not null and e_gvkey is not null")
-        before = before.groupBy("institution_id").agg(F.collect_set("e_gvkey").alias("e_gvkeys"))
+        before = _earlier_pairs(earlier).groupBy("institution_id").agg(F.collect_set("e_gvkey").alias("e_gvkeys"))
         pairs = pairs.join(before.hint("merge"), "institution_id", "left").withColumn("earlier", F.when(F.col("e_gvkeys").isNull(), 1).when(F.array_contains("e_gvkeys", F.lpad("gvkey", 6, "0")), 2).otherwise(0))
     return pairs.select(
         "institution_id", "gvkey", "name", _agree(F.col("i_hosts"), F.col("f_hosts")).alias("host"), _agree(F.col("i_countries"), F.col("f_countries")).alias("country"), _agree(F.col("i_cities"), F.col("f_cities")).alias("city"),
-        _agree(F.col("acronyms"), F.col("tics")).alias("acronym"), F.when(F.size("parents") == 0, 1).when(F.col("p") == 1, 2).otherwise(0).alias("parent"), "child", "earlier", (1 - F.coalesce("academic", F.lit(0))).alias("academic"),
+        F.when((F.col("name") == 1) & F.arrays_overlap("acronyms", "tics"), 1).otherwise(_agree(F.col("acronyms"), F.col("tics"))).alias("acronym"), F.when(F.size("parents") == 0, 1).when(F.col("p") == 1, 2).otherwise(0).alias("parent"), "child", "earlier", (1 - F.coalesce("academic", F.lit(0))).alias("academic"),
     )
 
 
-def _share(df: DataFrame, owner: str, *value: str) -> float:
-    """Ordered pairs of different owners that share a value, counted from the owners of each value."""
-    got = df.dropna().distinct().groupBy(*value).agg(F.countDistinct(owner).cast("double").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("s")).first()["s"]
-    return got or 0.0
+def _earlier_pairs(earlier: DataFrame) -> DataFrame:
+    e = earlier.select("institution_id", F.lpad(F.trim("gvkey"), 6, "0").alias("e_gvkey"))
+    return e.filter("institution_id is not null and e_gvkey is not null").distinct()
 
 
-def chance_levels(inst: DataFrame, firms: DataFrame) -> tuple[dict[str, np.ndarray], float]:
-    """(u by field, pairs of an institution and a firm). Half an observation is added to every level."""
-    f_one, f_names, f_keys = firms_view(firms)
-    i_one, _ = institutions_view(inst)
-    fn = cut(_parsed(f_names, "gvkey"))
-    size = F.sum
-    lacks = lambda *cs: [size((F.size(c) == 0).cast("double")).alias(c) for c in cs]
+def _share(df: DataFrame, owner: str, *value: str) -> DataFrame:
+    """One row: ordered pairs of different owners that share a value, counted from the owners of each value."""
+    got = df.dropna().distinct().groupBy(*value).agg(F.count("*").cast("double").alias("n"))
+    return got.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1)), F.lit(0.0)).alias("s"))
+
+
+def chance_levels(parts: Parts, earlier: DataFrame | None) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray], float]:
+    """(chance of the levels of name, host, country, city and acronym among pairs of firms; counts of the levels of all fields over all pairs of
+    an institution and a firm, where what only candidates can have is left open; the number of these pairs). A few small jobs."""
+    f_one, i_one, fn, im = parts
+    total = lambda c, n: F.coalesce(F.sum(c.cast("double")), F.lit(0.0)).alias(n)
+    lacks = lambda *cs: [total(F.size(c) == 0, c) for c in cs]
     f = f_one.agg(F.count("*").cast("double").alias("n"), *lacks("tics", "f_hosts", "f_countries", "f_cities")).first()
-    i = i_one.agg(F.count("*").cast("double").alias("n"), *lacks("acronyms", "i_hosts", "i_countries", "i_cities", "parents")).first()
+    i = i_one.agg(F.count("*").cast("double").alias("n"), *lacks("acronyms", "i_hosts", "i_countries", "i_cities", "parents"), total(F.coalesce("academic", F.lit(0)) == 1, "schools")).first()
     nf, ni = max(f["n"], 1.0), max(i["n"], 1.0)
     pairs = nf * nf
     forms = fn.groupBy("kind", "core").agg(F.count("*").cast("double").alias("n"))
     met = _near_forms(fn, fn).join(forms.select("kind", F.col("core").alias("core_a"), F.col("n").alias("na")), ["kind", "core_a"]).join(forms.select("kind", F.col("core").alias("core_b"), F.col("n").alias("nb")), ["kind", "core_b"])
-    near = {r["level"]: r["n"] for r in met.groupBy("level").agg(F.sum(F.col("na") * F.when(F.col("core_a") == F.col("core_b"), F.col("nb") - 1).otherwise(F.col("nb"))).alias("n")).collect()}
-    word = _share(fn.select("gvkey", "core"), "gvkey", "core") - _share(fn, "gvkey", "kind", "core")
-    name = np.array([0.0, max(word, 0.0), near.get(2, 0.0), near.get(3, 0.0), near.get(4, 0.0)])
+    near = met.groupBy("level").agg(F.sum(F.col("na") * F.when(F.col("core_a") == F.col("core_b"), F.col("nb") - 1).otherwise(F.col("nb"))).alias("s")).select(F.col("level").cast("string").alias("what"), "s")
+    exploded = lambda c: f_one.select("gvkey", F.explode(c).alias("v"))
+    shares = {"word": (fn.select("gvkey", "core"), "core"), "form": (fn, "kind", "core")} | {c: (exploded(c), "v") for c in ("f_hosts", "f_countries", "f_cities", "tics")}
+    told = near
+    n_of = lambda df, *v: df.dropna().distinct().groupBy(*v).agg(F.count("*").cast("double").alias("n"))
+    across = lambda a, b, *v: n_of(a, *v).join(n_of(b, *v).withColumnRenamed("n", "k").hint("merge"), list(v)).agg(F.coalesce(F.sum(F.col("n") * F.col("k")), F.lit(0.0)).alias("s"))
+    side = lambda c: i_one.select("institution_id", F.explode(c).alias("v"))
+    crossed = {f"i_{fc}": across(side(ic), exploded(fc), "v") for fc, ic in (("f_hosts", "i_hosts"), ("f_countries", "i_countries"), ("f_cities", "i_cities"), ("tics", "acronyms"))}
+    crossed |= {"i_word": across(im.select("institution_id", "core"), fn.select("gvkey", "core"), "core"), "i_form": across(im, fn, "kind", "core")}
+    for what, one in crossed.items():
+        told = told.unionByName(one.select(F.lit(what).alias("what"), "s"))
+    for what, (df, *value) in shares.items():
+        told = told.unionByName(_share(df, "gvkey", *value).select(F.lit(what).alias("what"), "s"))
+    got = {r["what"]: r["s"] or 0.0 for r in told.collect()}  # a row per level and field
+    name = np.array([0.0, max(got["word"] - got["form"], 0.0), got.get("2", 0.0), got.get("3", 0.0), got.get("4", 0.0)])
     name[0] = pairs - name.sum()
     u = {"name": name}
-    exploded = lambda c: f_one.select("gvkey", F.explode(c).alias("v"))
     for field, fc, ic in (("host", "f_hosts", "i_hosts"), ("country", "f_countries", "i_countries"), ("city", "f_cities", "i_cities"), ("acronym", "tics", "acronyms")):
         missing = 1 - (1 - f[fc] / nf) * (1 - i[ic] / ni)
-        agree = _share(exploded(fc), "gvkey", "v") * (1 - i[ic] / ni)
+        agree = got[fc] * (1 - i[ic] / ni)
         u[field] = np.array([max(pairs * (1 - missing) - agree, 0.0), pairs * missing, agree])
-    orphan = i["parents"] / ni
-    stray = nf * (1 - orphan) * STRAY  # by chance a relative is of any firm with equal odds
-    u["parent"] = np.array([pairs * (1 - orphan), pairs * orphan, stray])
-    u["child"] = np.array([pairs, stray])
-    return {k: (v + 0.5) / (v + 0.5).sum() for k, v in u.items()}, ni * nf
-
-
-def expectation_maximisation(patterns: pd.DataFrame, chance: dict[str, np.ndarray], pairs: float, rounds: int = 200) -> np.ndarray:
-    """Posterior of each row of ``patterns``: one column per field of LEVELS and the count n. Levels are independent given the class.
-
-    ``chance`` holds the known u; those of other fields are estimated too. The start takes pairs whose names agree for likely matches.
-    ``pairs`` counts all pairs, of which those that aren't candidates are non-matches. Each step adds half an observation to every level.
+    every, known, agreed = ni * nf, 0.0, 0.0
+    if earlier is not None:
+        e = _earlier_pairs(earlier).join(i_one.select("institution_id").hint("merge"), "institution_id", "left_semi").agg(F.countDistinct("institution_id").alias("i"), F.count("*").alias("n")).first()
+        known, agreed = float(e["i"]), float(e["n"])
+    whole = np.array([0.0, max(got["i_word"] - got["i_form"], 0.0), 0.0, 0.0, 0.0])  # of names only the shared word is counted over all pairs
+    overall = {"name": whole}
+    for field, fc, ic in (("host", "f_hosts", "i_hosts"), ("country", "f_countries", "i_countries"), ("city", "f_cities", "i_cities"), ("acronym", "tics", "acronyms")):
+        missing = every * (1 - (1 - f[fc] / nf) * (1 - i[ic] / ni))
+        overall[field] = np.array([max(every - missing - got[f"i_{fc}"], 0.0), missing, got[f"i_{fc}"]])
+    overall |= {
+        "parent": np.array([every - i["parents"] * nf, i["parents"] * nf, 0.0]), "child": np.array([every, 0.0]),
+        "earlier": np.array([known * nf - agreed, every - known * nf, agreed]), "academic": np.array([i["schools"] * nf, every - i["schools"] * nf]),
+    }
+    return {k: v / pairs for k, v in u.items()}, overall, every
+
+
+class Model(NamedTuple):
+    m: dict[str, np.ndarray]
+    u: dict[str, np.ndarray]
+    prior: float
+
+    def posterior(self, levels: pd.DataFrame) -> np.ndarray:
+        """The chance that a pair with these levels (a column per field) is a match. Levels are independent given the class."""
+        seen = {f: levels[f].to_numpy(int) for f in LEVELS}
+        a = np.log(self.prior) + sum(np.log(self.m[f][seen[f]]) for f in LEVELS)
+        b = np.log(1 - self.prior) + sum(np.log(self.u[f][seen[f]]) for f in LEVELS)
+        return 1 / (1 + np.exp(np.clip(b - a, -500, 500)))
+
+
+def expectation_maximisation(patterns: pd.DataFrame, chance: dict[str, np.ndarray], overall: dict[str, np.ndarray], pairs: float, rounds: int = 200) -> tuple[Model, np.ndarray]:
+    """The model of ``patterns`` (one column per field of LEVELS and the count n) and the posterior of each of its rows.
+
+    u comes from the levels over all pairs (``overall``, and for relatives what candidates agree on) less those of the matches; where known
+    non-matches (``chance``) agree more often, they count instead. The start takes pairs whose names agree for likely matches. ``pairs``
+    counts all pairs, of which those that aren't candidates are non-matches. Each step adds WEIGHT observations of MATCHES to the matches and
+    half an observation to every level of the rest. A pair is judged by the others: its own share is taken out of the counts that judge it,
+    so that a lone odd pair can't vouch for itself.
     """
     n = patterns["n"].to_numpy(float)
     seen = {f: patterns[f].to_numpy(int) for f in LEVELS}
-    m, u = {}, dict(chance)
-    post = np.select([seen["name"] >= 3, seen["name"] == 2], [0.9, 0.7], 0.1)
     everything = max(pairs, n.sum())
-
-    def maximise(post: np.ndarray) -> float:
+    held = {}
+    for f, counts in overall.items():
+        agree = np.bincount(seen[f], weights=n, minlength=LEVELS[f])
+        held[f] = counts.copy()
+        if f in ("parent", "child"):  # whatever agrees is a candidate
+            held[f][-1] = agree[-1]
+            held[f][0] = max(held[f][0] - agree[-1], 0.0)
+
+    def maximise(post: np.ndarray) -> tuple[Model, np.ndarray]:
+        """The model, and each vector's posterior by the counts without one pair of its own."""
+        m, u, odds = {}, {}, np.zeros(len(n))
         for f, k in LEVELS.items():
-            up = np.bincount(seen[f], weights=post * n, minlength=k) + 0.5
-            m[f] = up / up.sum()
-            if f not in chance:
-                down = np.bincount(seen[f], weights=(1 - post) * n, minlength=k) + 0.5
-                u[f] = down / down.sum()
-        return float(np.clip((post * n).sum() / everything, 1e-12, 0.5))
-
-    prior = maximise(post)
+            up = np.bincount(seen[f], weights=post * n, minlength=k)
+            more = up + WEIGHT * np.array(MATCHES[f])
+            m[f] = more / more.sum()
+            down = np.maximum(held[f] - up, 0.0)
+            if f in chance:
+                down[1:] = np.maximum(down, chance[f] * everything)[1:]
+                down[0] = max(everything - down[1:].sum(), 0.0)
+            less = down + 0.5
+            u[f] = less / less.sum()
+            at = seen[f]
+            odds += np.log((more[at] - post) / (more.sum() - post)) - np.log(np.maximum(less[at] - (1 - post), 0.5) / less.sum())
+        prior = float(np.clip((post * n).sum() / everything, 1e-12, 0.5))
+        return Model(m, u, prior), 1 / (1 + np.exp(np.clip(-odds - np.log(prior / (1 - prior)), -500, 500)))
+
+    post = np.select([seen["name"] >= 3, seen["name"] == 2], [0.9, 0.7], 0.1)
     for _ in range(rounds):
-        a = np.log(prior) + sum(np.log(m[f][seen[f]]) for f in LEVELS)
-        b = np.log(1 - prior) + sum(np.log(u[f][seen[f]]) for f in LEVELS)
-        new = 1 / (1 + np.exp(np.clip(b - a, -500, 500)))
-        if np.abs(new - post).max(initial=0) < 1e-9:
+        model, new = maximise(post)
+        moved, post = np.abs(new - post).max(initial=0), new
+        if moved < 1e-9:
             break
-        post, prior = new, maximise(new)
-    return post
+    return model, post
+
+
+def fit(pairs: DataFrame, parts: Parts, earlier: DataFrame | None) -> tuple[Model | None, pd.DataFrame]:
+    """The model, and its posterior of each vector of levels that occurs."""
+    patterns = pairs.groupBy(*LEVELS).agg(F.count("*").alias("n")).toPandas()  # bounded by the product of LEVELS
+    if patterns.empty:
+        return None, patterns
+    model, post = expectation_maximisation(patterns, *chance_levels(parts, earlier))
+    return model, patterns.assign(match_confidence=post)
 
 
 def link(inst: DataFrame, firms: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
@@ -245,25 +345,17 @@ def link(inst: DataFrame, firms: DataFrame, earlier: DataFrame | None = None) ->
 
     Rows that are repeated, or that spread one institution or firm over several, are one record; rows without an id are left out.
     """
-    pairs = cut(candidate_pairs(inst, firms, earlier))
-    patterns = pairs.groupBy(*LEVELS).agg(F.count("*").alias("n")).toPandas()  # bounded by the product of LEVELS
+    parts = read_parts(inst, firms)
+    pairs = cut(candidate_pairs(parts, earlier))
+    _, patterns = fit(pairs, parts, earlier)
     if patterns.empty:
         return pairs.withColumn("match_confidence", F.lit(None).cast("double"))
-    patterns["match_confidence"] = expectation_maximisation(patterns, *chance_levels(inst, firms))
-    spark = inst.sparkSession
-    table = spark.createDataFrame(patterns[[*LEVELS, "match_confidence"]].astype({f: "int32" for f in LEVELS}))
-    return pairs.join(F.broadcast(table), list(LEVELS))
+    table = inst.sparkSession.createDataFrame(patterns[[*LEVELS, "match_confidence"]].astype({f: "int32" for f in LEVELS}))
+    return pairs.join(F.broadcast(table), list(LEVELS))  # as many rows as vectors of levels occur
 
 
 def best_links(scored: DataFrame) -> DataFrame:
-    """One firm per institution, if it has a link: a firm of its own name before one of its relatives, then that of greatest confidence
-    (ties: more name agreement, then the smaller gvkey).
-
-    An exact check follows the model: an acronym, a word or a web host alone proves nothing, so a link also needs the name of the same
-    kind of body, or a parent or child that has it.
-    """
-    kept = scored.filter((F.col("match_confidence") >= THRESHOLD) & ((F.col("name") >= 2) | (F.col("parent") == 2) | (F.col("child") == 1)))
-    rank = F.struct((F.col("name") >= 2).alias("named"), "match_confidence", "name")
-    ranked = kept.withColumn("rank", rank)
-    top = ranked.groupBy("institution_id").agg(F.max("rank").alias("top"))
-    return ranked.join(top, "institution_id").filter("rank = top").groupBy("institution_id").agg(F.min("gvkey").alias("gvkey"), F.max("match_confidence").alias("match_confidence"))
+    """One firm per institution, if any reaches THRESHOLD: that of greatest confidence (ties: more name agreement, then the smaller gvkey)."""
+    kept = scored.filter(F.col("match_confidence") >= THRESHOLD)
+    best = kept.groupBy("institution_id").agg(F.min(F.struct((-F.col("match_confidence")).alias("c"), (-F.col("name")).alias("n"), "gvkey")).alias("b"))
+    return best.select("institution_id", "b.gvkey", (-F.col("b.c")).alias("match_confidence"))
