@@ -20,39 +20,42 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orgweave.shared import cut, spread
 
-#: The languages told apart, in the order of their bits, and the names and codes of each (fixed values).
+#: The languages told apart, in the order of their bits (16 at most), and the names and codes of each (fixed values).
 LABELS = {
-    "en": "en eng english anglais englisch ingles inglese engels",
-    "de": "de deu ger german deutsch allemand aleman tedesco duits",
-    "fr": "fr fra fre french francais franzosisch frances francese frans",
-    "es": "es spa spanish espanol espagnol spanisch castellano castilian spagnolo spaans",
-    "pt": "pt por portuguese portugues portugais portugiesisch portoghese portugees",
-    "it": "it ita italian italiano italien italienisch italiaans",
-    "nl": "nl nld dut dutch nederlands neerlandais niederlandisch holandes olandese flemish vlaams",
-    "ru": "ru rus russian russkij russkii русскии русский russe russisch ruso russo",
-    "zh": "zh zho chi chinese cmn zhongwen 中文 汉语 漢語 chinois chinesisch chino cinese",
-    "ja": "ja jpn japanese nihongo 日本語 japonais japanisch japones giapponese",
+    "en": ("en", "eng", "english", "anglais", "englisch", "ingles", "inglese", "engels"),
+    "de": ("de", "deu", "ger", "german", "deutsch", "allemand", "aleman", "tedesco", "duits"),
+    "fr": ("fr", "fra", "fre", "french", "francais", "franzosisch", "frances", "francese", "frans"),
+    "es": ("es", "spa", "spanish", "espanol", "espagnol", "spanisch", "castellano", "castilian", "spagnolo", "spaans"),
+    "pt": ("pt", "por", "portuguese", "portugues", "portugais", "portugiesisch", "portoghese", "portugees"),
+    "it": ("it", "ita", "italian", "italiano", "italien", "italienisch", "italiaans"),
+    "nl": ("nl", "nld", "dut", "dutch", "nederlands", "neerlandais", "niederlandisch", "holandes", "olandese", "flemish", "vlaams"),
+    "ru": ("ru", "rus", "russian", "russkij", "russkii", "русскии", "русский", "russe", "russisch", "ruso", "russo"),
+    "zh": ("zh", "zho", "chi", "chinese", "cmn", "zhongwen", "中文", "汉语", "漢語", "chinois", "chinesisch", "chino", "cinese"),
+    "ja": ("ja", "jpn", "japanese", "nihongo", "日本語", "japonais", "japanisch", "japones", "giapponese"),
 }
 CODES = tuple(LABELS)
-#: Labelled documents per language that the model is fitted on, n-grams that it keeps per language, and the words of the filter.
-TRAIN_DOCS, TRAIN_GRAMS, FILTER_BITS, HASHES = 2000, 60_000, 20, 3
+#: Labelled documents per language that the model is fitted on, and the size of the filter (a power of 2) and its hashes.
+TRAIN_DOCS, FILTER_BITS, HASHES = 2000, 22, 3
 #: An n-gram is a language's if it is in this share as many of its texts as in those of the language that has it most: by the labels
 #: as given, and once the sample has been read by that first model.
 RARER_BY_LABEL, RARER = 0.5, 0.25
 #: What two letters of a script without spaces count against four letters of one with spaces: about as much text.
 PAIR_WEIGHT = 3
-#: Least n-grams of a sentence that can be told, least share of them found, and least lead over the language of the rest of the text.
-LEAST_GRAMS, LEAST_SHARE, LEAST_LEAD = 12, 0.5, 0.15
+#: A sentence is in another language than the rest of the text if that language has this share of its n-grams at least, leads by this, and
+#: the lead is this sure for as many n-grams as there are: a few are enough if they are plain.
+LEAST_SHARE, LEAST_LEAD, SURE = 0.5, 0.15, 0.999
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
-_SENTENCE = re.compile(r".+?(?:[.!?…]+[\"”»’')\]]*(?=\s|$)|[。！？]+[\"”」』）]*|\n+|$)", re.S)
-_END = re.compile(r"[.!?…。！？][\"”»’')\]」』）]*\s*$")
-_NO_SENTENCE = re.compile(r"^\s*[\w -]{0,20}(keywords?|schl[uü]sselw[oö]rter|schlagw[oö]rter|mots[- ]cl[eé]s?|palabras? clave|palavras?[- ]chave|parole chiave|trefwoorden|ключевые слова|关键词|關鍵詞|キーワード)\s*[:：]", re.I)
+_SENTENCE = re.compile(r".+?(?:([.!?…]+[\"”»’')\]]*(?=\s|$)|[。！？]+[\"”」』）]*)|\n+|$)", re.S)
+#: A label and a colon before three or more items of a few words each: a list of keywords, no sentence.
+_LIST = re.compile(r"\s*[^\W\d_][^:：,;，；、\n]{0,24}[:：]((?:[^,;，；、·]{1,60}[,;，；、·]){2,}[^,;，；、·]{1,60})$")
+#: Web and mail addresses are in no language.
+_ADDRESS = re.compile(r"(?:https?://|www\.)[^\s\x00]+|[^\s\x00@]+@[^\s\x00@]+\.[^\s\x00@]+")
 
 
 def label_code(lang: Column) -> Column:
@@ -60,18 +63,18 @@ def label_code(lang: Column) -> Column:
     bare = F.lower(F.trim(F.coalesce(lang, F.lit(""))))
     bare = F.translate(bare, "áàâãäçéèêëíìîïñóòôõöúùûüй", "aaaaaceeeeiiiinooooouuuuи")
     first = F.substring_index(F.substring_index(F.substring_index(bare, "-", 1), "_", 1), " ", 1)
-    table = F.create_map(*[F.lit(x) for code, names in LABELS.items() for n in dict.fromkeys(names.split()) for x in (n, code)])
+    table = F.create_map(*[F.lit(x) for code, names in LABELS.items() for n in dict.fromkeys(names) for x in (n, code)])
     return table[first]
 
 
 def letters(text: str) -> str:
-    """Lower case, runs of anything but letters and marks as one space."""
-    return re.sub(r"[\W\d_]+", " ", unicodedata.normalize("NFC", text).lower())
+    """Lower case without addresses, runs of anything but letters and marks as one space; pieces between zero characters stay apart."""
+    return re.sub(r"(?:[^\w\x00]|[\d_])+", " ", _ADDRESS.sub(" ", unicodedata.normalize("NFC", text)).lower())
 
 
 def grams(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(n-grams as integers, index of the piece each comes from, its weight) of pieces prepared by ``letters``."""
-    joined = "\x00".join(f" {p.strip()} " for p in pieces)
+    """(n-grams as integers, index of the piece each comes from, its weight) of raw pieces."""
+    joined = letters("\x00".join(f" {p.replace(chr(0), ' ')} " for p in pieces))
     c = np.frombuffer(joined.encode("utf-16-le", "surrogatepass"), dtype=np.uint16).astype(np.uint64)
     at = np.cumsum(c == 0)
     if len(c) < 4:
@@ -116,74 +119,74 @@ class Filter:
 
 
 def sentences(text: str) -> list[tuple[int, int, bool]]:
-    """(start, end, whole) of the sentences of a text; a keyword list, or a piece without an end, is not a whole one."""
-    out = []
-    for m in _SENTENCE.finditer(text):
-        s = m[0]
-        if s.strip():
-            out.append((m.start(), m.end(), bool(_END.search(s)) and not _NO_SENTENCE.match(s)))
-    return out
+    """(start, end, whole) of the sentences of a text; a list of keywords, or a piece without an end, is not a whole one."""
+    return [(m.start(), m.end(), m.start(1) >= 0 and not _is_list(m[0])) for m in _SENTENCE.finditer(text) if not m[0].isspace()]
 
 
-def confidence(n: float, first: float, second: float) -> float:
+def _is_list(sentence: str) -> bool:
+    m = _LIST.match(sentence)
+    return m is not None and all(len(x.split()) <= 4 for x in re.split("[,;，；、·]", m[1]))
+
+
+def confidence(n: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """How sure the first language is: 0.5 for a draw, near 1 for a clear lead over many n-grams."""
-    return float(1 / (1 + np.exp(-min(50.0, np.sqrt(max(n, 1)) * (first - second) * 4))))
-
-
-def read_documents(texts: list[str], model: Filter) -> list[list[tuple[str, int, int, float, bool]]]:
-    """Segments (language, start, end, confidence, has a whole sentence) of each text; none for a text without words."""
-    spans: list[tuple[int, int, int, bool]] = []
-    pieces: list[str] = []
-    for d, t in enumerate(texts):
-        for a, b, whole in sentences(t):
-            spans.append((d, a, b, whole))
-            pieces.append(letters(t[a:b]))
-    out: list[list] = [[] for _ in texts]
-    if not pieces:
-        return out
-    n, share = model.shares(pieces)
-    owner = np.array([s[0] for s in spans])
-    edges = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]).tolist() + [len(owner)]
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        weight = n[lo:hi, None] * share[lo:hi]
-        total, all_n = weight.sum(0), n[lo:hi].sum()
-        if all_n < 3 or total.max() <= 0:
-            continue
-        main = int(total.argmax())
-        langs, sure = [], []
-        for k in range(lo, hi):
-            order = np.argsort(-share[k])
-            best = int(order[0])
-            told = n[k] >= LEAST_GRAMS and share[k, best] >= LEAST_SHARE and share[k, best] - share[k, main] >= LEAST_LEAD
-            pick = best if told else main
-            rest = max(share[k, j] for j in range(len(CODES)) if j != pick)
-            langs.append(pick)
-            sure.append(confidence(n[k], share[k, pick], rest) if n[k] else 0.5)
-        # sentences that can't be told go with their neighbour before
-        segs: list[list] = []
-        for k in range(lo, hi):
-            lang, whole = langs[k - lo], spans[k][3] and n[k] >= LEAST_GRAMS
-            weak = n[k] < LEAST_GRAMS
-            if segs and (segs[-1][0] == lang or weak):
-                segs[-1][2] = spans[k][2]
-                segs[-1][3].append((sure[k - lo], n[k]))
-                segs[-1][4] |= whole and segs[-1][0] == lang
-            else:
-                segs.append([lang, spans[k][1], spans[k][2], [(sure[k - lo], n[k])], whole])
-        if len(edges) and not any(s[4] for s in segs):  # nothing but pieces: the text is one of its main language
-            segs = [[main, spans[lo][1], spans[hi - 1][2], [(confidence(all_n, total[main] / all_n, np.partition(total, -2)[-2] / all_n), all_n)], True]]
-        d = spans[lo][0]
-        for lang, a, b, conf, whole in segs:
-            w = sum(x[1] for x in conf) or 1
-            out[d].append((CODES[lang], a, b, sum(c * max(x, 0) for c, x in conf) / w if w else 0.5, bool(whole)))
-    return out
+    return 1 / (1 + np.exp(-np.minimum(50.0, np.sqrt(np.maximum(n, 0)) * (first - second) * 4)))
+
+
+def _best_two(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the greatest, the greatest, the second) of each row; the first of equals."""
+    top = x.argmax(1)
+    rest = x.copy()
+    rest[np.arange(len(x)), top] = -1
+    return top, x[np.arange(len(x)), top], rest.max(1)
+
+
+def read_documents(texts: list[str], model: Filter) -> pd.DataFrame:
+    """Segments (doc: place in ``texts``, lang_code, start, end, confidence, whole) in their order; none for a text without words.
+
+    All sentences of all texts are decided at once, in arrays."""
+    spans = [(d, *s) for d, t in enumerate(texts) for s in sentences(t)]
+    empty = pd.DataFrame({"doc": [], "lang_code": [], "start": [], "end": [], "confidence": [], "whole": []})
+    if not spans:
+        return empty
+    owner, start, end, whole = (np.array(x) for x in zip(*spans))
+    n, share = model.shares([texts[d][a:b] for d, a, b, _ in spans])
+    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])  # the first sentence of each text
+    size = np.diff(np.r_[first, len(owner)])
+    total, all_n = np.add.reduceat(n[:, None] * share, first), np.add.reduceat(n, first)
+    main, most, other = _best_two(total)
+    has_words = (all_n >= 3) & (most > 0)
+    of = np.repeat(np.arange(len(first)), size)
+    every = np.arange(len(owner))
+    best, top, second = _best_two(share)
+    mine = share[every, main[of]]
+    told = (best != main[of]) & (top >= LEAST_SHARE) & (top - mine >= LEAST_LEAD) & (confidence(n, top, mine) >= SURE)
+    pick = np.where(told, best, main[of])
+    rest = np.where(best == pick, second, top)
+    sure = np.where(n > 0, confidence(n, share[every, pick], rest), 0.5)
+    # sentences that can't be told go with their neighbour before
+    weak = ~told & (sure < SURE)
+    weak[first] = False
+    lang = pick[np.maximum.accumulate(np.where(weak, 0, every))]
+    whole = whole & (lang == pick)
+    # a text of nothing but pieces is one of its main language
+    bare = ~np.logical_or.reduceat(whole & (n > 0), first)
+    lang, whole = np.where(bare[of], main[of], lang), whole & (n > 0) | bare[of]
+    at = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (lang[1:] != lang[:-1])])
+    weight = np.add.reduceat(n, at)
+    mean = np.add.reduceat(sure * n, at) / np.maximum(weight, 1e-9)
+    flat = confidence(all_n, most / np.maximum(all_n, 1e-9), other / np.maximum(all_n, 1e-9))
+    mean = np.where(bare[of[at]], flat[of[at]], np.where(weight > 0, mean, 0.5))
+    last = np.r_[at[1:], len(owner)] - 1
+    out = pd.DataFrame({"doc": owner[at], "lang_code": np.array(CODES)[lang[at]], "start": start[at], "end": end[last], "confidence": mean, "whole": np.logical_or.reduceat(whole, at)})
+    return out[has_words[of[at]]]
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Filter:
     """The filter of the languages of a table with (partly wrong) labels.
 
-    The sample is bounded: about TRAIN_DOCS documents per label, by a hash of the key; the driver receives at most TRAIN_GRAMS n-grams
-    per language.
+    The sample is bounded: about TRAIN_DOCS documents per label, by a hash of the key; the driver receives the n-grams of these, of which
+    those of one text only say nothing.
     """
     labelled = docs.select(F.col(text).alias("text"), label_code(F.col(lang)).alias("code"), F.xxhash64(key).alias("h")).filter("code is not null and text is not null")
     sizes = {r["code"]: r["count"] for r in labelled.groupBy("code").count().collect()}
@@ -204,7 +207,7 @@ def _fit_texts(texts: DataFrame, rarer: float) -> Filter:
         for pdf in batches:
             rows = []
             for code, part_ in pdf.groupby("code"):
-                g, at, _ = grams([letters(t) for t in part_["text"]])
+                g, at, _ = grams(list(part_["text"]))
                 pairs = np.unique(np.stack([g, at.astype(np.uint64)]), axis=1)
                 values, df = np.unique(pairs[0], return_counts=True)
                 rows.append(pd.DataFrame({"code": code, "gram": values.view(np.int64), "df": df}))
@@ -218,9 +221,8 @@ def _fit_texts(texts: DataFrame, rarer: float) -> Filter:
     rate = F.col("df") / F.create_map(*[F.lit(x) for c, k in n.items() for x in (c, k)])[F.col("code")]
     rated = cut(counts.withColumn("rate", rate))
     top = rated.groupBy("gram").agg(F.max("rate").alias("most"))
-    kept = rated.join(top, "gram").filter(F.col("rate") >= rarer * F.col("most"))
-    ranked = kept.withColumn("no", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("rate"), "gram"))).filter(F.col("no") <= TRAIN_GRAMS)
-    got = ranked.select("code", "gram").toPandas()
+    kept = rated.join(top, "gram").filter((F.col("rate") >= rarer * F.col("most")) & (F.col("df") > 1))
+    got = kept.select("code", "gram").toPandas()
     return Filter({c: g["gram"].to_numpy(np.int64).view(np.uint64) for c, g in got.groupby("code")})
 
 
@@ -237,7 +239,7 @@ def segments(docs: DataFrame, model: Filter, key: str = "doc_id", text: str = "t
 
     ``whole`` says that the segment has a whole sentence. Null, empty and wordless texts have no segments; rows without a key are left out.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast((model.table, model.false_rate))  # 2 MB, whatever the size of the tables
+    shipped = docs.sparkSession.sparkContext.broadcast((model.table, model.false_rate))  # 8 MB, whatever the size of the tables
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         local = Filter.__new__(Filter)
@@ -245,10 +247,15 @@ def segments(docs: DataFrame, model: Filter, key: str = "doc_id", text: str = "t
         for pdf in batches:
             ends = np.cumsum(pdf["text"].str.len().to_numpy()) // _CHUNK
             for _, part in pdf.groupby(ends):
-                rows = []
-                for doc, label, t, segs in zip(part["doc_id"], part["label"], part["text"], read_documents(part["text"].tolist(), local)):
-                    rows += [(doc, label, i, s[0], s[3], s[1], s[2], s[4], t[s[1] : s[2]] if keep_text else None) for i, s in enumerate(segs, 1)]
-                yield pd.DataFrame(rows, columns=_SEGMENTS.names)
+                texts = part["text"].tolist()
+                segs = read_documents(texts, local)
+                at = segs["doc"].to_numpy(int)
+                made = pd.DataFrame({
+                    "doc_id": part["doc_id"].to_numpy()[at], "label": part["label"].to_numpy()[at], "segment_no": segs.groupby("doc").cumcount().to_numpy() + 1, "lang_code": segs["lang_code"].to_numpy(),
+                    "confidence": segs["confidence"].to_numpy(float), "start": segs["start"].to_numpy(int), "end": segs["end"].to_numpy(int), "whole": segs["whole"].to_numpy(bool),
+                })
+                made["text"] = [texts[d][a:b] for d, a, b in zip(at, made["start"], made["end"])] if keep_text else None
+                yield made[_SEGMENTS.names]
 
     rows = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), label_code(F.col(lang)).alias("label"))
     return spread(rows).mapInPandas(run, _SEGMENTS)
