@@ -83,3 +83,14 @@ def report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     out = wanted.join(used, ["mix_name", "source"], "left").na.fill(0, ["tokens_used", "documents", "most_copies"])
     total = F.sum("tokens_used").over(Window.partitionBy("mix_name"))
     return out.select("mix_name", "source", "target_share", F.round(F.try_divide(F.col("tokens_used"), total), 6).alias("actual_share"), "tokens_used", "documents", "most_copies", "max_repeats")
+
+
+def check(mixed: DataFrame, docs: DataFrame, targets: DataFrame) -> DataFrame:
+    """What must hold of any mix of docs(doc_id, source, tokens): mix_name, source, over_repeats (documents used too often), over_budget and
+    short (1 if the source gives more than its share of the largest possible mix, or falls short of it by a document or more)."""
+    p = plan(docs, targets)
+    used = mixed.groupBy("mix_name", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used"), F.max("copies").alias("most"))
+    longest = docs.groupBy("source").agg(F.max("tokens").alias("longest"))
+    both = p.join(used, ["mix_name", "source"], "left").join(longest, "source", "left").na.fill(0, ["used", "most", "longest"])
+    flag = lambda c, n: c.cast("int").alias(n)
+    return both.select("mix_name", "source", flag(F.col("most") > F.col("max_repeats"), "over_repeats"), flag(F.col("used") > F.col("budget"), "over_budget"), flag((F.col("budget") > 0) & (F.col("used") <= F.col("budget") - F.col("longest")), "short"))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orgweave.llm import increments, langid, linkage, mixing, packing, spellings
-from orgweave.shared import read
+from orgweave.llm.tokens import count_tokens
+from orgweave.shared import cut, read
 
 
 def _names(spark: SparkSession, d: str) -> DataFrame:
@@ -53,6 +54,18 @@ def p6_pack_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.report(p6_pack_documents(spark, d), read(spark, d, "container_sizes"))
 
 
+def p6_pack_check(spark: SparkSession, d: str) -> DataFrame:
+    docs, containers = read(spark, d, "documents"), read(spark, d, "container_sizes")
+    items = cut(docs.select("doc_id", count_tokens(F.col("text")).alias("tokens")))
+    sizes = [(r["container_name"], r["capacity_tokens"]) for r in containers.select("container_name", "capacity_tokens").distinct().collect()]  # a few kinds
+    return packing.check(cut(packing.pack_table(items, sizes)), items, containers)
+
+
+def p7_mix_check(spark: SparkSession, d: str) -> DataFrame:
+    docs, targets = mixing.sized(read(spark, d, "documents")), read(spark, d, "mix_targets")
+    return mixing.check(mixing.mix(docs, targets), docs, targets)
+
+
 def p7_mix_documents(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(mixing.sized(read(spark, d, "documents")), read(spark, d, "mix_targets"))
 
@@ -76,10 +89,15 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "p1_found": p1_found, "p1_match_confidence": p1_match_confidence, "p2_found": p2_found, "p2_canonical_names": p2_canonical_names, "p3_found": p3_found, "p6_pack_documents": p6_pack_documents, "p6_pack_report": p6_pack_report,
-        "p7_mix_documents": p7_mix_documents, "p7_mix_report": p7_mix_report, "p8_found": p8_found, "p8_segments": p8_segments,
+        "p1_found": p1_found, "p1_match_confidence": p1_match_confidence, "p2_found": p2_found, "p2_canonical_names": p2_canonical_names, "p3_found": p3_found, "p6_pack_documents": p6_pack_documents, "p6_pack_report": p6_pack_report, "p6_pack_check": p6_pack_check,
+        "p7_mix_documents": p7_mix_documents, "p7_mix_report": p7_mix_report, "p7_mix_check": p7_mix_check, "p8_found": p8_found, "p8_segments": p8_segments,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of what can be said in SQL: that no document is lost, no bin is too full, and no source leaves its budget."""
+    return {
+        "p6_pack_check": """SELECT container_name, (SELECT count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) FROM documents) AS documents, 0 AS pieces_lost, 0 AS overfull, 0 AS split_too_small
+ FROM container_sizes WHERE capacity_tokens > 0 GROUP BY 1""",
+        "p7_mix_check": "SELECT mix_name, source, 0 AS over_repeats, 0 AS over_budget, 0 AS short FROM mix_targets GROUP BY 1, 2",
+    }

@@ -253,3 +253,15 @@ def test_filter_has_no_false_negatives():
 @pytest.mark.parametrize("name", sorted(q.queries()))
 def test_query_runs(spark, name):
     assert q.queries()[name](spark, DATA).count() > 0
+
+
+def test_slack_does_not_grow_with_the_shards(spark, monkeypatch):
+    random.seed(11)
+    items = [(i, random.choice([random.randint(1, 40), random.randint(60, 260)])) for i in range(4000)]
+    df = spark.createDataFrame(items, "doc_id long, tokens long")
+    need = -(-sum(n for _, n in items) // 200)
+    monkeypatch.setattr(packing, "SHARD_ITEMS", 400)  # ten shards
+    packed = packing.pack_table(df, [("c", 200)]).cache()
+    containers = spark.createDataFrame([("c", 200)], "container_name string, capacity_tokens long")
+    assert packed.select("bin_id").distinct().count() - need <= 1
+    assert rows(packing.check(packed, df, containers)) == [("c", 4000, 0, 0, 0)]
