@@ -77,9 +77,10 @@ def either_way(near: DataFrame) -> DataFrame:
     """Pairs (seen, seen_n, meant, meant_n) with each ``error`` that explains them: the one that makes seen of meant, with the rows of meant, and
     the one that makes meant of seen, with those of seen: the form that is used more often may be the mistaken one. ``made`` is rows /
     strings that the error can make."""
-    there = near.withColumn("error", _error("seen", "meant")).withColumns({"rows": F.col("meant_n"), "n": F.length("meant")})
-    back = near.withColumn("error", _error("meant", "seen")).withColumns({"rows": F.col("seen_n"), "n": F.length("seen")})
-    both = there.unionByName(back).filter("error is not null").withColumn("strings", _strings(F.col("error"), F.col("n")))
+    way = lambda e, form: F.struct(F.col(e).alias("error"), F.col(f"{form}_n").alias("rows"), F.length(form).alias("n"))
+    ways = F.explode(F.array(way("there", "meant"), way("back", "seen"))).alias("way")
+    told = near.withColumns({"there": _error("seen", "meant"), "back": _error("meant", "seen")}).select(*near.columns, ways).select(*near.columns, "way.*")
+    both = told.filter("error is not null").withColumn("strings", _strings(F.col("error"), F.col("n")))
     return both.withColumn("made", F.col("rows") / F.col("strings")).drop("rows", "n")
 
 
@@ -198,14 +199,12 @@ def canonical_forms(names: DataFrame) -> DataFrame:
     on = [F.col(f"s.{c}") == F.col(f"m.{c}") for c in ("tab_name", "kind", "key")]
     take = [F.col("s.tab_name"), F.col("s.kind"), F.col("s.core").alias("seen"), F.col("s.n").alias("seen_n"), F.col("m.core").alias("meant"), F.col("m.n").alias("meant_n")]
     # keys are many times their forms, so their sides are never broadcast on an estimate that doesn't know it
-    edits = keyed.hint("merge").alias("s").join(keyed.alias("m"), [*on, better]).select(take)
+    close = F.levenshtein("seen", "meant", 3) >= 0  # a swap counts two
+    edits = keyed.hint("merge").alias("s").join(keyed.alias("m"), [*on, better]).select(take).filter(close)
     stubs = _stubs(forms)
     clipped = whole.alias("s").join(stubs.hint("merge").alias("m"), [*on, better]).select(take)
     longer = stubs.hint("merge").alias("s").join(whole.alias("m"), [*on, better]).select(take)
-    met = edits.unionByName(clipped).unionByName(longer).distinct()
-    begun = F.startswith("seen", F.col("meant")) | F.startswith("meant", F.col("seen"))
-    near = met.filter((F.levenshtein("seen", "meant", 3) >= 0) | begun)  # what Python sees is near for certain; a swap counts two here
-    pairs = either_way(near)
+    pairs = either_way(edits.unionByName(clipped).unionByName(longer).distinct())  # what Python sees is near for certain
     typed = spelled_forms(forms).select("tab_name", "kind", F.col("core").alias("seen"), "own")
     pairs = pairs.join(typed.hint("merge"), ["tab_name", "kind", "seen"])
     pairs = cut(pairs.withColumn("own", F.greatest(F.col("own"), TWIN / F.col("strings")) * F.col("seen_n")))
