@@ -111,7 +111,7 @@ def pack_table(items: DataFrame, containers: list[tuple[str, int]]) -> DataFrame
                 no[i] = b
         pdf["bin_id"] = [f"{round_}-{shard}-{b}" for b in no]
         pdf["doc_id"] = pdf["doc_id"].astype("Int64")  # may be null
-        pdf["last"] = [b == max(no) for b in no]
+        pdf["last"] = pd.Series(no) == max(no)
         return pdf[[*_OUT.names, "capacity", "last"]]
 
     done, round_ = full, 0
