@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -55,7 +56,7 @@ _SENTENCE = re.compile(r".+?(?:([.!?…]+[\"”»’')\]]*(?=\s|$)|[。！？]+[
 #: A label and a colon before three or more items of a few words each: a list of keywords, no sentence.
 _LIST = re.compile(r"\s*[^\W\d_][^:：,;，；、\n]{0,24}[:：]((?:[^,;，；、·]{1,60}[,;，；、·]){2,}[^,;，；、·]{1,60})$")
 #: Web and mail addresses are in no language.
-_ADDRESS = re.compile(r"(?:https?://|www\.)[^\s\x00]+|[^\s\x00@]+@[^\s\x00@]+\.[^\s\x00@]+")
+_ADDRESS = re.compile(r"(?:https?://|www\.)\S+|[^\s@]+@[^\s@]+\.[^\s@]+")
 
 
 def label_code(lang: Column) -> Column:
@@ -67,15 +68,32 @@ def label_code(lang: Column) -> Column:
     return table[first]
 
 
-def letters(text: str) -> str:
-    """Lower case without addresses, runs of anything but letters and marks as one space; pieces between zero characters stay apart."""
-    return re.sub(r"(?:[^\w\x00]|[\d_])+", " ", _ADDRESS.sub(" ", unicodedata.normalize("NFC", text)).lower())
+@lru_cache(maxsize=1)
+def _alphabet() -> np.ndarray:
+    """Of each 16-bit code whether it is a letter or mark, 2 for the zero that parts pieces. Codes of two halves are none."""
+    table = np.array([bool(re.match(r"[^\W\d_]", chr(c))) if not 0xD800 <= c < 0xE000 else False for c in range(1 << 16)], np.uint8)
+    table[0] = 2
+    return table
+
+
+def letters(text: str) -> np.ndarray:
+    """Codes of a text in lower case, runs of anything but letters and marks as one space; pieces between zero characters stay apart."""
+    c = np.frombuffer(unicodedata.normalize("NFC", text).lower().encode("utf-16-le", "surrogatepass"), dtype=np.uint16)
+    kind = _alphabet()[c]
+    c = np.where(kind > 0, c, np.uint16(32))
+    return c[(kind > 0) | np.r_[True, kind[:-1] > 0]]
+
+
+def _bare(piece: str) -> str:
+    """A piece without addresses and zero characters."""
+    if "@" in piece or "//" in piece or "www." in piece:
+        piece = _ADDRESS.sub(" ", piece)
+    return piece.replace("\0", " ") if "\0" in piece else piece
 
 
 def grams(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(n-grams as integers, index of the piece each comes from, its weight) of raw pieces."""
-    joined = letters("\x00".join(f" {p.replace(chr(0), ' ')} " for p in pieces))
-    c = np.frombuffer(joined.encode("utf-16-le", "surrogatepass"), dtype=np.uint16).astype(np.uint64)
+    c = letters("\0".join([f" {_bare(p)} " for p in pieces])).astype(np.uint64)
     at = np.cumsum(c == 0)
     if len(c) < 4:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0)
