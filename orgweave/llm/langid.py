@@ -226,8 +226,8 @@ def _fit_texts(texts: DataFrame, rarer: float) -> Filter:
             rows = []
             for code, part_ in pdf.groupby("code"):
                 g, at, _ = grams(list(part_["text"]))
-                pairs = np.unique(np.stack([g, at.astype(np.uint64)]), axis=1)
-                values, df = np.unique(pairs[0], return_counts=True)
+                _, once = np.unique((g ^ (at.astype(np.uint64) * _MULTIPLIERS[1])) * _MULTIPLIERS[0], return_index=True)  # an n-gram and its text as one number
+                values, df = np.unique(g[once], return_counts=True)
                 rows.append(pd.DataFrame({"code": code, "gram": values.view(np.int64), "df": df}))
             if rows:
                 yield pd.concat(rows)
