@@ -100,3 +100,17 @@ def any_date(c: Column) -> Column:
     """The first of ISO, RFC 2822 and plain dates that reads; a timestamp, else null."""
     bare = F.regexp_replace(F.regexp_replace(F.trim(c), r"^[A-Za-z]{3},\s*", ""), r"\s*(GMT|UTC|Z)$", "")
     return F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in ("yyyy-MM-dd'T'HH:mm:ss[XXX]", "d MMM yyyy HH:mm:ss[ Z]", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd")])
+
+
+def _day(date: Column) -> Column:
+    return F.when(date.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.to_date(F.try_to_timestamp(date, F.lit("yyyy-MM-dd"))))
+
+
+def day_of_year(date: Column) -> Column:
+    """The ordinal day of a date string yyyy-MM-dd; null for anything else."""
+    return F.dayofyear(_day(date))
+
+
+def month_of(date: Column) -> Column:
+    """yyyy-MM of a date string yyyy-MM-dd; null for anything else."""
+    return F.date_format(_day(date), "yyyy-MM")

@@ -67,7 +67,7 @@ def authorship_rows(df: DataFrame, json: str, company_words: tuple[str, ...] = (
     )
     keys = ["openalex_id", "publication_year", "author_id", "author_position", "is_corresponding"]
     i = a.select(*keys, F.explode_outer("institutions").alias("i"))
-    rows = i.select(*keys, *[F.try_variant_get("i", f"$.{p}", "string").alias(n) for p, n in (("id", "institution_id"), ("display_name", "institution_name"), ("type", "institution_type"), ("country_code", "country_code"))], F.col("i").isNotNull().alias("has_institution"), F.lit("institutions").alias("source"))
+    rows = i.select(*keys, *[F.try_variant_get("i", f"$.{p}", "string").alias(n) for p, n in (("id", "institution_id"), ("display_name", "institution_name"), ("type", "institution_type"), ("country_code", "country_code"))], F.coalesce(F.schema_of_variant("i") != "VOID", F.lit(False)).alias("has_institution"), F.lit("institutions").alias("source"))
     raw = a.select(*keys, F.explode("raw").alias("institution_name"))
     looks = reduce(lambda x, y: x | y, [F.lower("institution_name").contains(k) for k in company_words])
     none = F.lit(None).cast("string")

@@ -208,7 +208,7 @@ def firm_to_institutions(firms: DataFrame, institutions: DataFrame) -> DataFrame
     begins = contained_pairs(i.select("entity_id", F.concat(F.lower("raw"), F.lit(" ")).alias("name")), f.select("gvkey", F.concat("key", F.lit(" ")).alias("name")), 4).filter(F.col("entity").startswith(F.col("firm")))
     tic = i.select("entity_id", F.explode(F.regexp_extract_all(F.upper("raw"), F.lit(r"[(\[]([A-Z.]{1,6})[)\]]"), 1)).alias("key"))
     return union_matches(
-        equal_keys(i.select("entity_id", "key"), f.select("gvkey", "key"), "exact_normalized", 0.98), _tag(begins, "subsidiary_pattern", 0.95), equal_keys(tic, f.select("gvkey", F.upper("tic").alias("key")).dropna(), "ticker", 0.97),
+        equal_keys(i.select("entity_id", "key"), f.select("gvkey", "key"), "exact_normalized", 0.98), _tag(begins, "subsidiary_pattern", 0.95).distinct(), equal_keys(tic, f.select("gvkey", F.upper("tic").alias("key")).dropna(), "ticker", 0.97),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def hash_order(key: str, seed: int) -> Column:
     """An order that looks random and is the same on every run."""
-    return F.xxhash64(F.col(key), F.lit(seed))
+    return F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(seed).cast("string")))
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

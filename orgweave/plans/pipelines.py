@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orgweave.functions import classify
+from orgweave.functions.records import ordered_union
 from orgweave.functions.text import clean_organization_name
 from orgweave.operators import linking, metrics, panel
 from orgweave.operators.dedup import keep_best
@@ -48,5 +49,5 @@ def patent_report(assignee_panel: DataFrame, matches: DataFrame, financials: Dat
 
 def firm_papers(papers: DataFrame, affiliations: str, key: str, least: float = 0.5) -> DataFrame:
     """Papers with firm affiliations by keyword rules, with the counts of each class."""
-    s = papers.select(key, classify.paper_affiliations(F.array_distinct(F.flatten(F.filter(affiliations, lambda x: x.isNotNull())))).alias("s"))
+    s = papers.select(key, classify.paper_affiliations(ordered_union(F.flatten(F.filter(affiliations, lambda x: x.isNotNull())))).alias("s"))
     return s.filter(classify.is_firm_paper(F.col("s"), least)).select(key, "s.*")

@@ -81,12 +81,13 @@ def assignee_years(spark, d):
     return y.select("assignee_id", F.array_join(F.transform("years", lambda x: x.cast("string")), ",").alias("years"))
 
 
-@query("""SELECT f.gvkey, p.patent_year AS year, CAST(sum(total_ai_patents) AS BIGINT) AS total_patents, count(DISTINCT p.clean_name) AS names FROM patents_panel p
- JOIN (SELECT DISTINCT gvkey, conml_clean FROM compustat_firms_standardized WHERE conml_clean IS NOT NULL) f ON p.clean_name = f.conml_clean GROUP BY 1, 2""")
+@query("""WITH m AS (SELECT DISTINCT assignee_id, gvkey FROM patents_panel JOIN compustat_firms_standardized ON clean_name = conml_clean WHERE assignee_id IS NOT NULL)
+ SELECT gvkey, patent_year AS year, CAST(sum(total_ai_patents) AS BIGINT) AS total_patents, count(DISTINCT p.assignee_id) AS num_assignees, round(avg(avg_ai_score), 4) AS avg_ai_score FROM patents_panel p JOIN m ON p.assignee_id = m.assignee_id GROUP BY 1, 2""")
 def patent_firm_year(spark, d):
-    p = read(spark, d, "patents_panel").select("clean_name", F.col("patent_year").alias("year"), "total_ai_patents")
-    f = read(spark, d, "compustat_firms_standardized").filter("conml_clean is not null").select("gvkey", F.col("conml_clean").alias("clean_name")).distinct()
-    return p.join(f, "clean_name").groupBy("gvkey", "year").agg(F.sum("total_ai_patents").alias("total_patents"), F.countDistinct("clean_name").alias("names"))
+    p = read(spark, d, "patents_panel").withColumnRenamed("patent_year", "year")
+    f = read(spark, d, "compustat_firms_standardized").select("gvkey", F.col("conml_clean").alias("clean_name")).dropna()
+    m = p.filter("assignee_id is not null").join(f, "clean_name").select(F.col("assignee_id").alias("entity_id"), "gvkey").distinct()
+    return panel.patent_firm_year(p, m).withColumn("avg_ai_score", _r("avg_ai_score"))
 
 
 @query("""WITH e AS (SELECT record_id, publication_year AS year, unnest(flatten(author_affiliation_ids)) AS i FROM ai_papers), m AS (SELECT DISTINCT institution_id, lpad(gvkey, 6, '0') AS gvkey FROM publication_firm_matches_stage1)
@@ -298,14 +299,14 @@ def offset_page(spark, d):
     return readers.page_by_offset(read(spark, d, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], 2000, 500)
 
 
-@query()
+@query("SELECT batch, count(*) AS ids FROM (SELECT DISTINCT o_custkey, CAST('0x' || left(md5(CAST(o_custkey AS VARCHAR)), 8) AS BIGINT) % 16 AS batch FROM orders) GROUP BY 1")
 def id_batches(spark, d):
     return readers.id_batches(read(spark, d, "orders"), "o_custkey", 16).groupBy("batch").agg(F.count("*").alias("ids"))
 
 
 # -- names, addresses and classes ------------------------------------------------------------------------------------------------------
 
-_M1 = r"nullif(trim(regexp_replace(regexp_replace(regexp_replace(upper({0}), '\b(INCORPORATED|CORPORATION|COMPANY|LIMITED|L\.?L\.?C\.?|INC\.?|LTD\.?|CORP\.?|CO\.?|PLC\.?|S\.?A\.?|A\.?G\.?|GMBH|N\.?V\.?|B\.?V\.?)\b', '', 'g'), '[^\w\s]', '', 'g'), '\s+', ' ', 'g')), '')"
+_M1 = r"nullif(trim(regexp_replace(regexp_replace(regexp_replace(upper({0}), '\b(INCORPORATED|CORPORATION|COMPANY|LIMITED|L\.?L\.?C\.?|INC\.?|LTD\.?|CORP\.?|CO\.?|PLC\.?|S\.?A\.?|A\.?G\.?|GMBH|N\.?V\.?|B\.?V\.?)\b', '', 'g'), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g')), '')"
 
 
 @query(f"SELECT gvkey, conm, {_M1.format('conm')} AS conm_cleaned, {_M1.format('conml')} AS conml_cleaned FROM compustat_firms_standardized")
@@ -329,7 +330,8 @@ def normaliser_table(spark, d):
     return n.select("display_name", *[f(F.col("display_name")).alias(k) for k, f in text.NORMALISERS.items()])
 
 
-_DOMAIN = r"nullif(regexp_replace(regexp_replace(replace(regexp_replace(lower(trim(weburl)), '^https?://', ''), 'www.', ''), '/.*$', ''), '\.$', ''), '')"
+_URL = r"nullif(regexp_replace(regexp_replace(replace(regexp_replace(lower(trim({0})), '^https?://', ''), 'www.', ''), '/.*$', ''), '\.$', ''), '')"
+_DOMAIN = _URL.format("weburl")
 
 
 @query(f"SELECT gvkey, weburl, {_DOMAIN} AS domain FROM compustat_firms_standardized WHERE weburl IS NOT NULL")
@@ -373,7 +375,7 @@ def affiliation_type(spark, d):
 
 @query()
 def paper_affiliation_summary(spark, d):
-    p = read(spark, d, "ai_papers").select("record_id", records.ordered_union(F.flatten("author_affiliations")).alias("a"))
+    p = read(spark, d, "ai_papers").select("record_id", records.ordered_union(F.flatten(F.filter("author_affiliations", lambda x: x.isNotNull()))).alias("a"))
     return p.select("record_id", classify.paper_affiliations(F.col("a")).alias("s")).select("record_id", "s.*")
 
 
@@ -433,9 +435,9 @@ def exact_match(spark, d):
     return linking.equal_keys(_institutions(spark, d).select("entity_id", F.col("name").alias("key")), _firms(spark, d).select("gvkey", F.col("conml_clean").alias("key")), "exact_conml", 0.98)
 
 
-@query("""WITH a AS (SELECT institution_id AS entity_id, unnest(acronyms) AS x, generate_subscripts(acronyms, 1) AS p FROM publication_institutions_master), t AS (SELECT gvkey, upper(trim(tic)) AS k FROM compustat_firms_standardized WHERE tic IS NOT NULL UNION SELECT gvkey, v FROM (SELECT gvkey, unnest(name_variants) AS v FROM compustat_firms_standardized) WHERE length(v) <= 6 AND v = upper(v)),
- m AS (SELECT entity_id, p, gvkey FROM a JOIN t ON upper(trim(x)) = k)
- SELECT DISTINCT entity_id, gvkey, 'acronym_ticker' AS match_method, CAST(0.97 AS DOUBLE) AS match_confidence FROM m WHERE p = (SELECT min(p) FROM m n WHERE n.entity_id = m.entity_id)""")
+@query("""WITH a AS (SELECT institution_id AS entity_id, unnest(acronyms) AS x, generate_subscripts(acronyms, 1) AS p FROM publication_institutions_master), t AS (SELECT gvkey, upper(trim(tic)) AS k, 'acronym_to_tic' AS s FROM compustat_firms_standardized WHERE tic IS NOT NULL UNION SELECT gvkey, v, 'acronym_to_name_variant' FROM (SELECT gvkey, unnest(name_variants) AS v FROM compustat_firms_standardized) WHERE length(v) <= 6 AND v = upper(v)),
+ m AS (SELECT entity_id, p, gvkey, s FROM a JOIN t ON upper(trim(x)) = k)
+ SELECT DISTINCT entity_id, gvkey, s AS match_method, CAST(0.97 AS DOUBLE) AS match_confidence FROM m WHERE p = (SELECT min(p) FROM m n WHERE n.entity_id = m.entity_id)""")
 def acronym_match(spark, d):
     return linking.acronym_matches(_institutions(spark, d).select("entity_id", "acronyms"), _firms(spark, d))
 
@@ -446,7 +448,7 @@ def contained_match(spark, d):
     return linking.contained_pairs(_institutions(spark, d).select("entity_id", "name"), _firms(spark, d).select("gvkey", F.col("conml_clean").alias("name")))
 
 
-@query(r"""WITH i AS (SELECT DISTINCT institution_id AS entity_id, unnest(regexp_split_to_array(upper(display_name), '\W+')) AS k FROM publication_institutions_master), f AS (SELECT DISTINCT gvkey, upper(trim(tic)) AS k FROM compustat_firms_standardized WHERE length(tic) >= 2)
+@query(r"""WITH i AS (SELECT DISTINCT institution_id AS entity_id, unnest(regexp_split_to_array(upper(display_name), '[^\p{L}\p{N}_]+')) AS k FROM publication_institutions_master), f AS (SELECT DISTINCT gvkey, upper(trim(tic)) AS k FROM compustat_firms_standardized WHERE length(tic) >= 2)
  SELECT DISTINCT entity_id, gvkey FROM i JOIN f ON i.k = f.k""")
 def ticker_match(spark, d):
     i = read(spark, d, "publication_institutions_master").select(F.col("institution_id").alias("entity_id"), F.col("display_name").alias("name")).distinct()
@@ -477,14 +479,15 @@ def patent_links_fuzzy(spark, d):
     return linking.keep_best_match(linking.patent_stage2(a.join(done.select("entity_id").distinct(), "entity_id", "left_anti"), f.join(done.select("gvkey").distinct(), "gvkey", "left_anti")))
 
 
-@query("""WITH m AS (SELECT institution_id AS e, lpad(gvkey, 6, '0') AS gvkey, max(CASE WHEN match_confidence > 1 THEN match_confidence / 100 ELSE match_confidence END) AS c FROM publication_firm_matches_stage1 WHERE match_confidence IS NOT NULL GROUP BY 1, 2),
+@query("""WITH m AS (SELECT e, gvkey, c, m FROM (SELECT institution_id AS e, lpad(gvkey, 6, '0') AS gvkey, CASE WHEN match_confidence > 1 THEN match_confidence / 100 ELSE match_confidence END AS c, match_method AS m, row_number() OVER (PARTITION BY institution_id, lpad(gvkey, 6, '0')
+ ORDER BY CASE WHEN match_confidence > 1 THEN match_confidence / 100 ELSE match_confidence END DESC, match_method) AS r FROM publication_firm_matches_stage1 WHERE match_confidence IS NOT NULL) WHERE r = 1),
  i AS (SELECT DISTINCT institution_id AS e, parent_institution_ids AS p FROM publication_institutions_master), u AS (SELECT e, unnest(p) AS parent, generate_subscripts(p, 1) AS k FROM i WHERE e NOT IN (SELECT e FROM m)),
- x AS (SELECT u.e, k, gvkey, c FROM u JOIN m ON u.parent = m.e)
- SELECT e AS entity_id, gvkey, 'parent_cascade' AS match_method, round(c * 0.98, 3) AS match_confidence FROM x WHERE k = (SELECT min(k) FROM x y WHERE y.e = x.e)""")
+ x AS (SELECT u.e, k, gvkey, c, m FROM u JOIN m ON u.parent = m.e)
+ SELECT DISTINCT e AS entity_id, gvkey, 'parent_cascade_' || m AS match_method, round(c * 0.98, 3) AS match_confidence FROM x WHERE k = (SELECT min(k) FROM x y WHERE y.e = x.e)""")
 def parent_cascade(spark, d):
     m = read(spark, d, "publication_firm_matches_stage1").filter("match_confidence is not null")
     c = F.when(F.col("match_confidence") > 1, F.col("match_confidence") / 100).otherwise(F.col("match_confidence"))
-    m = m.groupBy(F.col("institution_id").alias("entity_id"), F.lpad("gvkey", 6, "0").alias("gvkey")).agg(F.max(c).alias("match_confidence"))
+    m = linking.keep_best_match(m.select(F.col("institution_id").alias("entity_id"), F.lpad("gvkey", 6, "0").alias("gvkey"), "match_method", c.alias("match_confidence")))
     i = read(spark, d, "publication_institutions_master").select(F.col("institution_id").alias("entity_id"), F.col("parent_institution_ids").alias("parents")).distinct()
     return linking.parent_cascade(i, m)
 
@@ -626,19 +629,21 @@ def yearly_coverage(spark, d):
 
 
 def _institutions_full(spark: SparkSession, d: str) -> DataFrame:
+    """Every different row of an institution: one with several names, hosts or places is compared by all of them."""
     i = read(spark, d, "publication_institutions_master")
-    return i.groupBy(F.col("institution_id").alias("entity_id")).agg(
-        F.max("display_name").alias("display_name"), F.max("display_name").alias("name"), F.array_distinct(F.flatten(F.collect_list("name_variants"))).alias("variants"), F.array_distinct(F.flatten(F.collect_list("acronyms"))).alias("acronyms"),
-        F.array_distinct(F.flatten(F.collect_list("parent_institution_ids"))).alias("parents"), F.max("country_code").alias("country"), F.max("geo_city").alias("city"), F.max("geo_region").alias("region"), F.max(identifiers.host(F.col("homepage_domain"))).alias("host"),
-    )
+    return i.select(
+        F.col("institution_id").alias("entity_id"), "display_name", F.col("display_name").alias("name"), F.col("name_variants").alias("variants"), "acronyms", F.col("parent_institution_ids").alias("parents"), F.col("country_code").alias("country"),
+        F.col("geo_city").alias("city"), F.col("geo_region").alias("region"), identifiers.host(F.col("homepage_domain")).alias("host"),
+    ).distinct()
 
 
 def _firms_full(spark: SparkSession, d: str) -> DataFrame:
+    """Every different row of a firm but for its share classes."""
     f = read(spark, d, "compustat_firms_standardized")
-    return f.groupBy("gvkey").agg(
-        F.max("conm").alias("conm"), F.max(text.clean_organization_name(F.col("conm"))).alias("conm_clean"), F.max(text.clean_organization_name(F.col("conml"))).alias("conml_clean"), F.max("tic").alias("tic"),
-        F.array_distinct(F.flatten(F.collect_list("name_variants"))).alias("variants"), F.max("fic").alias("fic"), F.max("city").alias("city"), F.max("state").alias("state"), F.max("busdesc").alias("busdesc"), F.max(identifiers.host(F.lower("weburl"))).alias("host"),
-    )
+    return f.select(
+        "gvkey", "conm", text.clean_organization_name(F.col("conm")).alias("conm_clean"), text.clean_organization_name(F.col("conml")).alias("conml_clean"), "tic", F.col("name_variants").alias("variants"), "fic", "city", "state", "busdesc",
+        identifiers.host(F.lower("weburl")).alias("host"),
+    ).distinct()
 
 
 @query()
@@ -686,7 +691,10 @@ def firm_to_institution_links(spark, d):
 @query()
 def topic_concepts(spark, d):
     p = read(spark, d, "ai_papers").select(F.explode(F.arrays_zip("topic_ids", "topic_names")).alias("t")).select(F.col("t.topic_ids").alias("id"), F.col("t.topic_names").alias("display_name")).filter("id <> '' and display_name is not null")
-    c = p.groupBy("id").agg(F.min("display_name").alias("display_name")).withColumn("ancestors", F.array().cast("array<string>"))
+    # the topics of the works that carry a topic stand for its ancestors: of each its most frequent companion
+    both = read(spark, d, "ai_papers").select(F.explode("topic_ids").alias("id"), "topic_ids").select("id", F.explode("topic_ids").alias("anc")).filter("id <> '' and anc <> '' and id <> anc").groupBy("id", "anc").agg(F.count("*").alias("n"))
+    top = both.groupBy("id").agg(F.array(F.min_by("anc", F.struct(-F.col("n"), "anc"))).alias("ancestors"))
+    c = p.groupBy("id").agg(F.min("display_name").alias("display_name")).join(top, "id", "left")
     known, terms = spark.createDataFrame([("T90006",)], "id string"), spark.createDataFrame([("dialogue system",), ("speech recognition",)], "term string")
     return linking_more.select_concepts(c, known, terms)
 
@@ -705,16 +713,15 @@ def patent_report_growth(spark, d):
 
 @query(r"""SELECT CAST(date_part('year', published) AS INT) AS year, institution_type, count(*) AS rows, count(DISTINCT author_id) AS authors FROM arxiv_paper_institutions WHERE has_institution GROUP BY 1, 2""")
 def yearly_types(spark, d):
-    a = read(spark, d, "arxiv_paper_institutions").filter("has_institution")
-    return a.groupBy(F.year("published").alias("year"), "institution_type").agg(F.count("*").alias("rows"), F.countDistinct("author_id").alias("authors"))
+    a = read(spark, d, "arxiv_paper_institutions").filter("has_institution").withColumn("y", F.year("published"))
+    return metrics.grouped_by_year(a, "y", "institution_type", "author_id").withColumnRenamed("entities", "authors")
 
 
 @query("""WITH c AS (SELECT institution_name AS k, CAST(publication_year AS INT) AS y, count(*) AS n FROM arxiv_paper_institutions WHERE institution_type = 'company' AND institution_name IS NOT NULL GROUP BY 1, 2)
  SELECT y AS year, CAST(sum(n) AS BIGINT) AS publications, count(DISTINCT k) AS companies FROM c GROUP BY 1""")
 def market_trend(spark, d):
     a = read(spark, d, "arxiv_paper_institutions").filter("institution_type = 'company' and institution_name is not null")
-    c = a.groupBy(F.col("institution_name").alias("k"), F.col("publication_year").alias("y")).agg(F.count("*").alias("n"))
-    return c.groupBy(F.col("y").alias("year")).agg(F.sum("n").alias("publications"), F.countDistinct("k").alias("companies"))
+    return metrics.yearly_totals(a, "publication_year", "institution_name").withColumnRenamed("entities", "companies")
 
 
 def queries() -> dict[str, Query]:
