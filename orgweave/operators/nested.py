@@ -12,8 +12,6 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Names of fields by which a record is told from a wrapper around it: a bound on what the driver sees, far above any record's.
-MOST_FIELDS = 10_000
 #: How often a record may be wrapped: JSON in a JSON string, or an object whose only member holds the record.
 WRAPPINGS = 4
 
@@ -136,9 +134,9 @@ def child_tables(df: DataFrame, key: str, json: str, depth: int = 8, lists: tupl
             known = re.match(r"ARRAY<(.*)>$", t, re.S)
             walk(child, items, known[1] if known and "VARIANT" not in t else infer(items), [*ordinals, no], left - 1)
 
-    # the fields of a record are those of objects with several members: a handful of names
+    # the fields of a record are those of objects with several members; the driver makes columns of them anyway
     several = df.select(F.json_object_keys(json).alias("n")).filter(F.size("n") > 1).select(F.explode("n").alias("n")).distinct()
-    names = tuple(sorted(r["n"] for r in several.limit(MOST_FIELDS).collect()))
+    names = tuple(sorted(r["n"] for r in several.collect()))
     top = df.select(key, unwrapped(F.col(json), names).alias("item")).filter(F.col("item").isNotNull() & _kind(F.col("item")).startswith("OBJECT"))
     walk("", top, infer(top), [], depth)
     return out

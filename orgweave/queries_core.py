@@ -448,10 +448,11 @@ def contained_match(spark, d):
     return linking.contained_pairs(_institutions(spark, d).select("entity_id", "name"), _firms(spark, d).select("gvkey", F.col("conml_clean").alias("name")))
 
 
-@query(r"""WITH i AS (SELECT DISTINCT institution_id AS entity_id, unnest(regexp_split_to_array(upper(display_name), '[^\p{L}\p{N}_]+')) AS k FROM publication_institutions_master), f AS (SELECT DISTINCT gvkey, upper(trim(tic)) AS k FROM compustat_firms_standardized WHERE length(tic) >= 2)
+@query(r"""WITH i AS (SELECT DISTINCT institution_id AS entity_id, unnest(regexp_split_to_array(upper(concat_ws(', ', display_name, acronyms[1])), '[^\p{L}\p{N}_]+')) AS k FROM publication_institutions_master), f AS (SELECT DISTINCT gvkey, upper(trim(tic)) AS k FROM compustat_firms_standardized WHERE length(tic) >= 2)
  SELECT DISTINCT entity_id, gvkey FROM i JOIN f ON i.k = f.k""")
 def ticker_match(spark, d):
-    i = read(spark, d, "publication_institutions_master").select(F.col("institution_id").alias("entity_id"), F.col("display_name").alias("name")).distinct()
+    named = F.concat_ws(", ", "display_name", F.try_element_at("acronyms", F.lit(1)))
+    i = read(spark, d, "publication_institutions_master").select(F.col("institution_id").alias("entity_id"), named.alias("name")).distinct()
     return linking.word_pairs(i, read(spark, d, "compustat_firms_standardized").select("gvkey", "tic"))
 
 

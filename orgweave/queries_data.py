@@ -47,7 +47,8 @@ def _items(c: str) -> str:
     return f"CASE json_type({c}) WHEN 'ARRAY' THEN json_extract({c}, '$[*]') WHEN 'OBJECT' THEN [{c}] ELSE [] END"
 
 
-def _children_sql() -> str:
+def _children_sql(more: str = "") -> str:
+    """SQL of the children; ``more`` names further columns of them."""
     both = lambda a, b: f"unnest(generate_series(1, greatest(coalesce(len({a}), 0), coalesce(len({b}), 0))))"
     item = lambda c, no: f"{no}, {c}->>'display_name' AS n, {c}->>'id' AS d"
     return f"""WITH p AS (SELECT record_id, author_affiliations AS a, author_affiliation_ids AS b, topic_names AS t, topic_ids AS u FROM ai_papers),
@@ -58,11 +59,11 @@ def _children_sql() -> str:
  w1 AS (SELECT record_id, i AS author_no, au[i] AS v FROM (SELECT *, unnest(generate_series(1, len(au))) AS i FROM w)),
  w2 AS (SELECT record_id, author_no, {item('ins[k]', 'k AS child_no')} FROM (SELECT *, unnest(generate_series(1, len(ins))) AS k FROM (SELECT record_id, author_no, {_items("v->'institutions'")} AS ins FROM w1))),
  w3 AS (SELECT record_id, {item('tp[i]', 'i AS child_no')} FROM (SELECT *, unnest(generate_series(1, len(tp))) AS i FROM w))
- SELECT 'ai_papers' AS tab_name, record_id, 'affiliation' AS child_kind, author_no, child_no FROM p2 WHERE {_says('n')} OR {_says('d')}
- UNION ALL SELECT 'ai_papers', record_id, 'topic', 0, child_no FROM p3 WHERE {_says('n')} OR {_says('d')}
- UNION ALL SELECT 'openalex_work_json', record_id, 'affiliation', author_no, child_no FROM w2 WHERE {_says('n')} OR {_says('d')}
- UNION ALL SELECT 'openalex_work_json', record_id, 'topic', 0, child_no FROM w3 WHERE {_says('n')} OR {_says('d')}"""
+ SELECT 'ai_papers' AS tab_name, record_id, 'affiliation' AS child_kind, author_no, child_no{more} FROM p2 WHERE {_says('n')} OR {_says('d')}
+ UNION ALL SELECT 'ai_papers', record_id, 'topic', 0, child_no{more} FROM p3 WHERE {_says('n')} OR {_says('d')}
+ UNION ALL SELECT 'openalex_work_json', record_id, 'affiliation', author_no, child_no{more} FROM w2 WHERE {_says('n')} OR {_says('d')}
+ UNION ALL SELECT 'openalex_work_json', record_id, 'topic', 0, child_no{more} FROM w3 WHERE {_says('n')} OR {_says('d')}"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": _children_sql()}
+    return {"p5_found": _children_sql(), "p5_child_tables": _children_sql(", n AS child_name, d AS child_id")}

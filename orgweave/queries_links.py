@@ -438,6 +438,42 @@ def list_operations(spark, d):
     return p.select("record_id", F.lit(True).alias("known"), F.size(union).cast("long").alias("items"), _r(text.overlap_ratio(F.col("topic_names"), F.col("author_names")), 6).alias("overlap"), F.array_join(records.bounded(F.col("topic_names"), 2), "|").alias("first_two"))
 
 
+_HINTS = "CASE " + " ".join(f"WHEN contains(lower({{0}}), '{w}') THEN '{k}'" for w, k in classify.COUNTRY_HINTS) + " END"
+_RAW = "concat_ws(', ', institution_name, CASE country_code WHEN 'DE' THEN 'Lab 3, Germany' WHEN 'US' THEN 'Plant, USA' ELSE country_code END)"
+
+
+@query(f"""WITH r AS (SELECT DISTINCT {_RAW} AS raw FROM arxiv_paper_institutions WHERE institution_name IS NOT NULL), p AS (SELECT raw, list_transform(string_split(raw, ','), lambda x: trim(x)) AS p FROM r)
+ SELECT raw, p[1] AS institution_name, nullif(array_to_string(p[2:], ', '), '') AS location, list_filter(list_transform(list_reverse(p[2:]), lambda x: {_HINTS.format("x")}), lambda x: x IS NOT NULL)[1] AS country_code, {_like(classify.COMPANY_HINTS, "lower(p[1])")} AS is_company_likely FROM p""")
+def raw_affiliations(spark, d):
+    place = F.when(F.col("country_code") == "DE", "Lab 3, Germany").when(F.col("country_code") == "US", "Plant, USA").otherwise(F.col("country_code"))
+    r = read(spark, d, "arxiv_paper_institutions").filter("institution_name is not null").select(F.concat_ws(", ", "institution_name", place).alias("raw")).distinct()
+    return r.select("raw", classify.raw_affiliation(F.col("raw")).alias("s")).select("raw", "s.*")
+
+
+_AUTHOR = "CASE WHEN author_position = 'first' THEN author_display_name || ' (' || institution_name || ')' WHEN author_position = 'last' THEN author_display_name || ', ' || institution_name ELSE author_display_name END"
+_LAST = "trim(string_split(a, ',')[-1])"
+_IN_BRACKETS = r"regexp_matches(a, '^(.+?)\s*\(([^)]+)\)\s*$')"
+
+
+@query(rf"""WITH r AS (SELECT DISTINCT {_AUTHOR} AS a FROM arxiv_paper_institutions WHERE author_display_name IS NOT NULL AND institution_name IS NOT NULL)
+ SELECT a AS author, nullif(CASE WHEN {_IN_BRACKETS} THEN trim(regexp_extract(a, '^(.+?)\s*\(([^)]+)\)\s*$', 1)) WHEN contains(a, ',') AND {_like(classify.AFFILIATION_HINTS, f"lower({_LAST})")} THEN trim(left(a, length(a) - length(string_split(a, ',')[-1]) - 1)) ELSE trim(a) END, '') AS name,
+ nullif(CASE WHEN {_IN_BRACKETS} THEN trim(regexp_extract(a, '^(.+?)\s*\(([^)]+)\)\s*$', 2)) WHEN contains(a, ',') AND {_like(classify.AFFILIATION_HINTS, f"lower({_LAST})")} THEN {_LAST} END, '') AS affiliation FROM r""")
+def author_affiliations(spark, d):
+    r = read(spark, d, "arxiv_paper_institutions").filter("author_display_name is not null and institution_name is not null").select(F.expr(_AUTHOR).alias("author")).distinct()
+    return r.select("author", classify.author_affiliation(F.col("author")).alias("s")).select("author", "s.*")
+
+
+_AGGRESSIVE = f"trim(regexp_replace(array_to_string(list_filter(regexp_split_to_array(replace({{0}}, '&', 'and'), '\\s+'), lambda w: length(w) > 1 AND w NOT IN ('the', 'a', 'an')), ' '), '\\s+', ' ', 'g'))"
+
+
+def _aggressive(c: str) -> str:
+    return _AGGRESSIVE.format(_strip(rf"regexp_replace(trim(lower(coalesce({c}, ''))), '\s*\([^)]*\)', '', 'g')", text.AGGRESSIVE_SUFFIXES))
+
+
+SQL["firm_to_institution_links"] = f"""WITH i AS (SELECT DISTINCT institution_id AS e, display_name AS raw, {_aggressive("display_name")} AS k FROM publication_institutions_master), f AS (SELECT * FROM (SELECT DISTINCT gvkey, tic, {_aggressive("conm")} AS k FROM compustat_firms_standardized) WHERE length(k) >= 3)
+ SELECT DISTINCT e AS entity_id, gvkey, 'exact_normalized' AS match_method, CAST(0.98 AS DOUBLE) AS match_confidence FROM i JOIN f ON i.k = f.k UNION ALL SELECT DISTINCT e, gvkey, 'subsidiary_pattern', CAST(0.95 AS DOUBLE) FROM i JOIN f ON starts_with(lower(raw) || ' ', f.k || ' ')
+ UNION ALL SELECT DISTINCT e, gvkey, 'ticker', CAST(0.97 AS DOUBLE) FROM (SELECT e, unnest(regexp_extract_all(upper(raw), '[(\\[]([A-Z.]{{1,6}})[)\\]]', 1)) AS t FROM i) JOIN f ON t = upper(tic)"""
+
 # -- panels, measures, readers and sinks -----------------------------------------------------------------------------------------------
 
 
