@@ -501,9 +501,9 @@ def homepage_match(spark, d):
 @query("""WITH w AS (SELECT DISTINCT clean_name AS n, split_part(clean_name, ' ', 1) AS k FROM patents_panel WHERE clean_name IS NOT NULL)
  SELECT a.n AS name_a, b.n AS name_b, round(jaro_winkler_similarity(a.n, b.n), 6) AS score FROM w a JOIN w b ON a.k = b.k AND a.n < b.n WHERE jaro_winkler_similarity(a.n, b.n) >= 0.9""")
 def jw_similarity_block(spark, d):
-    w = read(spark, d, "patents_panel").filter("clean_name is not null").select(F.col("clean_name").alias("n")).distinct().withColumn("k", F.substring_index("n", " ", 1))
-    pairs = w.alias("a").join(w.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.n") < F.col("b.n"))).select(F.col("a.n").alias("name_a"), F.col("b.n").alias("name_b"))
-    return linking.scored_pairs(pairs, "name_a", "name_b", "jaro_winkler", 0.9).withColumn("score", _r("score", 6))
+    w = read(spark, d, "patents_panel").filter("clean_name is not null").select(F.col("clean_name").alias("text")).distinct().withColumn("k", F.substring_index("text", " ", 1))
+    near = linking.near_texts(w, w.withColumn("first", F.lit(None).cast("string")), "jaro_winkler", 0.9, within="k")  # names of one first word, in blocks
+    return near.filter("a < b").select(F.col("a").alias("name_a"), F.col("b").alias("name_b"), _r("score", 6).alias("score"))
 
 
 @query("""WITH w AS (SELECT DISTINCT clean_name AS n, left(clean_name, 6) AS k FROM patents_panel WHERE clean_name IS NOT NULL)
