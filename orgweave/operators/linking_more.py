@@ -185,8 +185,8 @@ def enrichment(entities: DataFrame, firms: DataFrame) -> DataFrame:
 
 
 def legacy(entities: DataFrame, firms: DataFrame, ticker_confidence: float = 0.98, exact_confidence: float = 0.95, slope_from: float = 0.70, least: float = 85.0, cap: float = 0.92) -> DataFrame:
-    """The first of ticker in the text, exact name, subsidiary prefix .80, fuzzy name slope_from + (score - least) x .01 up to the cap, name contained
-    .65; the constants give its three variants."""
+    """The first of ticker in the text, exact name, subsidiary prefix .80, CIK in the text .90 (where firms have a column ``cik``), fuzzy name
+    slope_from + (score - least) x .01 up to the cap, name contained .65; the constants give its three variants."""
     name = normalize_aggressive(F.col("name"))
     e = entities.select("entity_id", "name", name.alias("a"))
     f = firms.select("gvkey", F.upper("tic").alias("tic"), normalize_aggressive(F.col("conm")).alias("b")).distinct()
@@ -198,7 +198,11 @@ def legacy(entities: DataFrame, firms: DataFrame, ticker_confidence: float = 0.9
     best = top_k(texts.join(e.select("entity_id", "a"), "a").join(f.select("gvkey", "b"), "b"), "entity_id", 1, F.desc("score"), F.col("gvkey"))
     fuzzy = _tag(best, "fuzzy", F.round(F.least(F.lit(cap), F.lit(slope_from) + (F.col("score") - least) * 0.01), 4))
     inside = _tag(contained_pairs(e.select("entity_id", F.col("a").alias("name")), f.select("gvkey", F.col("b").alias("name")), 5), "contains", 0.65)
-    return first_hit(by_tic, exact, subs, fuzzy, inside)
+    ciks = []
+    if "cik" in firms.columns:
+        number = F.regexp_replace(ids.cik(F.col("name")), "^0+", "")
+        ciks = [equal_keys(e.select("entity_id", number.alias("key")).dropna(), firms.select("gvkey", F.regexp_replace("cik", "^0+", "").alias("key")).dropna(), "cik", 0.90)]
+    return first_hit(by_tic, exact, subs, *ciks, fuzzy, inside)
 
 
 def firm_to_institutions(firms: DataFrame, institutions: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from orgweave.queries_core import _M1, _URL, QUERIES, SQL, _c1_sql, _firms, _fir
 from orgweave.queries_data import _items, _step
 from orgweave.shared import cut, read, remove, work_path
 from orgweave.sources import readers, sinks
+from orgweave.streaming import ingest
 
 # -- pieces of SQL ---------------------------------------------------------------------------------------------------------------------
 
@@ -575,6 +576,31 @@ def resumable_batches(spark, d):
     return _round_trip(spark, o, write, lambda p: readers.parquet(spark, p))
 
 
+@query("SELECT user_id, min(ts) AS ts FROM events GROUP BY 1")
+def stream_first_events(spark, d):
+    """The first event of each user, by a stream over the table's file that keeps its state in the target."""
+    path = work_path(spark, "stream")
+    try:
+        events = read(spark, d, "events")
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
+        ingest.append_first(ingest.file_stream(spark, f"{d}/event[s].parquet", schema), "user_id", "ts", f"{path}/out", f"{path}/log")
+        return cut(spark.read.parquet(f"{path}/out").select("user_id", "ts"))
+    finally:
+        remove(spark, path)
+
+
+@query()
+def legacy_links_aggressive(spark, d):
+    """The second variant of the older matcher: a lower limit, lower confidences."""
+    return linking_more.legacy(_institutions_full(spark, d), _firms_full(spark, d), 0.95, 0.98, 0.60, 80.0, 0.85)
+
+
+@query()
+def legacy_links_firm_level(spark, d):
+    """The third variant of the older matcher."""
+    return linking_more.legacy(_institutions_full(spark, d), _firms_full(spark, d), 0.95, 0.98, 0.70, 87.0, 0.90)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -81,6 +81,12 @@ def test_country_blocks_and_parents(spark):
     assert rows(linking.parent_cascade(p, m)) == [("kid2", "2", "parent_cascade_exact", 0.96)]
 
 
+def test_older_matcher_knows_ciks(spark):
+    e = spark.createDataFrame([("1", "Some plant, CIK: 0000012345"), ("2", "Zzzz qqqq")], "entity_id string, name string")
+    f = spark.createDataFrame([("f1", "AAA", "Bolts and nuts", "12345"), ("f2", "BBB", "Cooking", None)], "gvkey string, tic string, conm string, cik string")
+    assert rows(linking_more.legacy(e, f)) == [("1", "f1", "cik", 0.9)]
+
+
 def test_manual_rules(spark):
     e = spark.createDataFrame([("1", "an ai lab"), ("2", "acme works"), ("3", "done")], "entity_id string, name string")
     f = spark.createDataFrame([("f1", "AA"), ("f2", "AA"), ("f3", "BB")], "gvkey string, tic string")
