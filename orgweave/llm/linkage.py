@@ -101,8 +101,11 @@ def _near_forms(a: DataFrame, b: DataFrame) -> DataFrame:
         return x.hint("merge").alias("x").join(y.alias("y"), ["kind", "key"]).select("kind", F.col("x.core").alias("core_a"), F.col("y.core").alias("core_b"))
 
     whole_a, whole_b = a.withColumn("key", F.col("core")), b.withColumn("key", F.col("core"))
-    pairs = met(_form_keys(a), _form_keys(b)).unionByName(met(whole_a, _stub_keys(b))).unionByName(met(_stub_keys(a), whole_b)).distinct()
-    return pairs.withColumn("level", _name_level("core_a", "core_b")).filter("level > 0")
+    pairs = cut(met(_form_keys(a), _form_keys(b)).unionByName(met(whole_a, _stub_keys(b))).unionByName(met(_stub_keys(a), whole_b)).distinct())
+    same = pairs.filter("core_a = core_b").withColumn("level", F.lit(4))
+    begun = F.startswith("core_a", F.col("core_b")) | F.startswith("core_b", F.col("core_a"))
+    near = pairs.filter((F.col("core_a") != F.col("core_b")) & ((F.levenshtein("core_a", "core_b", 3) >= 0) | begun))  # a swap counts two here
+    return same.unionByName(near.withColumn("level", _name_level("core_a", "core_b")).filter("level > 0"))
 
 
 def firms_view(firms: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
