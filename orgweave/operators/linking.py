@@ -141,8 +141,12 @@ def near_texts(a: DataFrame, b: DataFrame, score: str, least: float, k: int | No
     x = cut(a.filter(told).select("text", *group).distinct().withColumn("first", F.lit(None).cast("string")))
     y = cut(b.filter(told).groupBy("text", *group).agg(F.min("first").alias("first")))
     cores = x.sparkSession.sparkContext.defaultParallelism
-    wide = max(1, -(-y.count() // BLOCK_B))
-    high = max(1, -(-x.count() // BLOCK_A), -(-2 * cores // wide))
+    if within:  # blocks by the largest group; the groups themselves keep all cores busy
+        most = lambda df: df.groupBy(within).count().agg(F.max("count")).first()[0] or 0
+        wide, high = max(1, -(-most(y) // BLOCK_B)), max(1, -(-most(x) // BLOCK_A))
+    else:
+        wide = max(1, -(-y.count() // BLOCK_B))
+        high = max(1, -(-x.count() // BLOCK_A), -(-2 * cores // wide))
     spot = lambda n: F.pmod(F.xxhash64("text"), F.lit(n))
     rows = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
     left = x.withColumn("side", F.lit(0)).withColumn("block", F.explode(F.transform(rows(wide), lambda j: spot(high) * wide + j)))

@@ -87,7 +87,7 @@ def country_links(institutions: DataFrame, firms: DataFrame, least: float = 0.85
     described = F.coalesce(F.size(F.filter(words, lambda w: F.upper(F.col("busdesc")).contains(w))) >= 2, F.lit(False))
     place = F.coalesce((F.col("i_city") != "") & F.col("f_city").contains(F.col("i_city")), F.lit(False))
     score = F.least(F.lit(0.99), 0.90 + (F.col("score") - least) * 0.09 + 0.02 + described.cast("int") * 0.02 + place.cast("int") * 0.01)
-    best = pairs.groupBy("entity_id", "gvkey").agg(F.max("score").alias("s"), F.max(F.round(score, 3)).alias("c"))
+    best = pairs.groupBy("entity_id", "gvkey").agg(F.max("score").alias("s"), F.max(F.round(F.round(score, 9), 3)).alias("c"))  # halves are told after noise of the ninth digit
     one = best.groupBy("entity_id").agg(F.min(F.struct((-F.col("s")).alias("s"), "gvkey", "c")).alias("m"))
     return exact.unionByName(_tag(one.select("entity_id", "m.gvkey", "m.c"), "fuzzy_jaro_winkler", F.col("c")))
 

