@@ -82,12 +82,12 @@ def assignee_years(spark, d):
 
 
 @query("""WITH m AS (SELECT DISTINCT assignee_id, gvkey FROM patents_panel JOIN compustat_firms_standardized ON clean_name = conml_clean WHERE assignee_id IS NOT NULL)
- SELECT gvkey, patent_year AS year, CAST(sum(total_ai_patents) AS BIGINT) AS total_patents, count(DISTINCT p.assignee_id) AS num_assignees, round(avg(avg_ai_score), 4) AS avg_ai_score FROM patents_panel p JOIN m ON p.assignee_id = m.assignee_id GROUP BY 1, 2""")
+ SELECT gvkey, patent_year AS year, CAST(sum(total_ai_patents) AS BIGINT) AS total_patents, count(DISTINCT p.assignee_id) AS num_assignees, round(avg(avg_ai_score), 8) AS avg_ai_score FROM patents_panel p JOIN m ON p.assignee_id = m.assignee_id GROUP BY 1, 2""")
 def patent_firm_year(spark, d):
     p = read(spark, d, "patents_panel").withColumnRenamed("patent_year", "year")
     f = read(spark, d, "compustat_firms_standardized").select("gvkey", F.col("conml_clean").alias("clean_name")).dropna()
     m = p.filter("assignee_id is not null").join(f, "clean_name").select(F.col("assignee_id").alias("entity_id"), "gvkey").distinct()
-    return panel.patent_firm_year(p, m).withColumn("avg_ai_score", _r("avg_ai_score"))
+    return panel.patent_firm_year(p, m).withColumn("avg_ai_score", _r("avg_ai_score", 8))
 
 
 @query("""WITH e AS (SELECT record_id, publication_year AS year, unnest(flatten(author_affiliation_ids)) AS i FROM ai_papers), m AS (SELECT DISTINCT institution_id, lpad(gvkey, 6, '0') AS gvkey FROM publication_firm_matches_stage1)

@@ -389,7 +389,7 @@ def host_forms(spark, d):
 
 @query(r"""WITH x AS (SELECT DISTINCT gvkey, conm, tic, 'https://en.wikipedia.org/wiki/' || replace(conm, ' ', '_') || '#History' AS page, 'NYSE: ' || tic || ' and (' || tic || ') CIK 000' || gvkey || ' CUSIP: ' || gvkey || '109 http://www.wikidata.org/entity/Q' || gvkey AS t FROM compustat_firms_standardized WHERE conm IS NOT NULL AND tic IS NOT NULL)
  SELECT gvkey, conm, tic, nullif(trim(replace(replace(replace(replace(regexp_extract(page, 'en\.wikipedia\.org/wiki/([^#]*)', 1), '_', ' '), '%20', ' '), '%26', '&'), '%27', '''')), '') AS title, nullif(regexp_extract(t, '(Q\d+)', 1), '') AS wikidata, nullif(regexp_extract(t, '(?i)CIK[:\s]*(\d{6,10})', 1), '') AS cik,
- nullif(left(regexp_extract(t, '(?i)CUSIP[:\s]*(\d{6,9})', 1), 6), '') AS cusip, CASE WHEN regexp_matches(tic, '^[A-Z]{1,5}$') THEN tic ELSE nullif(regexp_extract(t, 'NYSE[:\s]*([A-Z]{1,5})', 1), '') END AS ticker FROM x""")
+ nullif(left(regexp_extract(t, '(?i)CUSIP[:\s]*(\d{6,9})', 1), 6), '') AS cusip, CASE WHEN tic IN ('THE', 'INC', 'CORP', 'LTD', 'LLC', 'USA', 'AND') THEN NULL WHEN regexp_matches(tic, '^[A-Z]{1,5}$') THEN tic ELSE nullif(regexp_extract(t, 'NYSE[:\s]*([A-Z]{1,5})', 1), '') END AS ticker FROM x""")
 def identifier_table(spark, d):
     f = read(spark, d, "compustat_firms_standardized").filter("conm is not null and tic is not null").select("gvkey", "conm", "tic").distinct()
     page = F.concat(F.lit("https://en.wikipedia.org/wiki/"), F.replace("conm", F.lit(" "), F.lit("_")), F.lit("#History"))
@@ -478,10 +478,10 @@ SQL["firm_to_institution_links"] = f"""WITH i AS (SELECT DISTINCT institution_id
 # -- panels, measures, readers and sinks -----------------------------------------------------------------------------------------------
 
 
-@query("""SELECT clean_name, patent_year AS year, count(DISTINCT total_ai_patents) AS total_ai_patents, round(avg(avg_ai_score), 4) AS avg_ai_score, min(assignee_id) AS assignee_id FROM patents_panel WHERE clean_name IS NOT NULL GROUP BY 1, 2""")
+@query("""SELECT clean_name, patent_year AS year, count(DISTINCT total_ai_patents) AS total_ai_patents, round(avg(avg_ai_score), 8) AS avg_ai_score, min(assignee_id) AS assignee_id FROM patents_panel WHERE clean_name IS NOT NULL GROUP BY 1, 2""")
 def assignee_year_panel(spark, d):
     p = read(spark, d, "patents_panel").select("clean_name", F.col("patent_year").alias("year"), F.col("total_ai_patents").alias("patent_id"), F.col("avg_ai_score").alias("score"), "assignee_id")
-    return panel.assignee_year(p).withColumn("avg_ai_score", _r("avg_ai_score"))
+    return panel.assignee_year(p).withColumn("avg_ai_score", _r("avg_ai_score", 8))
 
 
 @query("SELECT assignee_id, min(patent_year) AS first_year, max(patent_year) AS last_year, false AS ma_adjusted, CAST(NULL AS VARCHAR) AS acquirer_gvkey, CAST(NULL AS INT) AS acquisition_year FROM patents_panel GROUP BY 1")
