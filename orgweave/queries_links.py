@@ -475,6 +475,25 @@ SQL["firm_to_institution_links"] = f"""WITH i AS (SELECT DISTINCT institution_id
  SELECT DISTINCT e AS entity_id, gvkey, 'exact_normalized' AS match_method, CAST(0.98 AS DOUBLE) AS match_confidence FROM i JOIN f ON i.k = f.k UNION ALL SELECT DISTINCT e, gvkey, 'subsidiary_pattern', CAST(0.95 AS DOUBLE) FROM i JOIN f ON starts_with(lower(raw) || ' ', f.k || ' ')
  UNION ALL SELECT DISTINCT e, gvkey, 'ticker', CAST(0.97 AS DOUBLE) FROM (SELECT e, unnest(regexp_extract_all(upper(raw), '[(\\[]([A-Z.]{{1,6}})[)\\]]', 1)) AS t FROM i) JOIN f ON t = upper(tic)"""
 
+_TITLE = _strip("trim(lower(coalesce(nullif(trim(replace(replace(replace(regexp_extract(display_name, '^([^#]*)', 1), '%20', ' '), '%26', '&'), '%27', '''')), ''), '')))", text.URL_SUFFIXES)
+SQL["smart_url_links"] = f"""WITH {_IF}, {_FF}, t AS (SELECT DISTINCT e, {_TITLE} AS k FROM i), w AS (SELECT e, gvkey, 0.98 AS c FROM t JOIN f ON contains(lower(conm), k) WHERE length(k) >= 4 UNION ALL SELECT e, gvkey, 0.97 FROM t JOIN f ON contains(lower(conml), k) WHERE length(k) >= 4),
+ u AS (SELECT e, unnest(list_slice(parents, 1, 3)) AS p FROM i),
+ m AS (SELECT 1 AS s, e, gvkey, 'wikipedia_name' AS m, max(c) AS c FROM w GROUP BY 2, 3 UNION ALL SELECT 2, e, gvkey, 'homepage_exact', 0.98 FROM i JOIN f ON i.host = f.host
+ UNION ALL SELECT 3, e, gvkey, 'homepage_root', 0.96 FROM i JOIN f ON {_ROOT.format("i.host")} = {_ROOT.format("f.host")} WHERE {_ROOT.format("i.host")} <> i.host UNION ALL SELECT 4, u.e, gvkey, 'parent_homepage', 0.95 FROM u JOIN i ON u.p = i.e JOIN f ON i.host = f.host)
+ {_FIRST}"""
+
+_SAME_COUNTRY = "coalesce(upper(country_code) = upper(fic)" + "".join(f" OR (upper(country_code) IN ({_quoted(g)}) AND upper(fic) IN ({_quoted(g)}))" for g in linking.COUNTRY_GROUPS) + ", false)"
+_BARE = lambda c: f"regexp_replace(upper({c}), '{_NO_WORD}', '', 'g')"
+_PLACE = lambda a, b: f"coalesce({_BARE(a)} <> '' AND {_BARE(b)} <> '' AND (contains({_BARE(a)}, {_BARE(b)}) OR contains({_BARE(b)}, {_BARE(a)})), false)"
+_WORDS = r"list_filter(list_distinct(regexp_extract_all(upper(display_name), '\b([A-Z]{2,})\b', 1)), lambda w: contains(upper(busdesc), w))"
+SQL["publication_links_fuzzy"] = f"""WITH i AS (SELECT DISTINCT institution_id AS e, display_name, name_variants AS v, country_code, geo_city AS i_city, geo_region, {_HOST.format("homepage_domain")} AS i_host FROM publication_institutions_master),
+ f AS (SELECT DISTINCT gvkey, name_variants AS v, fic, city AS f_city, state, busdesc, {_HOST.format("lower(weburl)")} AS f_host FROM compustat_firms_standardized),
+ p AS (SELECT e, gvkey, max(jaro_winkler_similarity(a, b)) AS s FROM (SELECT DISTINCT e, unnest(v) AS a FROM i) JOIN (SELECT DISTINCT gvkey, unnest(v) AS b FROM f) ON a <> '' AND b <> '' AND jaro_winkler_similarity(a, b) >= 0.85 GROUP BY 1, 2),
+ c AS (SELECT e, gvkey, s, CAST({_SAME_COUNTRY} AS INT) AS k1, CAST(coalesce(len({_WORDS}) >= 2 OR len(list_filter({_WORDS}, lambda w: length(w) >= 6)) > 0, false) AS INT) AS k2, CAST({_PLACE("i_city", "f_city")} OR {_PLACE("geo_region", "state")} AS INT) AS k3,
+ CAST(coalesce(i_host = f_host OR (length(i_host) > 3 AND length(f_host) > 3 AND (contains(i_host, f_host) OR contains(f_host, i_host))), false) AS INT) AS k4 FROM p JOIN i USING (e) JOIN f USING (gvkey)),
+ g AS (SELECT *, least(0.99, least(0.99, 0.90 + (s - 0.85) * 0.09 / 0.14) + 0.02 * k1 + 0.02 * k2 + 0.01 * (k3 + k4)) AS q FROM c)
+ SELECT DISTINCT e AS entity_id, gvkey, 'jaro_winkler' AS match_method FROM g WHERE k1 + k2 + k3 + k4 >= CASE WHEN round(q, 3) < 0.95 THEN 2 ELSE 1 END"""
+
 # -- panels, measures, readers and sinks -----------------------------------------------------------------------------------------------
 
 
