@@ -35,5 +35,6 @@ def roots(edges: DataFrame) -> DataFrame:
         if merges.isEmpty():
             return found.select("node", F.col("up").alias("root"))
         tops = _tops(merges)
-        moved = found.hint("merge").join(tops.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left").select("node", F.coalesce("top", "up").alias("up"))
+        moved = found.hint("merge").join(tops.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left").select("node",
+            F.coalesce("top", "up").alias("up"))
         found = cut(moved.unionByName(tops.hint("merge").join(found.select("node"), "node", "left_anti")))

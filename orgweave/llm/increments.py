@@ -123,7 +123,8 @@ class HashStore:
     def links(self) -> DataFrame:
         """tab, node, owner of all steps."""
         paths = [f"{self.path}/links/{c['step']}" for c in self.commits()]
-        return self.spark.read.schema("tab string, node bigint, owner bigint").parquet(*paths) if paths else self.spark.createDataFrame([], "tab string, node bigint, owner bigint")
+        return self.spark.read.schema("tab string, node bigint, owner bigint").parquet(*paths) if paths else self.spark.createDataFrame([],
+            "tab string, node bigint, owner bigint")
 
     def _append(self, name: str, rows: DataFrame, step: str, by: str) -> None:
         columns = [c for c in self.spark.table(name).columns if c != "step"]
@@ -139,8 +140,10 @@ class HashStore:
             return
         step = f"{len(earlier):08d}-{uuid.uuid4().hex[:12]}"
         records = records.filter(F.col("batch").isin(batches))
-        keys = records.select("tab", "id", "text", F.explode("keys").alias("k")).select("tab", "id", "k.kind", "k.key", "k.pieces", F.when(F.col("k.kind") > WHOLE, F.col("text")).alias("text"))
-        keys = keys.withColumn("th", F.when(F.col("kind") > WHOLE, F.xxhash64("text")).otherwise(0)).withColumn("text", F.when(F.col("kind") > PIECE, F.col("text")))
+        keys = records.select("tab", "id", "text", F.explode("keys").alias("k")).select("tab", "id", "k.kind", "k.key", "k.pieces",
+            F.when(F.col("k.kind") > WHOLE, F.col("text")).alias("text"))
+        keys = keys.withColumn("th", F.when(F.col("kind") > WHOLE, F.xxhash64("text")).otherwise(0)).withColumn("text",
+            F.when(F.col("kind") > PIECE, F.col("text")))
         # one row per key and text, before they are shuffled
         reduced = keys.groupBy("tab", "kind", "key", "th", "text", "pieces").agg(F.min("id").alias("owner"), F.count("*").alias("copies"))
         self._append(self.keys_name, reduced, step, "key")
@@ -197,7 +200,8 @@ def _alike_words(a: Column, b: Column) -> Column:
     few = F.least(F.size(cx), F.size(cy))
     covered = lambda p, other: F.forall(p, lambda w: (F.length(w) <= LONG) | F.exists(other, lambda v: typo(w, v)))
     lone_x, lone_y = F.array_except(x, y), F.array_except(y, x)
-    any_order = (F.abs(F.size(cx) - F.size(cy)) <= 1) & (few >= 3) & (F.greatest(F.size(only_x), F.size(only_y)) <= F.ceil(few * 0.35)) & covered(only_x, lone_y) & covered(only_y, lone_x)
+    any_order = (F.abs(F.size(cx) - F.size(cy)) <= 1) & (few >= 3) & (F.greatest(F.size(only_x),
+        F.size(only_y)) <= F.ceil(few * 0.35)) & covered(only_x, lone_y) & covered(only_y, lone_x)
     return in_order | any_order
 
 
@@ -225,16 +229,20 @@ def _links(store: HashStore, keys: DataFrame, step: str, earlier: list[str]) ->
     new = store.rows([step])
     # copies of one key and text within the step follow the first of them; written, so that a hot key is split by the join
     several = cut(new.filter((F.col("copies") > 1) & (F.col("kind") != PIECE)).select("key", "th", F.col("owner").alias("first")))
-    within = keys.filter(F.col("kind") != PIECE).select("tab", "id", "key", "th").join(several.hint("merge"), ["key", "th"]).filter("id <> first").select("tab", F.col("id").alias("node"), F.col("first").alias("owner"))
+    within = keys.filter(F.col("kind") != PIECE).select("tab", "id", "key", "th").join(several.hint("merge"),
+        ["key", "th"]).filter("id <> first").select("tab", F.col("id").alias("node"), F.col("first").alias("owner"))
     x = new.select("tab", "kind", "key", F.col("th").alias("th_a"), F.col("text").alias("text_a"), F.col("pieces").alias("n_a"), F.col("owner").alias("a"))
-    y = store.rows([*earlier, step]).select("key", F.col("th").alias("th_b"), F.col("text").alias("text_b"), F.col("pieces").alias("n_b"), F.col("owner").alias("b"), (F.col("step") == step).alias("mine"))
+    y = store.rows([*earlier, step]).select("key", F.col("th").alias("th_b"), F.col("text").alias("text_b"), F.col("pieces").alias("n_b"),
+        F.col("owner").alias("b"), (F.col("step") == step).alias("mine"))
     differs = F.col("th_a") != F.col("th_b")
     mine = (F.col("kind") != WHOLE) & (F.col("th_a") < F.col("th_b"))
     met = x.hint("shuffle_hash").join(y, "key").filter(F.when(F.col("mine"), mine).otherwise((F.col("kind") != PIECE) | differs))
     met = cut(met.select("tab", "kind", "a", "b", "th_a", "th_b", "text_a", "text_b", "n_a", "n_b"))
-    alike = F.when(F.col("kind") == WHOLE, True).when(~differs, True).when(F.col("kind") == ORG, _same_org(F.col("text_a"), F.col("text_b"))).otherwise(_same_short(F.col("text_a"), F.col("text_b")))
+    alike = F.when(F.col("kind") == WHOLE, True).when(~differs, True).when(F.col("kind") == ORG,
+        _same_org(F.col("text_a"), F.col("text_b"))).otherwise(_same_short(F.col("text_a"), F.col("text_b")))
     told = met.filter((F.col("kind") != PIECE) & alike).select("tab", "a", "b")
-    counted = met.filter(F.col("kind") == PIECE).groupBy("tab", "a", "b", "n_a", "n_b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= COVERAGE * F.least("n_a", "n_b"))
+    counted = met.filter(F.col("kind") == PIECE).groupBy("tab", "a", "b", "n_a",
+        "n_b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= COVERAGE * F.least("n_a", "n_b"))
     texts = store.texts([*earlier, step]).select("tab", "id", "text")
     named = lambda df, c: df.hint("shuffle_hash").join(texts.select("tab", F.col("id").alias(c), F.col("text").alias(f"text_{c}")), ["tab", c])
     near = named(named(counted.select("tab", "a", "b"), "a"), "b").filter(_alike_words(F.col("text_a"), F.col("text_b"))).select("tab", "a", "b")
@@ -286,13 +294,17 @@ def paper_keys(papers: DataFrame, batch: Column) -> DataFrame:
     # each step only names what the next ones use more than once: nothing is computed twice
     raw = papers.filter(F.col("record_id").isNotNull()).select(
         batch.alias("batch"), F.col("record_id").cast("long").alias("id"), F.regexp_extract_all(F.col("title"), F.lit(_MARK), 0).alias("marks"),
-        F.coalesce(title_text(F.col("title")), F.lit("")).alias("title"), F.transform(F.coalesce("author_ids", F.array().cast("array<string>")), lambda a: F.trim(a)).alias("author_ids"),
-        work_number(F.col("openalex_id")).alias("work_a"), work_number(F.col("paper_id")).alias("work_b"), arxiv_number(F.col("arxiv_id")).alias("arxiv"), doi_name(F.col("doi")).alias("doi"),
+        F.coalesce(title_text(F.col("title")), F.lit("")).alias("title"),
+        F.transform(F.coalesce("author_ids", F.array().cast("array<string>")), lambda a: F.trim(a)).alias("author_ids"),
+        work_number(F.col("openalex_id")).alias("work_a"), work_number(F.col("paper_id")).alias("work_b"),
+        arxiv_number(F.col("arxiv_id")).alias("arxiv"), doi_name(F.col("doi")).alias("doi"),
         F.coalesce(F.col("publication_year").cast("string"), F.lit("")).alias("year"),
     )
     kept = F.array_sort(F.filter("author_ids", lambda a: a.isNotNull() & (a != "")))
     mark = F.coalesce(F.array_join(F.transform("marks", lambda m: F.trim(F.regexp_replace(F.lower(m), r"[^a-z0-9 ]", ""))), " "), F.lit(""))
-    read = raw.select("batch", "id", "title", "arxiv", "doi", "year", F.when(F.col("work_a") != "", F.col("work_a")).otherwise(F.col("work_b")).alias("work"), F.xxhash64(mark, F.array_join(kept, " ")).alias("by"), (F.size(kept) > 0).alias("signed"), F.split("title", " ").alias("all"))
+    read = raw.select("batch", "id", "title", "arxiv", "doi", "year",
+        F.when(F.col("work_a") != "", F.col("work_a")).otherwise(F.col("work_b")).alias("work"),
+        F.xxhash64(mark, F.array_join(kept, " ")).alias("by"), (F.size(kept) > 0).alias("signed"), F.split("title", " ").alias("all"))
     read = read.withColumn("words", F.filter("all", _carries))
     read = read.withColumn("few", F.size("words") <= FEW)
     says = F.when(F.col("few"), F.concat_ws("|", "title", "year")).otherwise(F.array_join("words", " "))
@@ -300,11 +312,14 @@ def paper_keys(papers: DataFrame, batch: Column) -> DataFrame:
     alone = lambda test, kind, k: F.when(test, key(kind, k, F.lit(1)))
     content = F.col("signed") & (F.col("title") != "")
     single = F.filter(F.array(
-        alone(F.col("work") != "", WHOLE, F.xxhash64(F.lit("work"), "work")), alone(F.col("arxiv") != "", WHOLE, F.xxhash64(F.lit("arxiv"), "arxiv")), alone(F.col("doi") != "", WHOLE, F.xxhash64(F.lit("doi"), "doi")),
-        alone(content, WHOLE, F.xxhash64(F.lit("paper"), F.col("by"), says)), alone(content & F.col("few"), SHORT, F.xxhash64(F.lit("short"), F.col("by"), F.col("year"))),
+        alone(F.col("work") != "", WHOLE, F.xxhash64(F.lit("work"), "work")),
+        alone(F.col("arxiv") != "", WHOLE, F.xxhash64(F.lit("arxiv"), "arxiv")), alone(F.col("doi") != "", WHOLE, F.xxhash64(F.lit("doi"), "doi")),
+        alone(content, WHOLE, F.xxhash64(F.lit("paper"), F.col("by"), says)),
+        alone(content & F.col("few"), SHORT, F.xxhash64(F.lit("short"), F.col("by"), F.col("year"))),
     ), lambda x: x.isNotNull())
     n = F.size("words") - 1
-    hashes = F.array_distinct(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.lit("piece"), F.col("by"), F.get("words", i), F.get("words", i + 1))))
+    hashes = F.array_distinct(F.transform(F.sequence(F.lit(0), n - 1),
+        lambda i: F.xxhash64(F.lit("piece"), F.col("by"), F.get("words", i), F.get("words", i + 1))))
     parts = F.when(content & ~F.col("few"), F.transform(hashes, lambda h: key(PIECE, h, n)))
     none = F.array().cast("array<struct<kind:int,key:bigint,pieces:int>>")
     return read.select(F.lit("ai_papers").alias("tab"), "id", "batch", F.col("title").alias("text"), F.concat(single, F.coalesce(parts, none)).alias("keys"))
@@ -326,8 +341,10 @@ def affiliation_keys(rows: DataFrame, batch: Column) -> DataFrame:
     """RECORD rows of arxiv_paper_institutions. A row with an organisation has one part, its paper and author, and the organisation as read is
     the text that must agree but for its spelling; a row without any has one whole key. Rows without paper or author have no keys and repeat nothing."""
     raw = rows.filter(F.col("row_id").isNotNull()).select(
-        batch.alias("batch"), F.col("row_id").cast("long").alias("id"), arxiv_number(F.col("arxiv_id")).alias("arxiv"), work_number(F.col("openalex_id")).alias("work"),
-        F.coalesce(F.regexp_extract("author_id", r"[Aa](\d+)", 1), F.lit("")).alias("author_no"), F.coalesce(F.lower(F.trim("author_display_name")), F.lit("")).alias("author_name"),
+        batch.alias("batch"), F.col("row_id").cast("long").alias("id"), arxiv_number(F.col("arxiv_id")).alias("arxiv"),
+        work_number(F.col("openalex_id")).alias("work"),
+        F.coalesce(F.regexp_extract("author_id", r"[Aa](\d+)", 1), F.lit("")).alias("author_no"),
+        F.coalesce(F.lower(F.trim("author_display_name")), F.lit("")).alias("author_name"),
         F.col("institution_name").alias("name"),
     )
     paper = F.when(F.col("arxiv") != "", F.concat(F.lit("a"), "arxiv")).when(F.col("work") != "", F.concat(F.lit("w"), "work"))
@@ -337,7 +354,8 @@ def affiliation_keys(rows: DataFrame, batch: Column) -> DataFrame:
     whole = ~F.col("text").contains("|")  # none, or no more than a few plain words
     key = F.when(whole, F.xxhash64(F.lit("row"), "paper", "author", "text")).otherwise(F.xxhash64(F.lit("pair"), "paper", "author"))
     keys = F.array(F.struct(F.when(whole, WHOLE).otherwise(ORG).alias("kind"), key.alias("key"), F.lit(1).alias("pieces")))
-    return named.select(F.lit("arxiv_paper_institutions").alias("tab"), "id", "batch", F.when(whole, "").otherwise(F.col("text")).alias("text"), keys.alias("keys"))
+    return named.select(F.lit("arxiv_paper_institutions").alias("tab"), "id", "batch",
+        F.when(whole, "").otherwise(F.col("text")).alias("text"), keys.alias("keys"))
 
 
 def take(store: HashStore, papers: DataFrame, rows: DataFrame) -> None:

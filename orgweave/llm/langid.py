@@ -196,7 +196,8 @@ def read_documents(texts: list[str], model: Filter) -> pd.DataFrame:
     flat = confidence(all_n, most / np.maximum(all_n, 1e-9), other / np.maximum(all_n, 1e-9))
     mean = np.where(bare[of[at]], flat[of[at]], np.where(weight > 0, mean, 0.5))
     last = np.r_[at[1:], len(owner)] - 1
-    out = pd.DataFrame({"doc": owner[at], "lang_code": np.array(CODES)[lang[at]], "start": start[at], "end": end[last], "confidence": mean, "whole": np.logical_or.reduceat(whole, at)})
+    out = pd.DataFrame({"doc": owner[at], "lang_code": np.array(CODES)[lang[at]], "start": start[at], "end": end[last], "confidence": mean,
+        "whole": np.logical_or.reduceat(whole, at)})
     return out[has_words[of[at]]]
 
 
@@ -206,7 +207,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     The sample is bounded: about TRAIN_DOCS documents per label, by a hash of the key; the driver receives the n-grams of these, of which
     those of one text only say nothing.
     """
-    labelled = docs.select(F.col(text).alias("text"), label_code(F.col(lang)).alias("code"), F.xxhash64(key).alias("h")).filter("code is not null and text is not null")
+    labelled = docs.select(F.col(text).alias("text"), label_code(F.col(lang)).alias("code"),
+        F.xxhash64(key).alias("h")).filter("code is not null and text is not null")
     sizes = {r["code"]: r["count"] for r in labelled.groupBy("code").count().collect()}
     if not sizes:
         return Filter({})
@@ -245,8 +247,10 @@ def _fit_texts(texts: DataFrame, rarer: float) -> Filter:
 
 
 _SEGMENTS = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("label", T.StringType()), T.StructField("segment_no", T.LongType()), T.StructField("lang_code", T.StringType()),
-    T.StructField("confidence", T.DoubleType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("whole", T.BooleanType()), T.StructField("text", T.StringType()),
+    T.StructField("doc_id", T.LongType()), T.StructField("label", T.StringType()), T.StructField("segment_no", T.LongType()),
+    T.StructField("lang_code", T.StringType()),
+    T.StructField("confidence", T.DoubleType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
+    T.StructField("whole", T.BooleanType()), T.StructField("text", T.StringType()),
 ])
 #: Characters that are read at once.
 _CHUNK = 1_000_000
@@ -269,23 +273,28 @@ def segments(docs: DataFrame, model: Filter, key: str = "doc_id", text: str = "t
                 segs = read_documents(texts, local)
                 at = segs["doc"].to_numpy(int)
                 made = pd.DataFrame({
-                    "doc_id": part["doc_id"].to_numpy()[at], "label": part["label"].to_numpy()[at], "segment_no": segs.groupby("doc").cumcount().to_numpy() + 1, "lang_code": segs["lang_code"].to_numpy(),
-                    "confidence": segs["confidence"].to_numpy(float), "start": segs["start"].to_numpy(int), "end": segs["end"].to_numpy(int), "whole": segs["whole"].to_numpy(bool),
+                    "doc_id": part["doc_id"].to_numpy()[at], "label": part["label"].to_numpy()[at],
+                    "segment_no": segs.groupby("doc").cumcount().to_numpy() + 1, "lang_code": segs["lang_code"].to_numpy(),
+                    "confidence": segs["confidence"].to_numpy(float), "start": segs["start"].to_numpy(int),
+                    "end": segs["end"].to_numpy(int), "whole": segs["whole"].to_numpy(bool),
                 })
                 made["text"] = [texts[d][a:b] for d, a, b in zip(at, made["start"], made["end"])] if keep_text else None
                 yield made[_SEGMENTS.names]
 
-    rows = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), label_code(F.col(lang)).alias("label"))
+    rows = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc_id"),
+        F.col(text).alias("text"), label_code(F.col(lang)).alias("label"))
     return spread(rows).mapInPandas(run, _SEGMENTS)
 
 
 def document_languages(segs: DataFrame) -> DataFrame:
     """doc_id, label, lang_code, confidence, languages: one row per language of which the document has a whole sentence."""
-    per = segs.filter("whole").groupBy("doc_id", "label", "lang_code").agg((F.sum(F.col("confidence") * (F.col("end") - F.col("start"))) / F.sum(F.col("end") - F.col("start"))).alias("confidence"))
+    per = segs.filter("whole").groupBy("doc_id", "label", "lang_code").agg((F.sum(F.col("confidence") * (F.col("end") - F.col("start"))) / F
+        .sum(F.col("end") - F.col("start"))).alias("confidence"))
     n = per.groupBy("doc_id").agg(F.count("*").alias("languages"))
     return per.join(n, "doc_id")
 
 
 def wrong_labels(segs: DataFrame) -> DataFrame:
     """The languages of documents that are mixed or whose label is missing or wrong."""
-    return document_languages(segs).filter((F.col("languages") > 1) | F.col("label").isNull() | (F.col("label") != F.col("lang_code"))).select("doc_id", "lang_code", "confidence")
+    return document_languages(segs).filter((F.col("languages") > 1) | F.col("label").isNull()
+        | (F.col("label") != F.col("lang_code"))).select("doc_id", "lang_code", "confidence")

@@ -37,7 +37,8 @@ from orgweave.shared import blank, cut, width
 LEVELS = {"name": 5, "host": 3, "country": 3, "city": 3, "acronym": 3, "parent": 3, "child": 2, "earlier": 3, "academic": 2}
 #: What matches look like before any are seen, field by field, and for how many observations that counts: it steadies small tables.
 MATCHES = {
-    "name": (0.15, 0.005, 0.045, 0.05, 0.75), "host": (0.1, 0.4, 0.5), "country": (0.25, 0.05, 0.7), "city": (0.4, 0.2, 0.4), "acronym": (0.3, 0.4, 0.3), "parent": (0.05, 0.6, 0.35),
+    "name": (0.15, 0.005, 0.045, 0.05, 0.75), "host": (0.1, 0.4, 0.5), "country": (0.25, 0.05, 0.7), "city": (0.4, 0.2, 0.4),
+    "acronym": (0.3, 0.4, 0.3), "parent": (0.05, 0.6, 0.35),
     "child": (0.85, 0.15), "earlier": (0.1, 0.5, 0.4), "academic": (0.02, 0.98),
 }
 WEIGHT = 5
@@ -48,10 +49,14 @@ HEAD = 4
 _FORMER = r"(?:formerly known as|formerly|previously known as|previously named|traded as|once called|known until \d{4} as)\s+([^.();,]+)"
 #: ISO alpha-3 codes and the alpha-2 codes of the same countries (fixed values).
 ALPHA3 = {
-    "USA": "US", "GBR": "GB", "DEU": "DE", "FRA": "FR", "ITA": "IT", "ESP": "ES", "CHN": "CN", "JPN": "JP", "KOR": "KR", "IND": "IN", "CAN": "CA", "BRA": "BR", "NLD": "NL",
-    "CHE": "CH", "ISR": "IL", "PRT": "PT", "SWE": "SE", "AUS": "AU", "AUT": "AT", "BEL": "BE", "DNK": "DK", "FIN": "FI", "NOR": "NO", "IRL": "IE", "POL": "PL", "RUS": "RU",
-    "SGP": "SG", "TWN": "TW", "MEX": "MX", "TUR": "TR", "GRC": "GR", "HKG": "HK", "HUN": "HU", "CZE": "CZ", "ZAF": "ZA", "NZL": "NZ", "ARG": "AR", "CHL": "CL", "THA": "TH",
-    "MYS": "MY", "IDN": "ID", "VNM": "VN", "UKR": "UA", "LUX": "LU", "BMU": "BM", "CYM": "KY", "ARE": "AE", "SAU": "SA", "EGY": "EG", "PHL": "PH", "COL": "CO", "PER": "PE",
+    "USA": "US", "GBR": "GB", "DEU": "DE", "FRA": "FR", "ITA": "IT", "ESP": "ES", "CHN": "CN", "JPN": "JP", "KOR": "KR", "IND": "IN",
+    "CAN": "CA", "BRA": "BR", "NLD": "NL",
+    "CHE": "CH", "ISR": "IL", "PRT": "PT", "SWE": "SE", "AUS": "AU", "AUT": "AT", "BEL": "BE", "DNK": "DK", "FIN": "FI", "NOR": "NO",
+    "IRL": "IE", "POL": "PL", "RUS": "RU",
+    "SGP": "SG", "TWN": "TW", "MEX": "MX", "TUR": "TR", "GRC": "GR", "HKG": "HK", "HUN": "HU", "CZE": "CZ", "ZAF": "ZA", "NZL": "NZ",
+    "ARG": "AR", "CHL": "CL", "THA": "TH",
+    "MYS": "MY", "IDN": "ID", "VNM": "VN", "UKR": "UA", "LUX": "LU", "BMU": "BM", "CYM": "KY", "ARE": "AE", "SAU": "SA", "EGY": "EG",
+    "PHL": "PH", "COL": "CO", "PER": "PE",
 }
 
 
@@ -116,7 +121,8 @@ def firms_view(firms: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     code = F.create_map(*[F.lit(x) for kv in ALPHA3.items() for x in kv])
     country = F.coalesce(code[F.upper(F.trim("fic"))], F.when(F.length(F.trim("fic")) == 2, F.upper(F.trim("fic"))))
     one = firms.groupBy("gvkey").agg(
-        F.collect_set(F.upper(F.trim("tic"))).alias("tics"), F.collect_set(web_host(F.col("weburl"))).alias("f_hosts"), F.collect_set(country).alias("f_countries"), F.collect_set(F.lower(F.trim("city"))).alias("f_cities")
+        F.collect_set(F.upper(F.trim("tic"))).alias("tics"), F.collect_set(web_host(F.col("weburl"))).alias("f_hosts"),
+        F.collect_set(country).alias("f_countries"), F.collect_set(F.lower(F.trim("city"))).alias("f_cities")
     )
     return one, names, firms.select("gvkey", web_host(F.col("weburl")).alias("host"), F.upper(F.trim("tic")).alias("tic"))
 
@@ -128,8 +134,10 @@ def institutions_view(inst: DataFrame) -> tuple[DataFrame, DataFrame]:
     host = F.coalesce(web_host(F.col("homepage_domain")), web_host(F.col("homepage_url")))
     own = F.regexp_extract(F.col("display_name"), r"^([A-Z]{2,6})(?: (?:Labs?|Group|Research))?$", 1)
     one = inst.groupBy("institution_id").agg(
-        F.array_distinct(F.flatten(F.collect_list(F.transform(F.concat(F.coalesce("acronyms", empty), F.array(F.nullif(own, F.lit("")))), lambda x: F.upper(F.trim(x)))))).alias("acronyms"),
-        F.collect_set(host).alias("i_hosts"), F.collect_set(F.upper(F.trim("country_code"))).alias("i_countries"), F.collect_set(F.lower(F.trim("geo_city"))).alias("i_cities"),
+        F.array_distinct(F.flatten(F.collect_list(F.transform(F.concat(F.coalesce("acronyms", empty), F.array(F.nullif(own, F.lit("")))),
+        lambda x: F.upper(F.trim(x)))))).alias("acronyms"),
+        F.collect_set(host).alias("i_hosts"), F.collect_set(F.upper(F.trim("country_code"))).alias("i_countries"),
+        F.collect_set(F.lower(F.trim("geo_city"))).alias("i_cities"),
         F.array_distinct(F.flatten(F.collect_list(F.coalesce("parent_institution_ids", empty)))).alias("parents"),
         F.max((F.lower(F.trim("institution_type")) == "education").cast("int")).alias("academic"),
     )
@@ -177,7 +185,8 @@ def candidate_pairs(parts: Parts, earlier: DataFrame | None) -> DataFrame:
     f_one, i_one, fn, im = parts
     level = _near_forms(im, fn)
     by_name = (
-        im.withColumnRenamed("core", "core_a").hint("merge").join(level, ["kind", "core_a"]).join(fn.withColumnRenamed("core", "core_b").hint("merge"), ["kind", "core_b"])
+        im.withColumnRenamed("core", "core_a").hint("merge").join(level,
+        ["kind", "core_a"]).join(fn.withColumnRenamed("core", "core_b").hint("merge"), ["kind", "core_b"])
         .groupBy("institution_id", "gvkey").agg(F.max("level").alias("name"))
     )
     values = lambda df, key, c, n: df.select(key, F.explode(c).alias(n))
@@ -193,7 +202,8 @@ def candidate_pairs(parts: Parts, earlier: DataFrame | None) -> DataFrame:
     direct = cut(by_name.unionByName(by_word).unionByName(unnamed).groupBy("institution_id", "gvkey").agg(F.max("name").alias("name")))
     parents = i_one.select("institution_id", F.explode("parents").alias("parent_id")).filter("parent_id <> institution_id").hint("merge")
     # a relative counts as the firm by its name, or, where it goes by another name, by its host or its children
-    via_child = cut(parents.join(direct.filter("name >= 3").select("institution_id", "gvkey"), "institution_id").select(F.col("parent_id").alias("institution_id"), "gvkey").distinct())
+    via_child = cut(parents.join(direct.filter("name >= 3").select("institution_id", "gvkey"),
+        "institution_id").select(F.col("parent_id").alias("institution_id"), "gvkey").distinct())
     known = direct.filter("name >= 2").select("institution_id", "gvkey").unionByName(by_host).unionByName(via_child).distinct()
     via_parent = parents.join(known.withColumnRenamed("institution_id", "parent_id"), "parent_id").select("institution_id", "gvkey").distinct()
     pairs = (
@@ -207,10 +217,15 @@ def candidate_pairs(parts: Parts, earlier: DataFrame | None) -> DataFrame:
         pairs = pairs.withColumn("earlier", F.lit(1))
     else:
         before = _earlier_pairs(earlier).groupBy("institution_id").agg(F.collect_set("e_gvkey").alias("e_gvkeys"))
-        pairs = pairs.join(before.hint("merge"), "institution_id", "left").withColumn("earlier", F.when(F.col("e_gvkeys").isNull(), 1).when(F.array_contains("e_gvkeys", F.lpad("gvkey", 6, "0")), 2).otherwise(0))
+        pairs = pairs.join(before.hint("merge"), "institution_id", "left").withColumn("earlier",
+            F.when(F.col("e_gvkeys").isNull(), 1).when(F.array_contains("e_gvkeys", F.lpad("gvkey", 6, "0")), 2).otherwise(0))
     return pairs.select(
-        "institution_id", "gvkey", "name", _agree(F.col("i_hosts"), F.col("f_hosts")).alias("host"), _agree(F.col("i_countries"), F.col("f_countries")).alias("country"), _agree(F.col("i_cities"), F.col("f_cities")).alias("city"),
-        F.when((F.col("name") == 1) & F.arrays_overlap("acronyms", "tics"), 1).otherwise(_agree(F.col("acronyms"), F.col("tics"))).alias("acronym"), F.when(F.size("parents") == 0, 1).when(F.col("p") == 1, 2).otherwise(0).alias("parent"), "child", "earlier", (1 - F.coalesce("academic", F.lit(0))).alias("academic"),
+        "institution_id", "gvkey", "name", _agree(F.col("i_hosts"), F.col("f_hosts")).alias("host"),
+        _agree(F.col("i_countries"), F.col("f_countries")).alias("country"), _agree(F.col("i_cities"), F.col("f_cities")).alias("city"),
+        F.when((F.col("name") == 1) & F.arrays_overlap("acronyms", "tics"),
+        1).otherwise(_agree(F.col("acronyms"), F.col("tics"))).alias("acronym"),
+        F.when(F.size("parents") == 0, 1).when(F.col("p") == 1, 2).otherwise(0).alias("parent"), "child", "earlier",
+        (1 - F.coalesce("academic", F.lit(0))).alias("academic"),
     )
 
 
@@ -232,19 +247,25 @@ def chance_levels(parts: Parts, earlier: DataFrame | None) -> tuple[dict[str, np
     total = lambda c, n: F.coalesce(F.sum(c.cast("double")), F.lit(0.0)).alias(n)
     lacks = lambda *cs: [total(F.size(c) == 0, c) for c in cs]
     f = f_one.agg(F.count("*").cast("double").alias("n"), *lacks("tics", "f_hosts", "f_countries", "f_cities")).first()
-    i = i_one.agg(F.count("*").cast("double").alias("n"), *lacks("acronyms", "i_hosts", "i_countries", "i_cities", "parents"), total(F.coalesce("academic", F.lit(0)) == 1, "schools")).first()
+    i = i_one.agg(F.count("*").cast("double").alias("n"), *lacks("acronyms", "i_hosts", "i_countries", "i_cities", "parents"),
+        total(F.coalesce("academic", F.lit(0)) == 1, "schools")).first()
     nf, ni = max(f["n"], 1.0), max(i["n"], 1.0)
     pairs = nf * nf
     forms = fn.groupBy("kind", "core").agg(F.count("*").cast("double").alias("n"))
-    met = _near_forms(fn, fn).join(forms.select("kind", F.col("core").alias("core_a"), F.col("n").alias("na")), ["kind", "core_a"]).join(forms.select("kind", F.col("core").alias("core_b"), F.col("n").alias("nb")), ["kind", "core_b"])
-    near = met.groupBy("level").agg(F.sum(F.col("na") * F.when(F.col("core_a") == F.col("core_b"), F.col("nb") - 1).otherwise(F.col("nb"))).alias("s")).select(F.col("level").cast("string").alias("what"), "s")
+    met = _near_forms(fn, fn).join(forms.select("kind", F.col("core").alias("core_a"), F.col("n").alias("na")),
+        ["kind", "core_a"]).join(forms.select("kind", F.col("core").alias("core_b"), F.col("n").alias("nb")), ["kind", "core_b"])
+    near = met.groupBy("level").agg(F.sum(F.col("na") * F.when(F.col("core_a") == F.col("core_b"), F.col("nb") - 1).otherwise(F.col("nb")))
+        .alias("s")).select(F.col("level").cast("string").alias("what"), "s")
     exploded = lambda c: f_one.select("gvkey", F.explode(c).alias("v"))
-    shares = {"word": (fn.select("gvkey", "core"), "core"), "form": (fn, "kind", "core")} | {c: (exploded(c), "v") for c in ("f_hosts", "f_countries", "f_cities", "tics")}
+    shares = {"word": (fn.select("gvkey", "core"), "core"), "form": (fn, "kind", "core")} | {c: (exploded(c), "v") for c in ("f_hosts",
+        "f_countries", "f_cities", "tics")}
     told = near
     n_of = lambda df, *v: df.dropna().distinct().groupBy(*v).agg(F.count("*").cast("double").alias("n"))
-    across = lambda a, b, *v: n_of(a, *v).join(n_of(b, *v).withColumnRenamed("n", "k").hint("merge"), list(v)).agg(F.coalesce(F.sum(F.col("n") * F.col("k")), F.lit(0.0)).alias("s"))
+    across = lambda a, b, *v: n_of(a, *v).join(n_of(b, *v).withColumnRenamed("n", "k").hint("merge"),
+        list(v)).agg(F.coalesce(F.sum(F.col("n") * F.col("k")), F.lit(0.0)).alias("s"))
     side = lambda c: i_one.select("institution_id", F.explode(c).alias("v"))
-    crossed = {f"i_{fc}": across(side(ic), exploded(fc), "v") for fc, ic in (("f_hosts", "i_hosts"), ("f_countries", "i_countries"), ("f_cities", "i_cities"), ("tics", "acronyms"))}
+    crossed = {f"i_{fc}": across(side(ic), exploded(fc), "v") for fc,
+        ic in (("f_hosts", "i_hosts"), ("f_countries", "i_countries"), ("f_cities", "i_cities"), ("tics", "acronyms"))}
     crossed |= {"i_word": across(im.select("institution_id", "core"), fn.select("gvkey", "core"), "core"), "i_form": across(im, fn, "kind", "core")}
     for what, one in crossed.items():
         told = told.unionByName(one.select(F.lit(what).alias("what"), "s"))
@@ -254,17 +275,20 @@ def chance_levels(parts: Parts, earlier: DataFrame | None) -> tuple[dict[str, np
     name = np.array([0.0, max(got["word"] - got["form"], 0.0), got.get("2", 0.0), got.get("3", 0.0), got.get("4", 0.0)])
     name[0] = pairs - name.sum()
     u = {"name": name}
-    for field, fc, ic in (("host", "f_hosts", "i_hosts"), ("country", "f_countries", "i_countries"), ("city", "f_cities", "i_cities"), ("acronym", "tics", "acronyms")):
+    for field, fc, ic in (("host", "f_hosts", "i_hosts"), ("country", "f_countries", "i_countries"), ("city", "f_cities", "i_cities"),
+        ("acronym", "tics", "acronyms")):
         missing = 1 - (1 - f[fc] / nf) * (1 - i[ic] / ni)
         agree = got[fc] * (1 - i[ic] / ni)
         u[field] = np.array([max(pairs * (1 - missing) - agree, 0.0), pairs * missing, agree])
     every, known, agreed = ni * nf, 0.0, 0.0
     if earlier is not None:
-        e = _earlier_pairs(earlier).join(i_one.select("institution_id").hint("merge"), "institution_id", "left_semi").agg(F.countDistinct("institution_id").alias("i"), F.count("*").alias("n")).first()
+        e = _earlier_pairs(earlier).join(i_one.select("institution_id").hint("merge"), "institution_id",
+            "left_semi").agg(F.countDistinct("institution_id").alias("i"), F.count("*").alias("n")).first()
         known, agreed = float(e["i"]), float(e["n"])
     whole = np.array([0.0, max(got["i_word"] - got["i_form"], 0.0), 0.0, 0.0, 0.0])  # of names only the shared word is counted over all pairs
     overall = {"name": whole}
-    for field, fc, ic in (("host", "f_hosts", "i_hosts"), ("country", "f_countries", "i_countries"), ("city", "f_cities", "i_cities"), ("acronym", "tics", "acronyms")):
+    for field, fc, ic in (("host", "f_hosts", "i_hosts"), ("country", "f_countries", "i_countries"), ("city", "f_cities", "i_cities"),
+        ("acronym", "tics", "acronyms")):
         missing = every * (1 - (1 - f[fc] / nf) * (1 - i[ic] / ni))
         overall[field] = np.array([max(every - missing - got[f"i_{fc}"], 0.0), missing, got[f"i_{fc}"]])
     overall |= {
@@ -287,7 +311,8 @@ class Model(NamedTuple):
         return 1 / (1 + np.exp(np.clip(b - a, -500, 500)))
 
 
-def expectation_maximisation(patterns: pd.DataFrame, chance: dict[str, np.ndarray], overall: dict[str, np.ndarray], pairs: float, rounds: int = 200) -> tuple[Model, np.ndarray]:
+def expectation_maximisation(patterns: pd.DataFrame, chance: dict[str, np.ndarray], overall: dict[str, np.ndarray], pairs: float,
+    rounds: int = 200) -> tuple[Model, np.ndarray]:
     """The model of ``patterns`` (one column per field of LEVELS and the count n) and the posterior of each of its rows.
 
     u comes from the levels over all pairs (``overall``, and for relatives what candidates agree on) less those of the matches; where known

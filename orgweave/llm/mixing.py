@@ -44,7 +44,8 @@ def plan(docs: DataFrame, targets: DataFrame) -> DataFrame:
     A named source without any tokens gives nothing, and the others keep their shares to each other; shares and repeats that are null or
     not positive count as 0. Rows of targets that name one source of a mix twice are added up.
     """
-    wanted = targets.groupBy("mix_name", "source").agg(F.sum(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(0))).alias("max_repeats"))
+    wanted = targets.groupBy("mix_name", "source").agg(F.sum(F.coalesce("target_share", F.lit(0.0))).alias("target_share"),
+        F.max(F.coalesce("max_repeats", F.lit(0))).alias("max_repeats"))
     there = docs.groupBy("source").agg(F.sum("tokens").alias("available"))
     p = wanted.join(there, "source", "left").withColumn("available", F.coalesce("available", F.lit(0)))
     useful = (F.col("target_share") > 0) & (F.col("available") > 0) & (F.col("max_repeats") > 0)
@@ -78,11 +79,13 @@ def sized(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
 def report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """mix_name, source, target_share, actual_share, tokens_used, documents, most_copies."""
-    used = mixed.groupBy("mix_name", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens_used"), F.count("*").alias("documents"), F.max("copies").alias("most_copies"))
+    used = mixed.groupBy("mix_name", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens_used"),
+        F.count("*").alias("documents"), F.max("copies").alias("most_copies"))
     wanted = targets.groupBy("mix_name", "source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     out = wanted.join(used, ["mix_name", "source"], "left").na.fill(0, ["tokens_used", "documents", "most_copies"])
     total = F.sum("tokens_used").over(Window.partitionBy("mix_name"))
-    return out.select("mix_name", "source", "target_share", F.round(F.try_divide(F.col("tokens_used"), total), 6).alias("actual_share"), "tokens_used", "documents", "most_copies", "max_repeats")
+    return out.select("mix_name", "source", "target_share", F.round(F.try_divide(F.col("tokens_used"), total), 6).alias("actual_share"),
+        "tokens_used", "documents", "most_copies", "max_repeats")
 
 
 def check(mixed: DataFrame, docs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -93,4 +96,5 @@ def check(mixed: DataFrame, docs: DataFrame, targets: DataFrame) -> DataFrame:
     longest = docs.groupBy("source").agg(F.max("tokens").alias("longest"))
     both = p.join(used, ["mix_name", "source"], "left").join(longest, "source", "left").na.fill(0, ["used", "most", "longest"])
     flag = lambda c, n: c.cast("int").alias(n)
-    return both.select("mix_name", "source", flag(F.col("most") > F.col("max_repeats"), "over_repeats"), flag(F.col("used") > F.col("budget"), "over_budget"), flag((F.col("budget") > 0) & (F.col("used") <= F.col("budget") - F.col("longest")), "short"))
+    return both.select("mix_name", "source", flag(F.col("most") > F.col("max_repeats"), "over_repeats"),
+        flag(F.col("used") > F.col("budget"), "over_budget"), flag((F.col("budget") > 0) & (F.col("used") <= F.col("budget") - F.col("longest")), "short"))

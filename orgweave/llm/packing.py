@@ -72,7 +72,8 @@ def pack(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 _OUT = T.StructType([
-    T.StructField("container_name", T.StringType()), T.StructField("bin_id", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("piece_no", T.LongType()),
+    T.StructField("container_name", T.StringType()), T.StructField("bin_id", T.StringType()), T.StructField("doc_id", T.LongType()),
+    T.StructField("piece_no", T.LongType()),
     T.StructField("token_start", T.LongType()), T.StructField("n_tokens", T.LongType()),
 ])
 
@@ -89,17 +90,23 @@ def pack_table(items: DataFrame, containers: list[tuple[str, int]]) -> DataFrame
     if not sizes:
         return spark.createDataFrame([], _OUT)
     # rows are numbered once and written: a repeated row is a document of its own
-    items = cut(items.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.monotonically_increasing_id().alias("row")))
+    items = cut(items.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
+        F.monotonically_increasing_id().alias("row")))
     shards = max(1, math.ceil(items.count() / SHARD_ITEMS))
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(c).cast("long").alias("capacity")) for n, c in sizes]))
-    cut_up = items.select("doc_id", "tokens", "row", each.alias("c")).select("doc_id", "tokens", "row", F.col("c.name").alias("container_name"), F.col("c.capacity").alias("capacity"))
+    cut_up = items.select("doc_id", "tokens", "row", each.alias("c")).select("doc_id", "tokens", "row",
+        F.col("c.name").alias("container_name"), F.col("c.capacity").alias("capacity"))
     over = F.col("tokens") > F.col("capacity")
     whole = F.floor(F.col("tokens") / F.col("capacity"))
     full = cut_up.filter(over).select("container_name", "doc_id", "capacity", "row", F.explode(F.sequence(F.lit(1).cast("long"), whole)).alias("piece_no"))
-    full = full.select("container_name", F.concat_ws("-", F.lit("full"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "row", "piece_no").alias("bin_id"), "doc_id", "piece_no", ((F.col("piece_no") - 1) * F.col("capacity")).alias("token_start"), F.col("capacity").alias("n_tokens"))
+    full = full.select("container_name", F.concat_ws("-", F.lit("full"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "row",
+        "piece_no").alias("bin_id"), "doc_id", "piece_no", ((F.col("piece_no") - 1) * F.col("capacity")).alias("token_start"),
+        F.col("capacity").alias("n_tokens"))
     rest = cut_up.select(
-        "container_name", "capacity", "doc_id", F.when(over, whole + 1).otherwise(1).alias("piece_no"), F.when(over, whole * F.col("capacity")).otherwise(0).alias("token_start"),
-        F.when(over, F.col("tokens") % F.col("capacity")).otherwise(F.col("tokens")).alias("n_tokens"), F.pmod(F.xxhash64("doc_id", "tokens", "row"), F.lit(shards)).alias("shard"),
+        "container_name", "capacity", "doc_id", F.when(over, whole + 1).otherwise(1).alias("piece_no"),
+        F.when(over, whole * F.col("capacity")).otherwise(0).alias("token_start"),
+        F.when(over, F.col("tokens") % F.col("capacity")).otherwise(F.col("tokens")).alias("n_tokens"),
+        F.pmod(F.xxhash64("doc_id", "tokens", "row"), F.lit(shards)).alias("shard"),
     ).filter(~((F.col("piece_no") > 1) & (F.col("n_tokens") == 0)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -116,28 +123,33 @@ def pack_table(items: DataFrame, containers: list[tuple[str, int]]) -> DataFrame
 
     done, round_ = full, 0
     while True:
-        packed = rest.groupBy("container_name", "shard").applyInPandas(run, T.StructType([*_OUT.fields, T.StructField("capacity", T.LongType()), T.StructField("last", T.BooleanType())]))
+        packed = rest.groupBy("container_name", "shard").applyInPandas(run,
+            T.StructType([*_OUT.fields, T.StructField("capacity", T.LongType()), T.StructField("last", T.BooleanType())]))
         if shards == 1:
             return packed.select(_OUT.names).unionByName(done)
         packed = cut(packed)
         done = done.unionByName(packed.filter("not last").select(_OUT.names))
         left, round_ = packed.filter("last"), round_ + 1
         shards = min(shards // 2, max(1, math.ceil(left.count() / len(sizes) / SHARD_ITEMS)))
-        rest = left.select("container_name", "capacity", "doc_id", "piece_no", "token_start", "n_tokens", F.pmod(F.xxhash64("doc_id", "piece_no", "bin_id"), F.lit(shards)).alias("shard"))
+        rest = left.select("container_name", "capacity", "doc_id", "piece_no", "token_start", "n_tokens",
+            F.pmod(F.xxhash64("doc_id", "piece_no", "bin_id"), F.lit(shards)).alias("shard"))
 
 
 def pack_documents(docs: DataFrame, containers: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    sizes = [(r["container_name"], r["capacity_tokens"]) for r in containers.select("container_name", "capacity_tokens").distinct().orderBy("container_name", "capacity_tokens").collect()]  # a few kinds of container
+    sizes = [(r["container_name"], r["capacity_tokens"]) for r in containers.select("container_name",
+        "capacity_tokens").distinct().orderBy("container_name", "capacity_tokens").collect()]  # a few kinds of container
     items = spread(docs.select("doc_id", "text")).select("doc_id", count_tokens(F.col("text"), tokenizer).alias("tokens"))
     return pack_table(items, sizes)
 
 
 def report(packed: DataFrame, containers: DataFrame) -> DataFrame:
     """Per container: bins, their fill, and how many more there are than the tokens need at least."""
-    per = packed.groupBy("container_name", "bin_id").agg(F.sum("n_tokens").alias("used")).groupBy("container_name").agg(F.count("*").alias("bins"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"))
+    per = packed.groupBy("container_name", "bin_id").agg(F.sum("n_tokens").alias("used")).groupBy("container_name").agg(F.count("*")
+        .alias("bins"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"))
     sized = per.join(containers.groupBy("container_name").agg(F.max("capacity_tokens").alias("capacity_tokens")), "container_name")
     room = F.col("bins") * F.col("capacity_tokens")
-    return sized.select("container_name", "capacity_tokens", "bins", "tokens", "fullest", F.round(F.col("tokens") / room, 6).alias("fill"), (F.col("bins") - F.ceil(F.col("tokens") / F.col("capacity_tokens"))).alias("bins_above_bound"))
+    return sized.select("container_name", "capacity_tokens", "bins", "tokens", "fullest", F.round(F.col("tokens") / room, 6).alias("fill"),
+        (F.col("bins") - F.ceil(F.col("tokens") / F.col("capacity_tokens"))).alias("bins_above_bound"))
 
 
 def check(packed: DataFrame, items: DataFrame, containers: DataFrame) -> DataFrame:
@@ -145,11 +157,13 @@ def check(packed: DataFrame, items: DataFrame, containers: DataFrame) -> DataFra
     whose pieces don't add up to their tokens, or don't follow on each other), overfull (bins above the capacity), split_too_small (documents
     in pieces that would fit whole). Documents without an id are counted as one."""
     sizes = containers.groupBy("container_name").agg(F.max("capacity_tokens").alias("capacity"))
-    per = packed.groupBy("container_name", "doc_id").agg(F.sum("n_tokens").alias("got"), F.count("*").alias("pieces"), F.max(F.col("token_start") + F.col("n_tokens")).alias("end"))
+    per = packed.groupBy("container_name", "doc_id").agg(F.sum("n_tokens").alias("got"), F.count("*").alias("pieces"),
+        F.max(F.col("token_start") + F.col("n_tokens")).alias("end"))
     whole = items.groupBy("doc_id").agg(F.sum(F.coalesce("tokens", F.lit(0))).alias("tokens"), F.count("*").alias("copies"))
     same = per.join(whole.withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d")), "full_outer").join(sizes, "container_name", "left")
     lost = F.coalesce(F.col("got") != F.col("tokens"), F.lit(True)) | ((F.col("copies") == 1) & (F.col("end") != F.col("tokens")))
-    docs = same.groupBy("container_name").agg(F.count("*").alias("documents"), F.count_if(lost).alias("pieces_lost"), F.count_if((F.col("copies") == 1) & (F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity"))).alias("split_too_small"))
+    docs = same.groupBy("container_name").agg(F.count("*").alias("documents"), F.count_if(lost).alias("pieces_lost"),
+        F.count_if((F.col("copies") == 1) & (F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity"))).alias("split_too_small"))
     bins = packed.groupBy("container_name", "bin_id").agg(F.sum("n_tokens").alias("used")).join(sizes, "container_name")
     over = bins.groupBy("container_name").agg(F.count_if(F.col("used") > F.col("capacity")).alias("overfull"))
     return docs.join(over, "container_name").select("container_name", "documents", "pieces_lost", "overfull", "split_too_small")

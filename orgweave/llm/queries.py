@@ -27,11 +27,13 @@ def p2_canonical_names(spark: SparkSession, d: str) -> DataFrame:
     """Each spelling with the most used spelling of its class."""
     classes = spellings.canonical_forms(_names(spark, d))
     top = classes.groupBy("tab_name", "class_id").agg(F.max(F.struct("n", "name")).alias("top"), F.count("*").alias("spellings"))
-    return classes.join(top, ["tab_name", "class_id"]).select("tab_name", "name", F.col("top.name").alias("canonical_name"), "spellings", F.col("n").alias("rows_with_name"), F.round("posterior", 6).alias("posterior"))
+    return classes.join(top, ["tab_name", "class_id"]).select("tab_name", "name", F.col("top.name").alias("canonical_name"), "spellings",
+        F.col("n").alias("rows_with_name"), F.round("posterior", 6).alias("posterior"))
 
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
-    return linkage.link(read(spark, d, "publication_institutions_master"), read(spark, d, "compustat_firms_standardized"), read(spark, d, "publication_firm_matches_stage1"))
+    return linkage.link(read(spark, d, "publication_institutions_master"), read(spark, d, "compustat_firms_standardized"),
+        read(spark, d, "publication_firm_matches_stage1"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -89,7 +91,8 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "p1_found": p1_found, "p1_match_confidence": p1_match_confidence, "p2_found": p2_found, "p2_canonical_names": p2_canonical_names, "p3_found": p3_found, "p6_pack_documents": p6_pack_documents, "p6_pack_report": p6_pack_report, "p6_pack_check": p6_pack_check,
+        "p1_found": p1_found, "p1_match_confidence": p1_match_confidence, "p2_found": p2_found, "p2_canonical_names": p2_canonical_names,
+        "p3_found": p3_found, "p6_pack_documents": p6_pack_documents, "p6_pack_report": p6_pack_report, "p6_pack_check": p6_pack_check,
         "p7_mix_documents": p7_mix_documents, "p7_mix_report": p7_mix_report, "p7_mix_check": p7_mix_check, "p8_found": p8_found, "p8_segments": p8_segments,
     }
 

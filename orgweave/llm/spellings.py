@@ -115,7 +115,8 @@ def letter_model(forms: DataFrame) -> dict[tuple[str, str], float]:
     for r in got:
         sums[r["p"][0]] = sums.get(r["p"][0], 0) + r["n"]
     size = len(_LETTERS) + 2
-    return {(a, b): math.log((n + 1) / (sums[a] + size)) for (a, b), n in ((tuple(r["p"]), r["n"]) for r in got)} | {(a, ""): -math.log(sums.get(a, 0) + size) for a in f"^*{_LETTERS}"}
+    return {(a, b): math.log((n + 1) / (sums[a] + size)) for (a, b),
+        n in ((tuple(r["p"]), r["n"]) for r in got)} | {(a, ""): -math.log(sums.get(a, 0) + size) for a in f"^*{_LETTERS}"}
 
 
 def _meant_as_typed(model: dict[tuple[str, str], float]):
@@ -137,7 +138,8 @@ def _forms(names: DataFrame) -> DataFrame:
     named = names.repartition(width(names.sparkSession)).withColumn("org", parse_org("name"))
     none = F.col("org.core") == ""
     plain = F.lower(F.regexp_replace(F.trim("name"), r"\s+", " "))
-    return named.select("tab_name", "name", "n", F.when(none, F.lit("?")).otherwise(F.col("org.kind")).alias("kind"), F.when(none, plain).otherwise(F.col("org.core")).alias("core"))
+    return named.select("tab_name", "name", "n", F.when(none, F.lit("?")).otherwise(F.col("org.kind")).alias("kind"),
+        F.when(none, plain).otherwise(F.col("org.core")).alias("core"))
 
 
 def _keys(forms: DataFrame) -> DataFrame:
@@ -154,7 +156,8 @@ def _keys(forms: DataFrame) -> DataFrame:
 def _stubs(forms: DataFrame) -> DataFrame:
     n = F.length("core")
     cuts = F.filter(F.sequence(F.lit(2), F.lit(CLIPPED)), lambda j: n - j >= STUB)
-    return forms.filter(F.col("kind") != "?").select("*", F.explode(F.transform(cuts, lambda j: F.concat(F.lit("^"), F.substring(F.col("core"), F.lit(1), n - j)))).alias("key"))
+    return forms.filter(F.col("kind") != "?").select("*", F.explode(F.transform(cuts,
+        lambda j: F.concat(F.lit("^"), F.substring(F.col("core"), F.lit(1), n - j)))).alias("key"))
 
 
 def spelled_forms(forms: DataFrame) -> DataFrame:
@@ -197,7 +200,8 @@ def canonical_forms(names: DataFrame) -> DataFrame:
     whole = forms.filter(F.col("kind") != "?").withColumn("key", F.concat(F.lit("^"), F.col("core")))
     better = (F.col("m.n") >= F.col("s.n")) & (F.col("m.core") != F.col("s.core"))
     on = [F.col(f"s.{c}") == F.col(f"m.{c}") for c in ("tab_name", "kind", "key")]
-    take = [F.col("s.tab_name"), F.col("s.kind"), F.col("s.core").alias("seen"), F.col("s.n").alias("seen_n"), F.col("m.core").alias("meant"), F.col("m.n").alias("meant_n")]
+    take = [F.col("s.tab_name"), F.col("s.kind"), F.col("s.core").alias("seen"), F.col("s.n").alias("seen_n"),
+        F.col("m.core").alias("meant"), F.col("m.n").alias("meant_n")]
     # keys are many times their forms, so their sides are never broadcast on an estimate that doesn't know it
     close = F.levenshtein("seen", "meant", 3) >= 0  # a swap counts two
     edits = keyed.hint("merge").alias("s").join(keyed.alias("m"), [*on, better]).select(take).filter(close)
@@ -212,7 +216,8 @@ def canonical_forms(names: DataFrame) -> DataFrame:
     best = (
         pairs.filter(score >= F.col("own")).groupBy("tab_name", "kind", "seen", "seen_n")
         .agg(F.max(F.struct(score.alias("score"), F.col("meant").alias("meant"), "own")).alias("best"), F.sum(score).alias("total"))
-        .select("tab_name", "kind", F.col("seen").alias("core"), F.col("best.meant").alias("up"), (F.col("best.score") / (F.col("total") + F.col("best.own"))).alias("posterior"))
+        .select("tab_name", "kind", F.col("seen").alias("core"), F.col("best.meant").alias("up"),
+            (F.col("best.score") / (F.col("total") + F.col("best.own"))).alias("posterior"))
     )
     best = cut(best)
     # of two equally frequent forms that chose each other the greater one stays
@@ -226,7 +231,8 @@ def canonical_forms(names: DataFrame) -> DataFrame:
         if nxt.filter("moved").isEmpty():
             break
     found = spelled.join(links, ["tab_name", "kind", "core"], "left")
-    return found.select("tab_name", "name", "n", F.xxhash64("tab_name", "kind", F.coalesce("up", "core")).alias("class_id"), F.coalesce("posterior", F.lit(1.0)).alias("posterior"))
+    return found.select("tab_name", "name", "n", F.xxhash64("tab_name", "kind", F.coalesce("up", "core")).alias("class_id"),
+        F.coalesce("posterior", F.lit(1.0)).alias("posterior"))
 
 
 def variant_pairs(classes: DataFrame) -> DataFrame:

@@ -11,15 +11,20 @@ T = "Robust token mixers for battery diagnosis with limited supervision"
 
 def _tables(spark):
     papers = [
-        (1, 0, None, "W1", None, None, T, 2020, ["A1", "A2"]), (2, 0, None, "W2", None, None, "Front matter", 2020, ["A9"]), (3, 1, None, None, None, None, T + " and beyond", 2020, [" A2", "A1 "]),
-        (4, 1, None, None, "hep-th/9901001v2", None, "Alpha", 2000, []), (5, 2, None, None, "HEP-TH/9901001", None, "Beta", 2001, []), (6, 2, None, None, None, None, "Front mater", 2020, ["A9"]),
-        (7, 2, None, None, None, None, "Front matter", 2021, ["A9"]), (8, 2, None, "w1", None, None, None, None, None), (9, 2, None, None, None, None, "Robust token mixers for battery diagn...", 2021, ["A1", "A2"]),
+        (1, 0, None, "W1", None, None, T, 2020, ["A1", "A2"]), (2, 0, None, "W2", None, None, "Front matter", 2020, ["A9"]),
+        (3, 1, None, None, None, None, T + " and beyond", 2020, [" A2", "A1 "]),
+        (4, 1, None, None, "hep-th/9901001v2", None, "Alpha", 2000, []), (5, 2, None, None, "HEP-TH/9901001", None, "Beta", 2001, []),
+        (6, 2, None, None, None, None, "Front mater", 2020, ["A9"]),
+        (7, 2, None, None, None, None, "Front matter", 2021, ["A9"]), (8, 2, None, "w1", None, None, None, None, None),
+        (9, 2, None, None, None, None, "Robust token mixers for battery diagn...", 2021, ["A1", "A2"]),
     ]
-    affs = [(1, 0, "2001.00001", None, "A1", "N", "Plovara Motors"), (2, 1, "2001.00001v2", None, "A1", "N", "PLOVARA MTRS"), (3, 2, "2001.00001", None, "A1", "N", "Plovara University"), (4, 2, "2001.00001", None, "A1", "N", "Plovarra Motors Inc")]
+    affs = [(1, 0, "2001.00001", None, "A1", "N", "Plovara Motors"), (2, 1, "2001.00001v2", None, "A1", "N", "PLOVARA MTRS"),
+        (3, 2, "2001.00001", None, "A1", "N", "Plovara University"), (4, 2, "2001.00001", None, "A1", "N", "Plovarra Motors Inc")]
     return spark.createDataFrame(papers, _P), spark.createDataFrame(affs, _A)
 
 
-WANT = sorted([("ai_papers", 1, 3), ("ai_papers", 1, 8), ("ai_papers", 1, 9), ("ai_papers", 4, 5), ("ai_papers", 2, 6), ("arxiv_paper_institutions", 1, 2), ("arxiv_paper_institutions", 1, 4)], key=str)
+WANT = sorted([("ai_papers", 1, 3), ("ai_papers", 1, 8), ("ai_papers", 1, 9), ("ai_papers", 4, 5), ("ai_papers", 2, 6),
+    ("arxiv_paper_institutions", 1, 2), ("arxiv_paper_institutions", 1, 4)], key=str)
 
 
 def test_case_blanks_short_and_cut_titles(spark):
@@ -34,7 +39,8 @@ def test_a_later_call_goes_on_with_the_store(spark, tmp_path):
     increments.take(store, upto(papers, 1), upto(affs, 1))
     store.close()
     # the second call gets the new batch and, in place of the history's rows, what must not be read
-    poison = lambda df, *cols: df.select(*[F.when(F.col("batch_no") < 2, F.lit(None)).otherwise(F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns])
+    poison = lambda df, *cols: df.select(*[F.when(F.col("batch_no") < 2,
+        F.lit(None)).otherwise(F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns])
     again = increments.HashStore.open(spark, path)
     late = poison(papers, "record_id", "title", "openalex_id", "arxiv_id"), poison(affs, "row_id", "arxiv_id", "institution_name")
     assert rows(increments.repeated_rows(*late, store=again)) == WANT
@@ -73,10 +79,13 @@ def test_buckets_grow_with_the_store(spark, tmp_path, monkeypatch):
 
 def test_near_titles(spark):
     pairs = [
-        ("towards robust song tagging with sparse memory networks", "toadrs robust song tagging wiht sparse memory netwroks", True), ("towards robust song tagging with sparse memory networks", "towards robust song tagging with sparse m", True),
-        ("towards robust song tagging with sparse memory networks", "towards robust song tagging using sparse memory networks", True), ("learning sparse routing for fraud detection", "learning dense routing for fraud detection", False),
+        ("towards robust song tagging with sparse memory networks", "toadrs robust song tagging wiht sparse memory netwroks", True),
+        ("towards robust song tagging with sparse memory networks", "towards robust song tagging with sparse m", True),
+        ("towards robust song tagging with sparse memory networks", "towards robust song tagging using sparse memory networks", True),
+        ("learning sparse routing for fraud detection", "learning dense routing for fraud detection", False),
         ("a b c", "x y z", False), ("", "", False),
     ]
     df = spark.createDataFrame(pairs, "a string, b string, want boolean")
-    got = df.select("want", increments._alike_words(F.col("a"), F.col("b")).alias("got"), increments._alike_words(F.col("b"), F.col("a")).alias("back")).collect()
+    got = df.select("want", increments._alike_words(F.col("a"), F.col("b")).alias("got"),
+        increments._alike_words(F.col("b"), F.col("a")).alias("back")).collect()
     assert all(r["want"] == r["got"] == r["back"] for r in got)

@@ -23,7 +23,8 @@ def test_a_short_sentence_in_another_language_counts(model):
     assert _read(model, EN + "Der Fehler sinkt. " + EN) == [("en", True), ("de", True), ("en", True)]
 
 
-@pytest.mark.parametrize("extra", ["See https://www.fehler.example/die/maschine?id=5. ", "Mail: die.maschine@beispiel.example. ", "Terms: Maschine, Fehler, neue Bilder, Daten. ", "Die Maschine\n", "12345. ", "!!! "])
+@pytest.mark.parametrize("extra", ["See https://www.fehler.example/die/maschine?id=5. ", "Mail: die.maschine@beispiel.example. ",
+    "Terms: Maschine, Fehler, neue Bilder, Daten. ", "Die Maschine\n", "12345. ", "!!! "])
 def test_addresses_lists_and_titles_dont_count(model, extra):
     assert {x for x, whole in _read(model, EN + extra + EN) if whole} == {"en"}
 

@@ -42,7 +42,9 @@ def test_passes_miss_no_link_that_scoring_all_pairs_finds(spark):
             if (a, b) in candidates:  # relatives are found by name and host only, so a pair of theirs is a candidate
                 continue
             name, tic = _level(forms[1].get(a, set()), forms[0].get(b, set())), agree(x["acronyms"], y["tics"])
-            rows.append([name, agree(x["i_hosts"], y["f_hosts"]), agree(x["i_countries"], y["f_countries"]), agree(x["i_cities"], y["f_cities"]), 1 if name == 1 and tic == 2 else tic, 1 if not x["parents"] else 0, 0, 1 if a not in known else 2 * (b.rjust(6, "0") in known[a]), 1 - (x["academic"] or 0)])
+            rows.append([name, agree(x["i_hosts"], y["f_hosts"]), agree(x["i_countries"], y["f_countries"]),
+                agree(x["i_cities"], y["f_cities"]), 1 if name == 1 and tic == 2 else tic, 1 if not x["parents"] else 0, 0,
+                1 if a not in known else 2 * (b.rjust(6, "0") in known[a]), 1 - (x["academic"] or 0)])
             keys.append((a, b))
     post = model.posterior(pd.DataFrame(rows, columns=list(linkage.LEVELS)))
     assert [k for k, p in zip(keys, post) if p >= linkage.THRESHOLD] == []

@@ -23,15 +23,18 @@ def rows(df):
 
 
 @pytest.mark.parametrize("a, b", [
-    ("Blafakure Institute of Technology", "BLAFAKURE INST OF TECH"), ("Jetebesha UAS", "Univ. of Applied Sciences, Jetebesha"), ("Acme Optics (Japan)", "ACME OPTICS CO., LTD."),
-    ("The Regents of the University of Plovara", "Universität Plovara"), ("AI Lab, State Univ. Bledrobuk", "Bledrobuk State University"), ("PlovaraMotorsTechnologies", "Plovara Motors"),
+    ("Blafakure Institute of Technology", "BLAFAKURE INST OF TECH"), ("Jetebesha UAS", "Univ. of Applied Sciences, Jetebesha"),
+    ("Acme Optics (Japan)", "ACME OPTICS CO., LTD."),
+    ("The Regents of the University of Plovara", "Universität Plovara"), ("AI Lab, State Univ. Bledrobuk", "Bledrobuk State University"),
+    ("PlovaraMotorsTechnologies", "Plovara Motors"),
     ("Plovara Motors Research", "Plovrara Motors"), ("Plo-Vara Motors", "Motors, Plovara"), ("Zathivrosko Analytics", "Zathivrosco Analytcs Inc"),
 ])
 def test_same_organisation(a, b):
     assert orgnames.same_organisation(a, b) and orgnames.same_organisation(b, a)
 
 
-@pytest.mark.parametrize("a, b", [("Plovara Motors", "Plovara Optics"), ("Plovara University", "Plovara State University"), ("Plovara Institute of Technology", "Plovara Technical University"), ("Plovara Motors", "Zubrika Motors"), (None, "Plovara"), ("", None)])
+@pytest.mark.parametrize("a, b", [("Plovara Motors", "Plovara Optics"), ("Plovara University", "Plovara State University"),
+    ("Plovara Institute of Technology", "Plovara Technical University"), ("Plovara Motors", "Zubrika Motors"), (None, "Plovara"), ("", None)])
 def test_other_organisation(a, b):
     assert not orgnames.same_organisation(a, b)
 
@@ -41,7 +44,8 @@ def test_osa_counts_swaps_once():
 
 
 def test_spellings(spark):
-    names = ["Plovara Motors"] * 5 + ["Plovara  Motors ", "PLOVARA MTRS INC", "Plovraa Motors", "Plovara Optics", None, "", "  ", "x" * 20000, "Institute of Technology", "Institute of technology"]
+    names = ["Plovara Motors"] * 5 + ["Plovara  Motors ", "PLOVARA MTRS INC", "Plovraa Motors", "Plovara Optics", None, "", "  ",
+        "x" * 20000, "Institute of Technology", "Institute of technology"]
     df = spark.createDataFrame([(n, "c") for n in names], "name string, class_id string")
     classes = spellings.canonical_forms(spellings.names_of({"t": (df, "name")}))
     pairs = rows(spellings.variant_pairs(classes))
@@ -64,7 +68,8 @@ def _firms(spark, n=30):
     trades = ["Motors", "Optics", "Foods", "Software", "Energy"]
     random.seed(3)
     core = lambda: "".join(random.choice("bdgklprstvz") + random.choice("aeiou") for _ in range(4))
-    data = [(f"{i:06}", i, f"T{i}", f"{core()} {trades[i % 5]} Inc".upper(), None, "CA", f"City{i}", "DE", "USA", None, f"http://www.firm{i}.example/", "x") for i in range(n)]
+    data = [(f"{i:06}", i, f"T{i}", f"{core()} {trades[i % 5]} Inc".upper(), None, "CA", f"City{i}", "DE", "USA", None,
+        f"http://www.firm{i}.example/", "x") for i in range(n)]
     data.append((None, 1, None, None, None, None, None, None, None, None, None, "x"))
     s = "gvkey string, lpermno long, tic string, conm string, conml string, state string, city string, incorp string, fic string, busdesc string, weburl string, name string"
     return spark.createDataFrame([*data, data[0]], s), data
@@ -94,7 +99,8 @@ def test_former_name_links(spark):
     firms, data = _firms(spark)
     firms = firms.withColumn("busdesc", F.when(F.col("gvkey") == data[4][0], "Makes things. It was formerly known as Quxanivo Robotics."))
     s = "institution_id string, display_name string, alternative_names array<string>, acronyms array<string>, homepage_url string, homepage_domain string, country_code string, geo_city string, parent_institution_ids array<string>, institution_type string"
-    i = spark.createDataFrame([("I", "Quxanivo Robotics (Spain)", [], [], None, None, "ES", None, [], "company")] + [(f"J{k}", data[k][3].title(), [], [], None, None, "US", None, [], "company") for k in range(10, 20)], s)
+    i = spark.createDataFrame([("I", "Quxanivo Robotics (Spain)", [], [], None, None, "ES", None, [], "company")] + [(f"J{k}",
+        data[k][3].title(), [], [], None, None, "US", None, [], "company") for k in range(10, 20)], s)
     assert ("I", data[4][0]) in {(r["institution_id"], r["gvkey"]) for r in linkage.best_links(linkage.link(i, firms)).collect()}
 
 
@@ -107,20 +113,28 @@ _A = "row_id long, batch_no int, arxiv_id string, openalex_id string, author_id
 def test_batches(spark):
     t = "Robust token mixers for battery diagnosis with limited supervision"
     papers = [
-        (1, 0, None, "W1", None, None, t, 2020, ["A1", "A2"], "k"), (2, 0, None, "W2", None, None, "Preface", 2020, ["A9"], "k"), (3, 1, None, "https://x/w1/", None, None, "Else", None, None, "k"),
-        (4, 1, None, "W3", None, "10.1234/ab", "Robust tokken mixers for battery diagnosis with limited supervision [preprint]", 2020, ["A2", "A1"], "k"), (5, 1, None, "W4", None, None, f"Correction to: {t}", 2021, ["A1", "A2"], "k"),
-        (6, 2, None, "W5", None, "https://doi.example/10.1234/AB.", "Other", 2021, None, "k"), (7, 2, None, "W6", None, None, "Preface", 2021, ["A9"], "k"), (8, 2, None, None, None, None, None, None, None, "k"),
-        (9, 2, None, None, None, None, None, None, None, "k"), (10, 2, None, "W7", None, None, t, 2020, ["A7"], "k"), (11, None, None, "W8", "arXiv:2001.00001v2", None, "X", 2020, [], "k"),
-        (12, 3, None, None, "http://a/2001.00001", None, "y" * 30000, 2020, ["A5", None], "k"), (None, 3, None, "W1", None, None, t, 2020, None, "k"), (13, 3, None, "W5", "2001.00001", None, "joins two groups", 2020, [], "k"),
+        (1, 0, None, "W1", None, None, t, 2020, ["A1", "A2"], "k"), (2, 0, None, "W2", None, None, "Preface", 2020, ["A9"], "k"),
+        (3, 1, None, "https://x/w1/", None, None, "Else", None, None, "k"),
+        (4, 1, None, "W3", None, "10.1234/ab", "Robust tokken mixers for battery diagnosis with limited supervision [preprint]", 2020,
+        ["A2", "A1"], "k"), (5, 1, None, "W4", None, None, f"Correction to: {t}", 2021, ["A1", "A2"], "k"),
+        (6, 2, None, "W5", None, "https://doi.example/10.1234/AB.", "Other", 2021, None, "k"),
+        (7, 2, None, "W6", None, None, "Preface", 2021, ["A9"], "k"), (8, 2, None, None, None, None, None, None, None, "k"),
+        (9, 2, None, None, None, None, None, None, None, "k"), (10, 2, None, "W7", None, None, t, 2020, ["A7"], "k"),
+        (11, None, None, "W8", "arXiv:2001.00001v2", None, "X", 2020, [], "k"),
+        (12, 3, None, None, "http://a/2001.00001", None, "y" * 30000, 2020, ["A5", None], "k"),
+        (None, 3, None, "W1", None, None, t, 2020, None, "k"), (13, 3, None, "W5", "2001.00001", None, "joins two groups", 2020, [], "k"),
     ]
     rows_ = [
-        (1, 0, "2001.00001v1", None, "A1", "N", "Plovara Motors", "z"), (2, 1, "arXiv:2001.00001", None, "A1", "N", "PLOVARA MTRS", "z"), (3, 1, "2001.00001", None, "A1", "N", "Plovara University", "z"),
-        (4, 1, "2001.00001", None, "A2", "M", None, "z"), (5, 2, "2001.00001", None, "A2", "M", " ", "z"), (6, 2, "2001.00002", None, "A2", "M", None, "z"), (7, 2, None, None, None, None, None, "z"), (8, 2, None, None, None, None, None, "z"),
+        (1, 0, "2001.00001v1", None, "A1", "N", "Plovara Motors", "z"), (2, 1, "arXiv:2001.00001", None, "A1", "N", "PLOVARA MTRS", "z"),
+        (3, 1, "2001.00001", None, "A1", "N", "Plovara University", "z"),
+        (4, 1, "2001.00001", None, "A2", "M", None, "z"), (5, 2, "2001.00001", None, "A2", "M", " ", "z"),
+        (6, 2, "2001.00002", None, "A2", "M", None, "z"), (7, 2, None, None, None, None, None, "z"), (8, 2, None, None, None, None, None, "z"),
         (9, 2, "2001.00001", None, "A1", "N", "AI Lab, Plovarra Motors Inc", "z"),
     ]
     got = rows(increments.repeated_rows(spark.createDataFrame(papers, _P), spark.createDataFrame(rows_, _A)))
     # 13 brings the work id of 6 and the arXiv id of 11 together, and 6 belongs to 4, which is a near-copy of 1
-    want = [("ai_papers", 1, x) for x in (3, 4, 6, 11, 12, 13)] + [("arxiv_paper_institutions", 1, 2), ("arxiv_paper_institutions", 1, 9), ("arxiv_paper_institutions", 4, 5)]
+    want = [("ai_papers", 1, x) for x in (3, 4, 6, 11, 12, 13)] + [("arxiv_paper_institutions", 1, 2), ("arxiv_paper_institutions", 1, 9),
+        ("arxiv_paper_institutions", 4, 5)]
     assert got == sorted(want, key=str)
 
 
@@ -158,7 +172,8 @@ def test_fullest_against_brute_force():
 
 
 def test_pack_table(spark):
-    items = spark.createDataFrame([(1, 25), (2, 10), (3, 5), (4, 5), (5, 0), (6, None), (None, 3), (7, 20), (7, 20)], "doc_id long, tokens long").withColumn("shard", F.lit("x"))
+    items = spark.createDataFrame([(1, 25), (2, 10), (3, 5), (4, 5), (5, 0), (6, None), (None, 3), (7, 20), (7, 20)],
+        "doc_id long, tokens long").withColumn("shard", F.lit("x"))
     got = packing.pack_table(items, [("a", 10), ("none", None), ("zero", 0)]).collect()
     fill = Counter()
     for r in got:
@@ -178,7 +193,8 @@ def test_tokens(spark):
 def test_mix(spark):
     docs = [(i, "a", 10) for i in range(100)] + [(1000 + i, "b", 10) for i in range(10)] + [(2000, None, 5), (2001, "c", 7), (2002, "a", 0)]
     d = spark.createDataFrame(docs, "doc_id long, source string, tokens long").withColumns({"order": F.lit(1), "range": F.lit(2), "upto": F.lit(3)})
-    t = spark.createDataFrame([("m", "a", 0.5, 3), ("m", "b", 0.5, 4), ("m", "gone", 0.0, 1), ("n", "absent", 1.0, 2), ("o", "c", None, 2)], "mix_name string, source string, target_share double, max_repeats int")
+    t = spark.createDataFrame([("m", "a", 0.5, 3), ("m", "b", 0.5, 4), ("m", "gone", 0.0, 1), ("n", "absent", 1.0, 2), ("o", "c", None, 2)],
+        "mix_name string, source string, target_share double, max_repeats int")
     got = mixing.mix(d, t).collect()
     use = Counter()
     for r in got:
@@ -191,7 +207,8 @@ def test_mix(spark):
 
 def test_prefix_sums_against_running_sum(spark, monkeypatch):
     monkeypatch.setattr(mixing, "RANGE_DOCS", 10)
-    d = spark.range(300).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"), (F.col("id") % 7).alias("tokens"))
+    d = spark.range(300).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"),
+        (F.col("id") % 7).alias("tokens"))
     got = {r["doc_id"]: r["upto"] for r in mixing.prefix_sums(d).collect()}
     order = {r[0]: r[1] for r in d.select("doc_id", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(0)), 1)).collect()}
     for s in (0, 1):
@@ -220,8 +237,11 @@ def test_languages(spark):
     data, df = _docs(spark)
     model = langid.fit(df)
     odd = [
-        (1, _TEXT["de"], "German"), (2, _TEXT["de"], "de-AT"), (3, _TEXT["de"], "en"), (4, _TEXT["de"], None), (5, _TEXT["en"] + " " + _TEXT["fr"], "en"), (6, _TEXT["en"] + "\nKeywords: mémoire, méthode nouvelle", "eng"),
-        (7, "", None), (8, None, "en"), (9, "42 0.5 |---|", ""), (10, _TEXT["en"] * 300, "xx"), (11, _TEXT["en"].upper(), "EN"), (None, _TEXT["en"], None), (12, "We release (nouvelle méthode) the code and a list of known failures. " + _TEXT["en"], "en"), (12, "We release (nouvelle méthode) the code and a list of known failures. " + _TEXT["en"], "en"),
+        (1, _TEXT["de"], "German"), (2, _TEXT["de"], "de-AT"), (3, _TEXT["de"], "en"), (4, _TEXT["de"], None),
+        (5, _TEXT["en"] + " " + _TEXT["fr"], "en"), (6, _TEXT["en"] + "\nKeywords: mémoire, méthode nouvelle", "eng"),
+        (7, "", None), (8, None, "en"), (9, "42 0.5 |---|", ""), (10, _TEXT["en"] * 300, "xx"), (11, _TEXT["en"].upper(), "EN"),
+        (None, _TEXT["en"], None), (12, "We release (nouvelle méthode) the code and a list of known failures. " + _TEXT["en"], "en"),
+        (12, "We release (nouvelle méthode) the code and a list of known failures. " + _TEXT["en"], "en"),
     ]
     segs = langid.segments(spark.createDataFrame(odd, "doc_id long, text string, lang string").withColumn("label", F.lit("z")), model)
     got = rows(langid.wrong_labels(segs).select("doc_id", "lang_code"))
@@ -236,7 +256,8 @@ def test_languages_of_nothing(spark):
 
 
 def test_label_codes(spark):
-    got = [r[0] for r in spark.createDataFrame([(x,) for x in ("Español", "pt-BR", "zh_Hans", "ger", "JA", "und", "", None, "la")], "l string").select(langid.label_code(F.col("l"))).collect()]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in ("Español", "pt-BR", "zh_Hans", "ger", "JA", "und", "", None, "la")],
+        "l string").select(langid.label_code(F.col("l"))).collect()]
     assert got == ["es", "pt", "zh", "de", "ja", None, None, None, None]
 
 

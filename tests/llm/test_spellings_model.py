@@ -30,13 +30,16 @@ def test_without_the_posterior_namesakes_would_be_joined(spark, monkeypatch):
     assert [c for c in got if any(n.startswith("Wisk") for n in c)] == [["Wiskerablo Motors", "Wiskeriblu Motors"]]
 
 
-@pytest.mark.parametrize("seen, meant, error", [("abcdefgh", "abdcefgh", "swap"), ("abcefgh", "abcdefgh", "out"), ("abcxdefgh", "abcdefgh", "in"), ("abcxefgh", "abcdefgh", "other"), ("abcde", "abcdefgh", "clipped"), ("abefgh", "abcdefgh", "out+out"), ("xbcdefgy", "abcdefgh", "other+other"), ("abc", "uvwxyz", None)])
+@pytest.mark.parametrize("seen, meant, error", [("abcdefgh", "abdcefgh", "swap"), ("abcefgh", "abcdefgh", "out"),
+    ("abcxdefgh", "abcdefgh", "in"), ("abcxefgh", "abcdefgh", "other"), ("abcde", "abcdefgh", "clipped"), ("abefgh", "abcdefgh", "out+out"),
+    ("xbcdefgy", "abcdefgh", "other+other"), ("abc", "uvwxyz", None)])
 def test_error_classes(seen, meant, error):
     assert spellings.error_class(seen, meant) == error
 
 
 def test_two_errors_meet(spark):
-    forms = spark.createDataFrame([("t", "k", "wiskerablos", 1), ("t", "k", "wsikerabls", 1), ("t", "k", "wixkeraylos", 1)], "tab_name string, kind string, core string, n long")
+    forms = spark.createDataFrame([("t", "k", "wiskerablos", 1), ("t", "k", "wsikerabls", 1), ("t", "k", "wixkeraylos", 1)],
+        "tab_name string, kind string, core string, n long")
     keys = {r["core"]: set() for r in forms.collect()}
     for r in spellings._keys(forms).collect():
         keys[r["core"]].add(r["key"])
