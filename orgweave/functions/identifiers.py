@@ -65,7 +65,8 @@ def wikidata_id(c: Column) -> Column:
 def wikipedia_title(url: Column) -> Column:
     """The page title of an English Wikipedia address, as text."""
     page = F.regexp_extract(url, r"en\.wikipedia\.org/wiki/([^#]*)", 1)
-    text = F.replace(F.replace(F.replace(F.replace(page, F.lit("_"), F.lit(" ")), F.lit("%20"), F.lit(" ")), F.lit("%26"), F.lit("&")), F.lit("%27"), F.lit("'"))
+    text = F.replace(F.replace(F.replace(F.replace(page, F.lit("_"), F.lit(" ")), F.lit("%20"), F.lit(" ")), F.lit("%26"), F.lit("&")),
+        F.lit("%27"), F.lit("'"))
     return _found(F.trim(text))
 
 
@@ -99,7 +100,8 @@ def year_of(date: Column) -> Column:
 def any_date(c: Column) -> Column:
     """The first of ISO, RFC 2822 and plain dates that reads; a timestamp, else null."""
     bare = F.regexp_replace(F.regexp_replace(F.trim(c), r"^[A-Za-z]{3},\s*", ""), r"\s*(GMT|UTC|Z)$", "")
-    return F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in ("yyyy-MM-dd'T'HH:mm:ss[XXX]", "d MMM yyyy HH:mm:ss[ Z]", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd")])
+    return F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in ("yyyy-MM-dd'T'HH:mm:ss[XXX]", "d MMM yyyy HH:mm:ss[ Z]",
+        "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd")])
 
 
 def _day(date: Column) -> Column:

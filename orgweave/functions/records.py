@@ -29,13 +29,17 @@ def flatten_paths(df: DataFrame, key: str, json: str, sep: str = "_", levels: in
         level = level.withColumn("kind", kind)
         is_list_of_objects = F.col("kind").startswith("ARRAY<OBJECT")
         scalars = level.filter(~F.col("kind").startswith("OBJECT") & ~is_list_of_objects & (F.col("kind") != "VOID"))
-        text = F.when(F.col("kind").startswith("ARRAY"), F.coalesce(F.array_join(F.try_variant_get("v", "$", "array<string>"), "; "), F.to_json("v"))).otherwise(F.try_variant_get("v", "$", "string"))
+        text = F.when(F.col("kind").startswith("ARRAY"), F.coalesce(F.array_join(F.try_variant_get("v", "$", "array<string>"), "; "),
+            F.to_json("v"))).otherwise(F.try_variant_get("v", "$", "string"))
         out.append(scalars.select(key, "path", text.alias("value")))
         join = lambda name: F.when(F.col("path") == "", name).otherwise(F.concat_ws(sep, "path", name))
-        objects = level.filter(F.col("kind").startswith("OBJECT")).select(key, "path", F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("name", "v")).select(key, join(F.col("name")).alias("path"), "v")
+        objects = level.filter(F.col("kind").startswith("OBJECT")).select(key, "path",
+            F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("name", "v")).select(key, join(F.col("name")).alias("path"), "v")
         lists = level.filter(is_list_of_objects).select(key, "path", F.try_variant_get("v", "$", "array<variant>").alias("items"))
-        items = lists.select(key, "path", F.posexplode(F.slice("items", 1, most)).alias("no", "v")).select(key, F.concat_ws(sep, "path", F.col("no").cast("string")).alias("path"), "v")
-        out.append(lists.filter(F.size("items") > most).select(key, F.concat_ws(sep, "path", F.lit("remaining_count")).alias("path"), (F.size("items") - most).cast("string").alias("value")))
+        items = lists.select(key, "path", F.posexplode(F.slice("items", 1, most)).alias("no", "v")).select(key,
+            F.concat_ws(sep, "path", F.col("no").cast("string")).alias("path"), "v")
+        out.append(lists.filter(F.size("items") > most).select(key, F.concat_ws(sep, "path", F.lit("remaining_count")).alias("path"),
+            (F.size("items") - most).cast("string").alias("value")))
         level = objects.unionByName(items)
         level = cut(level)
         if level.isEmpty():
@@ -60,18 +64,27 @@ def json_structure(df: DataFrame, json: str) -> DataFrame:
 def authorship_rows(df: DataFrame, json: str, company_words: tuple[str, ...] = ("inc", "corp", "ltd", "llc", "gmbh", "research")) -> DataFrame:
     """A row per work, author and institution, one for an author without any, and one per raw affiliation that looks like a company."""
     v = unwrapped(F.col(json))
-    w = df.select(v.alias("v")).filter("v is not null").select(F.try_variant_get("v", "$.id", "string").alias("openalex_id"), F.try_variant_get("v", "$.publication_year", "int").alias("publication_year"), F.explode(as_items(F.try_variant_get("v", "$.authorships", "variant"))).alias("a"))
+    w = df.select(v.alias("v")).filter("v is not null").select(F.try_variant_get("v", "$.id", "string").alias("openalex_id"),
+        F.try_variant_get("v", "$.publication_year", "int").alias("publication_year"),
+        F.explode(as_items(F.try_variant_get("v", "$.authorships", "variant"))).alias("a"))
     a = w.select(
-        "openalex_id", "publication_year", F.try_variant_get("a", "$.author.id", "string").alias("author_id"), F.try_variant_get("a", "$.author_position", "string").alias("author_position"),
-        F.try_variant_get("a", "$.is_corresponding", "boolean").alias("is_corresponding"), as_items(F.try_variant_get("a", "$.institutions", "variant")).alias("institutions"), F.try_variant_get("a", "$.raw_affiliation_strings", "array<string>").alias("raw"),
+        "openalex_id", "publication_year", F.try_variant_get("a", "$.author.id", "string").alias("author_id"),
+        F.try_variant_get("a", "$.author_position", "string").alias("author_position"),
+        F.try_variant_get("a", "$.is_corresponding", "boolean").alias("is_corresponding"),
+        as_items(F.try_variant_get("a", "$.institutions", "variant")).alias("institutions"),
+        F.try_variant_get("a", "$.raw_affiliation_strings", "array<string>").alias("raw"),
     )
     keys = ["openalex_id", "publication_year", "author_id", "author_position", "is_corresponding"]
     i = a.select(*keys, F.explode_outer("institutions").alias("i"))
-    rows = i.select(*keys, *[F.try_variant_get("i", f"$.{p}", "string").alias(n) for p, n in (("id", "institution_id"), ("display_name", "institution_name"), ("type", "institution_type"), ("country_code", "country_code"))], F.coalesce(F.schema_of_variant("i") != "VOID", F.lit(False)).alias("has_institution"), F.lit("institutions").alias("source"))
+    rows = i.select(*keys, *[F.try_variant_get("i", f"$.{p}", "string").alias(n) for p,
+        n in (("id", "institution_id"), ("display_name", "institution_name"), ("type", "institution_type"),
+        ("country_code", "country_code"))], F.coalesce(F.schema_of_variant("i") != "VOID", F.lit(False)).alias("has_institution"),
+        F.lit("institutions").alias("source"))
     raw = a.select(*keys, F.explode("raw").alias("institution_name"))
     looks = reduce(lambda x, y: x | y, [F.lower("institution_name").contains(k) for k in company_words])
     none = F.lit(None).cast("string")
-    extra = raw.filter(looks).select(*keys, none.alias("institution_id"), "institution_name", F.lit("company").alias("institution_type"), none.alias("country_code"), F.lit(True).alias("has_institution"), F.lit("raw_affiliation").alias("source"))
+    extra = raw.filter(looks).select(*keys, none.alias("institution_id"), "institution_name", F.lit("company").alias("institution_type"),
+        none.alias("country_code"), F.lit(True).alias("has_institution"), F.lit("raw_affiliation").alias("source"))
     return rows.unionByName(extra)
 
 
@@ -84,11 +97,13 @@ def wikidata_claims(v: Column) -> Column:
     """Struct of tickers (P414 with P249), parents (P127, P749) and names (P1448, P742) of an entity record."""
 
     def values(prop: str, path: str) -> Column:
-        return F.filter(F.transform(as_items(F.try_variant_get(v, f"$.claims.{prop}", "variant")), lambda c: F.try_variant_get(c, path, "string")), lambda x: x.isNotNull())
+        return F.filter(F.transform(as_items(F.try_variant_get(v, f"$.claims.{prop}", "variant")),
+            lambda c: F.try_variant_get(c, path, "string")), lambda x: x.isNotNull())
 
     main = "$.mainsnak.datavalue.value"
     return F.struct(
-        F.array_union(values("P414", "$.qualifiers.P249[0].datavalue.value"), values("P249", main)).alias("tickers"), F.array_union(values("P127", f"{main}.id"), values("P749", f"{main}.id")).alias("parents"),
+        F.array_union(values("P414", "$.qualifiers.P249[0].datavalue.value"), values("P249", main)).alias("tickers"),
+        F.array_union(values("P127", f"{main}.id"), values("P749", f"{main}.id")).alias("parents"),
         F.array_union(values("P1448", f"{main}.text"), values("P742", main)).alias("names"),
     )
 
@@ -109,9 +124,11 @@ def infobox(html: Column) -> Column:
         text = F.trim(F.regexp_replace(F.when(row != "", row).otherwise(wiki), r"<[^>]+>|\[\[|\]\]", " "))
         return F.nullif(F.regexp_replace(text, r"\s+", " "), F.lit(""))
 
-    marks = F.array_distinct(F.regexp_extract_all(F.regexp_replace(plain, r"<[^>]+>", " "), F.lit(r"(?:NYSE|NASDAQ|Nasdaq|LSE|TSX|TYO)\s*[:|]\s*([A-Z0-9.]{1,6})\b"), 1))
+    marks = F.array_distinct(F.regexp_extract_all(F.regexp_replace(plain, r"<[^>]+>", " "),
+        F.lit(r"(?:NYSE|NASDAQ|Nasdaq|LSE|TSX|TYO)\s*[:|]\s*([A-Z0-9.]{1,6})\b"), 1))
     return F.struct(
-        marks.alias("tickers"), F.nullif(F.regexp_extract(plain, r"\b([A-Z]{2}[A-Z0-9]{9}\d)\b", 1), F.lit("")).alias("isin"), value("(?:Company )?type").alias("company_type"),
+        marks.alias("tickers"), F.nullif(F.regexp_extract(plain, r"\b([A-Z]{2}[A-Z0-9]{9}\d)\b", 1), F.lit("")).alias("isin"),
+        value("(?:Company )?type").alias("company_type"),
         value("Industry").alias("industry"), value("(?:Parent|Owner)").alias("parent"), value("(?:Formerly|Former names?|Former_names?)").alias("former_names"),
     )
 

@@ -121,4 +121,5 @@ def _udf(score):
 
 #: name -> function of the score as a column of two columns; null if one is null.
 def column(name: str):
-    return _udf({"ratio": ratio, "partial_ratio": partial_ratio, "token_sort_ratio": token_sort_ratio, "wratio": wratio, "jaro_winkler": jaro_winkler, "sequence_ratio": sequence_ratio}[name])
+    return _udf({"ratio": ratio, "partial_ratio": partial_ratio, "token_sort_ratio": token_sort_ratio, "wratio": wratio,
+        "jaro_winkler": jaro_winkler, "sequence_ratio": sequence_ratio}[name])

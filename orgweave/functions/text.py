@@ -11,35 +11,47 @@ from pyspark.sql import functions as F
 # ---- fixed values --------------------------------------------------------------------------------------------------------------------
 LEGAL_WORDS = r"\b(INCORPORATED|CORPORATION|COMPANY|LIMITED|L\.?L\.?C\.?|INC\.?|LTD\.?|CORP\.?|CO\.?|PLC\.?|S\.?A\.?|A\.?G\.?|GMBH|N\.?V\.?|B\.?V\.?)\b"
 ASSIGNEE_SUFFIXES = (
-    " inc", " corp", " llc", "ltd", "limited", "plc", "gmbh", "ag", "sa", "spa", "pty", "bv", "nv", "aps", "sro", "co", "company", "corporation", " technologies",
-    "technology", "laboratories", "laboratory", "labs", " research", "group", "holdings", "international", "industries", " systems", "solutions", "software", "services",
+    " inc", " corp", " llc", "ltd", "limited", "plc", "gmbh", "ag", "sa", "spa", "pty", "bv", "nv", "aps", "sro", "co", "company",
+    "corporation", " technologies",
+    "technology", "laboratories", "laboratory", "labs", " research", "group", "holdings", "international", "industries", " systems",
+    "solutions", "software", "services",
 )
 AGGRESSIVE_SUFFIXES = (
-    " inc", " corp", " llc", "ltd", "limited", "plc", "gmbh", "ag", "sa", "spa", "pty", "bv", "nv", "aps", "co", "company", "corporation", "laboratories", " laboratory",
-    "research", "group", "holdings", "international", "industries", " technologies", "technology", "systems", "solutions", "software", "services", " incorporated",
+    " inc", " corp", " llc", "ltd", "limited", "plc", "gmbh", "ag", "sa", "spa", "pty", "bv", "nv", "aps", "co", "company", "corporation",
+    "laboratories", " laboratory",
+    "research", "group", "holdings", "international", "industries", " technologies", "technology", "systems", "solutions", "software",
+    "services", " incorporated",
     " llp", " partnership", " enterprises", " and",
 )
 INSTITUTION_SUFFIXES = (
-    " inc", " corp", " llc", "ltd", "limited", "plc", "gmbh", "ag", "sa", "spa", "pty", "bv", "nv", "aps", "sro", "zoo", "kft", "oao", "ooo", "as", " co", "company",
-    "companies", "corporation", "technologies", "technology", " laboratories", "laboratory", "labs", "research", "group", "holdings", " international", "industries",
+    " inc", " corp", " llc", "ltd", "limited", "plc", "gmbh", "ag", "sa", "spa", "pty", "bv", "nv", "aps", "sro", "zoo", "kft", "oao",
+    "ooo", "as", " co", "company",
+    "companies", "corporation", "technologies", "technology", " laboratories", "laboratory", "labs", "research", "group", "holdings",
+    " international", "industries",
     "systems", "solutions", "software",
 )
 INSTITUTION_ABBREVIATIONS = (
-    ("ibm", "international business machines"), ("ge", "general electric"), ("gm", "general motors"), ("at&t", "at and t"), ("ibm corp", "international business machines"),
+    ("ibm", "international business machines"), ("ge", "general electric"), ("gm", "general motors"), ("at&t", "at and t"),
+    ("ibm corp", "international business machines"),
     ("ibm corporation", "international business machines"), ("hp", "hewlett packard"), ("hewlett-packard", "hewlett packard"),
 )
 PLACE_PHRASES = (
-    " united states", " usa", " us ", " united kingdom", " uk ", " south korea", " north korea", " czechia", " czech republic", " china", " japan", " germany", " france",
-    " canada", " australia", " india", " netherlands", " switzerland", " sweden", " norway", " denmark", " finland", " italy", " spain", " poland", " brazil", " argentina",
+    " united states", " usa", " us ", " united kingdom", " uk ", " south korea", " north korea", " czechia", " czech republic", " china",
+    " japan", " germany", " france",
+    " canada", " australia", " india", " netherlands", " switzerland", " sweden", " norway", " denmark", " finland", " italy", " spain",
+    " poland", " brazil", " argentina",
     " mexico", " singapore", " taiwan", " hong kong",
 )
-FILTERED_SUFFIXES = (" inc", " ltd", " llc", " corp", " corporation", " co", " plc", " gmbh", " ag", " sa", " pty", " limited", " incorporated", " technologies", " group")
+FILTERED_SUFFIXES = (" inc", " ltd", " llc", " corp", " corporation", " co", " plc", " gmbh", " ag", " sa", " pty", " limited",
+    " incorporated", " technologies", " group")
 URL_SUFFIXES = (
-    " inc", " ltd", " corp", " llc", " plc", " gmbh", " ag", " co", " corporation", " company", " industries", " international", " worldwide", " group", " holdings",
+    " inc", " ltd", " corp", " llc", " plc", " gmbh", " ag", " co", " corporation", " company", " industries", " international",
+    " worldwide", " group", " holdings",
     " limited", " technologies", " solutions",
 )
 WIKI_SUFFIXES = (
-    " inc", " ltd", " corp", " plc", " gmbh", " ag", " co", " corporation", " company", " industries", " worldwide", " group", " holdings", " limited", " technologies",
+    " inc", " ltd", " corp", " plc", " gmbh", " ag", " co", " corporation", " company", " industries", " worldwide", " group", " holdings",
+    " limited", " technologies",
     " solutions", " services", " international", " associates", " laboratories", " laboratory", " incorporated", " llc",
 )
 FIRM_SUFFIXES = (" inc", " corp", " llc", " ltd", " plc", " gmbh", " ag", " sa", " co.", " corporation", " technologies")
@@ -103,7 +115,8 @@ def normalize_assignee(c: Column) -> Column:
     return squeeze(F.replace(strip_suffixes(_lower(c), ASSIGNEE_SUFFIXES), F.lit("&"), F.lit("and")))
 
 
-def normalize_aggressive(c: Column, suffixes: tuple[str, ...] = AGGRESSIVE_SUFFIXES, drop: tuple[str, ...] = ("the", "a", "an"), prefixes: tuple[str, ...] = ()) -> Column:
+def normalize_aggressive(c: Column, suffixes: tuple[str, ...] = AGGRESSIVE_SUFFIXES, drop: tuple[str, ...] = ("the", "a", "an"),
+    prefixes: tuple[str, ...] = ()) -> Column:
     """M3: brackets, prefixes, suffixes, articles and one-letter words off. Other suffixes, words and prefixes give its variants."""
     s = strip_prefixes(F.trim(without_brackets(_lower(c))), prefixes) if prefixes else without_brackets(_lower(c))
     return squeeze(_long_words(F.replace(strip_suffixes(s, suffixes), F.lit("&"), F.lit("and")), drop))
@@ -165,7 +178,8 @@ def institution_variants(name: Column, alternatives: Column, acronyms: Column) -
     """Cleaned name, with and without brackets, cleaned alternatives, upper-case acronyms; at least two characters; sorted."""
     none = F.array().cast("array<string>")
     all_ = F.concat(
-        F.array(clean_organization_name(name), clean_organization_name(without_brackets(name))), F.transform(F.coalesce(alternatives, none), lambda a: clean_organization_name(a)),
+        F.array(clean_organization_name(name), clean_organization_name(without_brackets(name))),
+        F.transform(F.coalesce(alternatives, none), lambda a: clean_organization_name(a)),
         F.transform(F.coalesce(acronyms, none), lambda a: F.upper(F.trim(a))),
     )
     return F.array_sort(F.array_distinct(F.filter(all_, lambda x: F.length(x) >= 2)))
@@ -198,4 +212,5 @@ def author_count(authors: Column) -> Column:
     s = F.coalesce(authors, F.lit(""))
     semis = F.size(F.filter(F.split(s, ";"), lambda x: F.trim(x) != ""))
     ands = F.size(F.split(s, " and ")) + F.size(F.split(s, " & ")) - 1
-    return F.when(F.trim(s) == "", 0).when(s.contains(";"), semis).when(s.contains(" and ") | s.contains(" & "), ands).when(s.contains(","), F.size(F.split(s, ","))).otherwise(1)
+    return F.when(F.trim(s) == "", 0).when(s.contains(";"), semis).when(s.contains(" and ") | s.contains(" & "), ands).when(s.contains(","),
+        F.size(F.split(s, ","))).otherwise(1)

@@ -19,7 +19,8 @@ def keep_best(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 def keep_max(df: DataFrame, keys: list[str], score: str, *ties: str) -> DataFrame:
     """The same for one falling score: an aggregate instead of a sort; of equals the row with the least ``ties``, then columns."""
     rest = [c for c in df.columns if c not in keys and c != score and c not in ties]
-    pick = F.min_by(F.struct(*df.columns), F.struct((-F.coalesce(F.col(score).cast("double"), F.lit(float("-inf")))).alias("_s"), *ties, *[F.col(c).cast("string").alias(f"_{c}") for c in rest]))
+    pick = F.min_by(F.struct(*df.columns), F.struct((-F.coalesce(F.col(score).cast("double"), F.lit(float("-inf")))).alias("_s"), *ties,
+        *[F.col(c).cast("string").alias(f"_{c}") for c in rest]))
     return df.groupBy(*keys).agg(pick.alias("_row")).select("_row.*")
 
 
@@ -47,4 +48,5 @@ def set_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     x = a.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("_a", F.lit(1))
     y = b.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("_b", F.lit(1))
     both = x.join(y, key, "full_outer")
-    return both.agg(F.count_if(F.col("_b").isNull()).alias("only_a"), F.count_if(F.col("_a").isNull()).alias("only_b"), F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("both"))
+    return both.agg(F.count_if(F.col("_b").isNull()).alias("only_a"), F.count_if(F.col("_a").isNull()).alias("only_b"),
+        F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("both"))

@@ -46,7 +46,8 @@ def value_kind(v: Column) -> Column:
 def field_values(raw: DataFrame) -> DataFrame:
     """feed, file_no, file_seq, field, value (variant) of every member of every readable record."""
     v = raw.select("feed", "file_no", "file_seq", F.try_parse_json("record").alias("v"))
-    return v.filter(F.col("v").isNotNull()).select("feed", "file_no", "file_seq", F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("field", "value"))
+    return v.filter(F.col("v").isNotNull()).select("feed", "file_no", "file_seq",
+        F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("field", "value"))
 
 
 def profiles(values: DataFrame) -> DataFrame:
@@ -75,7 +76,8 @@ def sketches(values: DataFrame) -> DataFrame:
     whole = F.when(F.col("w").contains("."), "f").otherwise("i")
     number = F.concat(F.lit("#"), whole, F.when(x == 0, "0").otherwise(F.floor(F.log10(F.abs(x)) * 2).cast("string")))
     token = F.when(x.isNotNull() & ~F.isnan(x), number).otherwise(F.lower("w"))
-    return word.select("file_no", "field", F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int").alias("b")).groupBy("file_no", "field", "b").agg(F.count("*").alias("c"))
+    return word.select("file_no", "field", F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int").alias("b")).groupBy("file_no", "field",
+        "b").agg(F.count("*").alias("c"))
 
 
 def name_words(name: str) -> list[str]:
@@ -134,7 +136,8 @@ def evidence(pairs: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     n = new.select("file_no", "b", F.col("field").alias("new_name"), F.col("c").alias("c2"))
     dot = o.hint("merge").join(n, ["file_no", "b"]).groupBy("file_no", "old_name", "new_name").agg(F.sum(F.sqrt(F.col("c1") * F.col("c2"))).alias("dot"))
     names = spread(cut(pairs.select("old_name", "new_name").distinct())).withColumn("name", _names_alike("old_name", "new_name"))
-    full = pairs.hint("merge").join(names, ["old_name", "new_name"]).join(dot, ["file_no", "old_name", "new_name"], "left").join(size(old, "old_name"), ["file_no", "old_name"], "left").join(size(new, "new_name"), ["file_no", "new_name"], "left")
+    full = pairs.hint("merge").join(names, ["old_name", "new_name"]).join(dot, ["file_no", "old_name", "new_name"],
+        "left").join(size(old, "old_name"), ["file_no", "old_name"], "left").join(size(new, "new_name"), ["file_no", "new_name"], "left")
     cosine = F.coalesce(F.col("dot"), F.lit(0.0)) / F.sqrt(F.col("old_name_size") * F.col("new_name_size"))
     value = F.coalesce(cosine, F.col("name"))
     numeric = lambda k: F.coalesce(F.col(k).isin("number", "boolean"), F.lit(False))
@@ -156,12 +159,15 @@ def flood(pairs: DataFrame, schemas: DataFrame) -> DataFrame:
     nestings, whose scores are the means over their pairs. Scores only depend on a pair's start and its nodes, so the rounds run over the
     distinct combinations of nodes, with the sums of their starts: as many rows as there are schemas' combinations, not files."""
     a, b = F.least("old_name", "new_name"), F.greatest("old_name", "new_name")
-    nodes = {"types": F.concat_ws(">", F.coalesce("old_kind", F.lit("null")), F.coalesce("new_kind", F.lit("null"))), "nesting": F.concat_ws(">", _nesting(F.col("old_kind")), _nesting(F.col("new_kind")))}
+    nodes = {"types": F.concat_ws(">", F.coalesce("old_kind", F.lit("null")), F.coalesce("new_kind", F.lit("null"))),
+        "nesting": F.concat_ws(">", _nesting(F.col("old_kind")), _nesting(F.col("new_kind")))}
     p = cut(pairs.withColumns({"a": a, "b": b, **nodes}))
     both = p.select("a", "b").distinct()
-    beside = both.join(schemas.select("file_no", F.col("field").alias("a")), "a").join(schemas.select("file_no", F.col("field").alias("b")), ["file_no", "b"]).groupBy("a", "b").agg(F.count("*").alias("apart"))
+    beside = both.join(schemas.select("file_no", F.col("field").alias("a")), "a").join(schemas.select("file_no", F.col("field").alias("b")),
+        ["file_no", "b"]).groupBy("a", "b").agg(F.count("*").alias("apart"))
     combined = p.groupBy("a", "b", "types", "nesting").agg(F.count("*").alias("n"), F.sum("start").alias("sum"))
-    state = cut(combined.join(beside, ["a", "b"], "left").select("a", "b", "types", "nesting", "n", "sum", F.coalesce("apart", F.lit(0)).alias("apart"), F.lit(0.0).alias("flow"), F.lit(True).alias("first")))
+    state = cut(combined.join(beside, ["a", "b"], "left").select("a", "b", "types", "nesting", "n", "sum",
+        F.coalesce("apart", F.lit(0)).alias("apart"), F.lit(0.0).alias("flow"), F.lit(True).alias("first")))
     for _ in range(ROUNDS):
         # the sum of scores of a combination, with what flowed to each of its pairs in the round before
         held = state.withColumn("total", F.when(F.col("first"), F.col("sum")).otherwise((1 - FLOW) * F.col("sum") + FLOW * F.col("n") * F.col("flow")))
@@ -170,7 +176,8 @@ def flood(pairs: DataFrame, schemas: DataFrame) -> DataFrame:
         by_nest = held.groupBy("nesting").agg((F.sum("total") / F.sum("n")).alias("by_nest"))
         flow = BY_NAMES * F.col("by_name") + BY_TYPES * F.col("by_type") + BY_NESTING * F.col("by_nest")
         nxt = held.join(by_name, ["a", "b"]).join(by_type, "types").join(by_nest, "nesting")
-        nxt = cut(nxt.select("a", "b", "types", "nesting", "n", "sum", "apart", flow.alias("flow"), F.lit(False).alias("first"), F.abs(flow - F.col("flow")).alias("moved")))
+        nxt = cut(nxt.select("a", "b", "types", "nesting", "n", "sum", "apart", flow.alias("flow"), F.lit(False).alias("first"),
+            F.abs(flow - F.col("flow")).alias("moved")))
         state = nxt.drop("moved")
         if nxt.filter(F.col("moved") > TOLERANCE).isEmpty():
             break
@@ -212,7 +219,8 @@ def schema_changes(raw: DataFrame) -> DataFrame:
     """
     raw = raw.filter(F.col("feed").isNotNull() & F.col("file_no").isNotNull() & F.col("file_seq").isNotNull())
     in_feed = Window.partitionBy("feed").orderBy("file_seq", "file_no")
-    files = raw.select("feed", "file_seq", "file_no").distinct().withColumn("at", F.row_number().over(in_feed)).withColumn("before", F.lag("file_no").over(in_feed))
+    files = raw.select("feed", "file_seq", "file_no").distinct().withColumn("at", F.row_number().over(in_feed)).withColumn("before",
+        F.lag("file_no").over(in_feed))
     files = cut(files)
     values = field_values(raw)
     prof = cut(profiles(values))
@@ -221,26 +229,31 @@ def schema_changes(raw: DataFrame) -> DataFrame:
     known = F.last("kind", ignorenulls=True).over(Window.partitionBy("feed", "field").orderBy("at"))
     named = named.withColumn("kind", known)
     pair = files.filter("before is not null")
-    old = named.select(F.col("file_no").alias("before"), "field", F.col("kind").alias("old_kind")).join(pair.select("before", "file_no"), "before").select("file_no", "field", "old_kind", F.lit(True).alias("was"))
+    old = named.select(F.col("file_no").alias("before"), "field", F.col("kind").alias("old_kind")).join(pair.select("before", "file_no"),
+        "before").select("file_no", "field", "old_kind", F.lit(True).alias("was"))
     new = named.join(pair.select("file_no"), "file_no", "left_semi").select("file_no", "field", F.col("kind").alias("new_kind"), F.lit(True).alias("is"))
     both = cut(old.join(new, ["file_no", "field"], "full_outer"))
     gone, come = both.filter("is is null"), both.filter("was is null")
     # only files where something goes and something comes need sketches
-    pairs = cut(gone.select("file_no", F.col("field").alias("old_name"), "old_kind").join(come.select("file_no", F.col("field").alias("new_name"), "new_kind"), "file_no"))
+    pairs = cut(gone.select("file_no", F.col("field").alias("old_name"),
+        "old_kind").join(come.select("file_no", F.col("field").alias("new_name"), "new_kind"), "file_no"))
     before = pair.select("file_no", "before")
-    need_old = pairs.select("file_no", F.col("old_name").alias("field")).distinct().join(before, "file_no").select(F.col("before").alias("src"), "file_no", "field")
+    need_old = pairs.select("file_no", F.col("old_name").alias("field")).distinct().join(before,
+        "file_no").select(F.col("before").alias("src"), "file_no", "field")
     need_new = pairs.select(F.col("file_no").alias("src"), "file_no", F.col("new_name").alias("field")).distinct()
     wanted = cut(need_old.unionByName(need_new).select(F.col("src").alias("file_no"), "field").distinct())
     open_files = raw.join(wanted.select("file_no").distinct(), "file_no", "left_semi")  # before any record is read again
     sketch = cut(sketches(field_values(open_files).join(wanted, ["file_no", "field"], "left_semi"))).withColumnRenamed("file_no", "src")
     side = lambda need: need.join(sketch, ["src", "field"]).select("file_no", "field", "b", "c")
     matched = cut(correspondences(flood(evidence(pairs, side(need_old), side(need_new)), prof)))
-    renamed = matched.join(gone.select("file_no", F.col("field").alias("old_name"), "old_kind"), ["file_no", "old_name"]).join(come.select("file_no", F.col("field").alias("new_name"), "new_kind"), ["file_no", "new_name"])
+    renamed = matched.join(gone.select("file_no", F.col("field").alias("old_name"), "old_kind"),
+        ["file_no", "old_name"]).join(come.select("file_no", F.col("field").alias("new_name"), "new_kind"), ["file_no", "new_name"])
     stay = both.filter("was and is").select("file_no", F.col("field").alias("new_name"), F.col("field").alias("old_name"), "old_kind", "new_kind")
     cols = ["file_no", "field_name", "old_name", "change_kind", "old_kind", "new_kind"]
 
     def rows(df: DataFrame, kind: str, name: str, old_name: Column) -> DataFrame:
-        return df.select("file_no", F.col(name).alias("field_name"), old_name.alias("old_name"), F.lit(kind).alias("change_kind"), "old_kind", "new_kind").select(cols)
+        return df.select("file_no", F.col(name).alias("field_name"), old_name.alias("old_name"), F.lit(kind).alias("change_kind"),
+            "old_kind", "new_kind").select(cols)
 
     none = F.lit(None).cast("string")
     taken_old, taken_new = matched.select("file_no", F.col("old_name").alias("field")), matched.select("file_no", F.col("new_name").alias("field"))
@@ -266,7 +279,8 @@ def consistent_names(raw: DataFrame, changes: DataFrame) -> DataFrame:
     older = first.select("feed", F.col("field").alias("up"), F.col("since").alias("up_since"))
     links = cut(step.join(first, ["feed", "field"]).join(older, ["feed", "up"]).filter("up_since < since").select("feed", "field", "up"))
     while True:
-        nxt = cut(links.join(links.select("feed", F.col("field").alias("up"), F.col("up").alias("top")), ["feed", "up"], "left").select("feed", "field", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")))
+        nxt = cut(links.join(links.select("feed", F.col("field").alias("up"), F.col("up").alias("top")), ["feed", "up"],
+            "left").select("feed", "field", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")))
         links = nxt.drop("moved")
         if nxt.filter("moved").isEmpty():
             break
@@ -279,8 +293,10 @@ def _typed(v: Column) -> dict[str, Column]:
     text = F.coalesce(F.when(nested, F.to_json(v)), F.try_variant_get(v, "$", "string"))
     truth = F.lower(F.trim(text))
     items = F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v))
-    as_text = F.transform(items, lambda x: F.coalesce(F.when(F.schema_of_variant(x).startswith("ARRAY") | F.schema_of_variant(x).startswith("OBJECT"), F.to_json(x)), F.try_variant_get(x, "$", "string")))
-    return {"text": text, "number": F.when(~nested, F.expr("try_cast(_text as double)")), "truth": F.when(truth.isin("true", "false"), truth == "true"), "list": as_text}
+    as_text = F.transform(items, lambda x: F.coalesce(F.when(F.schema_of_variant(x).startswith("ARRAY")
+        | F.schema_of_variant(x).startswith("OBJECT"), F.to_json(x)), F.try_variant_get(x, "$", "string")))
+    return {"text": text, "number": F.when(~nested, F.expr("try_cast(_text as double)")),
+        "truth": F.when(truth.isin("true", "false"), truth == "true"), "list": as_text}
 
 
 def unified_values(raw: DataFrame, changes: DataFrame) -> DataFrame:
@@ -288,7 +304,8 @@ def unified_values(raw: DataFrame, changes: DataFrame) -> DataFrame:
     names = consistent_names(raw, changes)
     v = raw.select("feed", "file_no", "line_no", F.try_parse_json("record").alias("v")).filter(F.col("v").isNotNull())
     values = v.select("feed", "file_no", "line_no", F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("field", "value"))
-    return values.join(names, ["feed", "field"]).select("feed", "file_no", "line_no", "unified", value_kind(F.col("value")).alias("kind"), "value").filter("kind is not null")
+    return values.join(names, ["feed", "field"]).select("feed", "file_no", "line_no", "unified", value_kind(F.col("value")).alias("kind"),
+        "value").filter("kind is not null")
 
 
 def agreed_types(values: DataFrame) -> DataFrame:
@@ -298,11 +315,14 @@ def agreed_types(values: DataFrame) -> DataFrame:
     read = values.withColumn("_text", t["text"])
     n = lambda c: F.count_if(c)
     per = read.groupBy("feed", "unified").agg(
-        F.count("*").alias("values"), n(t["number"].isNotNull() & (F.col("kind") != "boolean")).alias("as_number"), n(t["truth"].isNotNull()).alias("as_truth"), n(F.col("kind").startswith("list")).alias("lists"),
+        F.count("*").alias("values"), n(t["number"].isNotNull() & (F.col("kind") != "boolean")).alias("as_number"),
+        n(t["truth"].isNotNull()).alias("as_truth"), n(F.col("kind").startswith("list")).alias("lists"),
         *[n(F.col("kind") == k).alias(f"_{i}") for i, k in enumerate(KINDS)],
     )
-    agreed = F.when(F.col("lists") > 0, "list").when(F.col("as_number") == F.col("values"), "number").when(F.col("as_truth") == F.col("values"), "boolean").otherwise("string")
-    same = F.when(F.col("agreed") == "list", F.col("lists")).when(F.col("agreed") == "number", F.col("_1")).when(F.col("agreed") == "boolean", F.col("_2")).otherwise(F.col("_0"))
+    agreed = F.when(F.col("lists") > 0, "list").when(F.col("as_number") == F.col("values"),
+        "number").when(F.col("as_truth") == F.col("values"), "boolean").otherwise("string")
+    same = F.when(F.col("agreed") == "list", F.col("lists")).when(F.col("agreed") == "number",
+        F.col("_1")).when(F.col("agreed") == "boolean", F.col("_2")).otherwise(F.col("_0"))
     return per.withColumn("agreed", agreed).select("feed", "unified", "agreed", "values", (F.col("values") - same).alias("casts"))
 
 
@@ -318,7 +338,8 @@ def unified_table(raw: DataFrame, changes: DataFrame) -> DataFrame:
     read = values.withColumn("_text", t["text"]).join(types, ["feed", "unified"])
     as_ = lambda k, c: F.when(F.col("agreed") == k, c)
     text = F.when(F.col("agreed") == "boolean", F.lower(F.trim("_text"))).otherwise(F.col("_text"))
-    return read.select("feed", "file_no", "line_no", "unified", "agreed", text.alias("value_text"), as_("number", t["number"]).alias("value_number"), as_("boolean", t["truth"]).alias("value_boolean"), as_("list", t["list"]).alias("value_list"))
+    return read.select("feed", "file_no", "line_no", "unified", "agreed", text.alias("value_text"),
+        as_("number", t["number"]).alias("value_number"), as_("boolean", t["truth"]).alias("value_boolean"), as_("list", t["list"]).alias("value_list"))
 
 
 def wide(table: DataFrame, fields: dict[str, str]) -> DataFrame:

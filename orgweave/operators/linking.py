@@ -22,32 +22,45 @@ from orgweave.shared import cut
 MATCH = ["entity_id", "gvkey", "match_method", "match_confidence"]
 # ---- fixed values --------------------------------------------------------------------------------------------------------------------
 GENERIC_NAMES = (
-    "INTERNATIONAL", "GROUP", "SYSTEMS", "TECHNOLOGIES", "INNOVATIONS", "ASSOCIATES", "SOLUTIONS", "SERVICES", "RESEARCH", "LABORATORIES", "ENGINEERING", "ENERGY",
-    "DEVELOPMENTS", "CONSULTING", "CORPORATION", "COMPANY", "INCORPORATED", "LIMITED", "ENTERPRISES", "INDUSTRIES", "HOLDINGS", "PARTNERS", "TECHNOLOGY", "GLOBAL", "WORLDWIDE",
+    "INTERNATIONAL", "GROUP", "SYSTEMS", "TECHNOLOGIES", "INNOVATIONS", "ASSOCIATES", "SOLUTIONS", "SERVICES", "RESEARCH", "LABORATORIES",
+    "ENGINEERING", "ENERGY",
+    "DEVELOPMENTS", "CONSULTING", "CORPORATION", "COMPANY", "INCORPORATED", "LIMITED", "ENTERPRISES", "INDUSTRIES", "HOLDINGS", "PARTNERS",
+    "TECHNOLOGY", "GLOBAL", "WORLDWIDE",
 )
 BLOCKED_TICKERS = ("IT", "HP", "GM", "GE", "BA", "SA", "AP", "GT", "GS", "US", "UK")
 ABBREVIATIONS = {
-    "IBM": "INTERNATIONAL BUSINESS MACHINES", "AT&T": "AMERICAN TELEPHONE TELEGRAPH", "ATT": "AMERICAN TELEPHONE TELEGRAPH", "GE": "GENERAL ELECTRIC", "GM": "GENERAL MOTORS",
+    "IBM": "INTERNATIONAL BUSINESS MACHINES", "AT&T": "AMERICAN TELEPHONE TELEGRAPH", "ATT": "AMERICAN TELEPHONE TELEGRAPH",
+    "GE": "GENERAL ELECTRIC", "GM": "GENERAL MOTORS",
     "HP": "HEWLETT PACKARD", "HPE": "HEWLETT PACKARD ENTERPRISE", "JPM": "JPMORGAN CHASE", "JPMORGAN": "JPMORGAN CHASE", "BA": "BOEING", "CAT": "CATERPILLAR",
-    "XOM": "EXXON MOBIL", "CVX": "CHEVRON", "WMT": "WALMART", "PG": "PROCTER GAMBLE", "KO": "COCA COLA", "PEP": "PEPSICO", "DIS": "WALT DISNEY", "NFLX": "NETFLIX",
-    "TSLA": "TESLA", "META": "FACEBOOK", "GOOGL": "ALPHABET", "GOOG": "ALPHABET", "AMZN": "AMAZON", "MSFT": "MICROSOFT", "AAPL": "APPLE", "NVDA": "NVIDIA", "INTC": "INTEL",
+    "XOM": "EXXON MOBIL", "CVX": "CHEVRON", "WMT": "WALMART", "PG": "PROCTER GAMBLE", "KO": "COCA COLA", "PEP": "PEPSICO",
+    "DIS": "WALT DISNEY", "NFLX": "NETFLIX",
+    "TSLA": "TESLA", "META": "FACEBOOK", "GOOGL": "ALPHABET", "GOOG": "ALPHABET", "AMZN": "AMAZON", "MSFT": "MICROSOFT", "AAPL": "APPLE",
+    "NVDA": "NVIDIA", "INTC": "INTEL",
     "AMD": "ADVANCED MICRO DEVICES", "QCOM": "QUALCOMM", "TXN": "TEXAS INSTRUMENTS", "AVGO": "BROADCOM", "CSCO": "CISCO", "ORCL": "ORACLE", "CRM": "SALESFORCE",
-    "ADBE": "ADOBE", "NOW": "SERVICENOW", "PANW": "PALO ALTO NETWORKS", "ARM": "ARM HOLDINGS", "MRVL": "MARVELL", "MU": "MICRON TECHNOLOGY", "SKHYNIX": "SK HYNIX",
-    "JNJ": "JOHNSON JOHNSON", "PFE": "PFIZER", "UNH": "UNITEDHEALTH GROUP", "ABT": "ABBOTT LABORATORIES", "MRK": "MERCK", "BMY": "BRISTOL MYERS SQUIBB", "LLY": "ELI LILLY",
-    "GILD": "GILEAD SCIENCES", "AMGN": "AMGEN", "BIIB": "BIOGEN", "REGN": "REGENERON", "MMM": "3M", "HON": "HONEYWELL", "UPS": "UNITED PARCEL SERVICE", "FDX": "FEDEX",
-    "CSX": "CSX CORPORATION", "NSC": "NORFOLK SOUTHERN", "UNP": "UNION PACIFIC", "BAC": "BANK OF AMERICA", "C": "CITIGROUP", "WFC": "WELLS FARGO", "GS": "GOLDMAN SACHS",
-    "MS": "MORGAN STANLEY", "BLK": "BLACKROCK", "SCHW": "CHARLES SCHWAB", "AXP": "AMERICAN EXPRESS", "VZ": "VERIZON COMMUNICATIONS", "T": "AT&T", "TMUS": "T-MOBILE US",
-    "NKE": "NIKE", "MCD": "MCDONALDS", "SBUX": "STARBUCKS", "HD": "HOME DEPOT", "LOW": "LOWES", "TJX": "TJX COMPANIES", "COP": "CONOCOPHILLIPS", "EOG": "EOG RESOURCES",
+    "ADBE": "ADOBE", "NOW": "SERVICENOW", "PANW": "PALO ALTO NETWORKS", "ARM": "ARM HOLDINGS", "MRVL": "MARVELL", "MU": "MICRON TECHNOLOGY",
+    "SKHYNIX": "SK HYNIX",
+    "JNJ": "JOHNSON JOHNSON", "PFE": "PFIZER", "UNH": "UNITEDHEALTH GROUP", "ABT": "ABBOTT LABORATORIES", "MRK": "MERCK",
+    "BMY": "BRISTOL MYERS SQUIBB", "LLY": "ELI LILLY",
+    "GILD": "GILEAD SCIENCES", "AMGN": "AMGEN", "BIIB": "BIOGEN", "REGN": "REGENERON", "MMM": "3M", "HON": "HONEYWELL",
+    "UPS": "UNITED PARCEL SERVICE", "FDX": "FEDEX",
+    "CSX": "CSX CORPORATION", "NSC": "NORFOLK SOUTHERN", "UNP": "UNION PACIFIC", "BAC": "BANK OF AMERICA", "C": "CITIGROUP",
+    "WFC": "WELLS FARGO", "GS": "GOLDMAN SACHS",
+    "MS": "MORGAN STANLEY", "BLK": "BLACKROCK", "SCHW": "CHARLES SCHWAB", "AXP": "AMERICAN EXPRESS", "VZ": "VERIZON COMMUNICATIONS",
+    "T": "AT&T", "TMUS": "T-MOBILE US",
+    "NKE": "NIKE", "MCD": "MCDONALDS", "SBUX": "STARBUCKS", "HD": "HOME DEPOT", "LOW": "LOWES", "TJX": "TJX COMPANIES",
+    "COP": "CONOCOPHILLIPS", "EOG": "EOG RESOURCES",
     "SLB": "SCHLUMBERGER", "HAL": "HALLIBURTON",
 }
 COUNTRY_GROUPS = (
-    ("USA", "US"), ("UK", "GB", "ENG"), ("CHN", "CN"), ("JPN", "JP"), ("DEU", "DE"), ("FRA", "FR"), ("CAN", "CA"), ("AUS", "AU"), ("IND", "IN"), ("KOR", "KR"), ("NLD", "NL"),
+    ("USA", "US"), ("UK", "GB", "ENG"), ("CHN", "CN"), ("JPN", "JP"), ("DEU", "DE"), ("FRA", "FR"), ("CAN", "CA"), ("AUS", "AU"),
+    ("IND", "IN"), ("KOR", "KR"), ("NLD", "NL"),
     ("CHE", "CH"), ("SWE", "SE"), ("SGP", "SG"),
 )
 MATCHING_ANYTHING = ("019075", "031807", "038200", "120518", "327115")
 UNSURE_FIRMS, UNSURE_METHODS = ("N/A", "025013"), ("homepage_root_domain",)
 GENERIC_TERMS = (
-    "international", "group", "groups", "system", "systems", "technologies", "technology", "innovations", "innovation", "associates", "solutions", "services", "scientific",
+    "international", "group", "groups", "system", "systems", "technologies", "technology", "innovations", "innovation", "associates",
+    "solutions", "services", "scientific",
     "research", "laboratories", "engineering", "energy", "developments", "consulting", "consultants",
 )
 # --------------------------------------------------------------------------------------------------------------------------------------
@@ -66,7 +79,8 @@ def first_key(entities: DataFrame, firms: DataFrame, method: str, confidence: fl
     """Of entities(entity_id, place, key) only the first key that any firm has counts."""
     pairs = entities.join(firms, "key")
     first = pairs.groupBy("entity_id").agg(F.min("place").alias("place"))
-    return pairs.join(first, ["entity_id", "place"]).select("entity_id", "gvkey", F.lit(method).alias("match_method"), F.lit(confidence).alias("match_confidence")).distinct()
+    return pairs.join(first, ["entity_id", "place"]).select("entity_id", "gvkey", F.lit(method).alias("match_method"),
+        F.lit(confidence).alias("match_confidence")).distinct()
 
 
 def token_pairs(a: DataFrame, b: DataFrame, least: int = 2) -> DataFrame:
@@ -86,9 +100,11 @@ def token_pairs(a: DataFrame, b: DataFrame, least: int = 2) -> DataFrame:
     # one side keeps all tokens: a shared one is among the keys of the other whenever enough are shared
     left, right = keys(x), y.select("id", F.explode("tokens").alias("t"))
     cand = left.hint("merge").alias("l").join(right.alias("r"), "t").select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-    full = cand.join(x.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(y.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
+    full = cand.join(x.select(F.col("id").alias("a"), F.col("tokens").alias("ta")),
+        "a").join(y.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
     shared = F.size(F.array_intersect("ta", "tb"))
-    return full.select("a", "b", shared.alias("shared"), F.size("ta").alias("size_a")).filter(F.col("shared") >= F.least(F.lit(least), F.col("size_a"))).select("a", "b", "shared")
+    return full.select("a", "b", shared.alias("shared"), F.size("ta").alias("size_a")).filter(F.col("shared") >= F.least(F.lit(least),
+        F.col("size_a"))).select("a", "b", "shared")
 
 
 #: Letters of the piece by which a contained name is looked for.
@@ -113,7 +129,8 @@ def contained_pairs(entities: DataFrame, firms: DataFrame, least: int = PIECE) -
     pieces = e.select("entity").distinct().select("entity", F.explode(_pieces(F.col("entity"), least)).alias("piece"))
     firm_pieces = f.select("firm").distinct().select("firm", F.explode(_pieces(F.col("firm"), least)).alias("piece"))
     often = pieces.join(firm_pieces.select("piece").distinct().hint("merge"), "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("n"))
-    rarest = firm_pieces.join(often.hint("merge"), "piece", "left").groupBy("firm").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("key"))
+    rarest = firm_pieces.join(often.hint("merge"), "piece", "left").groupBy("firm").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"),
+        "piece")).alias("key"))
     keys = rarest.filter("key.n > 0").select("firm", "key.piece")
     named = pieces.hint("merge").join(keys, "piece").filter(F.col("entity").contains(F.col("firm"))).select("entity", "firm").distinct()
     return e.join(named, "entity").join(f, "firm").select("entity_id", "gvkey", "entity", "firm").distinct()
@@ -122,7 +139,8 @@ def contained_pairs(entities: DataFrame, firms: DataFrame, least: int = PIECE) -
 def word_pairs(entities: DataFrame, firms: DataFrame, least: int = 2) -> DataFrame:
     """Entities whose name has a firm's ticker as a word."""
     words = entities.select("entity_id", F.explode(F.array_distinct(F.split(F.upper("name"), r"[^\p{L}\p{N}_]+"))).alias("key"))
-    return words.join(firms.filter(F.length("tic") >= least).select("gvkey", F.upper(F.trim("tic")).alias("key")).distinct(), "key").select("entity_id", "gvkey").distinct()
+    return words.join(firms.filter(F.length("tic") >= least).select("gvkey", F.upper(F.trim("tic")).alias("key")).distinct(),
+        "key").select("entity_id", "gvkey").distinct()
 
 
 #: Most texts of either side in one block.
@@ -156,7 +174,8 @@ def near_texts(a: DataFrame, b: DataFrame, score: str, least: float, k: int | No
         rows = sorted(zip(*(block[c].to_pylist() for c in ("side", "first", "text"))), key=lambda r: (r[0], r[1] or "", r[2]))
         t, u = ([r[2] for r in rows if r[0] == side] for side in (0, 1))
         found = near(t, u, score, least, k)
-        out = {"a": pa.array([t[i] for i, _, _ in found], pa.string()), "b": pa.array([u[j] for _, j, _ in found], pa.string()), "score": pa.array([s for _, _, s in found], pa.float64())}
+        out = {"a": pa.array([t[i] for i, _, _ in found], pa.string()), "b": pa.array([u[j] for _, j, _ in found], pa.string()),
+            "score": pa.array([s for _, _, s in found], pa.float64())}
         for g in group:
             out[g] = pa.array([block[g][0].as_py()] * len(found), pa.string())
         return pa.table(out)
@@ -195,7 +214,8 @@ def first_hit(*strategies: DataFrame, key: str = "entity_id") -> DataFrame:
 def keep_best_match(matches: DataFrame) -> DataFrame:
     """Per entity and firm the method of greatest confidence (ties: by name of the method)."""
     best = F.min(F.struct((-F.col("match_confidence")).alias("c"), F.col("match_method").alias("m")))
-    return matches.groupBy("entity_id", "gvkey").agg(best.alias("b")).select("entity_id", "gvkey", F.col("b.m").alias("match_method"), (-F.col("b.c")).alias("match_confidence"))
+    return matches.groupBy("entity_id", "gvkey").agg(best.alias("b")).select("entity_id", "gvkey", F.col("b.m").alias("match_method"),
+        (-F.col("b.c")).alias("match_confidence"))
 
 
 def _abbreviations(df_spark: DataFrame) -> DataFrame:
@@ -226,16 +246,20 @@ def patent_stage1(assignees: DataFrame, firms: DataFrame) -> DataFrame:
     tag = lambda p, m, c: p.select("entity_id", "gvkey", F.lit(m).alias("match_method"), F.lit(c).alias("match_confidence"))
     return union_matches(
         exact, tag(words, "ticker_in_name", 0.97), tag(inside, "firm_contained", 0.96), equal_keys(e, short, "abbreviation_generated", 0.95),
-        equal_keys(e, from_long, "abbreviation_dict", 0.95), equal_keys(e, from_short, "abbreviation_dict_reverse", 0.95), equal_keys(e, tics, "ticker_match", 0.95),
+        equal_keys(e, from_long, "abbreviation_dict", 0.95), equal_keys(e, from_short, "abbreviation_dict_reverse", 0.95),
+        equal_keys(e, tics, "ticker_match", 0.95),
     )
 
 
 def patent_stage2(assignees: DataFrame, firms: DataFrame, k: int = 5) -> DataFrame:
     """Fuzzy names of assignees and firms unmatched so far: the k assignees of greatest ratio of at least 85 per firm, of all pairs of names; the
     best of three ratios gives .94 (90 and more) or .90; words of the assignee (four letters or more) in the business description add .05 or .03."""
-    texts = near_texts(assignees.select(F.col("name").alias("text")), firms.select(F.col("conm_clean").alias("text"), F.col("gvkey").alias("first")), "ratio", 85.0)
-    named = texts.select(F.col("a").alias("name"), F.col("b").alias("firm"), "score").join(assignees.select("entity_id", "name").distinct(), "name").join(firms.select("gvkey", F.col("conm_clean").alias("firm")).distinct(), "firm")
-    once = named.groupBy("gvkey", "entity_id", "name").agg(F.max(F.struct(F.col("score").alias("r"), "firm")).alias("x")).select("gvkey", "entity_id", "name", "x.*")  # a firm may have several rows
+    texts = near_texts(assignees.select(F.col("name").alias("text")),
+        firms.select(F.col("conm_clean").alias("text"), F.col("gvkey").alias("first")), "ratio", 85.0)
+    named = texts.select(F.col("a").alias("name"), F.col("b").alias("firm"), "score").join(assignees.select("entity_id", "name").distinct(),
+        "name").join(firms.select("gvkey", F.col("conm_clean").alias("firm")).distinct(), "firm")
+    once = named.groupBy("gvkey", "entity_id", "name").agg(F.max(F.struct(F.col("score").alias("r"), "firm")).alias("x")).select("gvkey",
+        "entity_id", "name", "x.*")  # a firm may have several rows
     five = top_k(once, "gvkey", k, F.desc("r"), F.col("name"), F.col("entity_id"))
     full = five.join(firms.select("gvkey", F.col("conm_clean").alias("firm"), "busdesc").distinct(), ["gvkey", "firm"])
     best = F.greatest("r", similarity.column("partial_ratio")("name", "firm"), similarity.column("token_sort_ratio")("name", "firm"))
@@ -243,7 +267,8 @@ def patent_stage2(assignees: DataFrame, firms: DataFrame, k: int = 5) -> DataFra
     boost = F.when(hits >= 2, 0.05).when(hits >= 1, 0.03).otherwise(0.0)
     base = F.when(F.col("best") >= 90, 0.94).otherwise(0.90)
     method = F.when(F.col("best") >= 90, "fuzzy_high").otherwise("fuzzy_medium")
-    return full.withColumn("best", best).select("entity_id", "gvkey", method.alias("match_method"), F.round(F.least(base + F.coalesce(boost, F.lit(0.0)), F.lit(0.99)), 4).alias("match_confidence"))
+    return full.withColumn("best", best).select("entity_id", "gvkey", method.alias("match_method"),
+        F.round(F.least(base + F.coalesce(boost, F.lit(0.0)), F.lit(0.99)), 4).alias("match_confidence"))
 
 
 def manual_matches(entities: DataFrame, firms: DataFrame, mapping: DataFrame, contained: bool = False, matched: DataFrame | None = None) -> DataFrame:
@@ -258,8 +283,10 @@ def manual_matches(entities: DataFrame, firms: DataFrame, mapping: DataFrame, co
         pairs = entities.join(rules.withColumnRenamed("pattern", "name"), "name")
     else:
         width = 4  # shorter patterns are pieces as a whole
-        piece = F.explode(F.array_distinct(F.flatten(F.array(*[F.when(F.length("name") >= n, _pieces(F.col("name"), n)).otherwise(F.array().cast("array<string>")) for n in range(1, width + 1)])))).alias("piece")
-        long = entities.filter(F.length("name") > 0).select("*", piece).join(rules.withColumn("piece", F.left("pattern", F.lit(width))), "piece").filter(F.col("name").contains(F.col("pattern")))
+        piece = F.explode(F.array_distinct(F.flatten(F.array(*[F.when(F.length("name") >= n,
+            _pieces(F.col("name"), n)).otherwise(F.array().cast("array<string>")) for n in range(1, width + 1)])))).alias("piece")
+        long = entities.filter(F.length("name") > 0).select("*", piece).join(rules.withColumn("piece", F.left("pattern", F.lit(width))),
+            "piece").filter(F.col("name").contains(F.col("pattern")))
         first = long.groupBy("entity_id").agg(F.min("rule_no").alias("rule_no"))
         pairs = long.join(first, ["entity_id", "rule_no"])
     return pairs.select("entity_id", "gvkey", F.lit("manual").alias("match_method"), F.lit(0.99).alias("match_confidence")).distinct()
@@ -273,16 +300,20 @@ def publications(institutions: DataFrame, firms: DataFrame, least: float = 0.94)
     """
     by_name = firms.select("gvkey", F.col("conm_clean").alias("key")).unionByName(firms.select("gvkey", F.col("conml_clean").alias("key"))).dropna().distinct()
     own = institutions.select("entity_id", F.col("name").alias("key"))
-    alt = institutions.select("entity_id", F.explode("alternatives").alias("alt")).select("entity_id", squeeze(F.regexp_replace(F.upper("alt"), NO_WORD, "")).alias("key"))
-    acr = institutions.select("entity_id", "name", "alternatives", F.explode("acronyms").alias("acr")).select("entity_id", "name", "alternatives", F.upper("acr").alias("key"))
+    alt = institutions.select("entity_id", F.explode("alternatives").alias("alt")).select("entity_id",
+        squeeze(F.regexp_replace(F.upper("alt"), NO_WORD, "")).alias("key"))
+    acr = institutions.select("entity_id", "name", "alternatives", F.explode("acronyms").alias("acr")).select("entity_id", "name",
+        "alternatives", F.upper("acr").alias("key"))
     acr = acr.filter((F.length("key") > 2) & ~F.col("key").isin(*BLOCKED_TICKERS))
     tic = acr.join(firms.select("gvkey", "conm_clean", F.upper(F.trim("tic")).alias("key")), "key")
     word = F.substring_index("conm_clean", " ", 1)
     alike = F.col("name").contains(word) | F.exists(F.coalesce("alternatives", F.array().cast("array<string>")), lambda a: a.contains(word))
     tic = tic.filter(alike | (F.length("key") >= 4) | (F.left("key", F.lit(1)) == F.left("conm_clean", F.lit(1))))
-    hosts = equal_keys(institutions.select("entity_id", F.col("host").alias("key")).dropna(), firms.select("gvkey", F.col("host").alias("key")).dropna(), "homepage_exact", 0.98)
+    hosts = equal_keys(institutions.select("entity_id", F.col("host").alias("key")).dropna(),
+        firms.select("gvkey", F.col("host").alias("key")).dropna(), "homepage_exact", 0.98)
     ab = own.join(_abbreviations(firms), F.col("key") == F.col("short")).select("entity_id", F.col("long").alias("key"))
-    inside = contained_pairs(institutions, by_name.select("gvkey", F.col("key").alias("name")).filter(~F.col("key").isin(*GENERIC_NAMES)), 8).filter(F.left("entity", F.lit(1)) == F.left("firm", F.lit(1)))
+    inside = contained_pairs(institutions, by_name.select("gvkey", F.col("key").alias("name")).filter(~F.col("key").isin(*GENERIC_NAMES)),
+        8).filter(F.left("entity", F.lit(1)) == F.left("firm", F.lit(1)))
     tag = lambda p, m, c: p.select("entity_id", "gvkey", F.lit(m).alias("match_method"), F.lit(c).alias("match_confidence")).distinct()
     every = union_matches(
         equal_keys(own, by_name, "exact_conm", 0.98), equal_keys(alt, by_name, "exact_alt", 0.98), tag(tic, "ticker_acronym", 0.97), hosts,
@@ -300,14 +331,18 @@ def publications_stage1(institutions: DataFrame, firms: DataFrame) -> DataFrame:
     """
     own = institutions.select("entity_id", F.col("name").alias("key"))
     conm, conml = (firms.select("gvkey", F.col(c).alias("key")).dropna().distinct() for c in ("conm_clean", "conml_clean"))
-    alt = institutions.select("entity_id", F.posexplode("alternatives").alias("no", "alt")).select("entity_id", "no", clean_organization_name(F.col("alt")).alias("key")).filter("key is not null")
+    alt = institutions.select("entity_id", F.posexplode("alternatives").alias("no", "alt")).select("entity_id", "no",
+        clean_organization_name(F.col("alt")).alias("key")).filter("key is not null")
     met = alt.join(conm.withColumn("m", F.lit("alternative_name_conm")).unionByName(conml.withColumn("m", F.lit("alternative_name_conml"))), "key")
     first = met.groupBy("entity_id").agg(F.min(F.struct("no", "m")).alias("f"))
-    alternative = met.join(first, "entity_id").filter(F.struct("no", "m") == F.col("f")).select("entity_id", "gvkey", F.col("m").alias("match_method"), F.lit(0.95).alias("match_confidence")).distinct()
-    host = equal_keys(institutions.select("entity_id", F.col("host").alias("key")).dropna(), firms.select("gvkey", F.col("host").alias("key")).dropna(), "url_domain_match", 0.96)
+    alternative = met.join(first, "entity_id").filter(F.struct("no", "m") == F.col("f")).select("entity_id", "gvkey",
+        F.col("m").alias("match_method"), F.lit(0.95).alias("match_confidence")).distinct()
+    host = equal_keys(institutions.select("entity_id", F.col("host").alias("key")).dropna(),
+        firms.select("gvkey", F.col("host").alias("key")).dropna(), "url_domain_match", 0.96)
     tag = lambda p, m, c: p.select("entity_id", "gvkey", F.lit(m).alias("match_method"), F.lit(c).alias("match_confidence"))
     words = tag(word_pairs(institutions, firms.filter(F.col("tic").isNotNull())), "ticker_in_name", 0.96)
-    inside = tag(contained_pairs(institutions, conm.select("gvkey", F.col("key").alias("name")).filter("key <> 'COMPANY'"), 5).select("entity_id", "gvkey").distinct(), "firm_contained_conm", 0.95)
+    inside = tag(contained_pairs(institutions, conm.select("gvkey", F.col("key").alias("name")).filter("key <> 'COMPANY'"),
+        5).select("entity_id", "gvkey").distinct(), "firm_contained_conm", 0.95)
     tics = firms.select("gvkey", F.upper(F.trim("tic")).alias("key")).filter("key <> ''").distinct()
     acronyms = institutions.select("entity_id", F.posexplode("acronyms").alias("place", "a")).select("entity_id", "place", F.upper("a").alias("key"))
     ab = _abbreviations(firms)
@@ -315,8 +350,10 @@ def publications_stage1(institutions: DataFrame, firms: DataFrame) -> DataFrame:
     by_long = own.join(ab, F.col("key") == F.col("long")).select("entity_id", F.col("short").alias("key"))
     short = conm.select("gvkey", initials(F.col("key")).alias("key")).filter(F.length("key") >= 2)
     return first_hit(
-        equal_keys(own, conm, "exact_conm", 0.98), equal_keys(own, conml, "exact_conml", 0.98), alternative, host, words, inside, equal_keys(own, tics, "ticker_match", 0.95),
-        first_key(acronyms, tics, "acronym_match", 0.95), equal_keys(by_short, conm, "abbreviation_dict", 0.95), equal_keys(by_long, tics, "abbreviation_dict_reverse", 0.95),
+        equal_keys(own, conm, "exact_conm", 0.98), equal_keys(own, conml, "exact_conml", 0.98), alternative, host, words, inside,
+        equal_keys(own, tics, "ticker_match", 0.95),
+        first_key(acronyms, tics, "acronym_match", 0.95), equal_keys(by_short, conm, "abbreviation_dict", 0.95),
+        equal_keys(by_long, tics, "abbreviation_dict_reverse", 0.95),
         equal_keys(own, short, "abbreviation_generated", 0.95),
     )
 
@@ -335,7 +372,8 @@ def stage2_confidence(score: Column, country: Column, business: Column, location
     hold (one from .95 on)."""
     flags = sum((F.coalesce(x, F.lit(False)).cast("int") for x in (country, business, location, url)), F.lit(0))
     base = F.least(F.lit(0.99), F.lit(0.90) + (score - 0.85) * 0.09 / 0.14)
-    up = F.coalesce(country, F.lit(False)).cast("int") * 0.02 + F.coalesce(business, F.lit(False)).cast("int") * 0.02 + (F.coalesce(location, F.lit(False)).cast("int") + F.coalesce(url, F.lit(False)).cast("int")) * 0.01
+    up = F.coalesce(country, F.lit(False)).cast("int") * 0.02 + F.coalesce(business,
+        F.lit(False)).cast("int") * 0.02 + (F.coalesce(location, F.lit(False)).cast("int") + F.coalesce(url, F.lit(False)).cast("int")) * 0.01
     final = F.round(F.least(F.lit(0.99), base + up), 3)
     return F.when((score >= 0.85) & (flags >= F.when(final < 0.95, 2).otherwise(1)), final)
 
@@ -354,10 +392,12 @@ def acronym_matches(institutions: DataFrame, firms: DataFrame, confidence: float
     """The first acronym that is a ticker, or an upper-case variant of at most six letters, of any firm; the method names which."""
     acr = institutions.select("entity_id", F.posexplode("acronyms").alias("place", "a")).select("entity_id", "place", F.upper(F.trim("a")).alias("key"))
     tics = firms.select("gvkey", F.upper(F.trim("tic")).alias("key"), F.lit("acronym_to_tic").alias("m")).filter("key is not null")
-    variants = firms.select("gvkey", F.explode("name_variants").alias("key"), F.lit("acronym_to_name_variant").alias("m")).filter((F.length("key") <= 6) & (F.col("key") == F.upper("key")))
+    variants = firms.select("gvkey", F.explode("name_variants").alias("key"),
+        F.lit("acronym_to_name_variant").alias("m")).filter((F.length("key") <= 6) & (F.col("key") == F.upper("key")))
     pairs = acr.join(tics.unionByName(variants).distinct(), "key")
     first = pairs.groupBy("entity_id").agg(F.min("place").alias("place"))
-    return pairs.join(first, ["entity_id", "place"]).select("entity_id", "gvkey", F.col("m").alias("match_method"), F.lit(confidence).alias("match_confidence")).distinct()
+    return pairs.join(first, ["entity_id", "place"]).select("entity_id", "gvkey", F.col("m").alias("match_method"),
+        F.lit(confidence).alias("match_confidence")).distinct()
 
 
 def homepage_matches(entities: DataFrame, firms: DataFrame) -> DataFrame:
@@ -379,12 +419,14 @@ def parent_cascade(institutions: DataFrame, matches: DataFrame, factor: float =
     named = F.concat(F.lit("parent_cascade_"), F.coalesce("match_method", F.lit(""))) if "match_method" in matches.columns else F.lit("parent_cascade")
     up = parents.join(matches.select(F.col("entity_id").alias("parent"), "gvkey", named.alias("match_method"), "match_confidence"), "parent")
     first = up.groupBy("entity_id").agg(F.min("place").alias("place"))
-    return up.join(first, ["entity_id", "place"]).select("entity_id", "gvkey", "match_method", F.round(F.col("match_confidence") * factor, 3).alias("match_confidence")).distinct()
+    return up.join(first, ["entity_id", "place"]).select("entity_id", "gvkey", "match_method",
+        F.round(F.col("match_confidence") * factor, 3).alias("match_confidence")).distinct()
 
 
 def parent_hosts(institutions: DataFrame, firms: DataFrame, confidence: float = 0.95, most: int = 3) -> DataFrame:
     """The host of one of the first parents is a firm's."""
-    up = institutions.select("entity_id", F.explode(F.slice("parents", 1, most)).alias("parent")).join(institutions.select(F.col("entity_id").alias("parent"), F.col("host").alias("key")).dropna(), "parent")
+    up = institutions.select("entity_id", F.explode(F.slice("parents", 1, most)).alias("parent")).join(institutions
+        .select(F.col("entity_id").alias("parent"), F.col("host").alias("key")).dropna(), "parent")
     return equal_keys(up.select("entity_id", "key"), firms.select("gvkey", F.col("host").alias("key")).dropna(), "parent_homepage", confidence)
 
 
@@ -398,7 +440,8 @@ def identifier_matches(affiliations: DataFrame, firms: DataFrame) -> DataFrame:
         return equal_keys(e.join(unique_matches(f, "key", "gvkey").select("key").distinct(), "key", "left_semi"), f, method, c)
 
     t = F.col("text")
-    return first_hit(one(F.regexp_replace(ids.cik(t), "^0+", ""), "cik", "cik", 0.99), one(ids.cusip6(t), "cusip6", "cusip", 0.99), one(ids.ticker(t), "tic", "ticker", 0.98), one(F.col("name"), "conm_clean", "unique_name", 0.97))
+    return first_hit(one(F.regexp_replace(ids.cik(t), "^0+", ""), "cik", "cik", 0.99), one(ids.cusip6(t), "cusip6", "cusip", 0.99),
+        one(ids.ticker(t), "tic", "ticker", 0.98), one(F.col("name"), "conm_clean", "unique_name", 0.97))
 
 
 def either_key(entities: DataFrame, firms: DataFrame, method: str, confidence: float) -> DataFrame:
@@ -416,19 +459,23 @@ def funnel(df: DataFrame, steps: list[tuple[str, Column]]) -> tuple[DataFrame, D
     failed = reduce(lambda acc, s: F.when(acc.isNotNull(), acc).when(~F.coalesce(s[1], F.lit(False)), s[0]), steps, F.lit(None).cast("string"))
     marked = df.withColumn("_failed", failed)
     names = df.sparkSession.createDataFrame([(i, n) for i, (n, _) in enumerate(steps)], "step_no int, step string")
-    counts = names.join(marked.groupBy(F.col("_failed").alias("step")).agg(F.count("*").alias("removed")), "step", "left").na.fill(0, ["removed"]).select("step_no", "step", "removed")
+    counts = names.join(marked.groupBy(F.col("_failed").alias("step")).agg(F.count("*").alias("removed")), "step", "left").na.fill(0,
+        ["removed"]).select("step_no", "step", "removed")
     return marked.filter("_failed is null").drop("_failed"), counts
 
 
-def aggressive_steps(blocked_firms: tuple[str, ...] = MATCHING_ANYTHING, blocked_methods: tuple[str, ...] = ("acronym_match", "firm_contained_conm"), least: float = 0.96) -> list[tuple[str, Column]]:
+def aggressive_steps(blocked_firms: tuple[str, ...] = MATCHING_ANYTHING,
+    blocked_methods: tuple[str, ...] = ("acronym_match", "firm_contained_conm"), least: float = 0.96) -> list[tuple[str, Column]]:
     """False-positive steps over gvkey, match_method, institution_name, firm_name, match_confidence."""
     name = F.col("institution_name")
     words = F.split(F.lower(name), r"\s+")
     bare = F.trim(F.regexp_replace(name, r"(?i)\s+(INC|CORP|LLC|LTD|PLC|GMBH|AG)\.?$", ""))
     meaning = lambda c: F.try_element_at(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: (F.length(w) > 2) & ~w.isin(*GENERIC_TERMS)), F.lit(1))
     return [
-        ("blocked firm", ~F.col("gvkey").isin(*blocked_firms) if blocked_firms else F.lit(True)), ("blocked method", ~F.col("match_method").isin(*blocked_methods)),
-        ("generic term", ~F.exists(words, lambda w: w.isin(*GENERIC_TERMS))), ("short name", F.length(bare) >= 8), ("low confidence", F.col("match_confidence") >= least),
+        ("blocked firm", ~F.col("gvkey").isin(*blocked_firms) if blocked_firms else F.lit(True)),
+        ("blocked method", ~F.col("match_method").isin(*blocked_methods)),
+        ("generic term", ~F.exists(words, lambda w: w.isin(*GENERIC_TERMS))), ("short name", F.length(bare) >= 8),
+        ("low confidence", F.col("match_confidence") >= least),
         ("no word in common", meaning(name) == meaning(F.col("firm_name"))),
     ]
 
@@ -437,7 +484,8 @@ def unsure_steps(least: float = 0.95) -> list[tuple[str, Column]]:
     """The milder filter, over gvkey, match_method, match_confidence and ``rows_left``: how many rows the institution has after the first two
     steps (``with_rows_left``)."""
     return [
-        ("blocked firm", ~F.coalesce(F.col("gvkey"), F.lit("N/A")).isin(*UNSURE_FIRMS)), ("blocked method", ~F.coalesce(F.col("match_method"), F.lit("")).isin(*UNSURE_METHODS)),
+        ("blocked firm", ~F.coalesce(F.col("gvkey"), F.lit("N/A")).isin(*UNSURE_FIRMS)),
+        ("blocked method", ~F.coalesce(F.col("match_method"), F.lit("")).isin(*UNSURE_METHODS)),
         ("several firms", F.col("rows_left") == 1), ("low confidence", F.col("match_confidence") >= least),
     ]
 

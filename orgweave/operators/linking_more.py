@@ -14,13 +14,17 @@ from orgweave.shared import cut
 
 # ---- fixed values --------------------------------------------------------------------------------------------------------------------
 NOT_AI_CONCEPTS = (
-    "neural stem", "neural development", "neural cell", "neural activity", "neural system", "neural correlates", "biological neural", "ciliary", "ganglion", "neural crest",
-    "neural tube", "neural plasticity", "synaptic", "organic chemistry", "inorganic chemistry", "organic radical", "organic matter", "organic compound", "inorganic compound",
-    "ligand (biochemistry)", "radical battery", "pattern recognition (psychology)", "psychology", "cognitive psychology", "industrial organization", "margin (economics)",
+    "neural stem", "neural development", "neural cell", "neural activity", "neural system", "neural correlates", "biological neural",
+    "ciliary", "ganglion", "neural crest",
+    "neural tube", "neural plasticity", "synaptic", "organic chemistry", "inorganic chemistry", "organic radical", "organic matter",
+    "organic compound", "inorganic compound",
+    "ligand (biochemistry)", "radical battery", "pattern recognition (psychology)", "psychology", "cognitive psychology",
+    "industrial organization", "margin (economics)",
     "organizational behavior", "microorganism", "organism", "soil classification", "battery", "radical", "organic radical battery",
 )
 AI_PHRASES = (
-    "(machine learning)", "(artificial intelligence)", "(ai)", "machine learning", "artificial intelligence", "deep learning", "neural network", "computer vision",
+    "(machine learning)", "(artificial intelligence)", "(ai)", "machine learning", "artificial intelligence", "deep learning",
+    "neural network", "computer vision",
     "natural language processing",
 )
 STRUCTURE_WORDS, TECH_WORDS = (" inc", " corp", "llc", "ltd", "plc", "gmbh"), ("research", "technologies", "technology", "labs", "systems")
@@ -59,11 +63,13 @@ def publications_stage2(institutions: DataFrame, firms: DataFrame) -> DataFrame:
     iv = institutions.select("entity_id", F.explode("variants").alias("name")).filter("name <> ''").distinct()
     fv = firms.select("gvkey", F.explode("variants").alias("firm")).filter("firm <> ''").distinct()
     texts = cut(near_texts(iv.select(F.col("name").alias("text")), fv.select(F.col("firm").alias("text"), F.col("gvkey").alias("first")), "jaro_winkler", 0.85))
-    pairs = texts.join(iv.withColumnRenamed("name", "a"), "a").join(fv.withColumnRenamed("firm", "b"), "b").groupBy("entity_id", "gvkey").agg(F.max("score").alias("score"))
+    pairs = texts.join(iv.withColumnRenamed("name", "a"), "a").join(fv.withColumnRenamed("firm", "b"), "b").groupBy("entity_id",
+        "gvkey").agg(F.max("score").alias("score"))
     i = institutions.select("entity_id", "display_name", "country", F.col("city").alias("i_city"), "region", F.col("host").alias("i_host"))
     f = firms.select("gvkey", "fic", F.col("city").alias("f_city"), "state", "busdesc", F.col("host").alias("f_host"))
     full = pairs.join(i, "entity_id").join(f, "gvkey")
-    checks = [same_country(F.col("country"), F.col("fic")), business_words(F.col("display_name"), F.col("busdesc")), places_agree(F.col("i_city"), F.col("region"), F.col("f_city"), F.col("state")), hosts_agree(F.col("i_host"), F.col("f_host"))]
+    checks = [same_country(F.col("country"), F.col("fic")), business_words(F.col("display_name"), F.col("busdesc")),
+        places_agree(F.col("i_city"), F.col("region"), F.col("f_city"), F.col("state")), hosts_agree(F.col("i_host"), F.col("f_host"))]
     scored = full.withColumn("match_confidence", stage2_confidence(F.col("score"), *checks)).filter("match_confidence is not null")
     return scored.groupBy("entity_id", "gvkey").agg(F.lit("jaro_winkler").alias("match_method"), F.max("match_confidence").alias("match_confidence"))
 
@@ -76,12 +82,16 @@ def country_links(institutions: DataFrame, firms: DataFrame, least: float = 0.85
     .90 + .09 x what lies above it, .02 more for the country, .02 for two words of the name in the business description, .01 for the city,
     .99 at most; from .95 on the pair needs one of these checks, which the country always is, so it never fails here. Ties: the least gvkey.
     """
-    i = institutions.select("entity_id", country_code(F.col("country")).alias("country"), F.col("name").alias("own"), F.col("city").alias("i_city"), F.explode(F.array_union(F.array("name"), F.coalesce("variants", F.array().cast("array<string>")))).alias("a")).filter("country is not null and a <> ''").distinct()
-    f = firms.select("gvkey", country_code(F.col("fic")).alias("country"), F.col("city").alias("f_city"), "busdesc", "conm_clean", F.explode(F.array("conm_clean", "conml_clean")).alias("b")).filter("country is not null and b <> ''").distinct()
+    i = institutions.select("entity_id", country_code(F.col("country")).alias("country"), F.col("name").alias("own"),
+        F.col("city").alias("i_city"), F.explode(F.array_union(F.array("name"), F.coalesce("variants", F.array().cast("array<string>"))))
+        .alias("a")).filter("country is not null and a <> ''").distinct()
+    f = firms.select("gvkey", country_code(F.col("fic")).alias("country"), F.col("city").alias("f_city"), "busdesc", "conm_clean",
+        F.explode(F.array("conm_clean", "conml_clean")).alias("b")).filter("country is not null and b <> ''").distinct()
     equal = i.join(f.filter(F.col("b") == F.col("conm_clean")).select("country", F.col("b").alias("a"), "gvkey").distinct(), ["country", "a"])
     exact = _tag(equal.groupBy("entity_id").agg(F.min("gvkey").alias("gvkey")), "string_match", 0.97)
     rest = i.join(exact.select("entity_id"), "entity_id", "left_anti")
-    texts = near_texts(rest.select(F.col("a").alias("text"), "country"), f.select(F.col("b").alias("text"), "country", F.col("gvkey").alias("first")), "jaro_winkler", least, within="country")
+    texts = near_texts(rest.select(F.col("a").alias("text"), "country"),
+        f.select(F.col("b").alias("text"), "country", F.col("gvkey").alias("first")), "jaro_winkler", least, within="country")
     pairs = cut(texts).join(rest, ["country", "a"]).join(f, ["country", "b"])
     words = F.array_distinct(F.split("own", " "))
     described = F.coalesce(F.size(F.filter(words, lambda w: F.upper(F.col("busdesc")).contains(w))) >= 2, F.lit(False))
@@ -104,7 +114,8 @@ def stage1_enhanced(institutions: DataFrame, firms: DataFrame) -> DataFrame:
     acr = institutions.select("entity_id", F.explode("acronyms").alias("a")).select("entity_id", F.upper("a").alias("key"))
     host = institutions.select("entity_id", F.col("host").alias("key")).dropna()
     f = lambda c: firms.select("gvkey", F.col(c).alias("key")).dropna()
-    hits = first_hit(equal_keys(own, f("conm_clean"), "exact", 0.98), equal_keys(acr, f("tic"), "acronym_ticker", 0.97), equal_keys(host, f("host"), "domain", 0.98))
+    hits = first_hit(equal_keys(own, f("conm_clean"), "exact", 0.98), equal_keys(acr, f("tic"), "acronym_ticker", 0.97),
+        equal_keys(host, f("host"), "domain", 0.98))
     return hits.groupBy("entity_id").agg(F.min(F.struct("gvkey", "match_method", "match_confidence")).alias("m")).select("entity_id", "m.*").select(MATCH)
 
 
@@ -120,7 +131,8 @@ def smart_urls(institutions: DataFrame, firms: DataFrame) -> DataFrame:
         found = contained_pairs(names, pages.select(F.col("entity_id").alias("gvkey"), "name"), 4)
         return _tag(found.select(F.col("gvkey").alias("entity_id"), F.col("entity_id").alias("gvkey")), "wikipedia_name", c)
 
-    wiki = union_matches(inside("conm_clean", 0.98), inside("conml_clean", 0.97)).groupBy("entity_id", "gvkey", "match_method").agg(F.max("match_confidence").alias("match_confidence")).select(MATCH)
+    wiki = union_matches(inside("conm_clean", 0.98), inside("conml_clean", 0.97)).groupBy("entity_id", "gvkey",
+        "match_method").agg(F.max("match_confidence").alias("match_confidence")).select(MATCH)
     e, f = institutions.filter("host is not null"), firms.filter("host is not null")
     root = ids.root_domain(F.col("host"), ids.MORE_COUNTRY_DOMAINS)
     exact = equal_keys(e.select("entity_id", F.col("host").alias("key")), f.select("gvkey", F.col("host").alias("key")), "homepage_exact", 0.98)
@@ -131,11 +143,13 @@ def smart_urls(institutions: DataFrame, firms: DataFrame) -> DataFrame:
 def wikipedia_names(pages: DataFrame, firms: DataFrame) -> DataFrame:
     """pages(entity_id, title), firms(gvkey, conm): one name inside the other (five letters or more, not generic) and WRatio: from 95
     on .98, from 85 on .95; the best firm of each page (ties: the least gvkey)."""
-    p = pages.select("entity_id", normalize_wikipedia(F.col("title")).alias("name")).filter((F.length("name") >= 5) & ~F.upper("name").isin(*linking.GENERIC_NAMES))
+    p = pages.select("entity_id", normalize_wikipedia(F.col("title")).alias("name")).filter((F.length("name") >= 5)
+        & ~F.upper("name").isin(*linking.GENERIC_NAMES))
     f = firms.select("gvkey", normalize_wikipedia(F.col("conm")).alias("name")).filter((F.length("name") >= 5) & ~F.upper("name").isin(*linking.GENERIC_NAMES))
     one = contained_pairs(p, f, 5).select("entity_id", "gvkey", F.col("entity").alias("a"), F.col("firm").alias("b"))
     two = contained_pairs(f.select(F.col("gvkey").alias("entity_id"), "name"), p.select(F.col("entity_id").alias("gvkey"), "name"), 5)
-    both = one.unionByName(two.select(F.col("gvkey").alias("entity_id"), F.col("entity_id").alias("gvkey"), F.col("firm").alias("a"), F.col("entity").alias("b"))).distinct()
+    both = one.unionByName(two.select(F.col("gvkey").alias("entity_id"), F.col("entity_id").alias("gvkey"), F.col("firm").alias("a"),
+        F.col("entity").alias("b"))).distinct()
     best = top_k(scored_pairs(both, "a", "b", "wratio", 85.0), "entity_id", 1, F.desc("score"), F.col("gvkey"))
     return _tag(best, "wikipedia_improved", F.when(F.col("score") >= 95, 0.98).otherwise(0.95))
 
@@ -143,9 +157,11 @@ def wikipedia_names(pages: DataFrame, firms: DataFrame) -> DataFrame:
 def wikidata(entities: DataFrame, firms: DataFrame) -> DataFrame:
     """entities(entity_id, tickers, names, parents, parent_tickers): ticker .98, other name .97, parent's name .97, its ticker .98; all count."""
     up = lambda c: entities.select("entity_id", F.explode(c).alias("k")).select("entity_id", F.upper(F.trim("k")).alias("key"))
-    names = firms.select("gvkey", F.upper("conm_clean").alias("key")).unionByName(firms.select("gvkey", F.upper("conml_clean").alias("key"))).dropna().distinct()
+    names = firms.select("gvkey", F.upper("conm_clean").alias("key")).unionByName(firms.select("gvkey",
+        F.upper("conml_clean").alias("key"))).dropna().distinct()
     return union_matches(
-        linking.either_key(up("tickers"), firms, "wikidata_ticker", 0.98), equal_keys(up("names"), names, "wikidata_name", 0.97), equal_keys(up("parents"), names, "wikidata_parent", 0.97),
+        linking.either_key(up("tickers"), firms, "wikidata_ticker", 0.98), equal_keys(up("names"), names, "wikidata_name", 0.97),
+        equal_keys(up("parents"), names, "wikidata_parent", 0.97),
         linking.either_key(up("parent_tickers"), firms, "wikidata_parent_ticker", 0.98),
     )
 
@@ -154,7 +170,8 @@ def filtered_names(entities: DataFrame, firms: DataFrame, least: float = 85.0) -
     """Names that share two significant words (all, if there are fewer), the firm of greatest WRatio of at least 85."""
     e = entities.select("entity_id", normalize_filtered(F.col("name")).alias("a"), tokens(F.col("name")).alias("tokens"))
     f = firms.select("gvkey", normalize_filtered(F.col("conm")).alias("b"), tokens(F.col("conm")).alias("tokens")).distinct()
-    pairs = token_pairs(e.select(F.col("entity_id").alias("id"), "tokens"), f.select(F.col("gvkey").alias("id"), "tokens"), 2).select(F.col("a").alias("entity_id"), F.col("b").alias("gvkey"))
+    pairs = token_pairs(e.select(F.col("entity_id").alias("id"), "tokens"), f.select(F.col("gvkey").alias("id"), "tokens"),
+        2).select(F.col("a").alias("entity_id"), F.col("b").alias("gvkey"))
     named = pairs.join(e.select("entity_id", "a"), "entity_id").join(f.select("gvkey", "b"), "gvkey")
     best = top_k(scored_pairs(named, "a", "b", "wratio", least), "entity_id", 1, F.desc("score"), F.col("gvkey"))
     return _tag(best, "token_blocked", F.round(F.col("score") / 100, 4))
@@ -180,17 +197,20 @@ def enrichment(entities: DataFrame, firms: DataFrame) -> DataFrame:
     hit = hit.join(n, "entity_id").filter((F.col("n") == 1) | (F.col("state") == F.col("f_state")))
     by_tic = _tag(hit, "wikidata_ticker", F.when(F.col("n") == 1, 0.95).otherwise(0.93)).distinct()
     first = lambda c: F.substring_index(F.lower(c), " ", 1)
-    lone = firms.select("gvkey", first(F.col("conm")).alias("key")).filter(F.length("key") >= 4).groupBy("key").agg(F.min("gvkey").alias("gvkey"), F.max("gvkey").alias("o")).filter("gvkey = o").select("key", "gvkey")
+    lone = firms.select("gvkey", first(F.col("conm")).alias("key")).filter(F.length("key") >= 4).groupBy("key").agg(F.min("gvkey")
+        .alias("gvkey"), F.max("gvkey").alias("o")).filter("gvkey = o").select("key", "gvkey")
     return first_hit(by_tic, equal_keys(entities.select("entity_id", first(F.col("name")).alias("key")), lone, "first_word", 0.92))
 
 
-def legacy(entities: DataFrame, firms: DataFrame, ticker_confidence: float = 0.98, exact_confidence: float = 0.95, slope_from: float = 0.70, least: float = 85.0, cap: float = 0.92) -> DataFrame:
+def legacy(entities: DataFrame, firms: DataFrame, ticker_confidence: float = 0.98, exact_confidence: float = 0.95, slope_from: float = 0.70,
+    least: float = 85.0, cap: float = 0.92) -> DataFrame:
     """The first of ticker in the text, exact name, subsidiary prefix .80, CIK in the text .90 (where firms have a column ``cik``), fuzzy name
     slope_from + (score - least) x .01 up to the cap, name contained .65; the constants give its three variants."""
     name = normalize_aggressive(F.col("name"))
     e = entities.select("entity_id", "name", name.alias("a"))
     f = firms.select("gvkey", F.upper("tic").alias("tic"), normalize_aggressive(F.col("conm")).alias("b")).distinct()
-    by_tic = equal_keys(e.select("entity_id", ids.ticker(F.col("name")).alias("key")).dropna(), f.select("gvkey", F.col("tic").alias("key")).dropna(), "ticker", ticker_confidence)
+    by_tic = equal_keys(e.select("entity_id", ids.ticker(F.col("name")).alias("key")).dropna(),
+        f.select("gvkey", F.col("tic").alias("key")).dropna(), "ticker", ticker_confidence)
     exact = equal_keys(e.select("entity_id", F.col("a").alias("key")), f.select("gvkey", F.col("b").alias("key")), "exact", exact_confidence)
     sub = e.select("entity_id", normalize_aggressive(F.col("name"), prefixes=COMPANY_PREFIXES).alias("key"), "a").filter("key <> a")
     subs = equal_keys(sub.select("entity_id", "key"), f.select("gvkey", F.col("b").alias("key")), "subsidiary", 0.80)
@@ -201,7 +221,8 @@ def legacy(entities: DataFrame, firms: DataFrame, ticker_confidence: float = 0.9
     ciks = []
     if "cik" in firms.columns:
         number = F.regexp_replace(ids.cik(F.col("name")), "^0+", "")
-        ciks = [equal_keys(e.select("entity_id", number.alias("key")).dropna(), firms.select("gvkey", F.regexp_replace("cik", "^0+", "").alias("key")).dropna(), "cik", 0.90)]
+        ciks = [equal_keys(e.select("entity_id", number.alias("key")).dropna(),
+            firms.select("gvkey", F.regexp_replace("cik", "^0+", "").alias("key")).dropna(), "cik", 0.90)]
     return first_hit(by_tic, exact, subs, *ciks, fuzzy, inside)
 
 
@@ -209,10 +230,12 @@ def firm_to_institutions(firms: DataFrame, institutions: DataFrame) -> DataFrame
     """Same normalised name .98, institution that begins with the firm's core name .95, ticker in round or square brackets .97; all count."""
     i = institutions.select("entity_id", F.col("name").alias("raw"), normalize_aggressive(F.col("name")).alias("key"))
     f = firms.select("gvkey", "tic", normalize_aggressive(F.col("conm")).alias("key")).filter(F.length("key") >= 3).distinct()
-    begins = contained_pairs(i.select("entity_id", F.concat(F.lower("raw"), F.lit(" ")).alias("name")), f.select("gvkey", F.concat("key", F.lit(" ")).alias("name")), 4).filter(F.col("entity").startswith(F.col("firm")))
+    begins = contained_pairs(i.select("entity_id", F.concat(F.lower("raw"), F.lit(" ")).alias("name")),
+        f.select("gvkey", F.concat("key", F.lit(" ")).alias("name")), 4).filter(F.col("entity").startswith(F.col("firm")))
     tic = i.select("entity_id", F.explode(F.regexp_extract_all(F.upper("raw"), F.lit(r"[(\[]([A-Z.]{1,6})[)\]]"), 1)).alias("key"))
     return union_matches(
-        equal_keys(i.select("entity_id", "key"), f.select("gvkey", "key"), "exact_normalized", 0.98), _tag(begins, "subsidiary_pattern", 0.95).distinct(), equal_keys(tic, f.select("gvkey", F.upper("tic").alias("key")).dropna(), "ticker", 0.97),
+        equal_keys(i.select("entity_id", "key"), f.select("gvkey", "key"), "exact_normalized", 0.98),
+        _tag(begins, "subsidiary_pattern", 0.95).distinct(), equal_keys(tic, f.select("gvkey", F.upper("tic").alias("key")).dropna(), "ticker", 0.97),
     )
 
 
@@ -220,7 +243,8 @@ def patent_capability(name: Column, known: tuple[str, ...]) -> Column:
     """Struct of kind and confidence: known firm .90, company structure .75, technical word .70, else null."""
     s = F.lower(name)
     pick = lambda k, c: F.struct(F.lit(k).alias("kind"), F.lit(c).alias("confidence"))
-    return ladder([(contains_any(s, known), pick("known_patent_firm", 0.90)), (contains_any(s, STRUCTURE_WORDS), pick("company_structure", 0.75)), (contains_any(s, TECH_WORDS), pick("tech_indicator", 0.70))], F.lit(None))
+    return ladder([(contains_any(s, known), pick("known_patent_firm", 0.90)),
+        (contains_any(s, STRUCTURE_WORDS), pick("company_structure", 0.75)), (contains_any(s, TECH_WORDS), pick("tech_indicator", 0.70))], F.lit(None))
 
 
 def select_concepts(concepts: DataFrame, known_ids: DataFrame, taxonomy: DataFrame, least: float = 0.85) -> DataFrame:
@@ -237,9 +261,11 @@ def select_concepts(concepts: DataFrame, known_ids: DataFrame, taxonomy: DataFra
     long = terms.filter(F.length("term") > 5)
     e, t = open_.select(F.col("id").alias("entity_id"), "name"), long.select(F.col("term").alias("gvkey"), F.col("term").alias("name"))
     in_name = contained_pairs(e, t, 6).select(F.col("entity_id").alias("id"), F.col("entity").alias("a"), F.col("firm").alias("b"))
-    in_term = contained_pairs(t.select(F.col("gvkey").alias("entity_id"), "name"), e.select(F.col("entity_id").alias("gvkey"), "name"), 4).select(F.col("gvkey").alias("id"), F.col("firm").alias("a"), F.col("entity").alias("b"))
+    in_term = contained_pairs(t.select(F.col("gvkey").alias("entity_id"), "name"), e.select(F.col("entity_id").alias("gvkey"), "name"),
+        4).select(F.col("gvkey").alias("id"), F.col("firm").alias("a"), F.col("entity").alias("b"))
     near = scored_pairs(in_name.unionByName(in_term), "a", "b", "sequence_ratio", least).select("id")
     fit = same.unionByName(phrase).unionByName(near).distinct().select("id", F.lit("taxonomy").alias("how"))
     chosen = cut(known.unionByName(fit))
-    below = open_.select("id", F.explode("ancestors").alias("anc")).join(chosen.select(F.col("id").alias("anc")), "anc", "left_semi").select("id").distinct().join(chosen.select("id"), "id", "left_anti")
+    below = open_.select("id", F.explode("ancestors").alias("anc")).join(chosen.select(F.col("id").alias("anc")), "anc",
+        "left_semi").select("id").distinct().join(chosen.select("id"), "id", "left_anti")
     return chosen.unionByName(below.select("id", F.lit("ancestor").alias("how")))

@@ -29,7 +29,8 @@ def _totals(df: DataFrame, key: str, value: str) -> DataFrame:
 
 def hhi(df: DataFrame, key: str, value: str) -> DataFrame:
     """Sum of squared shares x 10000, from two sums (no window over all rows)."""
-    return _totals(df, key, value).agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count("*").alias("entities")).select("entities", (F.try_divide(F.col("q"), F.col("s") * F.col("s")) * 10000).alias("hhi"))
+    return _totals(df, key, value).agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"),
+        F.count("*").alias("entities")).select("entities", (F.try_divide(F.col("q"), F.col("s") * F.col("s")) * 10000).alias("hhi"))
 
 
 def _ranked(totals: DataFrame) -> DataFrame:
@@ -43,7 +44,8 @@ def gini(df: DataFrame, key: str, value: str) -> DataFrame:
     r = _ranked(_totals(df, key, value))
     ranks = F.col("n") * F.col("below") + F.col("n") * (F.col("n") + 1) / 2
     a = r.agg(F.sum("n").alias("n"), F.sum(F.col("x") * F.col("n")).alias("s"), F.sum(F.col("x") * ranks).alias("w"))
-    return a.select(F.col("n").cast("long").alias("entities"), (F.try_divide(2 * F.col("w"), F.col("n") * F.col("s")) - (F.col("n") + 1) / F.col("n")).alias("gini"))
+    return a.select(F.col("n").cast("long").alias("entities"),
+        (F.try_divide(2 * F.col("w"), F.col("n") * F.col("s")) - (F.col("n") + 1) / F.col("n")).alias("gini"))
 
 
 def top_share(df: DataFrame, key: str, value: str, tops: list[int]) -> DataFrame:
@@ -84,7 +86,8 @@ def concentration_at(df: DataFrame, key: str, year: str, value: str, checkpoints
     """Per checkpoint year, ranks by the sum up to it; the share in that year of the top 1 % (one at least) and of the ``top``."""
     cps = F.explode(F.array(*[F.lit(c) for c in checkpoints]))
     upto = df.select(key, year, value, cps.alias("checkpoint")).filter(F.col(year) <= F.col("checkpoint"))
-    per = upto.groupBy("checkpoint", key).agg(F.sum(value).alias("cumulative"), F.sum(F.when(F.col(year) == F.col("checkpoint"), F.col(value))).alias("in_year"))
+    per = upto.groupBy("checkpoint", key).agg(F.sum(value).alias("cumulative"),
+        F.sum(F.when(F.col(year) == F.col("checkpoint"), F.col(value))).alias("in_year"))
     ranked = _places(per, ["checkpoint"], [F.desc_nulls_last("cumulative"), F.asc(key)])
     one = F.greatest(F.lit(1), F.floor(F.col("_n") * 0.01))
     return ranked.groupBy("checkpoint").agg(
@@ -109,10 +112,12 @@ def decline(df: DataFrame, key: str, year: str, value: str, after: int) -> DataF
     """Peak year (ties: the first), means up to and after a year, change in percent; only entities with both sides."""
     pre, post = F.col(year) <= after, F.col(year) > after
     a = df.groupBy(key).agg(
-        F.sum(value).alias("total"), F.min_by(year, F.struct(-F.col(value), year)).alias("peak_year"), F.max(value).alias("peak_value"), F.avg(F.when(pre, F.col(value))).alias("pre"), F.avg(F.when(post, F.col(value))).alias("post"),
+        F.sum(value).alias("total"), F.min_by(year, F.struct(-F.col(value), year)).alias("peak_year"), F.max(value).alias("peak_value"),
+        F.avg(F.when(pre, F.col(value))).alias("pre"), F.avg(F.when(post, F.col(value))).alias("post"),
     ).filter("pre is not null and post is not null")
     pct = F.when(F.col("pre") > 0, F.round((F.col("post") - F.col("pre")) / F.col("pre") * 100, 2)).otherwise(0.0)
-    return a.select(key, "total", "peak_year", "peak_value", F.round("pre", 2).alias("pre_avg"), F.round("post", 2).alias("post_avg"), pct.alias("decline_pct"), (F.col("peak_year") <= after).alias("peak_before"), (F.col("post") < F.col("pre")).alias("has_decline"))
+    return a.select(key, "total", "peak_year", "peak_value", F.round("pre", 2).alias("pre_avg"), F.round("post", 2).alias("post_avg"),
+        pct.alias("decline_pct"), (F.col("peak_year") <= after).alias("peak_before"), (F.col("post") < F.col("pre")).alias("has_decline"))
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float], nearest: bool = False) -> DataFrame:
@@ -122,11 +127,14 @@ def quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float], neare
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
     placed = running(counted, [*[F.asc(k) for k in keys], F.asc(value)], _before=F.col("_c"))
     groups = placed.groupBy(*keys).agg(F.min("_before").alias("_first"), F.sum("_c").alias("_n"))
-    joined = placed.alias("r").join(groups.alias("g"), [F.col(f"r.{k}").eqNullSafe(F.col(f"g.{k}")) for k in keys]) if keys else placed.withColumn("_k", F.lit(1)).alias("r").join(F.broadcast(groups.withColumn("_k", F.lit(1))).alias("g"), "_k")
+    joined = placed.alias("r").join(groups.alias("g"), [F.col(f"r.{k}")
+        .eqNullSafe(F.col(f"g.{k}")) for k in keys]) if keys else placed.withColumn("_k",
+            F.lit(1)).alias("r").join(F.broadcast(groups.withColumn("_k", F.lit(1))).alias("g"), "_k")
     low, high = F.col("_before") - F.col("_first"), F.col("_before") - F.col("_first") + F.col("_c")
     at = lambda place: F.max(F.when((place >= low) & (place < high), F.col(f"r.{value}")))
     spot = lambda q: (F.col("_n") - 1) * F.lit(float(q))
-    picks = [at(F.bround(spot(q), 0)).alias(f"q{round(q * 100)}") for q in qs] if nearest else [f(i, q) for i, q in enumerate(qs) for f in (lambda i, q: at(F.floor(spot(q))).alias(f"l{i}"), lambda i, q: at(F.ceil(spot(q))).alias(f"h{i}"))]
+    picks = [at(F.bround(spot(q), 0)).alias(f"q{round(q * 100)}") for q in qs] if nearest else [f(i, q) for i,
+        q in enumerate(qs) for f in (lambda i, q: at(F.floor(spot(q))).alias(f"l{i}"), lambda i, q: at(F.ceil(spot(q))).alias(f"h{i}"))]
     out = joined.groupBy(*[F.col(f"r.{k}").alias(k) for k in keys]).agg(*picks, *([] if nearest else [F.max("_n").alias("_n")]))
     if nearest:
         return out
@@ -147,7 +155,8 @@ def right_closed(c: Column, cuts: list[float]) -> Column:
 def share_of_total(df: DataFrame, value: str, out: str = "pct") -> DataFrame:
     """Percent of the sum over all rows; the sum is one row."""
     total = df.agg(F.sum(value).alias("_total")).withColumn("_k", F.lit(1))
-    return df.withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k").withColumn(out, F.try_divide(F.col(value) * 100.0, F.col("_total"))).drop("_total", "_k")
+    return df.withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k").withColumn(out,
+        F.try_divide(F.col(value) * 100.0, F.col("_total"))).drop("_total", "_k")
 
 
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -157,9 +166,12 @@ def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
     def one(c: str) -> DataFrame:
         x = df.select(F.col(f"`{c}`").alias("x")).groupBy("x").agg(F.count("*").alias("n"))
-        a = x.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.when(F.col("x").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.count("x").alias("distinct_values"), F.min("x").cast("string").alias("least"), F.max("x").cast("string").alias("greatest"))
+        a = x.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+            F.coalesce(F.sum(F.when(F.col("x").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.count("x").alias("distinct_values"),
+            F.min("x").cast("string").alias("least"), F.max("x").cast("string").alias("greatest"))
         missing = F.round(F.try_divide(F.col("nulls") * 100.0, F.col("rows")), 4)
-        return a.select(F.lit(c).alias("column_name"), F.lit(types[c]).alias("type"), "rows", "nulls", missing.alias("missing_pct"), "distinct_values", "least", "greatest")
+        return a.select(F.lit(c).alias("column_name"), F.lit(types[c]).alias("type"), "rows", "nulls", missing.alias("missing_pct"),
+            "distinct_values", "least", "greatest")
 
     return reduce(lambda a, b: a.unionByName(b), [one(c) for c in columns])
 
@@ -178,7 +190,8 @@ def date_ranges(df: DataFrame, columns: list[str]) -> DataFrame:
     """Of each text column the values that begin with a date yyyy-MM-dd, how many, and the first and last of them."""
     day = lambda c: F.to_date(F.try_to_timestamp(F.left(F.col(f"`{c}`"), F.lit(10)), F.lit("yyyy-MM-dd")))
     one = df.agg(*[f(day(c)).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("n", F.count), ("a", F.min), ("b", F.max))])
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("dates"), F.col(f"a{i}").alias("first_day"), F.col(f"b{i}").alias("last_day")) for i, c in enumerate(columns)])
+    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("dates"), F.col(f"a{i}").alias("first_day"),
+        F.col(f"b{i}").alias("last_day")) for i, c in enumerate(columns)])
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
@@ -188,7 +201,8 @@ def interval_counts(df: DataFrame, value: str, bins: list[tuple[float, float, st
     x = F.col(value)
     inside = lambda lo, hi: (x == lo) if lo == hi else (x >= lo) & (x < hi)
     one = df.agg(F.count("*").alias("_all"), *[F.count_if(inside(lo, hi)).alias(f"b{i}") for i, (lo, hi, _) in enumerate(bins)])
-    rows = F.array(*[F.struct(F.lit(i).alias("bin_no"), F.lit(label).alias("label"), F.col(f"b{i}").alias("n"), F.round(F.try_divide(F.col(f"b{i}") * 100.0, F.col("_all")), 4).alias("pct")) for i, (_, _, label) in enumerate(bins)])
+    rows = F.array(*[F.struct(F.lit(i).alias("bin_no"), F.lit(label).alias("label"), F.col(f"b{i}").alias("n"),
+        F.round(F.try_divide(F.col(f"b{i}") * 100.0, F.col("_all")), 4).alias("pct")) for i, (_, _, label) in enumerate(bins)])
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
@@ -227,7 +241,8 @@ def gaps(df: DataFrame, ts: str, days: int, per_day: float, tolerance: float = 0
     per = d.groupBy("d").agg(F.count("*").alias("n"))
     span = per.agg(F.min("d").alias("a"), F.max("d").alias("b"))
     cal = span.filter("a is not null").select(F.explode(F.sequence("a", "b", F.expr(f"interval {days} day"))).alias("period_start"), "a")
-    binned = per.withColumn("_k", F.lit(1)).join(F.broadcast(span.withColumn("_k", F.lit(1))), "_k").select(F.expr(f"date_add(a, cast(floor(datediff(d, a) / {days}) * {days} as int))").alias("period_start"), "n")
+    binned = per.withColumn("_k", F.lit(1)).join(F.broadcast(span.withColumn("_k", F.lit(1))),
+        "_k").select(F.expr(f"date_add(a, cast(floor(datediff(d, a) / {days}) * {days} as int))").alias("period_start"), "n")
     counts = binned.groupBy("period_start").agg(F.sum("n").alias("n"))
     out = cal.join(counts, "period_start", "left").select("period_start", F.coalesce("n", F.lit(0)).alias("records"))
     return out.filter(F.col("records") < per_day * days * tolerance).withColumn("expected", F.lit(float(per_day * days)))

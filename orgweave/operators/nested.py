@@ -54,7 +54,8 @@ def as_items(v: Column) -> Column:
     none = F.array().cast("array<variant>")
 
     def items(s: Column) -> Column:
-        return F.when(s["v"].isNull() | (s["kind"] == "VOID"), none).when(s["kind"].startswith("ARRAY"), F.try_variant_get(s["v"], "$", "array<variant>")).otherwise(F.array(s["v"]))
+        return F.when(s["v"].isNull() | (s["kind"] == "VOID"), none).when(s["kind"].startswith("ARRAY"),
+            F.try_variant_get(s["v"], "$", "array<variant>")).otherwise(F.array(s["v"]))
 
     return F.flatten(F.transform(held, items))
 
@@ -130,7 +131,8 @@ def child_tables(df: DataFrame, key: str, json: str, depth: int = 8, lists: tupl
         for label, place, t in inner:
             child = f"{path}.{label}" if path else label
             no = f"no_{len(ordinals) + 1}"
-            items = level.select(key, *ordinals, F.posexplode(as_items(F.try_variant_get("item", place, "variant"))).alias("_pos", "item")).select(key, *ordinals, (F.col("_pos") + 1).cast("long").alias(no), "item")
+            items = level.select(key, *ordinals, F.posexplode(as_items(F.try_variant_get("item", place, "variant"))).alias("_pos",
+                "item")).select(key, *ordinals, (F.col("_pos") + 1).cast("long").alias(no), "item")
             known = re.match(r"ARRAY<(.*)>$", t, re.S)
             walk(child, items, known[1] if known and "VARIANT" not in t else infer(items), [*ordinals, no], left - 1)
 
@@ -170,7 +172,8 @@ def work_children(papers: DataFrame, works: DataFrame) -> DataFrame:
 
     def rows(tab: str, kind: str, df: DataFrame, author: Column, child: Column, name: Column, id_: Column) -> DataFrame:
         kept = df.filter(content(name) | content(id_))
-        return kept.select(F.lit(tab).alias("tab_name"), "record_id", F.lit(kind).alias("child_kind"), author.cast("long").alias("author_no"), child.cast("long").alias("child_no"), name.alias("child_name"), id_.alias("child_id"))
+        return kept.select(F.lit(tab).alias("tab_name"), "record_id", F.lit(kind).alias("child_kind"),
+            author.cast("long").alias("author_no"), child.cast("long").alias("child_no"), name.alias("child_name"), id_.alias("child_id"))
 
     typed = papers.filter(F.col("record_id").isNotNull())
     affs = explode_parallel(typed, "record_id", {"author_affiliations": "name", "author_affiliation_ids": "id"}, 2)
@@ -183,7 +186,8 @@ def work_children(papers: DataFrame, works: DataFrame) -> DataFrame:
         if path in tables:
             df, item = tables[path], F.col("item")
             is_object = _kind(item).startswith("OBJECT")
-            name = F.when(is_object, F.try_variant_get(item, "$.display_name", "string")).when(~_kind(item).startswith("ARRAY"), F.try_variant_get(item, "$", "string"))
+            name = F.when(is_object, F.try_variant_get(item, "$.display_name", "string")).when(~_kind(item).startswith("ARRAY"),
+                F.try_variant_get(item, "$", "string"))
             id_ = F.when(is_object, F.try_variant_get(item, "$.id", "string")).otherwise(none)
             out = out.unionByName(rows("openalex_work_json", kind, df, author, child, name, id_))
     return out

@@ -17,7 +17,8 @@ def entity_year(df: DataFrame, keys: list[str], **aggregates) -> DataFrame:
 
 def assignee_year(patents: DataFrame) -> DataFrame:
     """patents(clean_name, year, patent_id, score, assignee_id) -> one row per name and year; assignee_id is the least."""
-    return entity_year(patents.filter("clean_name is not null"), ["clean_name", "year"], total_ai_patents=F.countDistinct("patent_id"), avg_ai_score=F.avg("score"), assignee_id=F.min("assignee_id"))
+    return entity_year(patents.filter("clean_name is not null"), ["clean_name", "year"], total_ai_patents=F.countDistinct("patent_id"),
+        avg_ai_score=F.avg("score"), assignee_id=F.min("assignee_id"))
 
 
 def assignee_master(panel: DataFrame) -> DataFrame:
@@ -25,7 +26,8 @@ def assignee_master(panel: DataFrame) -> DataFrame:
     names = panel.groupBy("assignee_id", "clean_name").agg(F.sum("total_ai_patents").alias("n"))
     best = names.groupBy("assignee_id").agg(F.min_by("clean_name", F.struct(-F.col("n"), "clean_name")).alias("clean_name"))
     totals = panel.groupBy("assignee_id").agg(
-        F.sum("total_ai_patents").alias("patent_count_total"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.avg("avg_ai_score").alias("avg_ai_score_overall"), F.countDistinct("year").alias("year_count"),
+        F.sum("total_ai_patents").alias("patent_count_total"), F.min("year").alias("first_year"), F.max("year").alias("last_year"),
+        F.avg("avg_ai_score").alias("avg_ai_score_overall"), F.countDistinct("year").alias("year_count"),
     )
     return totals.filter("assignee_id is not null").join(best, "assignee_id")
 
@@ -43,13 +45,15 @@ def with_ma_columns(matches: DataFrame) -> DataFrame:
 def patent_firm_year(panel: DataFrame, matches: DataFrame) -> DataFrame:
     """Patents of matched assignees per firm and year."""
     joined = panel.join(matches.select(F.col("entity_id").alias("assignee_id"), "gvkey"), "assignee_id")
-    return joined.groupBy("gvkey", "year").agg(F.sum("total_ai_patents").alias("total_patents"), F.countDistinct("assignee_id").alias("num_assignees"), F.avg("avg_ai_score").alias("avg_ai_score"))
+    return joined.groupBy("gvkey", "year").agg(F.sum("total_ai_patents").alias("total_patents"),
+        F.countDistinct("assignee_id").alias("num_assignees"), F.avg("avg_ai_score").alias("avg_ai_score"))
 
 
 def publication_firm_year(papers: DataFrame, matches: DataFrame, years: tuple[int, int] = (1900, 2100)) -> DataFrame:
     """papers(paper_id, year, ids: list of lists): rows count author and institution pairs, distinct_papers each paper once."""
     each = papers.filter(F.col("year").between(*years)).select("paper_id", "year", F.explode(F.flatten("ids")).alias("entity_id"))
-    return each.join(matches.select("entity_id", "gvkey"), "entity_id").groupBy("gvkey", "year").agg(F.count("*").alias("total_papers"), F.countDistinct("paper_id").alias("distinct_papers"), F.countDistinct("entity_id").alias("num_institutions"))
+    return each.join(matches.select("entity_id", "gvkey"), "entity_id").groupBy("gvkey", "year").agg(F.count("*").alias("total_papers"),
+        F.countDistinct("paper_id").alias("distinct_papers"), F.countDistinct("entity_id").alias("num_institutions"))
 
 
 def with_financials(panel: DataFrame, financials: DataFrame, wanted: list[str], one_row: bool = False) -> DataFrame:

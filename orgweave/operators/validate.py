@@ -37,11 +37,14 @@ def confusion(df: DataFrame, predicted: str, actual: str) -> DataFrame:
     """Counts and accuracy, precision, recall, F1, false positive and negative rates; a rate over nothing is null. Rows with a null
     in either column are left out."""
     p, a = F.col(predicted).cast("boolean"), F.col(actual).cast("boolean")
-    c = df.filter(p.isNotNull() & a.isNotNull()).agg(F.count_if(p & a).alias("tp"), F.count_if(p & ~a).alias("fp"), F.count_if(~p & a).alias("fn"), F.count_if(~p & ~a).alias("tn"))
+    c = df.filter(p.isNotNull() & a.isNotNull()).agg(F.count_if(p & a).alias("tp"), F.count_if(p & ~a).alias("fp"),
+        F.count_if(~p & a).alias("fn"), F.count_if(~p & ~a).alias("tn"))
     tp, fp, fn, tn = (F.col(x).cast("double") for x in ("tp", "fp", "fn", "tn"))
     return c.select(
-        "tp", "fp", "fn", "tn", F.try_divide(tp + tn, tp + fp + fn + tn).alias("accuracy"), F.try_divide(tp, tp + fp).alias("precision"), F.try_divide(tp, tp + fn).alias("recall"),
-        F.try_divide(2 * tp, 2 * tp + fp + fn).alias("f1"), F.try_divide(fp, fp + tn).alias("false_positive_rate"), F.try_divide(fn, fn + tp).alias("false_negative_rate"),
+        "tp", "fp", "fn", "tn", F.try_divide(tp + tn, tp + fp + fn + tn).alias("accuracy"), F.try_divide(tp, tp + fp).alias("precision"),
+        F.try_divide(tp, tp + fn).alias("recall"),
+        F.try_divide(2 * tp, 2 * tp + fp + fn).alias("f1"), F.try_divide(fp, fp + tn).alias("false_positive_rate"),
+        F.try_divide(fn, fn + tp).alias("false_negative_rate"),
     )
 
 
@@ -49,7 +52,8 @@ def accuracy_by(df: DataFrame, keys: list[str], verdict: str) -> DataFrame:
     """Shares of Yes, No and Uncertain among the answered rows of a hand-checked sample."""
     v = F.lower(F.trim(verdict))
     done = v.isin("yes", "no", "uncertain")
-    return df.groupBy(*keys).agg(F.count_if(done).alias("answered"), F.count_if(v == "yes").alias("yes"), F.count_if(v == "no").alias("no"), F.count_if(v == "uncertain").alias("uncertain")).withColumn("accuracy", F.try_divide(F.col("yes"), F.col("yes") + F.col("no")))
+    return df.groupBy(*keys).agg(F.count_if(done).alias("answered"), F.count_if(v == "yes").alias("yes"), F.count_if(v == "no").alias("no"),
+        F.count_if(v == "uncertain").alias("uncertain")).withColumn("accuracy", F.try_divide(F.col("yes"), F.col("yes") + F.col("no")))
 
 
 def bias_ratios(df: DataFrame, year: str, value: str, early: tuple[int, int], late: tuple[int, int], matched: str) -> DataFrame:
@@ -57,11 +61,14 @@ def bias_ratios(df: DataFrame, year: str, value: str, early: tuple[int, int], la
     x = F.col(value)
     per = df.groupBy(year).agg(F.sum(value).alias("s"), F.sum(F.when(F.col(matched), x)).alias("m"))
     return per.agg(
-        F.avg(F.when(F.col(year).between(*early), F.col("s"))).alias("early_avg"), F.avg(F.when(F.col(year).between(*late), F.col("s"))).alias("late_avg"), F.try_divide(F.sum("m"), F.sum("s")).alias("coverage"),
+        F.avg(F.when(F.col(year).between(*early), F.col("s"))).alias("early_avg"),
+        F.avg(F.when(F.col(year).between(*late), F.col("s"))).alias("late_avg"), F.try_divide(F.sum("m"), F.sum("s")).alias("coverage"),
     ).withColumn("truncation_ratio", F.try_divide(F.col("late_avg"), F.col("early_avg")))
 
 
 def estimated_accuracy(df: DataFrame, stage: str, rates: dict[str, float]) -> DataFrame:
     """Accuracy of all links as the mean of known rates, weighted by the links of each stage; other stages are left out."""
     rate = F.create_map(*[F.lit(x) for kv in rates.items() for x in kv])[F.col(stage)]
-    return df.groupBy(stage).agg(F.count("*").alias("links")).withColumn("rate", rate).filter("rate is not null").agg(F.sum("links").alias("links"), (F.sum(F.col("links") * F.col("rate")) / F.sum("links")).alias("estimated_accuracy"))
+    return df.groupBy(stage).agg(F.count("*").alias("links")).withColumn("rate",
+        rate).filter("rate is not null").agg(F.sum("links").alias("links"),
+        (F.sum(F.col("links") * F.col("rate")) / F.sum("links")).alias("estimated_accuracy"))

@@ -16,7 +16,8 @@ from orgweave.shared import cut
 
 def patents_to_panel(scores: DataFrame, patents: DataFrame, assignees: DataFrame, flag: str, score_columns: list[str]) -> DataFrame:
     """scores(doc_id, flag, scores), patents(patent_id, patent_date), assignees(patent_id, assignee_id, organization) -> assignee-year panel."""
-    ai = scores.filter(classify.ai_score_flag(F.col(flag), *[F.col(c) for c in score_columns])).select(F.col("doc_id").alias("patent_id"), F.greatest(*score_columns).alias("score"))
+    ai = scores.filter(classify.ai_score_flag(F.col(flag), *[F.col(c) for c in score_columns])).select(F.col("doc_id").alias("patent_id"),
+        F.greatest(*score_columns).alias("score"))
     dated = ai.join(patents.select("patent_id", F.left("patent_date", F.lit(4)).try_cast("int").alias("year")), "patent_id")
     named = dated.join(assignees.select("patent_id", "assignee_id", clean_organization_name(F.col("organization")).alias("clean_name")), "patent_id")
     return panel.assignee_year(named)
@@ -25,7 +26,8 @@ def patents_to_panel(scores: DataFrame, patents: DataFrame, assignees: DataFrame
 def link_patents(assignees: DataFrame, firms: DataFrame, manual: DataFrame | None = None) -> DataFrame:
     """Three stages, each over what the one before left, then the best row per pair; stage 1 comes before 2 before 3 among equals."""
     one = cut(linking.patent_stage1(assignees, firms))
-    rest_a, rest_f = assignees.join(one.select("entity_id").distinct(), "entity_id", "left_anti"), firms.join(one.select("gvkey").distinct(), "gvkey", "left_anti")
+    rest_a, rest_f = assignees.join(one.select("entity_id").distinct(), "entity_id",
+        "left_anti"), firms.join(one.select("gvkey").distinct(), "gvkey", "left_anti")
     two = cut(linking.patent_stage2(rest_a, rest_f))
     parts = [one.withColumn("stage", F.lit(1)), two.withColumn("stage", F.lit(2))]
     if manual is not None:

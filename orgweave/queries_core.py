@@ -42,9 +42,11 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT o_custkey AS cust, CAST(year(o_orderdate) AS INT) AS year, count(DISTINCT o_orderkey) AS orders, CAST(sum(CAST(l_extendedprice AS DECIMAL(12, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2)))) AS DOUBLE) AS revenue,
  count(DISTINCT l_partkey) AS parts FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2""")
 def firm_year_panel(spark, d):
-    li = read(spark, d, "lineitem").select("l_orderkey", "l_partkey", (F.col("l_extendedprice").cast("decimal(12,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))).alias("amount"))
+    li = read(spark, d, "lineitem").select("l_orderkey", "l_partkey",
+        (F.col("l_extendedprice").cast("decimal(12,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))).alias("amount"))
     j = li.join(_orders(spark, d).select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("cust"), "year"), "l_orderkey")
-    return panel.entity_year(j, ["cust", "year"], orders=F.countDistinct("l_orderkey"), revenue=F.sum("amount").cast("double"), parts=F.countDistinct("l_partkey"))
+    return panel.entity_year(j, ["cust", "year"], orders=F.countDistinct("l_orderkey"), revenue=F.sum("amount").cast("double"),
+        parts=F.countDistinct("l_partkey"))
 
 
 @query("""WITH p AS (SELECT o_custkey AS gvkey, CAST(year(o_orderdate) AS INT) AS year, count(*) AS orders FROM orders GROUP BY 1, 2),
@@ -93,7 +95,8 @@ def patent_firm_year(spark, d):
 @query("""WITH e AS (SELECT record_id, publication_year AS year, unnest(flatten(author_affiliation_ids)) AS i FROM ai_papers), m AS (SELECT DISTINCT institution_id, lpad(gvkey, 6, '0') AS gvkey FROM publication_firm_matches_stage1)
  SELECT gvkey, year, count(*) AS total_papers, count(DISTINCT record_id) AS distinct_papers, count(DISTINCT i) AS num_institutions FROM e JOIN m ON i = institution_id WHERE year BETWEEN 2010 AND 2023 GROUP BY 1, 2""")
 def publication_firm_year(spark, d):
-    papers = read(spark, d, "ai_papers").select(F.col("record_id").alias("paper_id"), F.col("publication_year").alias("year"), F.transform("author_affiliation_ids", lambda x: F.coalesce(x, F.array().cast("array<string>"))).alias("ids"))
+    papers = read(spark, d, "ai_papers").select(F.col("record_id").alias("paper_id"), F.col("publication_year").alias("year"),
+        F.transform("author_affiliation_ids", lambda x: F.coalesce(x, F.array().cast("array<string>"))).alias("ids"))
     m = read(spark, d, "publication_firm_matches_stage1").select(F.col("institution_id").alias("entity_id"), F.lpad("gvkey", 6, "0").alias("gvkey")).distinct()
     return panel.publication_firm_year(papers, m, (2010, 2023))
 
@@ -131,13 +134,15 @@ def concentration_gini(spark, d):
 @query("""WITH t AS (SELECT clean_name, CAST(sum(total_ai_patents) AS DOUBLE) AS x FROM patents_panel GROUP BY 1), r AS (SELECT x, row_number() OVER (ORDER BY x DESC, clean_name) AS i, sum(x) OVER () AS s FROM t WHERE x IS NOT NULL)
  SELECT n AS top_n, round(sum(x) / max(s) * 100, 4) AS share_pct FROM r, (VALUES (1), (5), (10), (20), (50), (100)) v(n) WHERE i <= n GROUP BY 1""")
 def topn_share(spark, d):
-    return metrics.top_share(read(spark, d, "patents_panel"), "clean_name", "total_ai_patents", [1, 5, 10, 20, 50, 100]).withColumn("share_pct", _r("share_pct"))
+    return metrics.top_share(read(spark, d, "patents_panel"), "clean_name", "total_ai_patents",
+        [1, 5, 10, 20, 50, 100]).withColumn("share_pct", _r("share_pct"))
 
 
 @query("""WITH t AS (SELECT clean_name, CAST(sum(total_ai_patents) AS DOUBLE) AS x FROM patents_panel GROUP BY 1), g AS (SELECT x, count(*) AS n FROM t WHERE x IS NOT NULL GROUP BY 1)
  SELECT x, round(sum(n) OVER (ORDER BY x) / sum(n) OVER (), 6) AS entity_share, round(sum(x * n) OVER (ORDER BY x) / sum(x * n) OVER (), 6) AS value_share FROM g""")
 def lorenz_curve(spark, d):
-    return metrics.lorenz(read(spark, d, "patents_panel"), "clean_name", "total_ai_patents").select("x", _r("entity_share", 6).alias("entity_share"), _r("value_share", 6).alias("value_share"))
+    return metrics.lorenz(read(spark, d, "patents_panel"), "clean_name", "total_ai_patents").select("x",
+        _r("entity_share", 6).alias("entity_share"), _r("value_share", 6).alias("value_share"))
 
 
 @query("""WITH u AS (SELECT cp AS checkpoint, clean_name, sum(total_ai_patents) AS c, sum(CASE WHEN patent_year = cp THEN total_ai_patents END) AS y FROM patents_panel, (VALUES (2010), (2015), (2020)) v(cp) WHERE patent_year <= cp GROUP BY 1, 2),
@@ -159,7 +164,8 @@ def new_entrants(spark, d):
 def leaders_vs_crowd(spark, d):
     o = _orders(spark, d)
     top = metrics.leaders(o, "o_custkey", "o_totalprice").select("o_custkey", F.lit(True).alias("leader"))
-    return o.join(top, "o_custkey", "left").groupBy("year").agg(F.count_if("leader").alias("leader_orders"), F.count_if(F.col("leader").isNull()).alias("crowd_orders"))
+    return o.join(top, "o_custkey", "left").groupBy("year").agg(F.count_if("leader").alias("leader_orders"),
+        F.count_if(F.col("leader").isNull()).alias("crowd_orders"))
 
 
 @query("""WITH t AS (SELECT clean_name, patent_year AS y, sum(total_ai_patents) AS x FROM patents_panel WHERE patent_year IS NOT NULL GROUP BY 1, 2),
@@ -168,7 +174,8 @@ def leaders_vs_crowd(spark, d):
  SELECT a.clean_name, total, p.y AS peak_year, peak_value, round(pre, 2) AS pre_avg, round(post, 2) AS post_avg, CASE WHEN pre > 0 THEN round((post - pre) / pre * 100, 2) ELSE 0 END AS decline_pct, p.y <= 2015 AS peak_before, post < pre AS has_decline
  FROM a JOIN p ON a.clean_name = p.clean_name AND i = 1 WHERE pre IS NOT NULL AND post IS NOT NULL""")
 def decline_detection(spark, d):
-    t = read(spark, d, "patents_panel").filter("patent_year is not null").groupBy("clean_name", F.col("patent_year").alias("y")).agg(F.sum("total_ai_patents").alias("x"))
+    t = read(spark, d, "patents_panel").filter("patent_year is not null").groupBy("clean_name",
+        F.col("patent_year").alias("y")).agg(F.sum("total_ai_patents").alias("x"))
     return metrics.decline(t.filter("x is not null"), "clean_name", "y", "x", 2015)
 
 
@@ -177,7 +184,8 @@ def decline_detection(spark, d):
 def distribution_buckets(spark, d):
     t = read(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
     n = F.col("n")
-    b = t.select(classify.ladder([(n <= 5, "1-5"), (n <= 10, "6-10"), (n <= 20, "11-20")], "21+").alias("bucket"), F.when(n <= 5, 1).when(n <= 10, 2).when(n <= 20, 3).otherwise(4).alias("place"))
+    b = t.select(classify.ladder([(n <= 5, "1-5"), (n <= 10, "6-10"), (n <= 20, "11-20")], "21+").alias("bucket"),
+        F.when(n <= 5, 1).when(n <= 10, 2).when(n <= 20, 3).otherwise(4).alias("place"))
     return metrics.share_of_total(b.groupBy("bucket", "place").agg(F.count("*").alias("customers")), "customers").withColumn("pct", _r("pct"))
 
 
@@ -209,13 +217,15 @@ def value_counts_topk(spark, d):
 
 @query("SELECT match_type, match_method, count(*) AS n, round(avg(match_confidence), 6) AS avg_confidence FROM publication_firm_matches_stage1 GROUP BY 1, 2")
 def crosstab(spark, d):
-    return read(spark, d, "publication_firm_matches_stage1").groupBy("match_type", "match_method").agg(F.count("*").alias("n"), _r(F.avg("match_confidence"), 6).alias("avg_confidence"))
+    return read(spark, d, "publication_firm_matches_stage1").groupBy("match_type", "match_method").agg(F.count("*").alias("n"),
+        _r(F.avg("match_confidence"), 6).alias("avg_confidence"))
 
 
 @query("""SELECT count(*) FILTER (homepage_domain IS NOT NULL) AS with_host, count(*) FILTER (len(acronyms) > 0) AS with_acronym, count(*) FILTER (homepage_domain IS NOT NULL AND len(acronyms) > 0) AS with_both, count(*) AS institutions FROM publication_institutions_master""")
 def flag_overlap(spark, d):
     host, acr = F.col("homepage_domain").isNotNull(), F.size("acronyms") > 0
-    return read(spark, d, "publication_institutions_master").agg(F.count_if(host).alias("with_host"), F.count_if(acr).alias("with_acronym"), F.count_if(host & acr).alias("with_both"), F.count("*").alias("institutions"))
+    return read(spark, d, "publication_institutions_master").agg(F.count_if(host).alias("with_host"), F.count_if(acr).alias("with_acronym"),
+        F.count_if(host & acr).alias("with_both"), F.count("*").alias("institutions"))
 
 
 _PROFILED = ["gvkey", "tic", "conm", "city", "fic", "lpermno"]
@@ -255,7 +265,8 @@ def priority_source_dedup(spark, d):
     m = read(spark, d, "publication_firm_matches_stage1")
     c = F.when(F.col("match_confidence") > 1, F.col("match_confidence") / 100).otherwise(F.col("match_confidence"))
     m = m.select("gvkey", "institution_id", "match_method", c.alias("match_confidence"))
-    order = F.when(F.col("match_method") == "exact_conm", 1).when(F.col("match_method") == "exact_conml", 2).when(F.col("match_method") == "homepage_domain", 3).otherwise(4)
+    order = F.when(F.col("match_method") == "exact_conm", 1).when(F.col("match_method") == "exact_conml",
+        2).when(F.col("match_method") == "homepage_domain", 3).otherwise(4)
     return dedup.keep_best(m, ["gvkey", "institution_id"], order, F.desc_nulls_last("match_confidence"), F.col("match_method"))
 
 
@@ -267,14 +278,16 @@ def drop_ambiguous(spark, d):
 @query("""SELECT gvkey AS id, conm AS name, fic AS country, NULL AS kind FROM compustat_firms_standardized UNION ALL SELECT institution_id, display_name, country_code, institution_type FROM publication_institutions_master""")
 def union_diagonal(spark, d):
     a = read(spark, d, "compustat_firms_standardized").select(F.col("gvkey").alias("id"), F.col("conm").alias("name"), F.col("fic").alias("country"))
-    b = read(spark, d, "publication_institutions_master").select(F.col("institution_type").alias("kind"), F.col("display_name").alias("name"), F.col("institution_id").alias("id"), F.col("country_code").alias("country"))
+    b = read(spark, d, "publication_institutions_master").select(F.col("institution_type").alias("kind"),
+        F.col("display_name").alias("name"), F.col("institution_id").alias("id"), F.col("country_code").alias("country"))
     return dedup.union_all(a, b).select("id", "name", "country", "kind")
 
 
 @query("""WITH a AS (SELECT DISTINCT clean_name AS k FROM patents_panel WHERE clean_name IS NOT NULL), b AS (SELECT DISTINCT conml_clean AS k FROM compustat_firms_standardized WHERE conml_clean IS NOT NULL)
  SELECT count(*) FILTER (b.k IS NULL) AS only_a, count(*) FILTER (a.k IS NULL) AS only_b, count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL) AS both FROM a FULL JOIN b ON a.k = b.k""")
 def set_overlap(spark, d):
-    return dedup.set_overlap(read(spark, d, "patents_panel").select(F.col("clean_name").alias("k")), read(spark, d, "compustat_firms_standardized").select(F.col("conml_clean").alias("k")), "k")
+    return dedup.set_overlap(read(spark, d, "patents_panel").select(F.col("clean_name").alias("k")),
+        read(spark, d, "compustat_firms_standardized").select(F.col("conml_clean").alias("k")), "k")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49) AND o_orderdate >= '1997-01-01'")
@@ -286,7 +299,8 @@ def semi_filter_early(spark, d):
 @query("SELECT gvkey, count(*) AS rows FROM compustat_firms_standardized f WHERE gvkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM publication_firm_matches_stage1 m WHERE lpad(m.gvkey, 6, '0') = f.gvkey) GROUP BY 1")
 def anti_unmatched(spark, d):
     m = read(spark, d, "publication_firm_matches_stage1").select(F.lpad("gvkey", 6, "0").alias("gvkey"))
-    return read(spark, d, "compustat_firms_standardized").filter("gvkey is not null").join(m, "gvkey", "left_anti").groupBy("gvkey").agg(F.count("*").alias("rows"))
+    return read(spark, d, "compustat_firms_standardized").filter("gvkey is not null").join(m, "gvkey",
+        "left_anti").groupBy("gvkey").agg(F.count("*").alias("rows"))
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 1000 ORDER BY o_orderkey LIMIT 500")
@@ -312,7 +326,8 @@ _M1 = r"nullif(trim(regexp_replace(regexp_replace(regexp_replace(upper({0}), '\b
 @query(f"SELECT gvkey, conm, {_M1.format('conm')} AS conm_cleaned, {_M1.format('conml')} AS conml_cleaned FROM compustat_firms_standardized")
 def org_name_clean(spark, d):
     f = read(spark, d, "compustat_firms_standardized")
-    return f.select("gvkey", "conm", text.clean_organization_name(F.col("conm")).alias("conm_cleaned"), text.clean_organization_name(F.col("conml")).alias("conml_cleaned"))
+    return f.select("gvkey", "conm", text.clean_organization_name(F.col("conm")).alias("conm_cleaned"),
+        text.clean_organization_name(F.col("conml")).alias("conml_cleaned"))
 
 
 @query(f"""WITH v AS (SELECT gvkey, lpermno, conm, unnest([{_M1.format('conm')}, {_M1.format('conml')}, upper(trim(tic)), CASE WHEN len(list_filter(string_split_regex(trim(conm), '\\s+'), lambda x: x <> '')) >= 2 THEN list_aggregate(list_transform(list_filter(string_split_regex(trim(conm), '\\s+'), lambda x: x <> ''), lambda x: x[1]), 'string_agg', '') END]) AS x FROM compustat_firms_standardized)
@@ -336,12 +351,14 @@ _DOMAIN = _URL.format("weburl")
 
 @query(f"SELECT gvkey, weburl, {_DOMAIN} AS domain FROM compustat_firms_standardized WHERE weburl IS NOT NULL")
 def domain_extract(spark, d):
-    return read(spark, d, "compustat_firms_standardized").filter("weburl is not null").select("gvkey", "weburl", identifiers.domain(F.col("weburl")).alias("domain"))
+    return read(spark, d, "compustat_firms_standardized").filter("weburl is not null").select("gvkey", "weburl",
+        identifiers.domain(F.col("weburl")).alias("domain"))
 
 
 @query(r"""SELECT DISTINCT homepage_domain AS host, CASE WHEN len(string_split(homepage_domain, '.')) <= 2 THEN homepage_domain ELSE array_to_string(list_slice(string_split(homepage_domain, '.'), -2, -1), '.') END AS root FROM publication_institutions_master WHERE homepage_domain IS NOT NULL""")
 def root_domain(spark, d):
-    return read(spark, d, "publication_institutions_master").filter("homepage_domain is not null").select(F.col("homepage_domain").alias("host"), identifiers.root_domain(F.col("homepage_domain")).alias("root")).distinct()
+    return read(spark, d, "publication_institutions_master").filter("homepage_domain is not null").select(F.col("homepage_domain")
+        .alias("host"), identifiers.root_domain(F.col("homepage_domain")).alias("root")).distinct()
 
 
 @query(r"""SELECT record_id, nullif(regexp_replace(regexp_replace(trim(arxiv_id), '(?i)^arxiv:\s*', ''), '(?i)v\d+$', ''), '') AS arxiv FROM ai_papers WHERE arxiv_id IS NOT NULL""")
@@ -351,7 +368,8 @@ def arxiv_id_clean(spark, d):
 
 @query(r"""SELECT institution_id AS raw, nullif(regexp_extract(upper(trim(institution_id)), '(?:^|/)(I\d+)/?$', 1), '') AS id, count(*) AS n FROM arxiv_paper_institutions WHERE institution_id IS NOT NULL GROUP BY 1, 2""")
 def institution_id_clean(spark, d):
-    return read(spark, d, "arxiv_paper_institutions").filter("institution_id is not null").groupBy(F.col("institution_id").alias("raw")).agg(F.count("*").alias("n")).withColumn("id", identifiers.institution_id(F.col("raw")))
+    return read(spark, d, "arxiv_paper_institutions").filter("institution_id is not null").groupBy(F.col("institution_id")
+        .alias("raw")).agg(F.count("*").alias("n")).withColumn("id", identifiers.institution_id(F.col("raw")))
 
 
 def _like(words: tuple[str, ...], c: str) -> str:
@@ -389,7 +407,8 @@ def _c6_sql() -> str:
 @query(_c6_sql())
 def institution_class(spark, d):
     i = read(spark, d, "publication_institutions_master")
-    return i.select("institution_id", "display_name", classify.institution_class(F.col("institution_type"), F.col("display_name"), F.col("homepage_domain")).alias("class"))
+    return i.select("institution_id", "display_name", classify.institution_class(F.col("institution_type"), F.col("display_name"),
+        F.col("homepage_domain")).alias("class"))
 
 
 def _c8_sql() -> str:
@@ -412,9 +431,12 @@ def keyword_classify(spark, d):
     return read(spark, d, "documents").groupBy("source").agg(F.count("*").alias("documents"), F.count_if(hit).alias("ai_documents"))
 
 
-@query("""SELECT primary_category, CASE WHEN coalesce(primary_category, '') = '' THEN 'Unknown' """ + " ".join(f"WHEN starts_with(lower(primary_category), '{p}') THEN '{k}'" for p, k in classify.ARXIV_CLASSES) + """ ELSE 'Other' END AS class, count(*) AS n FROM arxiv_paper_institutions GROUP BY 1, 2""")
+@query("""SELECT primary_category, CASE WHEN coalesce(primary_category, '') = '' THEN 'Unknown' """ + " "
+    .join(f"WHEN starts_with(lower(primary_category), '{p}') THEN '{k}'" for p,
+        k in classify.ARXIV_CLASSES) + """ ELSE 'Other' END AS class, count(*) AS n FROM arxiv_paper_institutions GROUP BY 1, 2""")
 def arxiv_category_class(spark, d):
-    return read(spark, d, "arxiv_paper_institutions").groupBy("primary_category").agg(F.count("*").alias("n")).withColumn("class", classify.arxiv_class(F.col("primary_category")))
+    return read(spark, d, "arxiv_paper_institutions").groupBy("primary_category").agg(F.count("*").alias("n")).withColumn("class",
+        classify.arxiv_class(F.col("primary_category")))
 
 
 # -- links -----------------------------------------------------------------------------------------------------------------------------
@@ -422,17 +444,22 @@ def arxiv_category_class(spark, d):
 
 def _institutions(spark: SparkSession, d: str) -> DataFrame:
     i = read(spark, d, "publication_institutions_master")
-    return i.select(F.col("institution_id").alias("entity_id"), text.clean_organization_name(F.col("display_name")).alias("name"), F.col("alternative_names").alias("alternatives"), "acronyms", F.col("parent_institution_ids").alias("parents"), identifiers.domain(F.coalesce("homepage_domain", "homepage_url")).alias("host")).distinct()
+    return i.select(F.col("institution_id").alias("entity_id"), text.clean_organization_name(F.col("display_name")).alias("name"),
+        F.col("alternative_names").alias("alternatives"), "acronyms", F.col("parent_institution_ids").alias("parents"),
+        identifiers.domain(F.coalesce("homepage_domain", "homepage_url")).alias("host")).distinct()
 
 
 def _firms(spark: SparkSession, d: str) -> DataFrame:
     f = read(spark, d, "compustat_firms_standardized")
-    return f.select("gvkey", text.clean_organization_name(F.col("conm")).alias("conm_clean"), text.clean_organization_name(F.col("conml")).alias("conml_clean"), F.upper(F.trim("tic")).alias("tic"), identifiers.domain(F.col("weburl")).alias("host"), "name_variants", "busdesc").distinct()
+    return f.select("gvkey", text.clean_organization_name(F.col("conm")).alias("conm_clean"),
+        text.clean_organization_name(F.col("conml")).alias("conml_clean"), F.upper(F.trim("tic")).alias("tic"),
+        identifiers.domain(F.col("weburl")).alias("host"), "name_variants", "busdesc").distinct()
 
 
 @query(f"""SELECT DISTINCT institution_id AS entity_id, gvkey, 'exact_conml' AS match_method, CAST(0.98 AS DOUBLE) AS match_confidence FROM (SELECT institution_id, {_M1.format('display_name')} AS k FROM publication_institutions_master) i JOIN (SELECT gvkey, {_M1.format('conml')} AS k FROM compustat_firms_standardized) f ON i.k = f.k""")
 def exact_match(spark, d):
-    return linking.equal_keys(_institutions(spark, d).select("entity_id", F.col("name").alias("key")), _firms(spark, d).select("gvkey", F.col("conml_clean").alias("key")), "exact_conml", 0.98)
+    return linking.equal_keys(_institutions(spark, d).select("entity_id", F.col("name").alias("key")),
+        _firms(spark, d).select("gvkey", F.col("conml_clean").alias("key")), "exact_conml", 0.98)
 
 
 @query("""WITH a AS (SELECT institution_id AS entity_id, unnest(acronyms) AS x, generate_subscripts(acronyms, 1) AS p FROM publication_institutions_master), t AS (SELECT gvkey, upper(trim(tic)) AS k, 'acronym_to_tic' AS s FROM compustat_firms_standardized WHERE tic IS NOT NULL UNION SELECT gvkey, v, 'acronym_to_name_variant' FROM (SELECT gvkey, unnest(name_variants) AS v FROM compustat_firms_standardized) WHERE length(v) <= 6 AND v = upper(v)),
@@ -477,7 +504,8 @@ def patent_links_fuzzy(spark, d):
     a = read(spark, d, "patents_panel").select(F.col("clean_name").alias("name")).filter("name is not null").distinct().withColumn("entity_id", F.col("name"))
     f = _firms(spark, d)
     done = cut(linking.patent_stage1(a, f))
-    return linking.keep_best_match(linking.patent_stage2(a.join(done.select("entity_id").distinct(), "entity_id", "left_anti"), f.join(done.select("gvkey").distinct(), "gvkey", "left_anti")))
+    return linking.keep_best_match(linking.patent_stage2(a.join(done.select("entity_id").distinct(), "entity_id", "left_anti"),
+        f.join(done.select("gvkey").distinct(), "gvkey", "left_anti")))
 
 
 @query("""WITH m AS (SELECT e, gvkey, c, m FROM (SELECT institution_id AS e, lpad(gvkey, 6, '0') AS gvkey, CASE WHEN match_confidence > 1 THEN match_confidence / 100 ELSE match_confidence END AS c, match_method AS m, row_number() OVER (PARTITION BY institution_id, lpad(gvkey, 6, '0')
@@ -488,8 +516,10 @@ def patent_links_fuzzy(spark, d):
 def parent_cascade(spark, d):
     m = read(spark, d, "publication_firm_matches_stage1").filter("match_confidence is not null")
     c = F.when(F.col("match_confidence") > 1, F.col("match_confidence") / 100).otherwise(F.col("match_confidence"))
-    m = linking.keep_best_match(m.select(F.col("institution_id").alias("entity_id"), F.lpad("gvkey", 6, "0").alias("gvkey"), "match_method", c.alias("match_confidence")))
-    i = read(spark, d, "publication_institutions_master").select(F.col("institution_id").alias("entity_id"), F.col("parent_institution_ids").alias("parents")).distinct()
+    m = linking.keep_best_match(m.select(F.col("institution_id").alias("entity_id"), F.lpad("gvkey", 6, "0").alias("gvkey"), "match_method",
+        c.alias("match_confidence")))
+    i = read(spark, d, "publication_institutions_master").select(F.col("institution_id").alias("entity_id"),
+        F.col("parent_institution_ids").alias("parents")).distinct()
     return linking.parent_cascade(i, m)
 
 
@@ -501,7 +531,8 @@ def homepage_match(spark, d):
 @query("""WITH w AS (SELECT DISTINCT clean_name AS n, split_part(clean_name, ' ', 1) AS k FROM patents_panel WHERE clean_name IS NOT NULL)
  SELECT a.n AS name_a, b.n AS name_b, round(jaro_winkler_similarity(a.n, b.n), 6) AS score FROM w a JOIN w b ON a.k = b.k AND a.n < b.n WHERE jaro_winkler_similarity(a.n, b.n) >= 0.9""")
 def jw_similarity_block(spark, d):
-    w = read(spark, d, "patents_panel").filter("clean_name is not null").select(F.col("clean_name").alias("text")).distinct().withColumn("k", F.substring_index("text", " ", 1))
+    w = read(spark, d, "patents_panel").filter("clean_name is not null").select(F.col("clean_name")
+        .alias("text")).distinct().withColumn("k", F.substring_index("text", " ", 1))
     near = linking.near_texts(w, w.withColumn("first", F.lit(None).cast("string")), "jaro_winkler", 0.9, within="k")  # names of one first word, in blocks
     return near.filter("a < b").select(F.col("a").alias("name_a"), F.col("b").alias("name_b"), _r("score", 6).alias("score"))
 
@@ -509,17 +540,21 @@ def jw_similarity_block(spark, d):
 @query("""WITH w AS (SELECT DISTINCT clean_name AS n, left(clean_name, 6) AS k FROM patents_panel WHERE clean_name IS NOT NULL)
  SELECT a.n AS name_a, b.n AS name_b, CAST(levenshtein(a.n, b.n) AS INT) AS edits FROM w a JOIN w b ON a.k = b.k AND a.n < b.n WHERE levenshtein(a.n, b.n) <= 3""")
 def levenshtein_block(spark, d):
-    w = read(spark, d, "patents_panel").filter("clean_name is not null").select(F.col("clean_name").alias("n")).distinct().withColumn("k", F.left("n", F.lit(6)))
+    w = read(spark, d, "patents_panel").filter("clean_name is not null").select(F.col("clean_name").alias("n")).distinct().withColumn("k",
+        F.left("n", F.lit(6)))
     pairs = w.alias("a").join(w.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.n") < F.col("b.n")))
-    return pairs.select(F.col("a.n").alias("name_a"), F.col("b.n").alias("name_b"), F.levenshtein(F.col("a.n"), F.col("b.n"), 3).alias("edits")).filter("edits >= 0")
+    return pairs.select(F.col("a.n").alias("name_a"), F.col("b.n").alias("name_b"),
+        F.levenshtein(F.col("a.n"), F.col("b.n"), 3).alias("edits")).filter("edits >= 0")
 
 
 @query(r"""WITH f AS (SELECT DISTINCT gvkey AS id, list_distinct(string_split(conml_clean, ' ')) AS t FROM compustat_firms_standardized WHERE conml_clean IS NOT NULL), i AS (SELECT DISTINCT institution_id AS id, list_distinct(string_split(normalized_name, ' ')) AS t FROM publication_institutions_master WHERE normalized_name IS NOT NULL),
  a AS (SELECT id, len(t) AS n, unnest(t) AS w FROM f), b AS (SELECT id, unnest(t) AS w FROM i)
  SELECT a.id AS a, b.id AS b, CAST(count(*) AS INT) AS shared FROM a JOIN b ON a.w = b.w GROUP BY a.id, b.id, a.n HAVING count(*) >= least(3, a.n)""")
 def token_blocked_pairs(spark, d):
-    f = read(spark, d, "compustat_firms_standardized").filter("conml_clean is not null").select(F.col("gvkey").alias("id"), F.split("conml_clean", " ").alias("tokens")).distinct()
-    i = read(spark, d, "publication_institutions_master").filter("normalized_name is not null").select(F.col("institution_id").alias("id"), F.split("normalized_name", " ").alias("tokens")).distinct()
+    f = read(spark, d, "compustat_firms_standardized").filter("conml_clean is not null").select(F.col("gvkey").alias("id"),
+        F.split("conml_clean", " ").alias("tokens")).distinct()
+    i = read(spark, d, "publication_institutions_master").filter("normalized_name is not null").select(F.col("institution_id").alias("id"),
+        F.split("normalized_name", " ").alias("tokens")).distinct()
     return linking.token_pairs(f, i, 3)
 
 
@@ -538,8 +573,10 @@ def match_assessment(spark, d):
 
 @query()
 def similarity_scores(spark, d):
-    f = read(spark, d, "compustat_firms_standardized").filter("conm is not null and conml is not null").select(F.upper("conm").alias("a"), F.upper("conml").alias("b")).distinct()
-    return f.select("a", "b", *[_r(similarity.column(n)("a", "b")).alias(n) for n in ("ratio", "partial_ratio", "token_sort_ratio", "wratio", "jaro_winkler", "sequence_ratio")])
+    f = read(spark, d, "compustat_firms_standardized").filter("conm is not null and conml is not null").select(F.upper("conm").alias("a"),
+        F.upper("conml").alias("b")).distinct()
+    return f.select("a", "b", *[_r(similarity.column(n)("a", "b")).alias(n) for n in ("ratio", "partial_ratio", "token_sort_ratio",
+        "wratio", "jaro_winkler", "sequence_ratio")])
 
 
 # -- nested records, samples, SQL ------------------------------------------------------------------------------------------------------
@@ -547,7 +584,8 @@ def similarity_scores(spark, d):
 
 @query("""WITH e AS (SELECT record_id, unnest(flatten(author_affiliations)) AS a FROM ai_papers) SELECT a AS affiliation, count(*) AS n, count(DISTINCT record_id) AS papers FROM e WHERE a IS NOT NULL GROUP BY 1""")
 def nested_explode_count(spark, d):
-    e = read(spark, d, "ai_papers").select("record_id", F.explode(F.flatten(F.transform("author_affiliations", lambda x: F.coalesce(x, F.array().cast("array<string>"))))).alias("affiliation"))
+    e = read(spark, d, "ai_papers").select("record_id", F.explode(F.flatten(F.transform("author_affiliations",
+        lambda x: F.coalesce(x, F.array().cast("array<string>"))))).alias("affiliation"))
     return e.filter("affiliation is not null").groupBy("affiliation").agg(F.count("*").alias("n"), F.countDistinct("record_id").alias("papers"))
 
 
@@ -578,19 +616,22 @@ def work_child_tables(spark, d):
     tables = nested.child_tables(read(spark, d, "openalex_work_json"), "record_id", "work_json")
     out = None
     for path, df in sorted(tables.items()):
-        part = df.agg(F.count("*").alias("rows"), F.countDistinct("record_id").alias("parents")).select(F.lit(path).alias("path"), F.lit(len(df.columns) - 1).alias("columns"), "rows", "parents")
+        part = df.agg(F.count("*").alias("rows"), F.countDistinct("record_id").alias("parents")).select(F.lit(path).alias("path"),
+            F.lit(len(df.columns) - 1).alias("columns"), "rows", "parents")
         out = part if out is None else out.unionByName(part)
     return out
 
 
 @query()
 def stratified_sample(spark, d):
-    return validate.stratified(read(spark, d, "publication_firm_matches_stage1").select("match_method", "institution_id", "gvkey").distinct().withColumn("k", F.concat_ws("|", "institution_id", "gvkey")), ["match_method"], "k", 10)
+    return validate.stratified(read(spark, d, "publication_firm_matches_stage1").select("match_method", "institution_id",
+        "gvkey").distinct().withColumn("k", F.concat_ws("|", "institution_id", "gvkey")), ["match_method"], "k", 10)
 
 
 @query()
 def proportional_sample(spark, d):
-    m = read(spark, d, "publication_firm_matches_stage1").select("match_method", "institution_id", "gvkey").distinct().withColumn("k", F.concat_ws("|", "institution_id", "gvkey"))
+    m = read(spark, d, "publication_firm_matches_stage1").select("match_method", "institution_id", "gvkey").distinct().withColumn("k",
+        F.concat_ws("|", "institution_id", "gvkey"))
     return validate.proportional(m, "match_method", "k", 50)
 
 
@@ -598,7 +639,8 @@ def proportional_sample(spark, d):
  SELECT tp, fp, fn, tn, round((tp + tn) / CAST(tp + fp + fn + tn AS DOUBLE), 6) AS accuracy, round(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 6) AS "precision", round(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 6) AS recall, round(2 * tp / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0), 6) AS f1,
  round(fp / nullif(CAST(fp + tn AS DOUBLE), 0), 6) AS false_positive_rate, round(fn / nullif(CAST(fn + tp AS DOUBLE), 0), 6) AS false_negative_rate FROM c""")
 def confusion_matrix(spark, d):
-    f = read(spark, d, "compustat_firms_standardized").select(F.coalesce(F.col("conm_clean").contains("TECH"), F.lit(False)).alias("p"), F.coalesce(F.lower("busdesc").contains("develops"), F.lit(False)).alias("a"))
+    f = read(spark, d, "compustat_firms_standardized").select(F.coalesce(F.col("conm_clean").contains("TECH"), F.lit(False)).alias("p"),
+        F.coalesce(F.lower("busdesc").contains("develops"), F.lit(False)).alias("a"))
     c = validate.confusion(f, "p", "a")
     return c.select("tp", "fp", "fn", "tn", *[_r(x, 6).alias(x) for x in c.columns[4:]])
 
@@ -609,7 +651,8 @@ def confusion_matrix(spark, d):
 def bias_ratios(spark, d):
     p = read(spark, d, "patents_panel").withColumn("has", F.col("assignee_id").isNotNull())
     b = validate.bias_ratios(p, "patent_year", "total_ai_patents", (2000, 2010), (2020, 2024), "has")
-    return b.select(_r("early_avg").alias("early_avg"), _r("late_avg").alias("late_avg"), _r("coverage", 6).alias("coverage"), _r("truncation_ratio", 6).alias("truncation_ratio"))
+    return b.select(_r("early_avg").alias("early_avg"), _r("late_avg").alias("late_avg"), _r("coverage", 6).alias("coverage"),
+        _r("truncation_ratio", 6).alias("truncation_ratio"))
 
 
 _SUBQUERIES = """SELECT c_mktsegment AS segment, count(DISTINCT o_custkey) AS customers, sum(CASE WHEN o_totalprice > (SELECT avg(o_totalprice) FROM orders) THEN 1 ELSE 0 END) AS large_orders,
@@ -626,14 +669,17 @@ def sql_subqueries(spark, d):
 @query("""SELECT year(published) AS year, count(*) AS rows, count(DISTINCT arxiv_id) AS papers, CAST(sum(CASE WHEN has_institution THEN 1 ELSE 0 END) AS BIGINT) AS with_institution, count(DISTINCT institution_id) + max(CASE WHEN institution_id IS NULL THEN 1 ELSE 0 END) AS institutions FROM arxiv_paper_institutions GROUP BY 1""")
 def yearly_coverage(spark, d):
     a = read(spark, d, "arxiv_paper_institutions")
-    return a.groupBy(F.year("published").cast("long").alias("year")).agg(F.count("*").alias("rows"), F.countDistinct("arxiv_id").alias("papers"), F.count_if("has_institution").alias("with_institution"), panel.distinct_with_null("institution_id").alias("institutions"))
+    return a.groupBy(F.year("published").cast("long").alias("year")).agg(F.count("*").alias("rows"),
+        F.countDistinct("arxiv_id").alias("papers"), F.count_if("has_institution").alias("with_institution"),
+        panel.distinct_with_null("institution_id").alias("institutions"))
 
 
 def _institutions_full(spark: SparkSession, d: str) -> DataFrame:
     """Every different row of an institution: one with several names, hosts or places is compared by all of them."""
     i = read(spark, d, "publication_institutions_master")
     return i.select(
-        F.col("institution_id").alias("entity_id"), "display_name", F.col("display_name").alias("name"), F.col("name_variants").alias("variants"), "acronyms", F.col("parent_institution_ids").alias("parents"), F.col("country_code").alias("country"),
+        F.col("institution_id").alias("entity_id"), "display_name", F.col("display_name").alias("name"),
+        F.col("name_variants").alias("variants"), "acronyms", F.col("parent_institution_ids").alias("parents"), F.col("country_code").alias("country"),
         F.col("geo_city").alias("city"), F.col("geo_region").alias("region"), identifiers.host(F.col("homepage_domain")).alias("host"),
     ).distinct()
 
@@ -642,7 +688,8 @@ def _firms_full(spark: SparkSession, d: str) -> DataFrame:
     """Every different row of a firm but for its share classes."""
     f = read(spark, d, "compustat_firms_standardized")
     return f.select(
-        "gvkey", "conm", text.clean_organization_name(F.col("conm")).alias("conm_clean"), text.clean_organization_name(F.col("conml")).alias("conml_clean"), "tic", F.col("name_variants").alias("variants"), "fic", "city", "state", "busdesc",
+        "gvkey", "conm", text.clean_organization_name(F.col("conm")).alias("conm_clean"),
+        text.clean_organization_name(F.col("conml")).alias("conml_clean"), "tic", F.col("name_variants").alias("variants"), "fic", "city", "state", "busdesc",
         identifiers.host(F.lower("weburl")).alias("host"),
     ).distinct()
 
@@ -661,7 +708,8 @@ def publication_links_enhanced(spark, d):
 
 @query()
 def smart_url_links(spark, d):
-    i = _institutions_full(spark, d).withColumn("wikipedia_url", F.concat(F.lit("https://en.wikipedia.org/wiki/"), F.replace("display_name", F.lit(" "), F.lit("_"))))
+    i = _institutions_full(spark, d).withColumn("wikipedia_url",
+        F.concat(F.lit("https://en.wikipedia.org/wiki/"), F.replace("display_name", F.lit(" "), F.lit("_"))))
     return linking_more.smart_urls(i, _firms_full(spark, d))
 
 
@@ -692,9 +740,11 @@ def firm_to_institution_links(spark, d):
 
 @query()
 def topic_concepts(spark, d):
-    p = read(spark, d, "ai_papers").select(F.explode(F.arrays_zip("topic_ids", "topic_names")).alias("t")).select(F.col("t.topic_ids").alias("id"), F.col("t.topic_names").alias("display_name")).filter("id <> '' and display_name is not null")
+    p = read(spark, d, "ai_papers").select(F.explode(F.arrays_zip("topic_ids", "topic_names")).alias("t")).select(F.col("t.topic_ids")
+        .alias("id"), F.col("t.topic_names").alias("display_name")).filter("id <> '' and display_name is not null")
     # the topics of the works that carry a topic stand for its ancestors: of each its most frequent companion
-    both = read(spark, d, "ai_papers").select(F.explode("topic_ids").alias("id"), "topic_ids").select("id", F.explode("topic_ids").alias("anc")).filter("id <> '' and anc <> '' and id <> anc").groupBy("id", "anc").agg(F.count("*").alias("n"))
+    both = read(spark, d, "ai_papers").select(F.explode("topic_ids").alias("id"), "topic_ids").select("id",
+        F.explode("topic_ids").alias("anc")).filter("id <> '' and anc <> '' and id <> anc").groupBy("id", "anc").agg(F.count("*").alias("n"))
     top = both.groupBy("id").agg(F.array(F.min_by("anc", F.struct(-F.col("n"), "anc"))).alias("ancestors"))
     c = p.groupBy("id").agg(F.min("display_name").alias("display_name")).join(top, "id", "left")
     known, terms = spark.createDataFrame([("T90006",)], "id string"), spark.createDataFrame([("dialogue system",), ("speech recognition",)], "term string")
@@ -708,7 +758,8 @@ def firm_papers(spark, d):
 
 @query()
 def patent_report_growth(spark, d):
-    p = read(spark, d, "patents_panel").select("clean_name", F.col("patent_year").alias("year"), "total_ai_patents", "avg_ai_score", F.col("clean_name").alias("assignee_id")).filter("clean_name is not null")
+    p = read(spark, d, "patents_panel").select("clean_name", F.col("patent_year").alias("year"), "total_ai_patents", "avg_ai_score",
+        F.col("clean_name").alias("assignee_id")).filter("clean_name is not null")
     a = p.select(F.col("clean_name").alias("name")).distinct().withColumn("entity_id", F.col("name"))
     return pipelines.patent_report(p, pipelines.link_patents(a, _firms(spark, d)))["growth"]
 

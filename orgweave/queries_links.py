@@ -72,7 +72,8 @@ SQL["publication_links_enhanced"] = f"""WITH {_IF}, {_FF}, ac AS (SELECT e, uppe
 _MEANING = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 2 AND w NOT IN (" + _quoted(linking.GENERIC_TERMS) + "))[1]"
 _STEPS = {
     "blocked firm": f"gvkey NOT IN ({_quoted(linking.MATCHING_ANYTHING)})", "blocked method": "match_method NOT IN ('acronym_match', 'firm_contained_conm')",
-    "generic term": f"len(list_filter(regexp_split_to_array(lower(i), '\\s+'), lambda w: w IN ({_quoted(linking.GENERIC_TERMS)}))) = 0", "short name": r"length(trim(regexp_replace(i, '(?i)\s+(INC|CORP|LLC|LTD|PLC|GMBH|AG)\.?$', ''))) >= 8",
+    "generic term": f"len(list_filter(regexp_split_to_array(lower(i), '\\s+'), lambda w: w IN ({_quoted(linking.GENERIC_TERMS)}))) = 0",
+    "short name": r"length(trim(regexp_replace(i, '(?i)\s+(INC|CORP|LLC|LTD|PLC|GMBH|AG)\.?$', ''))) >= 8",
     "low confidence": "match_confidence >= 0.96", "no word in common": f"{_MEANING.format('i')} = {_MEANING.format('f')}",
 }
 
@@ -86,7 +87,8 @@ def _funnel_sql(steps: dict[str, str], rows: str) -> str:
 SQL["match_funnel"] = _funnel_sql(_STEPS, "SELECT *, institution_display_name AS i, firm_conm AS f FROM publication_firm_matches_stage1")
 
 _UNSURE = {
-    "blocked firm": f"coalesce(gvkey, 'N/A') NOT IN ({_quoted(linking.UNSURE_FIRMS)})", "blocked method": f"coalesce(match_method, '') NOT IN ({_quoted(linking.UNSURE_METHODS)})",
+    "blocked firm": f"coalesce(gvkey, 'N/A') NOT IN ({_quoted(linking.UNSURE_FIRMS)})",
+    "blocked method": f"coalesce(match_method, '') NOT IN ({_quoted(linking.UNSURE_METHODS)})",
     "several firms": "rows_left = 1", "low confidence": "match_confidence >= 0.95",
 }
 
@@ -101,11 +103,17 @@ def match_funnel_mild(spark, d):
 def _assessment_sql() -> str:
     core = r"trim(regexp_replace(i, '\s*\([^)]*\)', '', 'g'))"
     generic = " OR ".join(f"contains(upper(i), '{w}')" for w in classify.GENERIC_ON_PAGES)
-    pairs = [("correct", "Exact name match", "upper(k) = f"), ("correct", "Firm name in institution (subsidiary)", "length(f) > 8 AND contains(upper(i), f)"), ("incorrect", "AI name collision", "m = 'homepage_exact' AND contains(upper(i), 'AI ') AND k <> f")]
-    pairs += [("uncertain", "Generic term in homepage match", f"m = 'homepage_exact' AND ({generic})"), ("correct", "Homepage exact match", "m = 'homepage_exact'"), ("uncertain", "Short acronym collision", "m = 'exact_alt' AND length(k) <= 4")]
-    pairs += [("uncertain", "Name fragment possible collision", "m = 'exact_alt' AND length(k) < 10 AND NOT contains(f, k)"), ("correct", "Alternative name match", "m = 'exact_alt'"), ("uncertain", "Short ambiguous ticker", "m = 'ticker_acronym' AND length(k) <= 3")]
+    pairs = [("correct", "Exact name match", "upper(k) = f"),
+        ("correct", "Firm name in institution (subsidiary)", "length(f) > 8 AND contains(upper(i), f)"),
+        ("incorrect", "AI name collision", "m = 'homepage_exact' AND contains(upper(i), 'AI ') AND k <> f")]
+    pairs += [("uncertain", "Generic term in homepage match", f"m = 'homepage_exact' AND ({generic})"),
+        ("correct", "Homepage exact match", "m = 'homepage_exact'"), ("uncertain", "Short acronym collision", "m = 'exact_alt' AND length(k) <= 4")]
+    pairs += [("uncertain", "Name fragment possible collision", "m = 'exact_alt' AND length(k) < 10 AND NOT contains(f, k)"),
+        ("correct", "Alternative name match", "m = 'exact_alt'"), ("uncertain", "Short ambiguous ticker", "m = 'ticker_acronym' AND length(k) <= 3")]
     pairs += [("correct", "Ticker in firm name", "m = 'ticker_acronym' AND contains(f, upper(k))"), ("correct", "Ticker acronym match", "m = 'ticker_acronym'")]
-    pairs += [("incorrect", "Known name collision", f"contains(upper(i), '{a}') AND f = '{b}'") for a, b in classify.KNOWN_COLLISIONS] + [("incorrect", "Generic pattern mismatch", f"contains(upper(i), '{a}') AND contains(f, '{b}')") for a, b in classify.GENERIC_MISMATCHES]
+    pairs += [("incorrect", "Known name collision", f"contains(upper(i), '{a}') AND f = '{b}'") for a,
+        b in classify.KNOWN_COLLISIONS] + [("incorrect", "Generic pattern mismatch",
+        f"contains(upper(i), '{a}') AND contains(f, '{b}')") for a, b in classify.GENERIC_MISMATCHES]
     case = lambda n: " ".join(f"WHEN {c} THEN '{x[n]}'" for *x, c in pairs)
     return f"""WITH b AS (SELECT institution_display_name AS i, upper(firm_conm) AS f, match_method AS m FROM publication_firm_matches_stage1), s AS (SELECT *, {core} AS k FROM b)
  SELECT CASE {case(0)} ELSE 'uncertain' END AS prediction, CASE {case(1)} ELSE 'Requires manual verification' END AS reason, count(*) AS n FROM s GROUP BY 1, 2"""
@@ -121,7 +129,8 @@ SQL["proportional_sample"] = f"""WITH t AS {_KEYED}, q AS (SELECT match_method,
 
 @query(f"SELECT k FROM {_KEYED} ORDER BY {_ORDER}, k LIMIT 30")
 def seeded_sample(spark, d):
-    m = read(spark, d, "publication_firm_matches_stage1").select("match_method", "institution_id", "gvkey").distinct().withColumn("k", F.concat_ws("|", "institution_id", "gvkey"))
+    m = read(spark, d, "publication_firm_matches_stage1").select("match_method", "institution_id", "gvkey").distinct().withColumn("k",
+        F.concat_ws("|", "institution_id", "gvkey"))
     return validate.sample(m, "k", 30).select("k")
 
 
@@ -144,7 +153,8 @@ def estimated_accuracy(spark, d):
 
 # -- further links ---------------------------------------------------------------------------------------------------------------------
 
-_GROUPED = "coalesce(CASE " + " ".join(f"WHEN upper(trim({{0}})) IN ({_quoted(g)}) THEN '{g[0]}'" for g in linking.COUNTRY_GROUPS) + " END, nullif(upper(trim({0})), ''))"
+_GROUPED = "coalesce(CASE " + " ".join(f"WHEN upper(trim({{0}})) IN ({_quoted(g)}) THEN '{g[0]}'" for g in linking
+    .COUNTRY_GROUPS) + " END, nullif(upper(trim({0})), ''))"
 
 
 @query(f"""WITH {_IF}, {_FF}, iv AS (SELECT DISTINCT e, {_GROUPED.format("country_code")} AS country, name, geo_city AS city, unnest(list_prepend(name, coalesce(variants, []))) AS a FROM i), fv AS (SELECT DISTINCT gvkey, {_GROUPED.format("fic")} AS country, city, busdesc, conm, unnest([conm, conml]) AS b FROM f),
@@ -173,7 +183,8 @@ def either_key_links(spark, d):
 def _rules(spark, d) -> DataFrame:
     """Manual rules made of the tables: each firm's word, as a pattern for its ticker."""
     f = read(spark, d, "compustat_firms_standardized").filter("tic is not null and conml_clean is not null")
-    return f.groupBy(F.substring_index("conml_clean", " ", 1).alias("pattern")).agg(F.min("tic").alias("tic"), F.min("gvkey").alias("g")).select(F.col("g").cast("int").alias("rule_no"), "pattern", "tic")
+    return f.groupBy(F.substring_index("conml_clean", " ", 1).alias("pattern")).agg(F.min("tic").alias("tic"),
+        F.min("gvkey").alias("g")).select(F.col("g").cast("int").alias("rule_no"), "pattern", "tic")
 
 
 _RULES = "o AS (SELECT upper(trim(tic)) AS tic, max(gvkey) AS gvkey FROM compustat_firms_standardized WHERE tic IS NOT NULL GROUP BY 1), r AS (SELECT CAST(min(gvkey) AS INT) AS no, split_part(conml_clean, ' ', 1) AS pattern, min(tic) AS tic FROM compustat_firms_standardized WHERE tic IS NOT NULL AND conml_clean IS NOT NULL GROUP BY 2)"
@@ -190,15 +201,18 @@ def manual_contained_links(spark, d):
  FROM (SELECT clean_name, split_part(clean_name, ' ', 1) AS name FROM patents_panel WHERE clean_name NOT IN (SELECT e FROM done)) JOIN r ON name = pattern JOIN o ON o.tic = r.tic WHERE pattern <> ''""")
 def manual_links(spark, d):
     f = read(spark, d, "compustat_firms_standardized")
-    p = read(spark, d, "patents_panel").filter("clean_name is not null").select(F.col("clean_name").alias("entity_id"), F.substring_index("clean_name", " ", 1).alias("name")).distinct()
+    p = read(spark, d, "patents_panel").filter("clean_name is not null").select(F.col("clean_name").alias("entity_id"),
+        F.substring_index("clean_name", " ", 1).alias("name")).distinct()
     done = p.join(f.select(F.col("conml_clean").alias("entity_id")), "entity_id", "left_semi")
     return linking.manual_matches(p, f, _rules(spark, d), matched=done)
 
 
 def _texts(spark, d) -> DataFrame:
     """Raw affiliations with identifiers in them, made of the institutions' names and acronyms."""
-    i = read(spark, d, "publication_institutions_master").select(F.col("institution_id").alias("entity_id"), "display_name", F.try_element_at("acronyms", F.lit(1)).alias("a"), "normalized_name").distinct()
-    return i.select("entity_id", F.when(F.col("a").isNotNull(), F.concat("display_name", F.lit(" ("), "a", F.lit(")"))).otherwise(F.col("display_name")).alias("text"), F.col("normalized_name").alias("name"))
+    i = read(spark, d, "publication_institutions_master").select(F.col("institution_id").alias("entity_id"), "display_name",
+        F.try_element_at("acronyms", F.lit(1)).alias("a"), "normalized_name").distinct()
+    return i.select("entity_id", F.when(F.col("a").isNotNull(),
+        F.concat("display_name", F.lit(" ("), "a", F.lit(")"))).otherwise(F.col("display_name")).alias("text"), F.col("normalized_name").alias("name"))
 
 
 @query(r"""WITH e AS (SELECT DISTINCT institution_id AS e, CASE WHEN acronyms[1] IS NOT NULL THEN display_name || ' (' || acronyms[1] || ')' ELSE display_name END AS text, normalized_name AS name FROM publication_institutions_master),
@@ -206,7 +220,8 @@ def _texts(spark, d) -> DataFrame:
  x AS (SELECT e, name, nullif(regexp_extract(text, '\(([A-Z]{1,5})\)', 1), '') AS tic FROM e),
  m AS (SELECT 1 AS s, e, gvkey, 'ticker' AS m, 0.98 AS c FROM x JOIN t ON tic = k WHERE tic NOT IN ('THE', 'INC', 'CORP', 'LTD', 'LLC', 'USA', 'AND') UNION ALL SELECT 2, e, gvkey, 'unique_name', 0.97 FROM x JOIN n ON name = k) """ + _FIRST)
 def identifier_links(spark, d):
-    f = read(spark, d, "compustat_firms_standardized").select("gvkey", "tic", F.col("conml_clean").alias("conm_clean"), F.lit(None).cast("string").alias("cik"), F.lit(None).cast("string").alias("cusip6"))
+    f = read(spark, d, "compustat_firms_standardized").select("gvkey", "tic", F.col("conml_clean").alias("conm_clean"),
+        F.lit(None).cast("string").alias("cik"), F.lit(None).cast("string").alias("cusip6"))
     return linking.identifier_matches(_texts(spark, d), f)
 
 
@@ -215,7 +230,9 @@ def identifier_links(spark, d):
  SELECT DISTINCT e AS entity_id, gvkey, 'wikidata_ticker' AS match_method, CAST(0.98 AS DOUBLE) AS match_confidence FROM (SELECT e, upper(trim(unnest(t))) AS x FROM e) JOIN k ON x = k
  UNION ALL SELECT DISTINCT e, gvkey, 'wikidata_name', CAST(0.97 AS DOUBLE) FROM (SELECT e, upper(trim(unnest(n))) AS x FROM e) JOIN n ON x = k""")
 def wikidata_links(spark, d):
-    i = read(spark, d, "publication_institutions_master").select(F.col("institution_id").alias("entity_id"), F.col("acronyms").alias("tickers"), F.col("alternative_names").alias("names"), F.col("parent_institution_ids").alias("parents"), F.array().cast("array<string>").alias("parent_tickers")).distinct()
+    i = read(spark, d, "publication_institutions_master").select(F.col("institution_id").alias("entity_id"),
+        F.col("acronyms").alias("tickers"), F.col("alternative_names").alias("names"), F.col("parent_institution_ids").alias("parents"),
+        F.array().cast("array<string>").alias("parent_tickers")).distinct()
     return linking_more.wikidata(i, read(spark, d, "compustat_firms_standardized"))
 
 
@@ -223,7 +240,8 @@ def wikidata_links(spark, d):
  c AS (SELECT e, count(DISTINCT gvkey) AS n FROM h GROUP BY 1), l AS (SELECT k, min(g) AS g FROM (SELECT split_part(lower(conm), ' ', 1) AS k, gvkey AS g FROM compustat_firms_standardized) WHERE length(k) >= 4 GROUP BY 1 HAVING min(g) = max(g)),
  m AS (SELECT 1 AS s, h.e, gvkey, 'wikidata_ticker' AS m, CASE WHEN n = 1 THEN 0.95 ELSE 0.93 END AS c FROM h JOIN c ON h.e = c.e WHERE n = 1 OR state = fs UNION ALL SELECT 2, e, g, 'first_word', 0.92 FROM e JOIN l ON split_part(lower(name), ' ', 1) = k) """ + _FIRST)
 def enrichment_links(spark, d):
-    i = read(spark, d, "publication_institutions_master").select(F.col("institution_id").alias("entity_id"), F.try_element_at("acronyms", F.lit(1)).alias("ticker"), F.col("geo_region").alias("state"), F.col("display_name").alias("name")).distinct()
+    i = read(spark, d, "publication_institutions_master").select(F.col("institution_id").alias("entity_id"),
+        F.try_element_at("acronyms", F.lit(1)).alias("ticker"), F.col("geo_region").alias("state"), F.col("display_name").alias("name")).distinct()
     return linking_more.enrichment(i, read(spark, d, "compustat_firms_standardized"))
 
 
@@ -288,7 +306,8 @@ def _patents(spark, d) -> DataFrame:
 @query(f"""SELECT p_partkey, left(c[1], 4) IN ({_quoted(classify.AI_CPC)}) OR left(c[2], 4) IN ({_quoted(classify.AI_CPC)}) AS ai_by_code, {_VOTE} AS label, {_like(classify.SOFTWARE_WORDS, 's')} OR starts_with(c[1], 'G06F') OR starts_with(c[1], 'G06Q') AS software FROM {_PATENTS}""")
 def patent_classes(spark, d):
     p = _patents(spark, d)
-    return p.select("p_partkey", classify.is_ai_patent(F.col("text"), F.col("codes"), "cpc_only").alias("ai_by_code"), classify.cpc_label(F.col("codes")).alias("label"), classify.is_software_patent(F.col("text"), F.col("codes")).alias("software"))
+    return p.select("p_partkey", classify.is_ai_patent(F.col("text"), F.col("codes"), "cpc_only").alias("ai_by_code"),
+        classify.cpc_label(F.col("codes")).alias("label"), classify.is_software_patent(F.col("text"), F.col("codes")).alias("software"))
 
 
 @query("SELECT l_returnflag, count(*) AS kept FROM lineitem WHERE l_linenumber = 1 OR greatest(l_discount * 10, l_tax * 10) > 0.5 GROUP BY 1")
@@ -303,10 +322,12 @@ def _tag_sql(rules: list[tuple[str, str]]) -> str:
 
 def _c12_sql() -> str:
     has = lambda w: f"contains(s, '{w}')"
-    plain = [(f"{has('GOOGLE')} OR {has('ALPHABET')}", "GOOGLE"), (has("MICROSOFT"), "MICROSOFT"), (has("AMAZON"), "AMAZON"), (has("APPLE"), "APPLE"), (f"{has('META')} OR {has('FACEBOOK')}", "META")]
+    plain = [(f"{has('GOOGLE')} OR {has('ALPHABET')}", "GOOGLE"), (has("MICROSOFT"), "MICROSOFT"), (has("AMAZON"), "AMAZON"),
+        (has("APPLE"), "APPLE"), (f"{has('META')} OR {has('FACEBOOK')}", "META")]
     ends = "(starts_with(s, 'META ') OR s = 'META' OR ends_with(s, ' META'))"
     barred = _like(classify.NOT_META, "s")
-    careful = _tag_sql([(has("MICROSOFT"), "MICROSOFT"), (has("FACEBOOK"), "META")]).replace(" END", f" WHEN {ends} THEN CASE WHEN {barred} THEN NULL ELSE 'META' END {_tag_sql([(has(x), x) for x in ('AMAZON', 'GOOGLE', 'APPLE')])[5:]}")
+    careful = _tag_sql([(has("MICROSOFT"), "MICROSOFT"), (has("FACEBOOK"), "META")]).replace(" END",
+        f" WHEN {ends} THEN CASE WHEN {barred} THEN NULL ELSE 'META' END {_tag_sql([(has(x), x) for x in ('AMAZON', 'GOOGLE', 'APPLE')])[5:]}")
     words = _tag_sql([("regexp_matches(lower(n), '\\b(" + "|".join(w) + ")\\b')", f) for f, w in classify.BIG_TECH_WORDS.items()])
     flag = "((starts_with(s, 'META ') OR contains(s, ' META') OR s = 'META' OR contains(s, 'FACEBOOK')) AND NOT " + barred + ")"
     return f"""WITH x AS (SELECT n, upper(n) AS s FROM (SELECT DISTINCT institution_name AS n FROM arxiv_paper_institutions WHERE institution_name IS NOT NULL UNION SELECT * FROM (VALUES {", ".join(f"('{w}')" for w in BIG_TECH_SAMPLES)})))
@@ -314,7 +335,8 @@ def _c12_sql() -> str:
 
 
 #: Names that show the taggers' rules beside the table's own.
-BIG_TECH_SAMPLES = ("Google Research", "Alphabet Inc", "Meta", "META AI", "Kennametal Inc", "Facebook Paris", "Pineapple Labs", "Apple", "AWS", "Amazon Science", "DeepMind", "Rheinmetall", "Deep Meta", "Microsoft Research Asia")
+BIG_TECH_SAMPLES = ("Google Research", "Alphabet Inc", "Meta", "META AI", "Kennametal Inc", "Facebook Paris", "Pineapple Labs", "Apple",
+    "AWS", "Amazon Science", "DeepMind", "Rheinmetall", "Deep Meta", "Microsoft Research Asia")
 
 
 @query(_c12_sql())
@@ -322,7 +344,8 @@ def big_tech_taggers(spark, d):
     own = read(spark, d, "arxiv_paper_institutions").filter("institution_name is not null").select(F.col("institution_name").alias("name"))
     n = own.unionByName(spark.createDataFrame([(x,) for x in BIG_TECH_SAMPLES], "name string")).distinct()
     c = F.col("name")
-    return n.select("name", classify.big_tech(F.upper(c)).alias("plain"), classify.big_tech_careful(c).alias("careful"), classify.big_tech_words(c, classify.BIG_TECH_WORDS).alias("words"), classify.meta_flag(c).alias("meta_flag"))
+    return n.select("name", classify.big_tech(F.upper(c)).alias("plain"), classify.big_tech_careful(c).alias("careful"),
+        classify.big_tech_words(c, classify.BIG_TECH_WORDS).alias("words"), classify.meta_flag(c).alias("meta_flag"))
 
 
 _C17 = _C1_LADDER
@@ -360,10 +383,13 @@ def _normaliser_sql() -> str:
     wiki = squeeze(f"regexp_replace({low}, '[^\\p{{L}}\\p{{N}}_\\s&]', ' ', 'g')")
     columns = {
         "clean_organization_name": _M1.format("n"), "normalize_assignee": squeeze(f"replace({_strip(low, text.ASSIGNEE_SUFFIXES)}, '&', 'and')"), "normalize_aggressive": squeeze(long_words(f"replace({_strip(brackets, text.AGGRESSIVE_SUFFIXES)}, '&', 'and')")),
-        "normalize_institution": f"trim({inst})", "normalize_filtered": squeeze(_strip(places, text.FILTERED_SUFFIXES)), "normalize_company_url": _strip(low, text.URL_SUFFIXES),
-        "normalize_wikipedia": _strip(wiki, tuple(sorted(text.WIKI_SUFFIXES, key=len, reverse=True))), "normalize_firm": f"trim(regexp_replace(trim(regexp_replace({firm}, '^the ', '')), '^a ', ''))",
+        "normalize_institution": f"trim({inst})", "normalize_filtered": squeeze(_strip(places, text.FILTERED_SUFFIXES)),
+        "normalize_company_url": _strip(low, text.URL_SUFFIXES),
+        "normalize_wikipedia": _strip(wiki, tuple(sorted(text.WIKI_SUFFIXES, key=len, reverse=True))),
+        "normalize_firm": f"trim(regexp_replace(trim(regexp_replace({firm}, '^the ', '')), '^a ', ''))",
     }
-    return "SELECT n AS display_name, " + ", ".join(f"{c} AS {k}" for k, c in columns.items()) + " FROM (SELECT DISTINCT display_name AS n FROM publication_institutions_master)"
+    return "SELECT n AS display_name, " + ", ".join(f"{c} AS {k}" for k,
+        c in columns.items()) + " FROM (SELECT DISTINCT display_name AS n FROM publication_institutions_master)"
 
 
 SQL["normaliser_table"] = _normaliser_sql()
@@ -393,9 +419,12 @@ def host_forms(spark, d):
 def identifier_table(spark, d):
     f = read(spark, d, "compustat_firms_standardized").filter("conm is not null and tic is not null").select("gvkey", "conm", "tic").distinct()
     page = F.concat(F.lit("https://en.wikipedia.org/wiki/"), F.replace("conm", F.lit(" "), F.lit("_")), F.lit("#History"))
-    t = F.concat(F.lit("NYSE: "), "tic", F.lit(" and ("), "tic", F.lit(") CIK 000"), "gvkey", F.lit(" CUSIP: "), "gvkey", F.lit("109 http://www.wikidata.org/entity/Q"), "gvkey")
+    t = F.concat(F.lit("NYSE: "), "tic", F.lit(" and ("), "tic", F.lit(") CIK 000"), "gvkey", F.lit(" CUSIP: "), "gvkey",
+        F.lit("109 http://www.wikidata.org/entity/Q"), "gvkey")
     f = f.withColumns({"page": page, "t": t})
-    return f.select("gvkey", "conm", "tic", identifiers.wikipedia_title(F.col("page")).alias("title"), identifiers.wikidata_id(F.col("t")).alias("wikidata"), identifiers.cik(F.col("t")).alias("cik"), identifiers.cusip6(F.col("t")).alias("cusip"), identifiers.ticker(F.col("t")).alias("ticker"))
+    return f.select("gvkey", "conm", "tic", identifiers.wikipedia_title(F.col("page")).alias("title"),
+        identifiers.wikidata_id(F.col("t")).alias("wikidata"), identifiers.cik(F.col("t")).alias("cik"),
+        identifiers.cusip6(F.col("t")).alias("cusip"), identifiers.ticker(F.col("t")).alias("ticker"))
 
 
 @query("""SELECT record_id, try_cast(left(publication_date, 4) AS INT) AS year, CASE WHEN regexp_matches(publication_date, '^\\d{4}-\\d{2}-\\d{2}$') THEN dayofyear(try_cast(publication_date AS DATE)) END AS day_of_year, CASE WHEN regexp_matches(publication_date, '^\\d{4}-\\d{2}-\\d{2}$') THEN strftime(try_cast(publication_date AS DATE), '%Y-%m') END AS month FROM ai_papers""")
@@ -428,7 +457,8 @@ def country_counts(spark, d):
 @query("""SELECT publication_year, count(*) AS papers, CAST(sum(cited_by_count) AS BIGINT) AS citations, round(avg(cited_by_count), 4) AS mean_citations, max(cited_by_count) AS most, count(*) FILTER (cited_by_count = 0) AS uncited FROM ai_papers GROUP BY 1""")
 def citation_counts(spark, d):
     c = F.col("cited_by_count")
-    return panel.entity_year(read(spark, d, "ai_papers"), ["publication_year"], papers=F.count("*"), citations=F.sum(c), mean_citations=_r(F.avg(c)), most=F.max(c), uncited=F.count_if(c == 0))
+    return panel.entity_year(read(spark, d, "ai_papers"), ["publication_year"], papers=F.count("*"), citations=F.sum(c),
+        mean_citations=_r(F.avg(c)), most=F.max(c), uncited=F.count_if(c == 0))
 
 
 @query("""SELECT record_id, array_to_string(list_distinct(list_filter(list_concat(coalesce(topic_names, []), coalesce(author_names, [])), lambda x: x IS NOT NULL)), '') IS NOT NULL AS known, len(list_distinct(list_filter(list_concat(coalesce(topic_names, []), coalesce(author_names, [])), lambda x: x IS NOT NULL))) AS items,
@@ -436,7 +466,9 @@ def citation_counts(spark, d):
 def list_operations(spark, d):
     p = read(spark, d, "ai_papers").filter("topic_names is not null and author_names is not null")
     union = records.ordered_union(F.col("topic_names"), F.col("author_names"))
-    return p.select("record_id", F.lit(True).alias("known"), F.size(union).cast("long").alias("items"), _r(text.overlap_ratio(F.col("topic_names"), F.col("author_names")), 6).alias("overlap"), F.array_join(records.bounded(F.col("topic_names"), 2), "|").alias("first_two"))
+    return p.select("record_id", F.lit(True).alias("known"), F.size(union).cast("long").alias("items"),
+        _r(text.overlap_ratio(F.col("topic_names"), F.col("author_names")), 6).alias("overlap"),
+        F.array_join(records.bounded(F.col("topic_names"), 2), "|").alias("first_two"))
 
 
 _HINTS = "CASE " + " ".join(f"WHEN contains(lower({{0}}), '{w}') THEN '{k}'" for w, k in classify.COUNTRY_HINTS) + " END"
@@ -447,7 +479,8 @@ _RAW = "concat_ws(', ', institution_name, CASE country_code WHEN 'DE' THEN 'Lab
  SELECT raw, p[1] AS institution_name, nullif(array_to_string(p[2:], ', '), '') AS location, list_filter(list_transform(list_reverse(p[2:]), lambda x: {_HINTS.format("x")}), lambda x: x IS NOT NULL)[1] AS country_code, {_like(classify.COMPANY_HINTS, "lower(p[1])")} AS is_company_likely FROM p""")
 def raw_affiliations(spark, d):
     place = F.when(F.col("country_code") == "DE", "Lab 3, Germany").when(F.col("country_code") == "US", "Plant, USA").otherwise(F.col("country_code"))
-    r = read(spark, d, "arxiv_paper_institutions").filter("institution_name is not null").select(F.concat_ws(", ", "institution_name", place).alias("raw")).distinct()
+    r = read(spark, d, "arxiv_paper_institutions").filter("institution_name is not null").select(F.concat_ws(", ", "institution_name",
+        place).alias("raw")).distinct()
     return r.select("raw", classify.raw_affiliation(F.col("raw")).alias("s")).select("raw", "s.*")
 
 
@@ -460,7 +493,8 @@ _IN_BRACKETS = r"regexp_matches(a, '^(.+?)\s*\(([^)]+)\)\s*$')"
  SELECT a AS author, nullif(CASE WHEN {_IN_BRACKETS} THEN trim(regexp_extract(a, '^(.+?)\s*\(([^)]+)\)\s*$', 1)) WHEN contains(a, ',') AND {_like(classify.AFFILIATION_HINTS, f"lower({_LAST})")} THEN trim(left(a, length(a) - length(string_split(a, ',')[-1]) - 1)) ELSE trim(a) END, '') AS name,
  nullif(CASE WHEN {_IN_BRACKETS} THEN trim(regexp_extract(a, '^(.+?)\s*\(([^)]+)\)\s*$', 2)) WHEN contains(a, ',') AND {_like(classify.AFFILIATION_HINTS, f"lower({_LAST})")} THEN {_LAST} END, '') AS affiliation FROM r""")
 def author_affiliations(spark, d):
-    r = read(spark, d, "arxiv_paper_institutions").filter("author_display_name is not null and institution_name is not null").select(F.expr(_AUTHOR).alias("author")).distinct()
+    r = read(spark, d, "arxiv_paper_institutions").filter("author_display_name is not null and institution_name is not null").select(F
+        .expr(_AUTHOR).alias("author")).distinct()
     return r.select("author", classify.author_affiliation(F.col("author")).alias("s")).select("author", "s.*")
 
 
@@ -499,7 +533,8 @@ SQL["publication_links_fuzzy"] = f"""WITH i AS (SELECT DISTINCT institution_id A
 
 @query("""SELECT clean_name, patent_year AS year, count(DISTINCT total_ai_patents) AS total_ai_patents, round(avg(avg_ai_score), 8) AS avg_ai_score, min(assignee_id) AS assignee_id FROM patents_panel WHERE clean_name IS NOT NULL GROUP BY 1, 2""")
 def assignee_year_panel(spark, d):
-    p = read(spark, d, "patents_panel").select("clean_name", F.col("patent_year").alias("year"), F.col("total_ai_patents").alias("patent_id"), F.col("avg_ai_score").alias("score"), "assignee_id")
+    p = read(spark, d, "patents_panel").select("clean_name", F.col("patent_year").alias("year"),
+        F.col("total_ai_patents").alias("patent_id"), F.col("avg_ai_score").alias("score"), "assignee_id")
     return panel.assignee_year(p).withColumn("avg_ai_score", _r("avg_ai_score", 8))
 
 
@@ -514,7 +549,8 @@ def papers_per_firm(spark, d):
     return metrics.total_of_group(m, "gvkey", "institution_paper_count", "total_papers_per_firm")
 
 
-_BINS = [(1.0, 1.0, "Perfect (1.0)"), (0.95, 0.999, "Very High (0.95-0.999)"), (0.90, 0.949, "High (0.90-0.949)"), (0.80, 0.899, "Medium-High (0.80-0.899)"), (0.0, 0.799, "Low (<0.80)")]
+_BINS = [(1.0, 1.0, "Perfect (1.0)"), (0.95, 0.999, "Very High (0.95-0.999)"), (0.90, 0.949, "High (0.90-0.949)"),
+    (0.80, 0.899, "Medium-High (0.80-0.899)"), (0.0, 0.799, "Low (<0.80)")]
 
 
 @query(" UNION ALL ".join(f"SELECT {i} AS bin_no, '{t}' AS label, count(*) FILTER ({'match_confidence = ' + str(a) if a == b else f'match_confidence >= {a} AND match_confidence < {b}'}) AS n, round(count(*) FILTER ({'match_confidence = ' + str(a) if a == b else f'match_confidence >= {a} AND match_confidence < {b}'}) * 100.0 / count(*), 4) AS pct FROM publication_firm_matches_stage1" for i, (a, b, t) in enumerate(_BINS)))
@@ -538,7 +574,8 @@ def date_range_profile(spark, d):
     return metrics.date_ranges(read(spark, d, "ai_papers"), ["publication_date", "title"])
 
 
-@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, {n} AS columns, (SELECT count(*) FROM {t}) AS rows" for t, n in (("orders", 6), ("nation", 3), ("region", 2))))
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, {n} AS columns, (SELECT count(*) FROM {t}) AS rows" for t,
+    n in (("orders", 6), ("nation", 3), ("region", 2))))
 def table_shapes(spark, d):
     return readers.shape({t: read(spark, d, t) for t in ("orders", "nation", "region")})
 
@@ -567,7 +604,8 @@ def csv_round_trip(spark, d):
 @query("SELECT gvkey, conm, tic FROM compustat_firms_standardized")
 def json_lines_round_trip(spark, d):
     f = read(spark, d, "compustat_firms_standardized").select("gvkey", "conm", "tic")
-    return _round_trip(spark, f, lambda df, p: df.write.option("compression", "gzip").json(p), lambda p: readers.json_lines(spark, p, "gvkey string, conm string, tic string"))
+    return _round_trip(spark, f, lambda df, p: df.write.option("compression", "gzip").json(p),
+        lambda p: readers.json_lines(spark, p, "gvkey string, conm string, tic string"))
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders")

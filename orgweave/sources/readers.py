@@ -40,7 +40,8 @@ def _batch(key: str, batches: int) -> Column:
 
 def shape(tables: dict[str, DataFrame]) -> DataFrame:
     """table_name, columns, rows: columns from the schema without reading, rows by a count that reads no column."""
-    parts = [df.agg(F.count("*").alias("rows")).select(F.lit(n).alias("table_name"), F.lit(len(df.columns)).alias("columns"), "rows") for n, df in tables.items()]
+    parts = [df.agg(F.count("*").alias("rows")).select(F.lit(n).alias("table_name"), F.lit(len(df.columns)).alias("columns"), "rows") for n,
+        df in tables.items()]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

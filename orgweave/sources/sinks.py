@@ -38,7 +38,8 @@ def append_unique(spark: SparkSession, new: DataFrame, path: str, target: str, k
     rows = new.withColumn("_age", F.lit(1))
     if old is not None:
         types = dict(old.dtypes)
-        rows = union_all(old.withColumn("_age", F.lit(0)), rows.select(*[F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c) for c in rows.columns]))
+        rows = union_all(old.withColumn("_age", F.lit(0)), rows
+            .select(*[F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c) for c in rows.columns]))
     keep_best(rows, [key], F.col("_age")).drop("_age").write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
 
@@ -77,4 +78,5 @@ def latex_table(df: DataFrame, caption: str, most: int = 1000) -> str:
         raise ValueError(f"more than {most} rows")
     body = [" & ".join(cell(v) for v in r) + r" \\" for r in rows]
     head = " & ".join(cell(c) for c in df.columns) + r" \\"
-    return "\n".join([r"\begin{table}[htbp]", rf"\caption{{{cell(caption)}}}", rf"\begin{{tabular}}{{{'l' * len(df.columns)}}}", r"\toprule", head, r"\midrule", *body, r"\bottomrule", r"\end{tabular}", r"\end{table}"])
+    return "\n".join([r"\begin{table}[htbp]", rf"\caption{{{cell(caption)}}}", rf"\begin{{tabular}}{{{'l' * len(df.columns)}}}",
+        r"\toprule", head, r"\midrule", *body, r"\bottomrule", r"\end{tabular}", r"\end{table}"])

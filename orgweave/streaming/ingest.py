@@ -46,9 +46,11 @@ def append_first(stream: DataFrame, key: str, ts: str, target: str, checkpoint:
 
 def period_counts(stream: DataFrame, ts: str, period: str, late: str) -> DataFrame:
     """G29 on a stream: rows per period, final once the watermark has passed it."""
-    return stream.withWatermark(ts, late).groupBy(F.window(ts, period).alias("w")).agg(F.count("*").alias("records")).select(F.col("w.start").alias("period_start"), "records")
+    return stream.withWatermark(ts, late).groupBy(F.window(ts,
+        period).alias("w")).agg(F.count("*").alias("records")).select(F.col("w.start").alias("period_start"), "records")
 
 
 def run_once(stream: DataFrame, target: str, checkpoint: str, mode: str = "append") -> None:
     """Process what is there, then stop; a later call goes on where this one ended (K6)."""
-    stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.format("parquet").option("path", target).option("checkpointLocation",
+        checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()

@@ -15,7 +15,8 @@ def spark():
     from orgweave.shared import ship
 
     s = (
-        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled",
+        "false").config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "3g").config("spark.sql.warehouse.dir", "/tmp/orgweave-test-warehouse").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")

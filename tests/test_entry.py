@@ -14,7 +14,8 @@ def test_every_sql_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(q for q in entry.oracle_sql() if q in ("yoy_growth", "concentration_gini", "affiliation_type", "parent_cascade", "token_blocked_pairs", "jw_similarity_block", "column_profile", "gap_detection_weekly", "keep_best_dedup")))
+@pytest.mark.parametrize("name", sorted(q for q in entry.oracle_sql() if q in ("yoy_growth", "concentration_gini", "affiliation_type",
+    "parent_cascade", "token_blocked_pairs", "jw_similarity_block", "column_profile", "gap_detection_weekly", "keep_best_dedup")))
 def test_against_sql(spark, name):
     import duckdb
 

@@ -60,7 +60,8 @@ def test_any_date(spark):
 
 
 def test_affiliation_type(spark):
-    for given, wanted in (("Stanford University", "university"), ("Naval Research Lab", "government"), ("Acme Inc", "firm"), (None, "unknown"), ("Bell Labs", "firm"), ("Lab for Systems", "firm"), ("Some Place", "unknown")):
+    for given, wanted in (("Stanford University", "university"), ("Naval Research Lab", "government"), ("Acme Inc", "firm"),
+        (None, "unknown"), ("Bell Labs", "firm"), ("Lab for Systems", "firm"), ("Some Place", "unknown")):
         assert one(spark, given, classify.affiliation_type) == wanted
 
 
@@ -128,7 +129,8 @@ def test_near_equals_brute_force():
     draw = random.Random(7)
     word = lambda: "".join(draw.choice("abcdeo") for _ in range(draw.randint(1, 6)))
     a = sorted({" ".join(word() for _ in range(draw.randint(1, 4))) for _ in range(120)} | {"x  y z", "ab ab corp", "a" * 70 + " inc", "é" * 3 + " soc"})
-    b = sorted({x[: draw.randrange(len(x))] + word() + x[draw.randrange(len(x)) :] for x in a} | {"x y  z", "ab corp corp", "a" * 69 + " inc", "é" * 3 + " sod"})
+    b = sorted({x[: draw.randrange(len(x))] + word() + x[draw.randrange(len(x)) :] for x in a} | {"x y  z", "ab corp corp",
+        "a" * 69 + " inc", "é" * 3 + " sod"})
     for name, least in (("ratio", 85.0), ("jaro_winkler", 0.85), ("wratio", 85.0), ("wratio", 90.0)):
         scored = [(i, j, getattr(similarity, name)(x, y)) for i, x in enumerate(a) for j, y in enumerate(b)]
         want = sorted((r for r in scored if r[2] >= least), key=lambda r: (r[0], -r[2], r[1]))

@@ -22,10 +22,13 @@ def test_names_of_all_scripts(spark):
 
 def test_reasons_of_assessments(spark):
     data = [
-        ("Acme", "ACME", "x", "Exact name match"), ("Acme Widgets Europe", "ACME WIDGETS", "x", "Firm name in institution (subsidiary)"), ("AI Corporation", "AFFYMAX INC", "other", "Known name collision"),
-        ("System Dynamics Lab", "STANDARD DIVERSIFIED CO", "other", "Generic pattern mismatch"), ("Zed", "YACHT", "ticker_acronym", "Short ambiguous ticker"), (None, "X", "other", "Requires manual verification"),
+        ("Acme", "ACME", "x", "Exact name match"), ("Acme Widgets Europe", "ACME WIDGETS", "x", "Firm name in institution (subsidiary)"),
+        ("AI Corporation", "AFFYMAX INC", "other", "Known name collision"),
+        ("System Dynamics Lab", "STANDARD DIVERSIFIED CO", "other", "Generic pattern mismatch"),
+        ("Zed", "YACHT", "ticker_acronym", "Short ambiguous ticker"), (None, "X", "other", "Requires manual verification"),
     ]
-    df = spark.createDataFrame(data, "i string, f string, m string, want string").select("want", classify.match_assessment(F.col("i"), F.col("f"), F.col("m")).alias("a"))
+    df = spark.createDataFrame(data, "i string, f string, m string, want string").select("want",
+        classify.match_assessment(F.col("i"), F.col("f"), F.col("m")).alias("a"))
     assert all(r["want"] == r["a"]["reason"] for r in df.collect())
 
 
@@ -33,12 +36,14 @@ def test_lineage_and_labels(spark):
     df = spark.createDataFrame([("Brain Lab", ["Acme Research", None]), ("acme research paris", None), ("Zed", []), (None, None)], "n string, l array<string>")
     assert [r[0] for r in df.select(classify.big_tech_lineage(F.col("n"), F.col("l"), {"ACME": ("acme research",)})).collect()] == ["ACME", "ACME", None, None]
     p = spark.createDataFrame([("a gpu for training", ["G06N1"]), ("a spoon", ["G06N1"]), ("a spoon", None)], "t string, c array<string>")
-    assert [tuple(r) for r in p.select(*[classify.strategic_label(F.col("t"), F.col("c"), h) for h in ("text", "cpc", "hybrid")]).collect()] == [("Infrastructure", "Algorithm", "Infrastructure"), ("Unknown", "Algorithm", "Unknown"), ("Unknown", "Unknown", "Unknown")]
+    assert [tuple(r) for r in p.select(*[classify.strategic_label(F.col("t"), F.col("c"), h) for h in ("text", "cpc", "hybrid")])
+        .collect()] == [("Infrastructure", "Algorithm", "Infrastructure"), ("Unknown", "Algorithm", "Unknown"), ("Unknown", "Unknown", "Unknown")]
 
 
 def test_knowledge_base_records(spark):
     claim = lambda v, q=None: {"mainsnak": {"datavalue": {"value": v}}, **({"qualifiers": {"P249": [{"datavalue": {"value": q}}]}} if q else {})}
-    e = {"claims": {"P414": [claim({"id": "Q1"}, "ABC")], "P249": [claim("XYZ")], "P127": [claim({"id": "Q5"})], "P1448": [claim({"text": "Acme"})], "P742": claim("Ac")}}
+    e = {"claims": {"P414": [claim({"id": "Q1"}, "ABC")], "P249": [claim("XYZ")], "P127": [claim({"id": "Q5"})],
+        "P1448": [claim({"text": "Acme"})], "P742": claim("Ac")}}
     df = spark.createDataFrame([(json.dumps(e),), ("{}",), ("{bad",), (None,)], "j string").select(records.wikidata_claims(F.try_parse_json("j")).alias("c"))
     got = [r["c"] for r in df.collect()]
     assert (got[0]["tickers"], got[0]["parents"], got[0]["names"]) == (["ABC", "XYZ"], ["Q5"], ["Acme", "Ac"])
@@ -47,7 +52,8 @@ def test_knowledge_base_records(spark):
     assert rows(records.sparql_bindings(b, "j", ["a", "b"])) == [("1", None), (None, "2")]
     r = spark.createDataFrame([([("I1", "Parent"), ("I2", "child"), ("I3", None)],), (None,)], "x array<struct<id:string,relationship:string>>")
     assert [x[0] for x in r.select(records.related(F.col("x"), "parent")).collect()] == [["I1"], None]
-    v = spark.createDataFrame([('{"l": [{"n": "a"}, {"n": "b"}, {"n": "c"}]}',), ('{"l": {"n": "z"}}',), ("{}",)], "j string").select(F.try_parse_json("j").alias("v"))
+    v = spark.createDataFrame([('{"l": [{"n": "a"}, {"n": "b"}, {"n": "c"}]}',), ('{"l": {"n": "z"}}',), ("{}",)],
+        "j string").select(F.try_parse_json("j").alias("v"))
     assert [tuple(x) for x in v.select(*records.list_fields(F.col("v"), "l", ["n"], 2)).collect()] == [("a", "b", 3), ("z", None, 1), (None, None, 0)]
 
 
@@ -66,18 +72,24 @@ def test_identifiers(spark):
     u = spark.createDataFrame([("http://arxiv.example/abs/2104.11612v2",), (None,)], "u string")
     assert [r[0] for r in u.select(identifiers.arxiv_id_from_url(F.col("u"))).collect()] == ["2104.11612", None]
     d = spark.createDataFrame([("2024-02-29",), ("2023-02-29",), ("2024",), ("",), (None,)], "d string")
-    assert [tuple(r) for r in d.select(identifiers.day_of_year(F.col("d")), identifiers.month_of(F.col("d"))).collect()] == [(60, "2024-02")] + [(None, None)] * 4
+    assert [tuple(r) for r in d.select(identifiers.day_of_year(F.col("d")), identifiers.month_of(F.col("d"))).collect()] == [(60,
+        "2024-02")] + [(None, None)] * 4
     a = spark.createDataFrame([("A. B; C. D; ",), ("A and B & C",), ("A, B, C",), ("A",), ("",), (None,)], "a string")
     assert [r[0] for r in a.select(text.author_count(F.col("a"))).collect()] == [2, 3, 3, 1, 0, 0]
 
 
 def test_country_blocks_and_parents(spark):
-    i = spark.createDataFrame([("a", "ACME ROTORS", [], "US", None), ("b", "ACME ROTRS", None, "USA", "Paris"), ("c", "ACME ROTRS", None, "DE", None), ("d", "ACME ROTORS", None, None, None), ("e", None, None, "US", None)], "entity_id string, name string, variants array<string>, country string, city string")
-    f = spark.createDataFrame([("f1", "ACME ROTORS", None, "USA", "Paris", "rotors by acme"), ("f2", "BOLTS", None, None, None, None)], "gvkey string, conm_clean string, conml_clean string, fic string, city string, busdesc string")
+    i = spark.createDataFrame([("a", "ACME ROTORS", [], "US", None), ("b", "ACME ROTRS", None, "USA", "Paris"),
+        ("c", "ACME ROTRS", None, "DE", None), ("d", "ACME ROTORS", None, None, None), ("e", None, None, "US", None)],
+        "entity_id string, name string, variants array<string>, country string, city string")
+    f = spark.createDataFrame([("f1", "ACME ROTORS", None, "USA", "Paris", "rotors by acme"), ("f2", "BOLTS", None, None, None, None)],
+        "gvkey string, conm_clean string, conml_clean string, fic string, city string, busdesc string")
     got = {r["entity_id"]: (r["gvkey"], r["match_method"]) for r in linking_more.country_links(i, f).collect()}
     assert got == {"a": ("f1", "string_match"), "b": ("f1", "fuzzy_jaro_winkler")}
-    p = spark.createDataFrame([("kid", ["x"], []), ("x", [], []), ("kid2", ["y"], []), ("y", [], ["kid2"])], "entity_id string, parents array<string>, children array<string>")
-    m = spark.createDataFrame([("x", "1", "exact", 0.98), ("y", "2", "exact", 0.98)], "entity_id string, gvkey string, match_method string, match_confidence double")
+    p = spark.createDataFrame([("kid", ["x"], []), ("x", [], []), ("kid2", ["y"], []), ("y", [], ["kid2"])],
+        "entity_id string, parents array<string>, children array<string>")
+    m = spark.createDataFrame([("x", "1", "exact", 0.98), ("y", "2", "exact", 0.98)],
+        "entity_id string, gvkey string, match_method string, match_confidence double")
     assert rows(linking.parent_cascade(p, m)) == [("kid2", "2", "parent_cascade_exact", 0.96)]
 
 
@@ -96,9 +108,12 @@ def test_manual_rules(spark):
 
 
 def test_aggressive_filter_knows_its_firms_and_labels(spark):
-    m = spark.createDataFrame([("019075", "exact_conm", "Acme Widgets", "ACME WIDGETS", 0.98), ("1", "firm_contained_conm", "Acme Widgets", "ACME WIDGETS", 0.98), ("2", "exact_conm", "Acme Widgets", "ACME WIDGETS", 0.98)], "gvkey string, match_method string, institution_name string, firm_name string, match_confidence double")
+    m = spark.createDataFrame([("019075", "exact_conm", "Acme Widgets", "ACME WIDGETS", 0.98),
+        ("1", "firm_contained_conm", "Acme Widgets", "ACME WIDGETS", 0.98), ("2", "exact_conm", "Acme Widgets", "ACME WIDGETS", 0.98)],
+        "gvkey string, match_method string, institution_name string, firm_name string, match_confidence double")
     kept, counts = linking.funnel(m, linking.aggressive_steps())
-    assert [r["gvkey"] for r in kept.collect()] == ["2"] and {r["step"]: r["removed"] for r in counts.collect() if r["removed"]} == {"blocked firm": 1, "blocked method": 1}
+    assert [r["gvkey"] for r in kept.collect()] == ["2"] and {r["step"]: r["removed"] for r in counts
+        .collect() if r["removed"]} == {"blocked firm": 1, "blocked method": 1}
 
 
 def test_running_sums_and_quantiles_against_brute_force(spark):
@@ -138,5 +153,7 @@ def test_readers_of_schemas_and_catalogs(spark):
     spark.range(3).createOrReplaceTempView("three")
     assert ("three", "id", "bigint") in {tuple(r) for r in readers.catalog(spark).collect()}
     assert rows(readers.shape({"three": spark.table("three")})) == [("three", 1, 3)]
-    assert readers.without(spark.table("three").withColumn("x", F.lit(1)), "x", "absent").columns == ["id"] and readers.optional(spark.table("three"), ["id", "no"]).columns == ["id"] and readers.head(spark.table("three"), 2).count() == 2
+    assert readers.without(spark.table("three").withColumn("x", F.lit(1)), "x",
+        "absent").columns == ["id"] and readers.optional(spark.table("three"),
+        ["id", "no"]).columns == ["id"] and readers.head(spark.table("three"), 2).count() == 2
     assert panel.entity_span(spark.createDataFrame([("a", 1), ("a", 3)], "k string, y int"), "k", "y").first()[1:] == (1, 3)

@@ -50,7 +50,8 @@ def test_comprehensive_outer_keeps_both_keys(spark):
 
 def test_financials_fan_out_or_not(spark):
     p = spark.createDataFrame([("F1", 2001)], "gvkey string, year int")
-    f = spark.createDataFrame([("F1", 2001, "P", 1, 1.0), ("F1", 2001, "C", 2, 2.0), ("F1", 2001, "J", 3, 3.0)], "gvkey string, fyear int, linkprim string, lpermno long, at double")
+    f = spark.createDataFrame([("F1", 2001, "P", 1, 1.0), ("F1", 2001, "C", 2, 2.0), ("F1", 2001, "J", 3, 3.0)],
+        "gvkey string, fyear int, linkprim string, lpermno long, at double")
     assert panel.with_financials(p, f, ["at", "absent"]).count() == 2
     assert rows(panel.with_financials(p, f, ["at"], one_row=True)) == [("F1", 2001, 2.0)]
 
@@ -70,19 +71,25 @@ def test_confidences(spark):
     assert one.select(linking.stage2_confidence(F.lit(0.85), t, t, f, f)).first()[0] == 0.94
     assert one.select(linking.stage2_confidence(F.lit(0.85), t, f, f, f)).first()[0] is None
     assert [one.select(linking.wratio_confidence(F.lit(float(x)))).first()[0] for x in (90, 96, 100, 80)] == [0.75, 0.89, 0.92, None]
-    assert one.select(linking.same_country(F.lit("us"), F.lit("USA")), linking.same_country(F.lit(None).cast("string"), F.lit("US"))).first()[:] == (True, False)
+    assert one.select(linking.same_country(F.lit("us"), F.lit("USA")),
+        linking.same_country(F.lit(None).cast("string"), F.lit("US"))).first()[:] == (True, False)
 
 
 def test_patent_stage2_compares_all_names(spark):
     # glued words; and two rows of one firm take one of the k places
-    a = spark.createDataFrame([("p", "GRUFROFUDESYSTEMS PARTNERS"), ("q", "GRUFROFUDE SYSTEMS PARTNER"), ("r", "BOLTS"), ("s", None)], "entity_id string, name string")
-    f = spark.createDataFrame([("g1", "GRUFROFUDE SYSTEMS PTNRS", "x"), ("g1", "GRUFROFUDE SYSTEMS PTNRS", "y"), ("g2", None, None)], "gvkey string, conm_clean string, busdesc string")
-    assert {(r["entity_id"], r["gvkey"], r["match_method"]) for r in linking.patent_stage2(a, f, 2).collect()} == {("p", "g1", "fuzzy_high"), ("q", "g1", "fuzzy_high")}
+    a = spark.createDataFrame([("p", "GRUFROFUDESYSTEMS PARTNERS"), ("q", "GRUFROFUDE SYSTEMS PARTNER"), ("r", "BOLTS"), ("s", None)],
+        "entity_id string, name string")
+    f = spark.createDataFrame([("g1", "GRUFROFUDE SYSTEMS PTNRS", "x"), ("g1", "GRUFROFUDE SYSTEMS PTNRS", "y"), ("g2", None, None)],
+        "gvkey string, conm_clean string, busdesc string")
+    assert {(r["entity_id"], r["gvkey"], r["match_method"]) for r in linking.patent_stage2(a, f, 2).collect()} == {("p", "g1",
+        "fuzzy_high"), ("q", "g1", "fuzzy_high")}
 
 
 def test_patent_stage1(spark):
-    a = spark.createDataFrame([("1", "ACME ROTORS"), ("2", "ACME ROTORS EUROPE"), ("3", "GRW"), ("4", "IBM"), ("5", "ZED XYZ WORKS")], "entity_id string, name string")
-    f = spark.createDataFrame([("f1", "ACME ROTORS", None, "AC"), ("f2", "GLOBAL ROTOR WORKS", None, None), ("f3", "INTERNATIONAL BUSINESS MACHINES", None, None), ("f4", "OTHER", None, "XYZ")], "gvkey string, conm_clean string, conml_clean string, tic string")
+    a = spark.createDataFrame([("1", "ACME ROTORS"), ("2", "ACME ROTORS EUROPE"), ("3", "GRW"), ("4", "IBM"), ("5", "ZED XYZ WORKS")],
+        "entity_id string, name string")
+    f = spark.createDataFrame([("f1", "ACME ROTORS", None, "AC"), ("f2", "GLOBAL ROTOR WORKS", None, None),
+        ("f3", "INTERNATIONAL BUSINESS MACHINES", None, None), ("f4", "OTHER", None, "XYZ")], "gvkey string, conm_clean string, conml_clean string, tic string")
     got = {(r["entity_id"], r["gvkey"], r["match_method"]) for r in linking.patent_stage1(a, f).collect()}
     assert ("1", "f1", "exact_conm") in got and ("2", "f1", "firm_contained") not in got  # exact stops the firm
     assert {("3", "f2", "abbreviation_generated"), ("4", "f3", "abbreviation_dict"), ("5", "f4", "ticker_in_name")} <= got
@@ -95,8 +102,10 @@ def test_manual_identifier_and_keys(spark):
     assert {r["entity_id"] for r in linking.manual_matches(e, f, m, contained=True).collect()} == {"1", "2"}
     assert {r["entity_id"] for r in linking.manual_matches(e, f, m).collect()} == {"2"}
     a = spark.createDataFrame([("x", "Acme (ZZZ) CIK: 0001234567", "n"), ("y", "nothing", "lone")], "entity_id string, text string, name string")
-    g = spark.createDataFrame([("f1", "1234567", None, "ZZZ", "n"), ("f2", None, None, None, "lone")], "gvkey string, cik string, cusip6 string, tic string, conm_clean string")
-    assert {(r["entity_id"], r["gvkey"], r["match_method"]) for r in linking.identifier_matches(a, g).collect()} == {("x", "f1", "cik"), ("y", "f2", "unique_name")}
+    g = spark.createDataFrame([("f1", "1234567", None, "ZZZ", "n"), ("f2", None, None, None, "lone")],
+        "gvkey string, cik string, cusip6 string, tic string, conm_clean string")
+    assert {(r["entity_id"], r["gvkey"], r["match_method"]) for r in linking.identifier_matches(a, g).collect()} == {("x", "f1", "cik"),
+        ("y", "f2", "unique_name")}
 
 
 def test_token_and_contained_pairs_against_brute_force(spark):
@@ -106,12 +115,14 @@ def test_token_and_contained_pairs_against_brute_force(spark):
     words = ["aa", "bb", "cc", "dd", "ee"]
     x = [(str(i), random.sample(words, random.randint(1, 4))) for i in range(12)]
     y = [(str(i), random.sample(words, random.randint(1, 4))) for i in range(12)]
-    got = {tuple(r) for r in linking.token_pairs(spark.createDataFrame(x, "id string, tokens array<string>"), spark.createDataFrame(y, "id string, tokens array<string>")).collect()}
+    got = {tuple(r) for r in linking.token_pairs(spark.createDataFrame(x, "id string, tokens array<string>"),
+        spark.createDataFrame(y, "id string, tokens array<string>")).collect()}
     want = {(a, b, len(set(s) & set(t))) for a, s in x for b, t in y if len(set(s) & set(t)) >= min(2, len(s))}
     assert got == want
     e = [(str(i), "".join(random.choice("ab") for _ in range(14))) for i in range(20)]
     f = [(str(i), "".join(random.choice("ab") for _ in range(9))) for i in range(60)]
-    got = {tuple(r) for r in linking.contained_pairs(spark.createDataFrame(e, "entity_id string, name string"), spark.createDataFrame(f, "gvkey string, name string")).select("entity_id", "gvkey").collect()}
+    got = {tuple(r) for r in linking.contained_pairs(spark.createDataFrame(e, "entity_id string, name string"),
+        spark.createDataFrame(f, "gvkey string, name string")).select("entity_id", "gvkey").collect()}
     assert got == {(a, b) for a, s in e for b, t in f if t in s}
 
 
@@ -173,7 +184,8 @@ def test_pages(spark):
 
 def test_stream(spark, tmp_path):
     src = tmp_path / "src"
-    spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:05:00"), (2, "2024-01-02 00:00:00")], "id int, ts string").withColumn("ts", F.to_timestamp("ts")).write.parquet(str(src))
+    spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:05:00"), (2, "2024-01-02 00:00:00")],
+        "id int, ts string").withColumn("ts", F.to_timestamp("ts")).write.parquet(str(src))
     s = ingest.first_arrivals(ingest.file_stream(spark, str(src), "id int, ts timestamp"), "id", "ts", "1 hour")
     ingest.run_once(s, str(tmp_path / "out"), str(tmp_path / "cp"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
@@ -185,7 +197,8 @@ def test_stream(spark, tmp_path):
 def test_children_of_nested_records(spark):
     j = '{"authorships": [{"institutions": [{"id": "I1", "display_name": null}, null, {"display_name": " "}, {"display_name": "B"}]}, {"institutions": {"id": "I2"}}], "topics": {"id": "T1"}}'
     works = spark.createDataFrame(
-        [(1, j, "x"), (2, json.dumps(j), "x"), (3, '{"data": ' + j + "}", "x"), (4, j[:-9], "x"), (5, None, "x"), (6, "null", "x"), (7, "﻿[" + j + "]", "x"), (8, "", "x"), (9, "{}", "x"), (None, j, "x")],
+        [(1, j, "x"), (2, json.dumps(j), "x"), (3, '{"data": ' + j + "}", "x"), (4, j[:-9], "x"), (5, None, "x"), (6, "null", "x"),
+        (7, "﻿[" + j + "]", "x"), (8, "", "x"), (9, "{}", "x"), (None, j, "x")],
         "record_id long, work_json string, item string",
     )
     papers = spark.createDataFrame(
@@ -194,7 +207,8 @@ def test_children_of_nested_records(spark):
     )
     got = rows(nested.work_children(papers, works).drop("child_name", "child_id"))
     own = [("affiliation", 1, 1), ("affiliation", 1, 4), ("affiliation", 2, 1), ("topic", 0, 1)]
-    want = [("openalex_work_json", r, *c) for r in (1, 2, 3, 7) for c in own] + [("ai_papers", 1, k, a, c) for k, a, c in (("affiliation", 1, 1), ("affiliation", 1, 2), ("affiliation", 2, 1), ("topic", 0, 1))]
+    want = [("openalex_work_json", r, *c) for r in (1, 2, 3, 7) for c in own] + [("ai_papers", 1, k, a, c) for k, a,
+        c in (("affiliation", 1, 1), ("affiliation", 1, 2), ("affiliation", 2, 1), ("topic", 0, 1))]
     assert got == sorted(want, key=str)
     assert nested.work_children(papers.limit(0), works.limit(0)).count() == 0
 
@@ -220,7 +234,8 @@ def test_schema_changes(spark):
     raw = _raw(spark, [(1, 1, a), (2, 2, [*b, b[0], b[0], "{cut", "[1]"]), (3, 3, [])])
     raw = raw.unionByName(_raw(spark, [(4, 4, [{"id": "1"}, "null"])]))
     got = {(r["file_no"], r["field_name"], r["change_kind"]) for r in drift.schema_changes(raw).collect()}
-    want = {(2, "source_name", "renamed"), (2, "count", "retyped"), (2, "old", "removed"), (2, "fresh", "added")} | {(4, c, "removed") for c in ("source_name", "count", "fresh", "n")}
+    want = {(2, "source_name", "renamed"), (2, "count", "retyped"), (2, "old", "removed"),
+        (2, "fresh", "added")} | {(4, c, "removed") for c in ("source_name", "count", "fresh", "n")}
     assert got == want
 
 
@@ -244,7 +259,8 @@ def _flooded(spark, old, new, beside=()):
     pairs = [(f, a, b, old[f][a][0], new[f][b][0]) for f in old for a in old[f] for b in new[f]]
     side = lambda x: spark.createDataFrame([(f, a, b, c) for f in x for a in x[f] for b, c in x[f][a][1].items()], "file_no long, field string, b int, c long")
     schemas = spark.createDataFrame([(100 + n, x) for n, names in enumerate(beside) for x in names], "file_no long, field string")
-    start = drift.evidence(spark.createDataFrame(pairs, "file_no long, old_name string, new_name string, old_kind string, new_kind string"), side(old), side(new))
+    start = drift.evidence(spark.createDataFrame(pairs, "file_no long, old_name string, new_name string, old_kind string, new_kind string"),
+        side(old), side(new))
     return drift.flood(start, schemas)
 
 
@@ -260,7 +276,8 @@ def test_flooding_decides(spark, monkeypatch):
     names stand side by side elsewhere. Without the flow both come out wrong."""
     flag, text = {1: 5, 2: 5}, {10: 4, 11: 4}
     old = {1: {"open": ("string", text)}, 2: {"open": ("string", text)}, 3: {"open": ("string", {1: 5, 2: 4, 3: 1})}, 4: {"is_open": ("boolean", flag)}}
-    new = {1: {"oa_mark": ("string", text)}, 2: {"oa_mark": ("string", text)}, 3: {"oa_mark": ("string", {1: 3, 8: 3, 9: 4})}, 4: {"is_withdrawn": ("boolean", flag)}}
+    new = {1: {"oa_mark": ("string", text)}, 2: {"oa_mark": ("string", text)}, 3: {"oa_mark": ("string", {1: 3, 8: 3, 9: 4})},
+        4: {"is_withdrawn": ("boolean", flag)}}
     beside = [("is_open", "is_withdrawn")] * 6
     want = [(1, "open", "oa_mark"), (2, "open", "oa_mark"), (3, "open", "oa_mark")]
     assert rows(drift.correspondences(_flooded(spark, old, new, beside))) == want
@@ -269,5 +286,6 @@ def test_flooding_decides(spark, monkeypatch):
 
 
 def test_value_kinds(spark):
-    v = spark.createDataFrame([('"a"',), ("1.5",), ("true",), ("[]",), ("[[]]",), ('{"a": 1}',), ("null",), (None,)], "j string").select(drift.value_kind(F.try_parse_json("j")))
+    v = spark.createDataFrame([('"a"',), ("1.5",), ("true",), ("[]",), ("[[]]",), ('{"a": 1}',), ("null",), (None,)],
+        "j string").select(drift.value_kind(F.try_parse_json("j")))
     assert [r[0] for r in v.collect()] == ["string", "number", "boolean", "list", "list of lists", "object", None, None]
