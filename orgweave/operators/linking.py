@@ -276,7 +276,7 @@ def manual_matches(entities: DataFrame, firms: DataFrame, mapping: DataFrame, co
 
     A ticker stands for one firm, that of the greatest gvkey. Entities of ``matched`` (entity_id) are left out."""
     owner = firms.select("gvkey", F.upper(F.trim("tic")).alias("tic")).filter("tic is not null").groupBy("tic").agg(F.max("gvkey").alias("gvkey"))
-    rules = mapping.filter("pattern <> ''").join(owner, "tic")
+    rules = mapping.filter("pattern <> ''").hint("merge").join(owner, "tic")
     if matched is not None:
         entities = entities.join(matched.select("entity_id").distinct(), "entity_id", "left_anti")
     if not contained:
@@ -285,10 +285,14 @@ def manual_matches(entities: DataFrame, firms: DataFrame, mapping: DataFrame, co
         width = 4  # shorter patterns are pieces as a whole
         piece = F.explode(F.array_distinct(F.flatten(F.array(*[F.when(F.length("name") >= n,
             _pieces(F.col("name"), n)).otherwise(F.array().cast("array<string>")) for n in range(1, width + 1)])))).alias("piece")
-        long = entities.filter(F.length("name") > 0).select("*", piece).join(rules.withColumn("piece", F.left("pattern", F.lit(width))),
-            "piece").filter(F.col("name").contains(F.col("pattern")))
+        # Spark's estimate of the pieces leaves out how many each name has: unhinted it would broadcast them. Names and patterns meet once,
+        # however many entities and rules have them
+        names = entities.filter(F.length("name") > 0).select("name").distinct().select("name", piece)
+        starts = rules.select("pattern").distinct().withColumn("piece", F.left("pattern", F.lit(width)))
+        found = cut(names.hint("merge").join(starts, "piece").filter(F.col("name").contains(F.col("pattern"))).select("name", "pattern"))
+        long = entities.hint("merge").join(found, "name").hint("merge").join(rules, "pattern")
         first = long.groupBy("entity_id").agg(F.min("rule_no").alias("rule_no"))
-        pairs = long.join(first, ["entity_id", "rule_no"])
+        pairs = long.hint("merge").join(first, ["entity_id", "rule_no"])
     return pairs.select("entity_id", "gvkey", F.lit("manual").alias("match_method"), F.lit(0.99).alias("match_confidence")).distinct()
 
 

@@ -107,6 +107,16 @@ def test_manual_rules(spark):
     assert rows(got.select("entity_id", "gvkey")) == [("1", "f2"), ("2", "f3")]  # two letters count, a ticker is the firm of greatest gvkey
 
 
+def test_pieces_of_names_are_not_broadcast(spark, monkeypatch):
+    from conftest import DATA
+
+    from orgweave.queries_links import manual_contained_links
+
+    monkeypatch.setattr(linking, "cut", lambda df: df)  # all of it in one plan
+    plan = manual_contained_links(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "explode" in plan and "Broadcast" not in plan
+
+
 def test_aggressive_filter_knows_its_firms_and_labels(spark):
     m = spark.createDataFrame([("019075", "exact_conm", "Acme Widgets", "ACME WIDGETS", 0.98),
         ("1", "firm_contained_conm", "Acme Widgets", "ACME WIDGETS", 0.98), ("2", "exact_conm", "Acme Widgets", "ACME WIDGETS", 0.98)],
