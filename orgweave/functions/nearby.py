@@ -5,14 +5,15 @@ Letters that two texts have in common (``_Block.common``) bound each score from
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
 
 from orgweave.functions import similarity
 
-#: Tolerance of the bounds, so that rounding never rules out a pair; rows of a product of matrices; pairs matched together.
-EPS, ROWS, BATCH = 1e-4, 256, 200_000
+#: Tolerance of the bounds, so that rounding never rules out a pair; pairs matched together; letters of a text whose subsequences are told by bits.
+EPS, BATCH, LONG = 1e-4, 200_000, 256
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -29,22 +30,6 @@ def _letters(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return count(x, i, len(a)), count(y, j, len(b))
 
 
-def _parts(a: list[list[str]], b: list[list[str]]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """How often each text has each of the parts that both lists know, and these parts."""
-    known = sorted({p for t in a for p in t} & {p for t in b for p in t})
-    no = {p: k for k, p in enumerate(known)}
-
-    def count(texts: list[list[str]]) -> np.ndarray:
-        m = np.zeros((len(texts), len(known)), "f4")
-        for r, t in enumerate(texts):
-            for p in t:
-                if p in no:
-                    m[r, no[p]] += 1
-        return m
-
-    return count(a), count(b), known
-
-
 class _Block:
     def __init__(self, a: list[str], b: list[str]):
         self.a, self.b = a, b
@@ -139,46 +124,183 @@ def _jaro_winkler(d: _Block, least: float) -> Iterator[tuple[int, int, float]]:
         yield from settle(waiting)
 
 
+class _Bits:
+    """Letters in common by bits: one bit for each letter and each time both lists have it, the most frequent first; a text's share is a few words."""
+
+    def __init__(self, ca: np.ndarray, cb: np.ndarray, most: int):
+        times = np.minimum(ca.max(axis=1, initial=0), cb.max(axis=1, initial=0))
+        bits = [(np.count_nonzero(cb[r] >= n), r, n) for r, m in enumerate(times.tolist()) for n in range(1, m + 1)]
+        self.a, self.b = (np.zeros((-(-len(bits) // 64), c.shape[1]), "u8") for c in (ca, cb))
+        for q, (_, r, n) in enumerate(sorted(bits, reverse=True)):
+            for mine, c in ((self.a, ca), (self.b, cb)):
+                mine[q // 64] |= (c[r] >= n).astype("u8") << np.uint64(q % 64)
+        self.kind = "u1" if most < 256 else "u4"
+
+    def common(self, i: int, of: np.ndarray | slice = slice(None)) -> np.ndarray:
+        parts = [np.bitwise_count(self.b[w, of] & self.a[w, i]) for w in np.flatnonzero(self.a[:, i])]
+        if not parts:
+            return np.zeros(self.b.shape[1], self.kind)[of]
+        total = parts[0].astype(self.kind, copy=False)
+        for x in parts[1:]:
+            total += x
+        return total
+
+
+def _pair_bits(texts: list[str]) -> np.ndarray:
+    """Of each text which pairs of neighbouring letters of a word it has, hashed to 256 bits."""
+    x, i = _codes(texts)
+    at = np.flatnonzero((i[:-1] == i[1:]) & (x[:-1] != 32) & (x[1:] != 32)) if len(x) else np.zeros(0, "i8")
+    bit = ((x[at].astype("u8") * np.uint64(0x9E3779B97F4A7C15) + x[at + 1]) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(56)
+    out = np.zeros((4, len(texts)), "u8")
+    np.bitwise_or.at(out, ((bit >> np.uint64(6)).astype("i8"), i[at]), np.uint64(1) << (bit & np.uint64(63)))
+    return out
+
+
+class _Subsequences:
+    """Longest common subsequences of pairs, by bit-parallel rows over all pairs at once, for texts of 64 letters of a and of LONG of b at most."""
+
+    def __init__(self, a: list[str], b: list[str]):
+        self.sizes, (x, i), (y, j) = np.array([len(t) for t in a]), _codes(a), _codes(b)
+        alphabet, at = np.unique(x), lambda o: np.arange(len(o)) - np.searchsorted(o, o)
+        self.width, p, q = len(alphabet) + 1, at(i), at(j)
+        masks = np.zeros((len(a), self.width), "u8")
+        low = p < 64
+        np.bitwise_or.at(masks, (i[low], np.searchsorted(alphabet, x[low])), np.uint64(1) << p[low].astype("u8"))
+        self.masks, self.lengths = masks.ravel(), np.array([min(len(t), LONG) for t in b])
+        spot = np.minimum(np.searchsorted(alphabet, y), self.width - 2)
+        self.of_b = np.full((int(self.lengths.max()), len(b)), self.width - 1, "i4")  # the last column has no letter
+        low = q < LONG
+        self.of_b[q[low], j[low]] = np.where(alphabet[spot] == y, spot, self.width - 1)[low]
+
+    def run(self, ia: np.ndarray, ib: np.ndarray) -> np.ndarray:
+        n, base = self.sizes[ia], ia * self.width
+        full = np.full(len(ia), 2**64 - 1, "u8") >> (64 - n).astype("u8")
+        row = full.copy()
+        for k in range(int(self.lengths[ib].max(initial=0))):
+            hit = row & self.masks[base + self.of_b[k, ib]]
+            row = ((row + hit) | (row - hit)) & full
+        return n - np.bitwise_count(row)
+
+
 def _wratio(d: _Block, least: float, k: int | None) -> Iterator[tuple[int, int, float]]:
-    """Unlike lengths with a word in common score 95 x weight whatever the rest, unless a partial match scores more: of these the first k of b are enough."""
+    """Unlike lengths with a word in common score 95 x weight whatever the rest, unless a partial match scores more: of these the first k of b are
+    enough, and where there are k only pairs that can reach that score count besides. Pairs that letters in common don't rule out are bounded
+    again by their longest common subsequences, many pairs at once; without a word in common and of like lengths these are the score."""
     words_a, words_b = [t.split() for t in d.a], [t.split() for t in d.b]
-    odd = lambda texts, words: np.array([t != " ".join(w) for t, w in zip(texts, words)])
-    odd_a, odd_b = odd(d.a, words_a), odd(d.b, words_b)
+    odd_a, odd_b = (np.array([t != " ".join(w) for t, w in zip(s, words)]) for s, words in ((d.a, words_a), (d.b, words_b)))
     set_a, set_b = [sorted(set(w)) for w in words_a], [sorted(set(w)) for w in words_b]
     joined_a, joined_b = [" ".join(w) for w in set_a], [" ".join(w) for w in set_b]
     da, db = (np.array([len(t) for t in s]) for s in (joined_a, joined_b))
-    repeated = _letters(joined_a, joined_b) if any(map(len, joined_a)) and ((da != d.la).any() or (db != d.lb).any()) else None
-    wa, wb, known = _parts(set_a, set_b)
-    size = np.array([len(w) for w in known], "f4")
-    pairs = lambda words: [[w[n : n + 2] for w in t for n in range(len(w) - 1)] for t in words]
-    two_a, two_b = pairs(words_a), pairs(words_b)
-    ta, tb = (np.array([len(t) for t in s]) for s in (two_a, two_b))
-    ga, gb, _ = _parts(two_a, two_b)
-    has_a, has_b = (ga > 0).astype("f4"), (gb > 0).astype("f4")
-    for i in range(len(d.a)):
-        r = i % ROWS
-        if not r:
-            rows = slice(i, i + ROWS)
-            shared, letters, of_a, of_b = wa[rows] @ wb.T, (wa[rows] * size) @ wb.T, ga[rows] @ has_b.T, has_a[rows] @ gb.T
-        a, la, c = d.a[i], d.la[i], d.common(i)
-        short, lengths = np.minimum(la, d.lb), np.maximum(la, d.lb) / np.minimum(la, d.lb)
-        like, weight = lengths < 1.5, np.where(lengths < 8, 0.9, 0.6)
-        take = (200.0 * c >= least * (la + d.lb) - EPS) | odd_a[i] | odd_b
-        if repeated:
-            take |= like & (190.0 * _common(repeated[0][:, i], repeated[1]) >= least * (da[i] + db) - EPS)
-        both = letters[r] + shared[r] - 1
-        take |= like & (shared[r] > 0) & (190.0 * both >= least * (both + np.minimum(da[i], db)) - EPS)
-        # a partial match of p: 2 x matched >= p x (short + window), so few letters of the shorter text, and few of its pairs of letters, are missing in the longer
-        p = np.minimum(least / (100.0 * weight), 2.0 - 1e-9)
-        lost = np.floor((1.0 - p) * 2 * short + EPS)
-        kept = np.where(la < d.lb, of_a[r] - ta[i], of_b[r] - tb)
-        take |= ~like & (p <= 1 + EPS) & (c >= short * p / (2 - p) - EPS) & (kept >= -2 * lost - EPS)
-        for j in np.flatnonzero(take).tolist():
-            if (s := similarity.wratio(a, d.b[j])) >= least:
-                yield i, j, s
-        flat = 0.95 * weight * 100.0
-        for j in np.flatnonzero(~take & ~like & (shared[r] > 0) & (flat >= least))[:k].tolist():
-            yield i, j, float(flat[j])
+    twice_a, twice_b = (np.array([len(w) != len(s) for w, s in zip(*x)]) for x in ((words_a, set_a), (words_b, set_b)))
+    bits, most = _Bits(d.ca, d.cb, max(d.la.max(), d.lb.max())), 255 if max(d.la.max(), d.lb.max()) < 256 else 2**32 - 1
+    repeated = _Bits(*_letters(joined_a, joined_b), max(da.max(), db.max())) if (twice_a.any() or twice_b.any()) and da.any() and db.any() else None
+    two_a, two_b = _pair_bits(d.a), _pair_bits(d.b)
+    plain = _Subsequences(d.a, d.b)
+    ordered = _Subsequences([" ".join(sorted(w)) for w in words_a], [" ".join(sorted(w)) for w in words_b]) if any(words_a) and any(words_b) else plain
+    known, has = {w for s in set_a for w in s}, {}
+    for j, s in enumerate(set_b):
+        for w in s:
+            if w in known:
+                has.setdefault(w, []).append(j)
+    has = {w: np.array(j) for w, j in has.items()}
+    odd_of_b, twice_of_b = np.flatnonzero(odd_b), np.flatnonzero(twice_b)
+
+    def kinds(la: np.ndarray | int, lb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shorter length, whether the lengths are alike, and the weight of partial matches."""
+        short = np.minimum(la, lb)
+        lengths = np.maximum(la, lb) / short
+        return short, lengths < 1.5, np.where(lengths < 8, 0.9, 0.6)
+
+    tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    needs: dict[tuple[int, float], np.ndarray] = {}
+
+    def need(la: int, t: float) -> np.ndarray:
+        """Letters in common that a pair needs at least for ``t``, but for the score of words in common. A partial match of p has 2 x matched >= p x (short + window)."""
+        if (la, t) not in needs:
+            short, like, weight = kinds(la, d.lb)
+            p = t / (100.0 * weight)
+            part = np.where(like | (p > 1 + EPS), np.inf, short * np.minimum(p, 1) / (2 - np.minimum(p, 1)))
+            needs[la, t] = np.clip(np.ceil(np.minimum(t * (la + d.lb) / 200.0, part) - EPS), 0, most).astype(bits.kind)
+        return needs[la, t]
+
+    def settle(waiting: list[tuple]) -> Iterator[tuple[int, int, float]]:
+        ia = np.repeat([w[0] for w in waiting], [len(w[1]) for w in waiting])
+        t = np.repeat([w[2] for w in waiting], [len(w[1]) for w in waiting])
+        ib, c, both = (np.concatenate([w[n] for w in waiting]) for n in (1, 3, 4))
+        la, lb = d.la[ia], d.lb[ib]
+        short, like, weight = kinds(la, lb)
+        hard, twice = odd_a[ia] | odd_b[ib] | (la > 64) | (lb > LONG), twice_a[ia] | twice_b[ib]
+        # few of the shorter text's pairs of letters are missing in the longer
+        lost = np.floor((1.0 - np.minimum(t / (100.0 * weight), 2.0 - 1e-9)) * 2 * short + EPS)
+        one, two = two_a[:, ia], two_b[:, ib]
+        missing = np.bitwise_count(np.where(la < lb, one & ~two, two & ~one)).sum(axis=0, dtype="i4")
+        left = np.flatnonzero(hard | like | (200.0 * c >= t * (la + lb) - EPS) | (missing <= 2 * lost + EPS))
+        ia, ib, t, c, both, la, lb, short, like, weight, hard, twice = (v[left] for v in (ia, ib, t, c, both, la, lb, short, like, weight, hard, twice))
+        n, m = plain.run(ia, ib), ordered.run(ia, ib)
+        r, s = 200.0 * n / (la + lb), 200.0 * m / (la + lb)
+        sure = like & (both == 0) & ~twice & ~hard
+        score = np.maximum(r, 0.95 * s)
+        done: dict[int, list[float]] = {}  # scores of each text of a, negative and rising
+        for x in np.flatnonzero(sure & (score >= least)).tolist():
+            insort(done.setdefault(int(ia[x]), []), -float(score[x]))
+            yield int(ia[x]), int(ib[x]), float(score[x])
+        joint = np.where(both > 0, 190.0 * both / (both + np.minimum(da[ia], db[ib])), 0.0)
+        whole = np.maximum(np.maximum(score, joint), np.where(both > 0, 190.0 * c / (la + lb), 0.0))
+        partial = np.maximum(r, weight * np.maximum(200.0 * n / (short + n), 190.0 * m / (short + m)))
+        reach = np.where(hard | (like & twice), 101.0, np.where(like, whole, partial))
+        open_ = np.flatnonzero(~sure & (reach >= t - EPS))
+        open_ = open_[np.lexsort((-reach[open_], ia[open_]))]
+        for i, j, most_of in zip(ia[open_].tolist(), ib[open_].tolist(), reach[open_].tolist()):
+            mine = done.setdefault(i, [])
+            if k is not None and len(mine) >= k and -mine[k - 1] > most_of + EPS:
+                continue
+            if (x := similarity.wratio(d.a[i], d.b[j])) >= least:
+                insort(mine, -x)
+                yield i, j, x
+
+    letters, waiting, size = np.zeros(len(d.b), "i4"), [], 0  # letters and spaces of the words in common, and one
+    for i, la in enumerate(d.la.tolist()):
+        words = [w for w in set_a[i] if w in has]
+        t, more = least, [odd_of_b]
+        if words:
+            for w in words:
+                letters[has[w]] += len(w) + 1
+            at = has[words[0]] if len(words) == 1 else np.flatnonzero(letters)
+            both = letters[at] - 1
+            if la not in tables:
+                tables[la] = kinds(la, d.lb)[1:]
+            like, weight = (v[at] for v in tables[la])
+            more.append(at[like & (190.0 * both >= least * (both + np.minimum(da[i], db[at])) - EPS)])
+            flats = []
+            for x in (0.9, 0.6):
+                flat = 0.95 * x * 100.0
+                if flat >= least:
+                    first = at[~like & (weight == x)][:k]
+                    flats += [flat] * len(first)
+                    for j in first.tolist():
+                        yield i, j, flat
+            if k is not None and len(flats) >= k:
+                t = max(t, flats[k - 1])
+        c = bits.common(i)
+        if odd_a[i]:
+            at = np.arange(len(d.b))
+        else:
+            at = np.flatnonzero(c >= need(la, t))
+            if repeated:
+                of = np.arange(len(d.b)) if twice_a[i] else twice_of_b
+                more.append(of[190.0 * repeated.common(i, of) >= least * (da[i] + db[of]) - EPS])
+            if any(map(len, more)):
+                at = np.unique(np.concatenate([at, *more]))
+        if len(at):
+            waiting.append((i, at, t, c[at], np.maximum(letters[at] - 1, 0)))
+            size += len(at)
+        for w in words:
+            letters[has[w]] = 0
+        if size >= BATCH:
+            yield from settle(waiting)
+            waiting, size = [], 0
+    if waiting:
+        yield from settle(waiting)
 
 
 def near(a: list[str], b: list[str], score: str, least: float, k: int | None = None) -> list[tuple[int, int, float]]:
@@ -187,7 +309,13 @@ def near(a: list[str], b: list[str], score: str, least: float, k: int | None = N
     if not a or not b:
         return []
     d = _Block(a, b)
-    found = _wratio(d, least, k) if score == "wratio" else {"ratio": _ratio, "jaro_winkler": _jaro_winkler}[score](d, least)
+    if score == "wratio":
+        best: dict[tuple[int, int], float] = {}
+        for i, j, x in _wratio(d, least, k):  # a pair may come with its words' score and again with that of the rest
+            best[i, j] = max(x, best.get((i, j), 0.0))
+        found = ((i, j, x) for (i, j), x in best.items())
+    else:
+        found = {"ratio": _ratio, "jaro_winkler": _jaro_winkler}[score](d, least)
     if k is None:
         return list(found)
     out: list[tuple[int, int, float]] = []

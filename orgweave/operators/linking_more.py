@@ -207,14 +207,15 @@ def legacy(entities: DataFrame, firms: DataFrame, ticker_confidence: float = 0.9
     """The first of ticker in the text, exact name, subsidiary prefix .80, CIK in the text .90 (where firms have a column ``cik``), fuzzy name
     slope_from + (score - least) x .01 up to the cap, name contained .65; the constants give its three variants."""
     name = normalize_aggressive(F.col("name"))
-    e = entities.select("entity_id", "name", name.alias("a"))
-    f = firms.select("gvkey", F.upper("tic").alias("tic"), normalize_aggressive(F.col("conm")).alias("b")).distinct()
+    # cut, since each strategy starts from them: else the plan holds their many steps a dozen times, which the driver keeps
+    e = cut(entities.select("entity_id", "name", name.alias("a")))
+    f = cut(firms.select("gvkey", F.upper("tic").alias("tic"), normalize_aggressive(F.col("conm")).alias("b")).distinct())
     by_tic = equal_keys(e.select("entity_id", ids.ticker(F.col("name")).alias("key")).dropna(),
         f.select("gvkey", F.col("tic").alias("key")).dropna(), "ticker", ticker_confidence)
     exact = equal_keys(e.select("entity_id", F.col("a").alias("key")), f.select("gvkey", F.col("b").alias("key")), "exact", exact_confidence)
     sub = e.select("entity_id", normalize_aggressive(F.col("name"), prefixes=COMPANY_PREFIXES).alias("key"), "a").filter("key <> a")
     subs = equal_keys(sub.select("entity_id", "key"), f.select("gvkey", F.col("b").alias("key")), "subsidiary", 0.80)
-    texts = near_texts(e.select(F.col("a").alias("text")), f.select(F.col("b").alias("text"), F.col("gvkey").alias("first")), "wratio", least, 1)
+    texts = cut(near_texts(e.select(F.col("a").alias("text")), f.select(F.col("b").alias("text"), F.col("gvkey").alias("first")), "wratio", least, 1))
     best = top_k(texts.join(e.select("entity_id", "a"), "a").join(f.select("gvkey", "b"), "b"), "entity_id", 1, F.desc("score"), F.col("gvkey"))
     fuzzy = _tag(best, "fuzzy", F.round(F.least(F.lit(cap), F.lit(slope_from) + (F.col("score") - least) * 0.01), 4))
     inside = _tag(contained_pairs(e.select("entity_id", F.col("a").alias("name")), f.select("gvkey", F.col("b").alias("name")), 5), "contains", 0.65)

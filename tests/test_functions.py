@@ -137,3 +137,27 @@ def test_near_equals_brute_force():
         assert sorted(nearby.near(a, b, name, least), key=lambda r: (r[0], -r[2], r[1])) == want and want
         best = [r for n, r in enumerate(want) if n < 3 or want[n - 3][0] != r[0]]
         assert nearby.near(a, b, name, least, 3) == best
+
+
+def test_few_pairs_of_names_are_scored_one_by_one(monkeypatch):
+    import random
+
+    from orgweave.functions import nearby, similarity
+
+    random.seed(8)
+    made = lambda: "".join(random.choice(["ba", "kle", "no", "tru", "spi", "vo", "gra", "mu", "the", "li"]) for _ in range(random.choice([2, 3, 4])))
+    kinds = ["university", "medical center", "robotics", "optics", "labs intl", "partners group holdings"]
+    a, b = (list(dict.fromkeys(f"{made()} {random.choice(kinds[start:])}".strip() for _ in range(n))) for start, n in ((0, 50), (2, 500)))
+    score, calls = similarity.wratio, []
+    monkeypatch.setattr(similarity, "wratio", lambda x, y: calls.append(1) or score(x, y))
+    got = nearby.near(a, b, "wratio", 80.0, 1)
+    want = [min(((i, j, s) for j, y in enumerate(b) if (s := score(x, y)) >= 80.0), key=lambda r: (-r[2], r[1]), default=None) for i, x in enumerate(a)]
+    assert got == [w for w in want if w] and got
+    assert len(calls) <= 2 * len(a)
+
+
+def test_words_in_common_of_two_weights():
+    from orgweave.functions import nearby
+
+    # lengths of eight to one weigh less: the first such name isn't the best
+    assert nearby.near(["ai qqqqqq"], ["ai" + " wxyk" * 14, "ai wxykwxyk vvvv"], "wratio", 55.0, 1) == [(0, 1, 85.5)]
